@@ -87,7 +87,7 @@ def map_texts(
             made = work(batch.column(text_col))
             columns = [batch.column(c) for c in keep]
             for field, values in zip(fields, made, strict=True):
-                columns.append(pa.array(values, type=arrow_type(field.dataType)))
+                columns.append(values if isinstance(values, pa.Array) else pa.array(values, type=arrow_type(field.dataType)))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return df.select(*keep, *extra).mapInArrow(run, out)

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import langid, quality, toxicity
+from glintframe.llm import langid, lm, quality, toxicity
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    held_out = C.id_bucket("doc_id", 7) == 2
+    trained = lm.fit(docs, ~held_out)
+    made = lm.score(docs, trained, keep=["doc_id"])
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trained.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +38,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op6_quality, op8_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op6_quality, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
