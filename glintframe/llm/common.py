@@ -119,14 +119,16 @@ def labelled_rows(labels: DataFrame, label: str, max_rows: int, id_col: str = "d
     return rows if n <= max_rows else rows.where(hash_fraction(F.col(id_col), max_rows / n))
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: str, name: str, buckets: int = 256) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: str, name: str, buckets: int = 256, salt: str | None = None) -> DataFrame:
     """A gapless rank from 0 within ``keys``: ranks within hash buckets plus the sizes of earlier buckets.
 
+    ``salt`` (the order column by default) is hashed into buckets.
+
     No task holds a whole key; at most ``buckets`` counts per key meet in the running sum.
     """
     from pyspark.sql import Window
 
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(salt or order), F.lit(buckets)).cast("int"))
     counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import langid, lm, quality, toxicity
+from glintframe.llm import langid, lm, packing, quality, sharding, toxicity
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +31,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (C.id_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.assign(C.table(spark, sf_dir, "documents"), 24, keep=["doc_id"])
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     made = quality.score(docs, quality.fit(docs, C.table(spark, sf_dir, "labels")), keep=["doc_id"])
     return made.select("doc_id", (C.id_bucket("doc_id", 4) == 2).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(C.table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     made = toxicity.score(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -38,7 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op6_quality, op8_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op6_quality, op7_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
