@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import fingerprints, langid, lm, packing, quality, sharding, toxicity
+from glintframe.llm import decontaminate, fingerprints, langid, lm, packing, quality, sharding, toxicity
 
 
 def tokenizer_path() -> str:
@@ -56,8 +56,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (C.id_bucket("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op5_fingerprints, op6_quality, op7_packing, op8_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
