@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import decontaminate, fingerprints, langid, lm, packing, quality, sharding, toxicity
+from glintframe.llm import decontaminate, fingerprints, langid, lm, near_dups, packing, quality, sharding, toxicity
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.cluster(C.table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(C.table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op4_near_duplicates, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
