@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import langid, toxicity
+from glintframe.llm import decontaminate, langid, near_dups, packing, toxicity
+from glintframe.llm.queries import tokenizer_path
 
 TOXIC_FROM = 0.5  # documents that score at least this much go
 LEAST_PHRASE = 1.5  # mean letters per phrase under which a text is in no learned language
@@ -24,7 +25,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return made.where((F.col("lang_pred") != "und") & (F.col("phrase_length") >= LEAST_PHRASE)).select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", known_language)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates, and all that have none."""
+    gone = near_dups.cluster(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that match no benchmark item."""
+    leaks = decontaminate.matches(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 4096."""
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+STAGES = [("toxicity", drop_toxic), ("language", known_language), ("near-duplicates", one_of_each), ("decontamination", without_benchmark), ("packing", packed)]
 
 ORACLE_SQL = None  # learned models are not SQL; tests hold the stages against brute force
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import decontaminate, fingerprints, langid, lm, near_dups, packing, quality, sharding, toxicity
+from glintframe.llm import chat, decontaminate, fingerprints, langid, lm, near_dups, packing, quality, sharding, toxicity
 
 
 def tokenizer_path() -> str:
@@ -60,13 +60,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (C.id_bucket("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(C.table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op4_near_duplicates, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op4_near_duplicates, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op9_chat_pairs, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the chat pairs are SQL; the tests hold the others against brute force, round trips or held-out rows."""
+    return {"op9_chat_pairs": chat.ORACLE}
