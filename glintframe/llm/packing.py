@@ -32,9 +32,10 @@ CAPACITY = 4096
 BLOCK = 20_000  # pieces per block, about
 TIGHT = 0.995  # a sequence filled less than this is packed again
 ROUNDS = 2
-CACHE = 300_000
+CACHE = 600_000
 
 #: Text in these characters is split into words here; any other text goes to the tokenizer whole.
+CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 PLAIN = re.compile("[\t-\r -~\x85\xa0-\xffŒœ‐-‧‰-⁞€]*")
 
 
@@ -50,25 +51,45 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         # Fixed value: the vocabulary's own word pattern.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: many go to the tokenizer as one text, and the tokens that end a word part the result."""
+        rows = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+        ids = [i for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids]
+        packed = np.asarray(ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[packed]) + 1)).tolist()
+        raw = packed.tobytes()
+        lo = 0
+        for w, hi in zip(words, ends, strict=True):
+            self.known[w] = raw[lo:hi]
+            lo = hi
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.lower().split() if PLAIN.fullmatch(t) else None for t in texts]
         chunks = self.chunks
-        fresh = {c for s in split if s is not None for c in s if c not in chunks}
+        split = [t.lower().split() if t.isascii() and not CONTROL.search(t) or PLAIN.fullmatch(t) else None for t in texts]
+        found = [None if s is None else list(map(chunks.get, s)) for s in split]
+        fresh = {c for s, f in zip(split, found, strict=True) if f and None in f for c, x in zip(s, f, strict=True) if x is None}
         if fresh:
             parts = {c: self.words.findall(c) for c in fresh}
-            new = list({w for ws in parts.values() for w in ws if w not in self.known})
-            self.known.update(zip(new, self._whole(new), strict=True))
+            self._learn(list({w for ws in parts.values() for w in ws if w not in self.known}))
             for c, ws in parts.items():
-                chunks[c] = b"".join([self.known[w] for w in ws])
+                chunks[c] = self.known[ws[0]] if len(ws) == 1 else b"".join([self.known[w] for w in ws])
         out = []
-        for t, s in zip(texts, split, strict=True):
-            out.append(self._whole([t])[0] if s is None else b"".join([chunks[c] for c in s]))
+        for t, s, f in zip(texts, split, found, strict=True):
+            if s is None:
+                out.append(self._whole(t))
+            elif None in f:
+                out.append(b"".join([chunks[c] for c in s]))
+            else:
+                out.append(b"".join(f))
         if len(chunks) > CACHE:
             chunks.clear()
         if len(self.known) > CACHE:
