@@ -13,6 +13,7 @@ packed as often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
@@ -97,6 +98,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def shared_encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, which keeps what it has looked up."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -113,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder or shared_encoder(tokenizer_path)
             texts = C.as_texts(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
             for at in range(0, len(texts), 500):
