@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hundredths(area: Column, threshold: int) -> Column:
+    """area / threshold to two decimals, ties to even."""
+    return F.rint(area.cast("double") / threshold * 100) / 100
+
+
 def islands(df: DataFrame, keys: list[str], order: list, joins: Column, name: str = "island") -> DataFrame:
     """Append the number of the run that a row belongs to; ``joins``: it continues the row before it."""
     by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -18,7 +23,7 @@ def strobe_violations(stats: DataFrame, keys: list[str], threshold: int, area: s
     Columns: keys, start, end, severity, onset, peak.  The peak is the first row of the highest severity.
     """
     by = Window.partitionBy(*keys).orderBy("n")
-    rows = stats.where(F.col(area) >= threshold).withColumn("severity", F.bround(F.col(area).cast("double") / threshold, 2))
+    rows = stats.where(F.col(area) >= threshold).withColumn("severity", hundredths(F.col(area), threshold))
     rows = islands(rows, keys, ["n"], F.col("tc") - F.lag("tc").over(by) <= gap)
     return rows.groupBy(*keys, "island").agg(
         F.min_by("t", "n").alias("start"),
@@ -33,7 +38,7 @@ def pattern_violations(stats: DataFrame, keys: list[str], threshold: int, hold:
     """Spans of rows with a striped area of at least ``threshold``, kept if they last ``least`` seconds with their last frame."""
     by = Window.partitionBy(*keys).orderBy("n")
     step = stats.withColumn("__d", F.col("tc") - F.lag("tc").over(by)).where("__d > 0").groupBy(*keys).agg(F.expr("percentile(__d, 0.5D)").alias("frame"))
-    rows = stats.where(F.col("pattern") >= threshold).withColumn("severity", F.bround(F.col("pattern").cast("double") / threshold, 2))
+    rows = stats.where(F.col("pattern") >= threshold).withColumn("severity", hundredths(F.col("pattern"), threshold))
     rows = islands(rows, keys, ["n"], F.col("tc") - F.lag("tc").over(by) <= hold)
     spans = rows.groupBy(*keys, "island").agg(
         F.min("t").alias("start"), F.max("t").alias("end"), (F.max("tc") - F.min("tc")).alias("lasts"), F.max("severity").alias("severity"), F.min_by("t", F.struct(-F.col("severity"), F.col("n"))).alias("peak")
@@ -45,7 +50,7 @@ def warning_spans(stats: DataFrame, keys: list[str], threshold: int, general: st
     """Spans where the louder of two areas reaches the threshold; red if it is louder at the worst row."""
     by = Window.partitionBy(*keys).orderBy("n")
     rows = stats.withColumn("__a", F.greatest(general, red)).where(F.col("__a") >= threshold)
-    rows = rows.withColumn("severity", F.bround(F.col("__a").cast("double") / threshold, 2))
+    rows = rows.withColumn("severity", hundredths(F.col("__a"), threshold))
     rows = islands(rows, keys, ["n"], F.col("tc") - F.lag("tc").over(by) <= 1.0)
     worst = F.min_by(F.struct("t", F.when(F.col(red) > F.col(general), "red").otherwise("flash").alias("kind")), F.struct(-F.col("severity"), F.col("n")))
     spans = rows.groupBy(*keys, "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("severity").alias("severity"), worst.alias("w"))
