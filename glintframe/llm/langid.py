@@ -78,11 +78,14 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 def parsing_table(automaton: np.ndarray) -> np.ndarray:
-    """Flat table of next offsets: where no transition exists, the move from the start, flagged."""
-    width = automaton.shape[1]
-    root = np.where(automaton[0] >= 0, automaton[0], 0) * width
+    """Flat table of next offsets: where no transition exists, the move from the start, flagged.
+
+    A symbol that the start has no move for leads to a last state, which every symbol leaves by a new phrase.
+    """
+    states, width = automaton.shape
+    root = np.where(automaton[0] >= 0, automaton[0], states) * width
     table = np.where(automaton >= 0, automaton * width, root[None, :] | START)
-    return table.astype(np.int32).ravel()
+    return np.vstack([table, root | START]).astype(np.int32).ravel()
 
 
 def phrases(lanes: np.ndarray, table: np.ndarray) -> np.ndarray:
