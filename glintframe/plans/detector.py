@@ -13,6 +13,7 @@ Each pass keeps the state of its current key only.  Shuffles are keyed by (video
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,8 +223,10 @@ def frame_stats(frames: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def verdict(stats: DataFrame, cfg: Config, width: int, height: int) -> DataFrame:
-    """Violations (kind flash, red, extended) and warnings of the videos whose pictures have this size.
+def verdict(stats: DataFrame, cfg: Config, width: int, height: int, patterns: DataFrame | None = None) -> DataFrame:
+    """Violations (kind flash, red, extended, pattern) and warnings of the videos whose pictures have this size.
+
+    ``patterns`` has the striped area of each frame (``pattern_stats``), if patterns are looked for.
 
     Columns: video, what, kind, level, start, end, severity, onset, peak.
     """
@@ -245,7 +248,12 @@ def verdict(stats: DataFrame, cfg: Config, width: int, height: int) -> DataFrame
         spans = to_native(spans, frames, keys, "end").withColumnRenamed("native", "e")
         spans = spans.select("video", F.col("s").alias("start"), F.col("e").alias("end"), F.lit(1.0).alias("severity"), F.col("s").alias("onset"), F.col("s").alias("peak"), F.lit("extended").alias("kind"))
         found = found.unionByName(spans)
-    out = found.select("video", F.lit("violation").alias("what"), "kind", F.lit(None).cast("string").alias("level"), "start", "end", "severity", "onset", "peak")
+    out = found
+    if cfg.patterns and patterns is not None:
+        rows = stats.select("video", "n", "t", "tc").join(patterns.select("video", "n", "pattern"), ["video", "n"])
+        spans = V.pattern_violations(rows, keys, max(1, math.floor(cfg.pattern_area * width * height + 0.5)), cfg.pattern_hold, cfg.pattern_seconds)
+        out = out.unionByName(spans.withColumn("onset", F.col("start")).withColumn("kind", F.lit("pattern")))
+    out = out.select("video", F.lit("violation").alias("what"), "kind", F.lit(None).cast("string").alias("level"), "start", "end", "severity", "onset", "peak")
     if cfg.warns:
         limit = V.warning_spans(stats, keys, geo.area, "ext", "ext_red")
         strict = V.warning_spans(stats, keys, geo.warn_area)
