@@ -46,3 +46,21 @@ def to_native(points: DataFrame, frames: DataFrame, keys: list[str], at: str) ->
     share = (F.col("__x") - a["tc"]) / (b["tc"] - a["tc"])
     native = F.when(a.isNull(), b["t"]).when(b.isNull() | (a["tc"] >= b["tc"]), a["t"]).otherwise(a["t"] + (b["t"] - a["t"]) * share)
     return rows.where("__p is not null").select("__p.*", native.alias("native"))
+
+
+def fixed_clock(df: DataFrame, keys: list[str], order: str = "n", time: str = "t", max_gap: float = 5.0) -> DataFrame:
+    """Append ``tc`` where every bad step counts as the median of all good ones (1/30 if there are none)."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    steps = df.withColumn("__dt", F.col(time) - F.lag(time).over(by))
+    good = (F.col("__dt") > 0) & (F.col("__dt") <= max_gap)
+    usual = steps.where(good).groupBy(*keys).agg(F.expr("percentile(__dt, 0.5D)").alias("__m"))
+    step = F.when(F.col("__dt").isNull(), F.lit(0.0)).when(good, F.col("__dt")).otherwise(F.coalesce("__m", F.lit(1.0) / 30))
+    rows = steps.join(usual, keys, "left").withColumn("__step", step)
+    return rows.withColumn("tc", F.sum("__step").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__dt", "__m", "__step")
+
+
+def merged_segments(rows: DataFrame, keys: list[str], segment: str, start: str, max_gap: float = 5.0) -> DataFrame:
+    """One clock over segments scanned apart: each segment's run-up (rows before its start) is dropped, then all rows are timed anew."""
+    kept = rows.where(F.col("t") >= F.col(start) - 1e-9)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(segment, "n")) - 1
+    return monotonic_clock(kept.withColumn("place", place), keys, "place", "t", max_gap)

@@ -101,3 +101,44 @@ def export_layout(sections: DataFrame, keys: list[str], duration: str, least_gap
     length = F.col("b") - F.col("a") + F.col("extra")
     before = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("placed", F.coalesce(F.sum(length).over(before), F.lit(0.0)))
+
+
+def pick_side(frames: DataFrame, keys: list[str], metric: str, cut: float) -> DataFrame:
+    """Which side to remove: the light one unless the dark one is clearly smaller."""
+    counts = frames.groupBy(*keys).agg(F.count_if(F.col(metric) > cut).alias("light"), F.count_if(F.col(metric) <= cut).alias("dark"))
+    return counts.withColumn("side", F.when(F.col("dark") < 0.8 * F.col("light"), "dark").otherwise("light"))
+
+
+def soften_plan(frames: DataFrame, keys: list[str], threshold: float, margin: float = 0.25) -> DataFrame:
+    """Frames within ``margin`` of a clearly striped one, and the blur that its stripes ask for (sigma of at least 1)."""
+    striped = frames.where(F.col("pattern") >= threshold / 2).select(*keys, F.col("t").alias("__t"), "pattern", "period")
+    rows = frames.select(*keys, "n", "t").join(striped, keys).where(F.abs(F.col("t") - F.col("__t")) <= margin)
+    weight = F.sum("pattern")
+    return rows.groupBy(*keys, "n").agg(F.greatest(F.lit(1.0), F.sum(F.col("period") * F.col("pattern")) / weight).alias("sigma"))
+
+
+def section_timeline(frames: DataFrame, keys: list[str], duration: str) -> DataFrame:
+    """Frames shown, base time, and the length: to the first frame past the duration, or the last and a median step."""
+    by = Window.partitionBy(*keys).orderBy("n")
+    rows = frames.withColumn("__d", F.col("t") - F.lag("t").over(by)).withColumn("__rel", F.col("t") - F.first("t").over(by))
+    shown = F.col("__rel") < F.col(duration) - 1e-9
+    made = rows.groupBy(*keys).agg(
+        F.count_if(shown).alias("shown"),
+        F.count(F.lit(1)).alias("frames"),
+        F.min(F.when(~shown, F.col("__rel"))).alias("cut"),
+        F.max("__rel").alias("last"),
+        F.coalesce(F.expr("percentile(CASE WHEN __d > 0 THEN __d END, 0.5D)"), F.lit(1.0) / 30).alias("step"),
+    )
+    return made.select(*keys, F.when(F.col("shown") > 0, F.col("shown")).otherwise(F.col("frames")).alias("shown"), F.coalesce("cut", F.col("last") + F.col("step")).alias("total"))
+
+
+def valid_orders(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose order (place, source) is a permutation of its places, and whether it moves anything."""
+    made = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("kinds"), F.min("source").alias("lo"), F.max("source").alias("hi"), F.count_if(F.col("source") != F.col("place")).alias("moved"))
+    return made.select(*keys, ((F.col("kinds") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("valid"), "moved")
+
+
+def applied_marks(marks: DataFrame, suggested: DataFrame, keys: list[str], scope: DataFrame) -> DataFrame:
+    """Marks outside the scope stay; inside it the suggestion replaces them."""
+    inside = [*keys, "ord"]
+    return marks.select(*inside).join(scope, inside, "left_anti").unionByName(suggested.select(*inside).join(scope, inside, "left_semi")).distinct()

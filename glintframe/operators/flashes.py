@@ -196,3 +196,12 @@ def nth_flash_age(flashes: DataFrame, keys: list[str], k: int, time: str = "tc")
     from pyspark.sql import Window
 
     return flashes.withColumn("age", F.col(time) - F.lag(time, k - 1).over(Window.partitionBy(*keys).orderBy("n")))
+
+
+def pooled(transitions: DataFrame, keys: list[str], time: str = "tc", window: float = FRESH) -> DataFrame:
+    """Append ``active``: the polarity of the last transition (columns n, transition) if it is at most ``window`` old, else 0."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("transition") != 0, F.struct(F.col(time).alias("t"), F.col("transition").alias("p"))), ignorenulls=True).over(by)
+    return transitions.withColumn("__l", last).withColumn("active", F.when(F.col(time) - F.col("__l.t") <= window, F.col("__l.p")).otherwise(0)).drop("__l")

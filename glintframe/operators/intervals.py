@@ -159,3 +159,25 @@ def reached(spans: DataFrame, others: DataFrame, keys: list[str], reach: float)
     for k in keys:
         on &= F.col(k) == F.col(f"__{k}")
     return spans.join(other, on, "left_semi")
+
+
+def violation_spans(violations: DataFrame, keys: list[str], pad: float = 0.3) -> DataFrame:
+    """Where edits may act: each violation from its onset, padded, merged."""
+    return merge_spans(violations.select(*keys, (F.least("onset", "start") - pad).alias("start"), (F.col("end") + pad).alias("end")), keys)
+
+
+def free_ranges(wanted: DataFrame, taken: DataFrame, keys: list[str], duration: str) -> DataFrame:
+    """Ranges clamped to the duration and rounded to microseconds, without empty ones and those that overlap a taken one."""
+    rows = wanted.select(*keys, F.round(F.greatest(F.lit(0.0), F.col("start")), 6).alias("start"), F.round(F.least(F.col("end"), F.col(duration)), 6).alias("end")).where("end > start")
+    other = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"))
+    on = (F.col("start") < F.col("__e") - 1e-6) & (F.col("end") > F.col("__s") + 1e-6)
+    for k in keys:
+        on &= F.col(k) == F.col(f"__{k}")
+    return rows.join(other, on, "left_anti")
+
+
+def labelled(sections: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Append ``kinds``: the sorted kinds of all spans that overlap a section."""
+    other = spans.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("kind").alias("__k"))
+    rows = sections.join(other, keys, "left").withColumn("__k", F.when((F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), F.col("__k")))
+    return rows.groupBy(*sections.columns).agg(F.array_join(F.array_sort(F.collect_set("__k")), ",").alias("kinds"))

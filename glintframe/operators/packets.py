@@ -78,3 +78,49 @@ def triage(packets: DataFrame, keys: list[str], chunk: str, share: float = 0.25)
     made = made.withColumn("score", sum((F.col(f"__{c}") * w for c, w in weights.items()), F.lit(0.0)))
     place = F.row_number().over(whole.orderBy(F.desc(F.round("score", 9)), chunk))
     return made.withColumn("hot", (n >= 4) & (place <= F.greatest(F.lit(1), F.round(n * share)))).drop(*[f"__{c}" for c in weights])
+
+
+def sync_before(wanted: DataFrame, syncs: DataFrame, keys: list[str]) -> DataFrame:
+    """Append to wanted (t) the last sync time at or before it, or the first sync of all."""
+    rows = wanted.join(syncs.select(*keys, F.col("t").alias("__s")), keys, "left")
+    return rows.groupBy(*wanted.columns).agg(F.coalesce(F.max(F.when(F.col("__s") <= F.col("t"), F.col("__s"))), F.min("__s")).alias("sync"))
+
+
+def near_sync(wanted: DataFrame, syncs: DataFrame, keys: list[str], slack: float = 0.005) -> DataFrame:
+    """Wanted rows with a sync within ``slack``."""
+    other = syncs.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("t").alias("__s"))
+    on = F.abs(F.col("t") - F.col("__s")) <= slack
+    for k in keys:
+        on &= F.col(k) == F.col(f"__{k}")
+    return wanted.join(other, on, "left_semi")
+
+
+def run_up(starts: DataFrame, frames: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """For each start (tc): the first frame within ``seconds`` of it on the clock."""
+    rows = starts.join(frames.select(*keys, F.col("tc").alias("__tc"), F.col("n").alias("__n")), keys)
+    return rows.where((F.col("__tc") >= F.col("tc") - seconds) & (F.col("__tc") <= F.col("tc"))).groupBy(*starts.columns).agg(F.min("__n").alias("from_n"))
+
+
+def decode_times(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Decode times for packets in decode order (order, pts): sorted presentation times, led by the largest delay."""
+    by_time = Window.partitionBy(*keys).orderBy("pts", "order")
+    by_order = Window.partitionBy(*keys).orderBy("order")
+    ranked = packets.withColumn("__k", F.row_number().over(by_order))
+    times = packets.select(*keys, F.col("pts").alias("__t"), F.row_number().over(by_time).alias("__k"))
+    rows = ranked.join(times, [*keys, "__k"])
+    lead = F.max(F.col("__t") - F.col("pts")).over(Window.partitionBy(*keys))
+    return rows.withColumn("dts", F.col("__t") - F.greatest(F.lit(0), lead)).drop("__t", "__k")
+
+
+def timing_sane(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether what was written lasts as expected: within a quarter second or 0.2 %, and with no new holes."""
+    rows = expected.select(*keys, F.col("seconds").alias("want"), F.col("holes").alias("had")).join(found.select(*keys, "seconds", "holes"), keys)
+    near = F.abs(F.col("seconds") - F.col("want")) <= F.greatest(F.lit(0.25), 0.002 * F.col("want"))
+    return rows.select(*keys, (near & (F.col("holes") <= F.col("had"))).alias("sane"))
+
+
+def discrete_quantile(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """The value at index min(n - 1, floor(q n)) of each key's sorted values."""
+    by = Window.partitionBy(*keys)
+    ranked = rows.withColumn("__k", F.row_number().over(by.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
+    return ranked.where(F.col("__k") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * q))).select(*keys, F.col(value).alias("quantile"))

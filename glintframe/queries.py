@@ -244,9 +244,9 @@ def order_spans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("vid"), F.col("o_orderkey").alias("id"), day.alias("start"), (day + 20 + F.col("o_orderkey") % 90).alias("end"))
 
 
-MERGED = """i AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY vid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS nw FROM o WHERE e > s),
-k AS (SELECT *, sum(nw) OVER (PARTITION BY vid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM i),
-merged AS (SELECT vid, min(s) AS s, max(e) AS e, count(*) AS parts FROM k GROUP BY vid, i)"""
+MERGED = """mi AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY vid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS nw FROM o WHERE e > s),
+mj AS (SELECT *, sum(nw) OVER (PARTITION BY vid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM mi),
+merged AS (SELECT vid, min(s) AS s, max(e) AS e, count(*) AS parts FROM mj GROUP BY vid, i)"""
 
 
 @query(f"WITH {ORDER_SPANS}, {MERGED} SELECT vid, s AS start, e AS \"end\", parts FROM merged")
