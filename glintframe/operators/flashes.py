@@ -156,14 +156,14 @@ def series_flashes(df: DataFrame, keys: list[str], order: str = "n", time: str =
     return sorted_fold(df, keys, [order], fields, begin, df.columns)
 
 
-def greedy_gaps(df: DataFrame, keys: list[str], order: str, time: str, gap: float, name: str = "kept") -> DataFrame:
-    """Append whether a row is kept when each kept row must lie ``gap`` after the one kept before."""
+def greedy_gaps(df: DataFrame, keys: list[str], order: str, time: str, gap: float | str, name: str = "kept") -> DataFrame:
+    """Append whether a row is kept when each kept row must lie ``gap`` (a number or a column) after the one kept before."""
 
     def begin():
         last = [NEVER]
 
         def step(row: dict):
-            keeps = row[time] - last[0] >= gap - 1e-9
+            keeps = row[time] - last[0] >= (row[gap] if isinstance(gap, str) else gap) - 1e-9
             if keeps:
                 last[0] = row[time]
             return (keeps,)

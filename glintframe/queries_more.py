@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glintframe.config import PROFILES
 from glintframe.functions import media
 from glintframe.operators import clock, edits, flashes, packets, patterns, projects, signatures
 from glintframe.operators import intervals as V
+from glintframe.plans import search
 from glintframe.queries import CLOCK, FOLD, MERGED, ORDER_SPANS, PACKETS, PIXELS, SERIES, STATS, STROBES, US, clocked, folded, order_spans, packet_rows, pixels, query, series, stats, strobes, table, us
 
 FIXED = (
@@ -274,3 +276,17 @@ def smart_cut(spark: SparkSession, d: str) -> DataFrame:
     marks = spans.where("id % 2 = 0").select("vid", F.col("start").alias("mark")).distinct()
     wide = V.snap_to_marks(spans.where("id % 3 = 0"), marks, ["vid"]).select("vid", F.col("snap_start").alias("start"), F.col("snap_end").alias("end"))
     return V.merge_spans(wide, ["vid"]).withColumnRenamed("parts", "sections")
+
+
+@query(None)
+def search_frame_rate(spark: SparkSession, d: str) -> DataFrame:
+    """All rates of every series' ladder at once; held against a brute-force loop in the tests."""
+    return search.search_rate(clocked(spark, d).select("vid", "n", "tc", "x"), ["vid"], PROFILES["wcag"]).select("vid", us("rate").alias("rate_e6"), "kept", "frames", "passes")
+
+
+@query(None)
+def suggested_removals(spark: SparkSession, d: str) -> DataFrame:
+    """All ways of removing frames within flashing spans at once."""
+    rows = clocked(spark, d).select("vid", "n", "tc", "x")
+    hot = flashes.series_flashes(rows, ["vid"]).where("strobing").select("vid", (F.col("tc") - 1.0).alias("start"), F.col("tc").alias("end"))
+    return search.suggest_removals(rows, V.merge_spans(hot, ["vid"]), ["vid"], PROFILES["wcag"])
