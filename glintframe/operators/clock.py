@@ -16,10 +16,9 @@ def monotonic_clock(df: DataFrame, keys: list[str], order: str = "n", time: str
     """
     by = Window.partitionBy(*keys).orderBy(order)
     steps = df.withColumn("__dt", F.col(time) - F.lag(time).over(by)).withColumn("__good", (F.col("__dt") > 0) & (F.col("__dt") <= max_gap))
-    # The median of good steps only: bad rows are nulled, and the frame counts good rows by rank.
-    good = steps.where("__good")
-    median = F.expr("percentile(__dt, 0.5D)").over(by.rowsBetween(-(LOOK_BACK - 1), 0))
-    known = steps.join(good.select(*keys, order, median.alias("__median")), [*keys, order], "left")
+    # Good rows form a window of their own within the key: the same shuffle serves both windows.
+    among_good = Window.partitionBy(*keys, "__good").orderBy(order).rowsBetween(-(LOOK_BACK - 1), 0)
+    known = steps.withColumn("__median", F.when(F.col("__good"), F.expr("percentile(__dt, 0.5D)").over(among_good)))
     before = F.last("__median", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     step = F.when(F.col("__dt").isNull(), F.lit(0.0)).when(F.col("__good"), F.col("__dt")).otherwise(F.coalesce("__before", F.lit(1.0) / 30))
     known = known.withColumn("__before", before).withColumn("__step", step)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glintframe.config import Config
 from glintframe.operators import edits
 from glintframe.operators.flashes import greedy_gaps, series_flashes
+from glintframe.tables import stored
 
 LADDER = 10
 
@@ -54,7 +55,7 @@ def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg:
     on = (F.col("tc") >= F.col("__s")) & (F.col("tc") <= F.col("__e"))
     for k in keys:
         on &= F.col(k) == F.col(f"__{k}")
-    inside = series.join(other, on).select(*keys, "span", "n", "tc", "x")
+    inside = stored(series.join(other, on).select(*keys, "span", "n", "tc", "x"), "inside-spans")  # read by every way
     own = [*keys, "span"]
     ways = []
     for side in ("light", "dark"):
@@ -65,7 +66,7 @@ def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg:
     gone = ways[0]
     for w in ways[1:]:
         gone = gone.unionByName(w)
-    gone = gone.where("n > 0").distinct()
+    gone = stored(gone.where("n > 0").distinct(), "removals")
     names = ["light", "light-tight", "dark", "dark-tight", "light-hold", "dark-hold"]
     rows = series.join(spans.select(*keys).distinct(), keys, "left_semi").withColumn("variant", F.explode(F.array(*map(F.lit, names))))
     left = rows.join(gone, [*keys, "variant", "n"], "left_anti")

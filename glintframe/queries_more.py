@@ -10,6 +10,7 @@ from glintframe.functions import media
 from glintframe.operators import clock, edits, flashes, packets, patterns, projects, signatures
 from glintframe.operators import intervals as V
 from glintframe.plans import search
+from glintframe.tables import stored
 from glintframe.queries import CLOCK, FOLD, MERGED, ORDER_SPANS, PACKETS, PIXELS, SERIES, STATS, STROBES, US, clocked, folded, order_spans, packet_rows, pixels, query, series, stats, strobes, table, us
 
 FIXED = (
@@ -287,6 +288,7 @@ def search_frame_rate(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def suggested_removals(spark: SparkSession, d: str) -> DataFrame:
     """All ways of removing frames within flashing spans at once."""
-    rows = clocked(spark, d).select("vid", "n", "tc", "x")
+    rows = stored(clocked(spark, d).select("vid", "n", "tc", "x"), "series")
     hot = flashes.series_flashes(rows, ["vid"]).where("strobing").select("vid", (F.col("tc") - 1.0).alias("start"), F.col("tc").alias("end"))
-    return search.suggest_removals(rows, V.merge_spans(hot, ["vid"]), ["vid"], PROFILES["wcag"])
+    spans = stored(V.merge_spans(hot, ["vid"]), "flashing")
+    return search.suggest_removals(rows, spans, ["vid"], PROFILES["wcag"])
