@@ -30,7 +30,7 @@ LEAST_SHARE = 0.5  # of an item's windows, at one alignment
 LEAST_WORDS = 3  # words that aren't placeholders, in a window
 FILTER_BITS = 26  # the filter has 2**26 bits (8 MB), whatever the benchmark's size
 SALTS = 16
-CACHE = 300_000
+CACHE = 500_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million", re.I)
 TRIM = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
@@ -55,46 +55,46 @@ def text_hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class Templates:
-    """Template tokens of texts.  What a chunk of text between blanks says of itself is looked up once."""
+class Templates(dict):
+    """Template tokens of texts.  What a chunk of text between blanks says of itself is looked up once, by its number."""
 
     def __init__(self):
-        self.ids: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids.clear()
+        super().__init__()
         self.values: list[str] = []
-        self.hash: list[int] = []
-        self.flags: list[int] = []  # 1 number, 2 unit word, 4 capital, 8 ends a sentence, 16 no token
-        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        self.hash = np.zeros(4096, np.uint64)
+        self.flags = np.zeros(4096, np.uint8)  # 1 number, 2 unit word, 4 capital, 8 ends a sentence, 16 no token
 
-    def _learn(self, chunk: str) -> int:
-        core = TRIM.sub("", chunk)
+    def __missing__(self, chunk: str) -> int:
+        if chunk.isalpha():
+            core, flags = chunk, 0
+        else:
+            core = TRIM.sub("", chunk)
+            flags = 8 * bool(SENTENCE_END.search(chunk)) + 16 * (not core)
         low = core.lower()
-        flags = 8 * bool(SENTENCE_END.search(chunk)) + 16 * (not core)
         if NUMBER.fullmatch(core):
             flags |= 1
         else:
             flags |= 2 * (low in UNITS) + 4 * (core[:1].isupper())
-        i = self.ids[chunk] = len(self.values)
+        i = self[chunk] = len(self.values)
         self.values.append(low)
-        self.hash.append(text_hash(low))
-        self.flags.append(flags)
+        if i == len(self.hash):
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+        self.hash[i] = text_hash(low)
+        self.flags[i] = flags
         return i
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token hash, kind, chunk id) of each template token."""
-        if len(self.ids) > CACHE:
-            self._reset()
+        """(token hash, kind, chunk number) of each template token."""
+        if len(self) > CACHE:
+            self.clear()
+            self.values.clear()
         chunks = text.split()
-        get, learn = self.ids.get, self._learn
-        ids = np.array([i if (i := get(c)) is not None else learn(c) for c in chunks], np.int64)
-        if len(self.arrays[0]) != len(self.hash):
-            self.arrays = (np.array(self.hash, np.uint64), np.array(self.flags, np.uint8))
-        flags = self.arrays[1][ids]
-        ids = ids[flags < 16]
-        flags = flags[flags < 16]
+        ids = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        flags = self.flags[ids]
+        if (flags >= 16).any():
+            ids = ids[flags < 16]
+            flags = flags[flags < 16]
         kind = np.zeros(len(ids), np.uint8)
         if len(ids):
             number = (flags & 1) > 0
@@ -102,7 +102,7 @@ class Templates:
             kind[((flags & 4) > 0) & ~starts] = NAME
             kind[((flags & 2) > 0) & np.concatenate(([False], number[:-1]))] = UNIT
             kind[number] = NUM
-        token = np.where(kind == WORD, self.arrays[0][ids], kind.astype(np.uint64))
+        token = np.where(kind == WORD, self.hash[ids], kind.astype(np.uint64))
         return token, kind, ids
 
 
@@ -127,8 +127,8 @@ WINDOW_FIELDS = [
 
 
 def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
-    """One row for each window that ``open_task()`` lets pass: id, row (n-th of the batch's hash), h, pos, slots."""
-    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_windows", T.IntegerType()), *WINDOW_FIELDS])
+    """One row for each window that ``open_task()`` lets pass: id, n_windows (of its width in the text), width, h, pos, slots."""
+    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_windows", T.IntegerType()), T.StructField("width", T.IntegerType()), *WINDOW_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, passes, widths = None, None, None
@@ -136,7 +136,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
             if templates is None:
                 templates = Templates()
                 passes, widths = open_task()
-            made: list[list] = [[], [], [], [], []]
+            made: list[list] = [[], [], [], [], [], []]
             for i, text in enumerate(C.as_texts(batch.column(1))):
                 token, kind, ids = templates.of(text)
                 for width in widths(len(token)):
@@ -148,11 +148,12 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
                         continue
                     made[0].extend([i] * len(at))
                     made[1].extend([n] * len(at))
-                    made[2].extend(h.view(np.int64).tolist())
-                    made[3].extend(at.tolist())
+                    made[2].extend([width] * len(at))
+                    made[3].extend(h.view(np.int64).tolist())
+                    made[4].extend(at.tolist())
                     slots = (kind > 0).any()
                     for a in at.tolist():
-                        made[4].append([templates.values[ids[p]] for p in range(a, a + width) if kind[p]] if slots else [])
+                        made[5].append([templates.values[ids[p]] for p in range(a, a + width) if kind[p]] if slots else [])
             if made[0]:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(made[0], pa.int64()))] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(made[1:], out.fields[1:], strict=True)],
@@ -171,8 +172,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(doc row, item) pairs that match: id, item, windows matched, share, exact (placeholders hold equal values)."""
     spark = docs.sparkSession
     items = C.stored(_windows(benchmark, item_col, item_text, lambda: (lambda h: np.ones(len(h), bool), lambda n: [min(n, WINDOW)] if n else [])), "benchmark-windows")
-    widths = [r[0] for r in items.select(F.least(F.lit(WINDOW), F.col("n_windows")).alias("w")).distinct().collect()]
-    short = bool(widths) and min(widths) == 1
+    in_use = [r[0] for r in items.select("width").distinct().collect()]  # WINDOW, and the lengths of shorter items
     # The two filter positions of each window, as set bits of 64-bit words: at most 2**20 words.
     top = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     second = F.shiftrightunsigned(F.shiftleft("h", FILTER_BITS), 64 - FILTER_BITS)
@@ -191,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 ok &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
             return ok
 
-        return passes, lambda n: ([*range(1, WINDOW), WINDOW] if short else [WINDOW])
+        return passes, lambda n: in_use
 
     found = _windows(docs.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))), "__row", text_col, open_task)
     found = C.stored(found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "h", "pos", "slots"), "leaked-windows")
