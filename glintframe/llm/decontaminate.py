@@ -30,7 +30,7 @@ LEAST_SHARE = 0.5  # of an item's windows, at one alignment
 LEAST_WORDS = 3  # words that aren't placeholders, in a window
 FILTER_BITS = 26  # the filter has 2**26 bits (8 MB), whatever the benchmark's size
 SALTS = 16
-CACHE = 500_000
+CACHE = 150_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million", re.I)
 TRIM = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
@@ -132,7 +132,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, passes, widths = None, None, None
-        for batch in batches:
+        for batch in C.slices(batches):
             if templates is None:
                 templates = Templates()
                 passes, widths = open_task()

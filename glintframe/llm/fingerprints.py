@@ -157,7 +157,7 @@ def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         winnower = Winnower()
         before = None  # (range, id, text, hashes, distinct hashes)
 
-        for batch in batches:
+        for batch in C.slices(batches):
             made: list[tuple] = []
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for part, copied, doc_id, text in zip(*columns, strict=True):

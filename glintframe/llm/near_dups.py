@@ -40,8 +40,8 @@ BLOCK_ROWS = 2_048
 BLOCK_SHINGLES = 1_000_000
 HOT = 2_000
 FILTER_BITS = 26
-CACHE = 500_000
-COLUMNS = 4_096
+CACHE = 150_000
+COLUMNS = 2_048
 
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], np.uint64)
 
@@ -144,7 +144,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         bits = sent.value.view(np.uint64)
-        for batch in batches:
+        for batch in C.slices(batches):
             slot = batch.column("slot").to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
             if not len(hit):
@@ -181,19 +181,21 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool) -> np.ndarray
             cells = np.zeros((n, COLUMNS), np.float32)
             cells[owner[a:b], code[a:b] - lo] = 1
             both += cells @ cells.T
-    link = 100 * both.astype(np.float64) >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)
-    if not same:
-        link &= side[:, None] != side[None, :]
-    np.fill_diagonal(link, False)
     found = []
     left = np.ones(n, bool)
+
+    def linked(i: int) -> np.ndarray:
+        """Indices still left that i is linked with: 100 * both >= SIMILAR * (sizes - both)."""
+        ok = left & ((100 + SIMILAR) * both[i].astype(np.int64) >= SIMILAR * (sizes[i] + sizes))
+        return np.flatnonzero(ok if same else ok & (side != side[i]))
+
     for start in range(n):
         if not left[start]:
             continue
         left[start] = False
         todo = [start]
         while todo:
-            new = np.flatnonzero(link[todo.pop()] & left)
+            new = linked(todo.pop())
             left[new] = False
             todo.extend(new.tolist())
             found.extend((start, x) for x in new.tolist())

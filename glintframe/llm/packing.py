@@ -33,7 +33,7 @@ CAPACITY = 4096
 BLOCK = 20_000  # pieces per block, about
 TIGHT = 0.995  # a sequence filled less than this is packed again
 ROUNDS = 2
-CACHE = 600_000
+CACHE = 250_000
 
 #: Text in these characters is split into words here; any other text goes to the tokenizer whole.
 CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -119,20 +119,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in C.slices(batches, 500):
             encoder = encoder or shared_encoder(tokenizer_path)
             texts = C.as_texts(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
-            for at in range(0, len(texts), 500):
-                for i, ids in enumerate(encoder.encode(texts[at : at + 500]), at):
-                    ids += end
-                    for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[lo : lo + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(lo // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+            for i, ids in enumerate(encoder.encode(texts)):
+                ids += end
+                for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[lo : lo + 4 * capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(lo // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
             arrays = [batch.column(0).take(pa.array(row, pa.int64()))]
             arrays += [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip((piece, start, length, crc), out.fields[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)

@@ -133,7 +133,7 @@ class Matcher:
         got = self.seen.get(word)
         if got is None:
             got = self._walk(word)
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 150_000:
                 self.seen.clear()
             self.seen[word] = got
         return got
@@ -201,7 +201,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                 names=["term", "stem", "docs", "toxic"],
             )
 
-        for batch in batches:
+        for batch in C.slices(batches):
             for text, label in zip(C.as_texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
                 keys = {(w, False) for w in words if len(w) <= 40}
