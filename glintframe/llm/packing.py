@@ -33,7 +33,7 @@ CAPACITY = 4096
 BLOCK = 20_000  # pieces per block, about
 TIGHT = 0.995  # a sequence filled less than this is packed again
 ROUNDS = 2
-CACHE = 250_000
+CACHE = 150_000
 
 #: Text in these characters is split into words here; any other text goes to the tokenizer whole.
 CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -41,7 +41,7 @@ PLAIN = re.compile("[\t-\r -~\x85\xa0-\xffŒœ‐-‧‰-⁞€]*")
 
 
 class Encoder:
-    """Ids of texts under the word tokenizer, as packed 32-bit integers; words are looked up once."""
+    """Ids of texts under the word tokenizer, as packed 32-bit integers; what stands between blanks is looked up once."""
 
     def __init__(self, path: str):
         import regex
@@ -55,46 +55,43 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        # What was looked up of late, and before: what isn't asked for again is forgotten.
         self.chunks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: many go to the tokenizer as one text, and the tokens that end a word part the result."""
-        rows = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: many go to the tokenizer as one text, and the tokens that end a word part the result."""
+        rows = [" ".join(chunks[k : k + 100]) for k in range(0, len(chunks), 100)]
         ids = [i for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids]
         packed = np.asarray(ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends_word[packed]) + 1)).tolist()
+        ends = np.concatenate(([0], 4 * (np.flatnonzero(self.ends_word[packed]) + 1)))
+        words = np.fromiter((1 if c.isalpha() else len(self.words.findall(c)) for c in chunks), np.int64, len(chunks))
+        assert words.sum() == len(ends) - 1
         raw = packed.tobytes()
         lo = 0
-        for w, hi in zip(words, ends, strict=True):
-            self.known[w] = raw[lo:hi]
+        for c, hi in zip(chunks, ends[np.cumsum(words)].tolist(), strict=True):
+            self.chunks[c] = raw[lo:hi]
             lo = hi
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = self.chunks
+        chunks, old = self.chunks, self.old
         split = [t.lower().split() if t.isascii() and not CONTROL.search(t) or PLAIN.fullmatch(t) else None for t in texts]
         found = [None if s is None else list(map(chunks.get, s)) for s in split]
-        fresh = {c for s, f in zip(split, found, strict=True) if f and None in f for c, x in zip(s, f, strict=True) if x is None}
-        if fresh:
-            parts = {c: self.words.findall(c) for c in fresh}
-            self._learn(list({w for ws in parts.values() for w in ws if w not in self.known}))
-            for c, ws in parts.items():
-                chunks[c] = self.known[ws[0]] if len(ws) == 1 else b"".join([self.known[w] for w in ws])
+        holes = [[i for i, x in enumerate(f) if x is None] if f and None in f else [] for f in found]
+        fresh = {s[i] for s, at in zip(split, holes, strict=True) for i in at}
+        chunks.update((c, x) for c in fresh if (x := old.get(c)) is not None)
+        if new := [c for c in fresh if c not in chunks]:
+            self._learn(new)
         out = []
-        for t, s, f in zip(texts, split, found, strict=True):
-            if s is None:
-                out.append(self._whole(t))
-            elif None in f:
-                out.append(b"".join([chunks[c] for c in s]))
-            else:
-                out.append(b"".join(f))
+        for t, s, f, at in zip(texts, split, found, holes, strict=True):
+            for i in at:
+                f[i] = chunks[s[i]]
+            out.append(self._whole(t) if f is None else b"".join(f))
         if len(chunks) > CACHE:
-            chunks.clear()
-        if len(self.known) > CACHE:
-            self.known.clear()
+            self.chunks, self.old = {}, chunks
         return out
 
 
