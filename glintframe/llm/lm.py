@@ -1,13 +1,14 @@
 """Operator 1, LM scoring: prediction by partial matching over bytes.
 
 Training counts every window of ``ORDER + 1`` bytes of every training text inside the tasks and
-sums the counts in one shuffle; shorter contexts are marginals of these.  The trie keeps a node
-if it was seen at least once in ``NODES`` symbols, so that its size has a bound while its counts
-come from all the data.  Each node holds how often each symbol followed (method D escapes:
-half a count for each distinct symbol, and what the trie dropped).  Coding a symbol starts at the longest
-context in the trie; where the symbol wasn't seen there, it escapes to the next shorter context,
-in which the symbols of the longer one are excluded.  Because the trie is trained beforehand, all
-escape chains are sums known per node, and numpy codes whole batches of text.
+sums the counts in one shuffle; shorter contexts are marginals of these.  Every window and context
+is kept, in one distributed table an order, so the model grows with the input.  A context holds how
+often each symbol followed (method D escapes: half a count for each distinct symbol).  Coding a
+symbol starts at the longest context in the tables; where the symbol wasn't seen there, it escapes
+to the next shorter context, in which the symbols of the longer one are excluded.  Windows seen at
+least once in ``HOT_WINDOWS`` symbols are broadcast with their scores and looked up by numpy; all
+others are joined on the window.  Windows that training didn't see take their escape chain by joins,
+each distinct one once; no key of these joins has more than 256 rows on a side.
 
 The base score is the unigram word model with add-one smoothing.  Counts of frequent tokens
 (at least one in ``HOT`` tokens: no more than ``HOT`` of them can exist) are broadcast; all others
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 
 ORDER = 5  # longest context, in bytes
-NODES = 1 << 20  # a node is kept if seen at least N / NODES times: at most NODES nodes an order
+HOT_WINDOWS = 1 << 22  # windows broadcast: seen at least N / HOT_WINDOWS times, so no more than that can exist
 DISCOUNT = 0.5  # of every symbol's count, for the escape
 HOT = 20_000
 PAD, END = 0xFE, 0xFF  # never in UTF-8: before a text, and its last symbol
@@ -124,7 +125,7 @@ class Model:
 
 
 def build(counts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] | list) -> Model:
-    """From, per order, (context keys, totals, gram keys, gram counts): contexts and grams that the trie keeps."""
+    """The trie in memory, from (context keys, totals, gram keys, gram counts) of each order."""
     levels: list[Level] = []
     distinct0 = 0
     for order, (ctx, total, gram, count) in enumerate(counts):
@@ -272,39 +273,82 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return made.groupBy("token", "gram").agg(F.sum("n").alias("n"))
 
 
-def trie(counts: DataFrame) -> Model:
-    """The bounded model: per order, contexts and symbols seen at least N / NODES times."""
-    grams = counts.where("gram is not null").select("gram", "n")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not total:
-        return Model([], -math.log10(SYMBOLS))
-    least = max(1, math.ceil(total / NODES))
-    levels = []
-    for order in range(ORDER + 1):
-        of = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask(order + 1))).alias("g")).agg(F.sum("n").alias("n")) if order < ORDER else grams.withColumnRenamed("gram", "g")
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """Per order, all grams with their contexts: ctx, total and kinds (of the context), g, n."""
+    of = counts.where("gram is not null").select(F.col("gram").alias("g"), "n")
+    made: list[DataFrame] = []
+    for order in range(ORDER, -1, -1):
         # A context has at most 255 symbols, so the list below is bounded.
-        node = of.groupBy(F.shiftright("g", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") >= least, F.struct("g", "n"))).alias("kept"))
-        rows = node.where(F.size("kept") > 0).toArrow().combine_chunks()
-        kept = pa.concat_arrays(rows["kept"].chunks).flatten()
-        levels.append(tuple(x.to_numpy(zero_copy_only=False) for x in (rows["ctx"], rows["total"], kept.field("g"), kept.field("n"))))
-    return build(levels)
+        node = of.groupBy(F.shiftright("g", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("g", "n")).alias("kept"))
+        node = node.select("ctx", "total", F.size("kept").alias("kinds"), F.explode("kept").alias("x")).select("ctx", "total", "kinds", "x.g", "x.n")
+        made.append(C.stored(node, "lm-level"))
+        of = made[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask(order))).alias("g")).agg(F.sum("n").alias("n"))
+    return made[::-1]
+
+
+def trie(of: list[DataFrame]) -> Model:
+    """The whole model in memory, for small inputs; ``score`` doesn't gather it."""
+    out = []
+    for level in of:
+        rows = level.toPandas()
+        ctx = rows.drop_duplicates("ctx")
+        out.append(tuple(x.to_numpy() for x in (ctx["ctx"], ctx["total"], rows["g"], rows["n"])))
+    return build(out) if len(out[0][0]) else Model([], -math.log10(SYMBOLS))
+
+
+def unseen(of: list[DataFrame], wanted: DataFrame) -> DataFrame:
+    """(g, value): log10 probabilities of those windows ``wanted`` (distinct g) that training didn't see."""
+    need = [wanted.join(of[ORDER].select("g"), "g", "left_anti")]
+    need[0] = C.stored(need[0], "lm-need")
+    for order in range(ORDER - 1, -1, -1):
+        shorter = need[0].select(F.col("g").bitwiseAND(F.lit(mask(order + 1))).alias("g")).distinct()
+        need.insert(0, C.stored(shorter.join(of[order].select("g"), "g", "left_anti"), "lm-need"))
+    total, kinds = of[0].agg(F.max("total"), F.count(F.lit(1))).first()
+    floor = -math.log10(max(1, SYMBOLS - kinds))
+    start = floor + (math.log10(DISCOUNT * kinds) - math.log10(total) if total else 0.0)
+    # came: after an escape from the context of g; begin: where coding begins at it, or at the longest that exists.
+    value = need[0].select(F.col("g").alias("suffix"), F.lit(floor).alias("came"), F.lit(start).alias("begin"))
+    for order in range(1, ORDER + 1):
+        suffix = F.col("g").bitwiseAND(F.lit(mask(order))).alias("suffix")
+        here = need[order].select("g", F.shiftright("g", 8).alias("ctx"), suffix)
+        below = of[order - 1].select(F.col("g").alias("suffix"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"))
+        node = of[order].join(here.select("ctx").distinct(), "ctx", "left_semi").select("ctx", "total", "kinds", suffix).join(below, "suffix")
+        node = node.groupBy("ctx", "total", "kinds", "low_total", "low_kinds").agg(F.sum(F.col("low_n") - DISCOUNT).alias("same"))
+        new = (F.col("low_kinds") - F.col("kinds")) * DISCOUNT
+        rest = F.col("low_total") - F.col("low_kinds") * DISCOUNT - F.col("same")
+        # Without symbols that the longer context lacks, the shorter one is passed over.
+        node = node.select("ctx", "total", "kinds", F.when(new > 0, F.log10(rest + new)).otherwise(0.0).alias("whole"), F.when(new > 0, F.log10(new) - F.log10(rest + new)).otherwise(0.0).alias("on"))
+        rows = here.join(node, "ctx", "left").join(below.drop("low_kinds"), "suffix", "left").join(value, "suffix", "left")
+        found = F.col("low_n").isNotNull()
+        count = F.log10(F.col("low_n") - DISCOUNT)
+        came = F.when(found, count - F.col("whole")).otherwise(F.col("on") + F.col("came"))
+        escape = F.log10(F.col("kinds") * DISCOUNT) - F.log10("total")
+        begin = F.when(F.col("total").isNotNull(), escape + came).when(found, count - F.log10("low_total")).otherwise(F.col("begin"))
+        value = C.stored(rows.select(F.col("g").alias("suffix"), came.alias("came"), begin.alias("begin")), "lm-escapes")
+    return value.select(F.col("suffix").alias("g"), F.col("begin").alias("value"))
 
 
 @dataclass
 class Trained:
-    """What scoring needs: the trie, and the token table with its sums."""
+    """What scoring needs: the tables of each order, and the token table with its sums."""
 
-    model: Model
+    levels: list[DataFrame]
+    n_symbols: int
     tokens: DataFrame
     n_tokens: int
     n_kinds: int
 
+    @property
+    def model(self) -> Model:
+        return trie(self.levels)
+
 
 def fit(docs: DataFrame, training: Column, text_col: str = "text") -> Trained:
     counts = C.stored(corpus_counts(docs.where(training), text_col), "lm-counts")
     tokens = counts.where("token is not null").select("token", F.col("n").alias("c"))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    return Trained(trie(counts), tokens, n, v)
+    of = levels(counts)
+    return Trained(of, of[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], tokens, n, v)
 
 
 def score(docs: DataFrame, trained: Trained, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -313,17 +357,34 @@ def score(docs: DataFrame, trained: Trained, text_col: str = "text", keep: list[
     spark = docs.sparkSession
     is_hot = F.col("c") * HOT >= trained.n_tokens
     hot = {bytes(r[0]): r[1] for r in trained.tokens.where(is_hot).collect()}
-    sent = spark.sparkContext.broadcast((trained.model, {t: (c, math.log10(c + 1)) for t, c in hot.items()}))
+    is_hot_window = F.col("n") * HOT_WINDOWS >= trained.n_symbols
+    windows_seen = trained.levels[ORDER].select("g", "n", (F.log10(F.col("n") - DISCOUNT) - F.log10("total")).alias("value"))
+    top = windows_seen.where(is_hot_window).select("g", "value").toArrow()
+    top = tuple(top[c].to_numpy() for c in ("g", "value"))
+    sent = spark.sparkContext.broadcast((top, {t: (c, math.log10(c + 1)) for t, c in hot.items()}))
 
     def open_task():
-        model, hot_tokens = sent.value
-        coder = Coder(model)
+        (keys, values), hot_tokens = sent.value
+        index = Index(keys)
+        values = np.append(values, 0.0)  # of position -1
 
         def work(column: pa.Array) -> list:
             n_tokens, known, base, total = [], [], [], []
             sizes, cold, cold_n = [0], [], []
+            grams, gram_n, gram_sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
             for part in chunks(C.as_bytes(column)):
-                total.append(coder.score(part))
+                here = windows(stream(part)[0])
+                lengths = np.fromiter((len(t) + 1 for t in part), np.int64, len(part))
+                at = index.find(here)
+                total.append(np.add.reduceat(values[at], np.cumsum(lengths) - lengths))
+                owner = np.repeat(np.arange(len(part)), lengths)[at < 0]
+                here = here[at < 0]
+                order = np.lexsort((here, owner))
+                owner, here = owner[order], here[order]
+                first = np.flatnonzero(np.concatenate(([True], (here[1:] != here[:-1]) | (owner[1:] != owner[:-1]))) if len(here) else np.zeros(0, bool))
+                grams.append(here[first])
+                gram_n.append(np.diff(np.append(first, len(here))))
+                gram_sizes.append(np.bincount(owner[first], minlength=len(part)))
                 for t in part:
                     words = t.translate(C.ASCII_LOWER).split()
                     words.append(b"")
@@ -342,27 +403,34 @@ def score(docs: DataFrame, trained: Trained, text_col: str = "text", keep: list[
                     sizes.append(len(cold))
             pairs = pa.StructArray.from_arrays([pa.array(cold, pa.binary()), pa.array(cold_n, pa.int64())], names=["token", "n"])
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
-            return [n_tokens, known, base, np.concatenate(total) if total else [], lists]
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(gram_n))], names=["g", "n"])
+            gram_lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(gram_sizes)), pa.int32()), pairs)
+            return [n_tokens, known, base, np.concatenate(total) if total else [], lists, gram_lists]
 
         return work
 
     pair = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType())])
+    window = T.StructType([T.StructField("g", T.LongType()), T.StructField("n", T.LongType())])
     fields = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("__known", T.LongType()),
         T.StructField("__base", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("__score", T.DoubleType()),
         T.StructField("__cold", T.ArrayType(pair)),
+        T.StructField("__windows", T.ArrayType(window)),
     ]
     made = C.stored(C.map_texts(docs, open_task, fields, text_col, keep).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
     cold = made.select("__row", F.explode("__cold").alias("x")).select("__row", "x.token", "x.n")
     cold = cold.join(trained.tokens.where(~is_hot), "token").groupBy("__row")
     cold = cold.agg(F.sum("n").alias("__more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("__more_base"))
+    rare = made.select("__row", F.explode("__windows").alias("x")).select("__row", "x.g", F.col("x.n").alias("times"))
+    values = windows_seen.where(~is_hot_window).select("g", "value").unionByName(unseen(trained.levels, rare.select("g").distinct()))
+    rare = rare.join(values, "g").groupBy("__row").agg(F.sum(F.col("times") * F.col("value")).alias("__rest"))
     per_token = math.log10(trained.n_tokens + trained.n_kinds + 1)
-    return made.drop("__cold").join(cold, "__row", "left").select(
+    return made.drop("__cold", "__windows").join(cold, "__row", "left").join(rare, "__row", "left").select(
         *keep,
         "n_tokens",
         (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
         (F.col("__base") + F.coalesce("__more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        "score",
+        (F.col("__score") + F.coalesce("__rest", F.lit(0.0))).alias("score"),
     )

@@ -82,6 +82,22 @@ def test_lm_probabilities_sum_to_one(spark):
         assert (10 ** coder.code(keys)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_lm_keeps_rare_contexts(spark, monkeypatch):
+    for bound in ("NODES", "HOT_WINDOWS"):
+        monkeypatch.setattr(lm, bound, 100, raising=False)
+    rng = random.Random(5)
+    words = ["the", "then", "offer", "and", "quartz", "jumble"]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(70)] + ["seldom seen phrase", "seldom seen phrase?", "zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trained = lm.fit(docs, C.F.col("doc_id") <= 70)
+    model = trained.model
+    raw = [t.encode() for t in texts]
+    for r in lm.score(docs, trained).collect():
+        if r.doc_id > 67:
+            assert r.score == pytest.approx(ppm_log10(raw[:71], raw[r.doc_id], lm.ORDER), rel=1e-6)
+            assert r.score == pytest.approx(lm.Coder(model).score([raw[r.doc_id]])[0], rel=1e-6)
+
+
 def test_lm_odd_input(spark, odd_docs, no_docs):
     trained = lm.fit(odd_docs, C.id_bucket("doc_id", 7) != 2)
     rows = lm.score(odd_docs, trained, keep=["doc_id"]).collect()
