@@ -43,10 +43,20 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
 
 
 def siblings(turns: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Pairs of conversations that open with the same turn: each with the next one of its salted group (id modulo ``salts``)."""
+    """Pairs of conversations that open with the same turn: each with the next one by id.
+
+    Ids are cut into ``salts`` ranges.  Within an opening and range the next id follows in a window; the last of a range
+    is followed by the first of the opening's next range that isn't empty, from a table of at most ``salts`` rows an opening.
+    """
     opening = turns.where("place = 0").select("conv_id", F.md5(F.concat_ws("\u0001", "role", "text")).alias("opening"))
-    group = Window.partitionBy("opening", F.pmod("conv_id", F.lit(salts))).orderBy("conv_id")
-    pairs = opening.withColumn("other", F.lead("conv_id").over(group)).where("other is not null")
+    cuts = opening.approxQuantile("conv_id", [i / salts for i in range(1, salts)], 0.01) if salts > 1 else []  # any cuts give the same pairs
+    part = sum((F.when(F.col("conv_id") >= F.lit(int(c)), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    opening = opening.withColumn("part", part)
+    firsts = opening.groupBy("opening", "part").agg(F.min("conv_id").alias("first"))
+    firsts = firsts.select("opening", "part", F.lead("first").over(Window.partitionBy("opening").orderBy("part")).alias("onward"))
+    group = Window.partitionBy("opening", "part").orderBy("conv_id")
+    pairs = opening.withColumn("within", F.lead("conv_id").over(group)).join(firsts, ["opening", "part"])
+    pairs = pairs.select("conv_id", F.coalesce("within", "onward").alias("other")).where("other is not null")
     pair = F.concat_ws("-", F.lit("sibling"), F.col("conv_id").cast("string"), F.col("other").cast("string")).alias("pair_id")
     sides = pairs.select(pair, F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("conv_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("other").alias("conv_id")))).alias("x"))
     return sides.select("pair_id", "x.side", "x.conv_id").join(turns, "conv_id").select("pair_id", "side", "place", "role", "text")

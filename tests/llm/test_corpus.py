@@ -238,6 +238,18 @@ def test_chat_pairs(spark):
     assert chat.preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("salts", [1, 4, 16])
+def test_every_sibling_meets_the_next(spark, salts):
+    rng = random.Random(salts)
+    opens = {i: rng.choice(["hi", "hello", "good day"]) for i in rng.sample(range(-500, 5000), 90)} | {7001: "alone", 7002: "two", 9000: "two"}
+    turns = chat.ordered_turns(spark.createDataFrame([(i, 0, "user", t) for i, t in opens.items()], "conv_id long, turn long, role string, text string"))
+    want = set()
+    for t in set(opens.values()):
+        ids = sorted(i for i in opens if opens[i] == t)
+        want |= {f"sibling-{a}-{b}" for a, b in zip(ids, ids[1:], strict=False)}
+    assert {r.pair_id for r in chat.siblings(turns, salts).collect()} == want
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     item = "A farmer named Alice had 12 apples and gave 5 kg of them to her neighbour before the market opened on the hill"
     other = "Completely different question about rivers that flow through several towns before they reach the open sea at last"
