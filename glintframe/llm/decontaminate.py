@@ -8,6 +8,10 @@ at one alignment are counted, and the values in their placeholders must match co
 value of the item always stands for the same value of the document, and the other way round.  So
 a question with other numbers and names is caught, and a chance likeness of templates is not.
 
+Beside the template windows there are literal ones: lower-case tokens without placeholders, with no
+minimum of words.  A document matches on either; where the literal share is enough, the values need
+not be consistent.  A window without placeholders is both.
+
 Defined results: null and empty texts and items match nothing; an item shorter than a window is
 one window of its own length; equal items are reported each; repeated rows are reported each.
 """
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,29 +110,44 @@ class Templates(dict):
         return token, kind, ids
 
 
-def window_hashes(token: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that hold enough words."""
+TEMPLATE, LITERAL = 1, 2  # modes of a window, as bits
+
+
+def window_hashes(token: np.ndarray, word: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(positions, hashes, modes) of the windows, and how many are templates: those that hold enough words."""
     n = len(token) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, width, np.uint64)
-    for k in range(width):
-        h += token[k : k + n] * _MULT[k]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def hashed(of: np.ndarray) -> np.ndarray:
+        h = np.full(n, width, np.uint64)
+        for k in range(width):
+            h += of[k : k + n] * _MULT[k]
+        return mix(h)
+
+    if not kind.any():
+        return np.arange(n), hashed(token), np.full(n, TEMPLATE | LITERAL), n
     words = np.concatenate(([0], np.cumsum(kind == WORD)))
-    enough = np.flatnonzero(words[width:] - words[:n] >= min(LEAST_WORDS, width))
-    return enough, mix(h[enough])
+    words = words[width:] - words[:n]
+    plain = words == width
+    enough = np.flatnonzero(words >= min(LEAST_WORDS, width))
+    mixed = np.flatnonzero(~plain)
+    at = np.concatenate((enough, mixed))
+    h = np.concatenate((hashed(token)[enough], hashed(word)[mixed]))
+    return at, h, np.concatenate((np.where(plain[enough], TEMPLATE | LITERAL, TEMPLATE), np.full(len(mixed), LITERAL))), len(enough)
 
 
 WINDOW_FIELDS = [
     T.StructField("h", T.LongType()),
     T.StructField("pos", T.IntegerType()),
-    T.StructField("slots", T.ArrayType(T.StringType())),  # values of the placeholders, in order
+    T.StructField("mode", T.IntegerType()),
+    T.StructField("slots", T.ArrayType(T.StringType())),  # values of a template's placeholders, in order
 ]
 
 
 def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
-    """One row for each window that ``open_task()`` lets pass: id, n_windows (of its width in the text), width, h, pos, slots."""
-    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_windows", T.IntegerType()), T.StructField("width", T.IntegerType()), *WINDOW_FIELDS])
+    """One row for each window that ``open_task()`` lets pass: id, n_windows and n_literal (of its width in the text), width, h, pos, mode, slots."""
+    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_windows", T.IntegerType()), T.StructField("n_literal", T.IntegerType()), T.StructField("width", T.IntegerType()), *WINDOW_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, passes, widths = None, None, None
@@ -136,24 +155,24 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
             if templates is None:
                 templates = Templates()
                 passes, widths = open_task()
-            made: list[list] = [[], [], [], [], [], []]
+            made: list[list] = [[] for _ in out.fields]
             for i, text in enumerate(C.as_texts(batch.column(1))):
                 token, kind, ids = templates.of(text)
                 for width in widths(len(token)):
-                    at, h = window_hashes(token, kind, width)
-                    n = len(at)
+                    at, h, mode, n = window_hashes(token, templates.hash[ids], kind, width)
                     ok = passes(h)
-                    at, h = at[ok], h[ok]
+                    at, h, mode = at[ok], h[ok], mode[ok]
                     if not len(at):
                         continue
                     made[0].extend([i] * len(at))
                     made[1].extend([n] * len(at))
-                    made[2].extend([width] * len(at))
-                    made[3].extend(h.view(np.int64).tolist())
-                    made[4].extend(at.tolist())
-                    slots = (kind > 0).any()
-                    for a in at.tolist():
-                        made[5].append([templates.values[ids[p]] for p in range(a, a + width) if kind[p]] if slots else [])
+                    made[2].extend([len(token) - width + 1] * len(at))
+                    made[3].extend([width] * len(at))
+                    made[4].extend(h.view(np.int64).tolist())
+                    made[5].extend(at.tolist())
+                    made[6].extend(mode.tolist())
+                    for a, m in zip(at.tolist(), mode.tolist(), strict=True):
+                        made[7].append([templates.values[ids[p]] for p in range(a, a + width) if kind[p]] if m == TEMPLATE else [])
             if made[0]:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(made[0], pa.int64()))] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(made[1:], out.fields[1:], strict=True)],
@@ -194,21 +213,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         return passes, lambda n: in_use
 
     found = _windows(docs.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))), "__row", text_col, open_task)
-    found = C.stored(found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "h", "pos", "slots"), "leaked-windows")
+    found = C.stored(found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "h", "pos", "mode", "slots"), "leaked-windows")
     salted = found.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
-    spread = items.select("id", "n_windows", "h", "pos", "slots").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    spread = spread.select(F.col("id").alias("item"), "n_windows", "h", "salt", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    pairs = salted.join(spread, ["h", "salt"]).where(F.size("slots") == F.size("item_slots"))
+    spread = items.select("id", "n_windows", "n_literal", "h", "pos", "mode", "slots").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    spread = spread.select(F.col("id").alias("item"), "n_windows", "n_literal", "h", "salt", F.col("pos").alias("item_pos"), F.col("mode").alias("item_mode"), F.col("slots").alias("item_slots"))
+    both = F.col("mode").bitwiseAND(F.col("item_mode"))
+    pairs = salted.join(spread, ["h", "salt"]).where((F.size("slots") == F.size("item_slots")) & (both > 0))
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     values = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")).alias("values")
-    lined = pairs.select("row", "id", "item", "n_windows", "item_pos", shift, values)
+    lined = pairs.select("row", "id", "item", "n_windows", "n_literal", "item_pos", both.alias("mode"), shift, values)
+
+    def count(mode: int) -> Column:
+        return F.count_distinct(F.when(F.col("mode").bitwiseAND(F.lit(mode)) > 0, F.col("item_pos")))
+
     # Bounded by the item's length: one alignment of one item.
-    aligned = lined.groupBy("row", "id", "item", "shift").agg(F.max("n_windows").alias("n_windows"), F.count_distinct("item_pos").alias("matched"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    aligned = lined.groupBy("row", "id", "item", "shift").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_literal").alias("n_literal"), count(TEMPLATE).alias("matched"), count(LITERAL).alias("literal"),
+        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
+    )
     item_values = F.transform("values", lambda v: v["item"])
     doc_values = F.transform("values", lambda v: v["doc"])
     exact = F.forall("values", lambda v: v["item"].eqNullSafe(v["doc"]))
     consistent = (F.size(F.array_distinct(item_values)) == F.size("values")) & (F.size(F.array_distinct(doc_values)) == F.size("values"))
-    share = F.col("matched") / F.col("n_windows")
-    kept = aligned.where(consistent & (share >= LEAST_SHARE)).select("row", "id", "item", "matched", share.alias("share"), exact.alias("exact"))
+    share = F.col("matched") / F.greatest("n_windows", F.lit(1))
+    literal = F.col("literal") / F.col("n_literal")
+    by_template = F.when(consistent & (share >= LEAST_SHARE), F.struct(F.col("matched"), share.alias("share"), exact.alias("exact")))
+    by_words = F.when(literal >= LEAST_SHARE, F.struct(F.col("literal").alias("matched"), literal.alias("share"), exact.alias("exact")))
+    kept = aligned.select("row", "id", "item", F.greatest(by_template, by_words).alias("k")).where("k is not null").select("row", "id", "item", "k.matched", "k.share", "k.exact")
     best = kept.groupBy("row", "id", "item").agg(F.max(F.struct("matched", "share", "exact")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").alias("windows"), F.col("b.share").alias("share"), F.col("b.exact").alias("exact"))

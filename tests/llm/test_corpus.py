@@ -274,6 +274,18 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.matches(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_of_literal_copies(spark):
+    sums, capital = "Compute 345 * 23 + 12 - 7", "Paris lies on which river of the country"
+    twice = "A box holds 12 red balls and 12 blue balls and a child takes some of them home before the rain begins to fall"
+    bench = spark.createDataFrame([(1, sums), (2, capital), (3, twice)], "item_id long, text string")
+    filler = "nothing to see here in these plain words"
+    texts = {1: f"{filler} {sums} {filler}", 2: f"{filler} {capital} {filler}", 3: f"{filler} {twice.replace('12', '13', 1)} {filler}", 4: f"{filler} Compute 9 * 8 + 4 - 2 {filler}", 5: filler}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert found[1, 1].exact and found[1, 1].share == 1 and found[2, 2].exact and not found[3, 3].exact
+
+
 @tables
 def test_decontamination_finds_all_passages(spark):
     docs = common.table(spark, DATA, "documents").collect()
