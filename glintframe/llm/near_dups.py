@@ -3,9 +3,9 @@
 1. Every text becomes its set of word shingles, hashed to 64 bits; the ``SKETCH`` smallest hashes
    are its sketch.  Texts with equal sets are one from here on.
 2. The union's sketch bounds what two linked sets share: of the k smallest hashes of the union
-   each lies in both sets with the probability of their similarity, so ``SHARED`` of them do but
+   each lies in both sets with the probability of their similarity, so ``least_shared`` of them do but
    for a chance of about one in a million.  Hence two linked sets share one of the
-   ``SKETCH - SHARED + 1`` rarest values of either sketch (rare: held by few sketches), and only
+   ``SKETCH - least_shared + 1`` rarest values of either sketch (rare: held by few sketches), and only
    these go into inverted lists.  Sets no larger than a sketch are held whole, where the exact
    prefix bound applies.  Values that many texts share are thus left out of most lists.
 3. Lists with equal members are evaluated once.  A list is cut into blocks of bounded size, and
@@ -33,9 +33,8 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 
 WORDS = 5
-SIMILAR = 85  # hundredths
+SIMILAR = 85  # hundredths, where the caller names no other
 SKETCH = 48
-SHARED = int(SKETCH * SIMILAR / 100 - 5.5 * math.sqrt(SKETCH * SIMILAR * (100 - SIMILAR) / 10_000))
 BLOCK_ROWS = 2_048
 BLOCK_SHINGLES = 1_000_000
 HOT = 2_000
@@ -113,13 +112,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), open_task, fields, keep=["doc_id"])
 
 
-def inverted_lists(sets: DataFrame) -> DataFrame:
+def least_shared(similar: int) -> int:
+    """Sketch values that two sets of that similarity share, but for a chance of about one in a million."""
+    return int(SKETCH * similar / 100 - 5.5 * math.sqrt(SKETCH * similar * (100 - similar) / 10_000))
+
+
+def inverted_lists(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(v, rep, n): the rarest sketch values of each set that any other sketch holds too, one list of each membership."""
     held = sets.select("rep", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = held.join(often, "v").groupBy("rep", "n_shingles", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
-    whole = F.col("n_shingles") * 100 <= F.lit(SKETCH * SIMILAR - 100)
-    prefix = F.when(whole, F.floor(F.col("n_shingles") * (100 - SIMILAR) / 100) + 1).otherwise(F.lit(SKETCH - SHARED + 1))
+    whole = F.col("n_shingles") * 100 <= F.lit(SKETCH * similar - 100)
+    prefix = F.when(whole, F.floor(F.col("n_shingles") * (100 - similar) / 100) + 1).otherwise(F.lit(SKETCH - least_shared(similar) + 1))
     # Values that no other sketch holds are rarer than all in the list.
     room = F.greatest(F.lit(0), prefix - (F.col("kept") - F.size("values"))).cast("int")
     index = mine.select("rep", F.col("n_shingles").alias("n"), F.explode(F.slice("values", F.lit(1), room)).alias("x")).select("x.v", "rep", "n")
@@ -162,7 +166,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     return made.join(wanted, ["rep", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "set")
 
 
-def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool) -> np.ndarray:
+def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int = SIMILAR) -> np.ndarray:
     """Pairs of indices that are linked and connect: a spanning forest.  Only pairs across sides unless ``same``."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -185,8 +189,8 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool) -> np.ndarray
     left = np.ones(n, bool)
 
     def linked(i: int) -> np.ndarray:
-        """Indices still left that i is linked with: 100 * both >= SIMILAR * (sizes - both)."""
-        ok = left & ((100 + SIMILAR) * both[i].astype(np.int64) >= SIMILAR * (sizes[i] + sizes))
+        """Indices still left that i is linked with: 100 * both >= similar * (sizes - both)."""
+        ok = left & ((100 + similar) * both[i].astype(np.int64) >= similar * (sizes[i] + sizes))
         return np.flatnonzero(ok if same else ok & (side != side[i]))
 
     for start in range(n):
@@ -202,7 +206,7 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool) -> np.ndarray
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def exact_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def exact_links(lists: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(a, b) links that connect what the lists hold."""
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = lists.withColumn("block", block).join(sets, "rep")
@@ -217,7 +221,7 @@ def exact_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         def close() -> list[tuple[int, int]]:
             if len(reps) < 2:
                 return []
-            return [(reps[a], reps[b]) for a, b in links_of(sets_here, np.array(side), key[1] == key[2]).tolist()]
+            return [(reps[a], reps[b]) for a, b in links_of(sets_here, np.array(side), key[1] == key[2], similar).tolist()]
 
         def emit(pairs: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
@@ -262,16 +266,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     made = C.stored(sketches(docs, id_col, text_col), "near-sketches")
     rows = made.select(F.col("doc_id"), "n_shingles", "d1", "d2")
     full = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = full.groupBy("n_shingles", "d1", "d2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     sets = C.stored(sets, "near-sets")
-    lists = C.stored(inverted_lists(sets), "near-lists")
+    lists = C.stored(inverted_lists(sets, similar), "near-lists")
     wanted = sets.select("rep", "d1", "d2").join(lists.select("rep").distinct(), "rep", "left_semi")
-    found = components(exact_links(lists, _candidate_sets(docs, wanted, id_col, text_col)))
+    found = components(exact_links(lists, _candidate_sets(docs, wanted, id_col, text_col), similar))
     of_set = sets.join(found, sets.rep == found.node, "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
     of_set = C.stored(of_set, "near-components")
     n_rows = rows.count()

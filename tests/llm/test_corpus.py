@@ -100,6 +100,15 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_clusters_at_another_similarity(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a changed word in the middle takes 5
+    near = [*words[:30], "x", *words[31:60], "y", *words[61:]]  # 90 of 110 shared: 0.818
+    far = [*words[:20], "p", *words[21:50], "q", *words[51:80], "r", *words[81:]]  # 85 of 115: 0.739
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id long, text string")
+    assert {r.doc_id for r in near_dups.cluster(docs, similar=80).collect() if r.kept} == {0, 2}
+    assert all(r.kept for r in near_dups.cluster(docs).collect())
+
+
 def test_near_duplicates_odd_input(spark, odd_docs, no_docs):
     rows = near_dups.cluster(odd_docs).collect()
     assert len(rows) == odd_docs.count()
