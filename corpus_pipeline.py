@@ -9,8 +9,8 @@ from glintframe.llm import common as C
 from glintframe.llm import decontaminate, langid, near_dups, packing, toxicity
 from glintframe.llm.queries import tokenizer_path
 
-TOXIC_FROM = 0.5  # documents that score at least this much go
-LEAST_PHRASE = 1.5  # mean letters per phrase under which a text is in no learned language
+TOXIC_FROM = 0.3  # documents that score at least this much go, as in op8
+LEAST_PHRASE = 2.3  # mean letters per phrase under which a text is in no learned language
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

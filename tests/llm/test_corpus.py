@@ -304,6 +304,24 @@ def test_decontamination_finds_all_passages(spark):
     assert want and want <= got and len(got - want) <= len(want) // 10
 
 
+def test_pipeline_rejects_what_op8_marks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 0.29), (2, 0.3), (3, 0.45), (4, 0.9)], "doc_id long, given double")
+    monkeypatch.setattr(corpus_pipeline.C, "table", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda d, _: d.withColumn("toxicity", d.given))
+    assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, DATA).collect()] == [1]
+
+
+@tables
+def test_pipeline_rejects_unlearned_languages(spark):
+    docs = common.table(spark, DATA, "documents").select("doc_id", "text", "lang")
+    clean = docs.join(common.table(spark, DATA, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    finnish = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.", "Jokaisella on oikeus elämään, vapauteen ja henkilökohtaiseen turvallisuuteen."]
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(finnish)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(planted), DATA).select("doc_id").collect()}
+    assert min(kept) >= 0 and {r.doc_id for r in clean.select("doc_id").collect()} <= kept
+
+
 @tables
 def test_pipeline(spark):
     docs = common.table(spark, DATA, "documents")
