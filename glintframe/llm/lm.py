@@ -5,14 +5,13 @@ sums the counts in one shuffle; shorter contexts are marginals of these.  Every
 is kept, in one distributed table an order, so the model grows with the input.  A context holds how
 often each symbol followed (method D escapes: half a count for each distinct symbol).  Coding a
 symbol starts at the longest context in the tables; where the symbol wasn't seen there, it escapes
-to the next shorter context, in which the symbols of the longer one are excluded.  Windows seen at
-least once in ``HOT_WINDOWS`` symbols are broadcast with their scores and looked up by numpy; all
+to the next shorter context, in which the symbols of the longer one are excluded.  The windows seen
+most often, at most ``HOT_WINDOWS`` of them, are broadcast with their scores and looked up by numpy; all
 others are joined on the window.  Windows that training didn't see take their escape chain by joins,
 each distinct one once; no key of these joins has more than 256 rows on a side.
 
-The base score is the unigram word model with add-one smoothing.  Counts of frequent tokens
-(at least one in ``HOT`` tokens: no more than ``HOT`` of them can exist) are broadcast; all others
-are joined on the token.
+The base score is the unigram word model with add-one smoothing.  Counts of the most frequent tokens,
+at most ``HOT`` of them, are broadcast; all others are joined on the token.
 
 Defined results: null text is an empty text, of which only the end is coded; with no training
 rows every symbol costs log10(255) and N and V are 0; repeated rows get equal scores.
@@ -34,9 +33,9 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 
 ORDER = 5  # longest context, in bytes
-HOT_WINDOWS = 1 << 22  # windows broadcast: seen at least N / HOT_WINDOWS times, so no more than that can exist
+HOT_WINDOWS = 1 << 21  # windows broadcast at most: those seen most often
 DISCOUNT = 0.5  # of every symbol's count, for the escape
-HOT = 20_000
+HOT = 50_000  # tokens broadcast at most: those seen most often
 PAD, END = 0xFE, 0xFF  # never in UTF-8: before a text, and its last symbol
 SYMBOLS = 255  # all bytes but PAD
 CHUNK = 1_000_000  # bytes worked on at once
@@ -333,7 +332,6 @@ class Trained:
     """What scoring needs: the tables of each order, and the token table with its sums."""
 
     levels: list[DataFrame]
-    n_symbols: int
     tokens: DataFrame
     n_tokens: int
     n_kinds: int
@@ -343,21 +341,35 @@ class Trained:
         return trie(self.levels)
 
 
+def least_count(table: DataFrame, count: str, room: int) -> int:
+    """The smallest count such that no more than ``room`` rows have it or more, up to steps of an eighth of a doubling.
+
+    The histogram that the driver sees has at most 8 * 63 + 1 rows, however large the counts are.
+    """
+    step = F.floor(8 * F.log2(F.col(count).cast("double"))).cast("long")
+    taken, least = 0, None
+    for _, n, low in sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.min(count)).collect(), reverse=True):
+        taken += n
+        if taken > room:
+            break
+        least = low
+    return (1 << 62) if least is None else least
+
+
 def fit(docs: DataFrame, training: Column, text_col: str = "text") -> Trained:
     counts = C.stored(corpus_counts(docs.where(training), text_col), "lm-counts")
     tokens = counts.where("token is not null").select("token", F.col("n").alias("c"))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    of = levels(counts)
-    return Trained(of, of[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], tokens, n, v)
+    return Trained(levels(counts), tokens, n, v)
 
 
 def score(docs: DataFrame, trained: Trained, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append n_tokens, n_known, base_score and score (log10) to ``keep``."""
     keep = list(docs.columns if keep is None else keep)
     spark = docs.sparkSession
-    is_hot = F.col("c") * HOT >= trained.n_tokens
+    is_hot = F.col("c") >= least_count(trained.tokens, "c", HOT)
     hot = {bytes(r[0]): r[1] for r in trained.tokens.where(is_hot).collect()}
-    is_hot_window = F.col("n") * HOT_WINDOWS >= trained.n_symbols
+    is_hot_window = F.col("n") >= least_count(trained.levels[ORDER], "n", HOT_WINDOWS)
     windows_seen = trained.levels[ORDER].select("g", "n", (F.log10(F.col("n") - DISCOUNT) - F.log10("total")).alias("value"))
     top = windows_seen.where(is_hot_window).select("g", "value").toArrow()
     top = tuple(top[c].to_numpy() for c in ("g", "value"))
