@@ -1,19 +1,25 @@
 """Operator 10, benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words into
-their lower-case form.  Windows of ``WINDOW`` template tokens are hashed and joined with those of
-the benchmark.  A Bloom filter of the benchmark's windows, of fixed size, is sent to the tasks so
-that next to no other windows are shuffled; the join decides.  Windows of one document and item
-at one alignment are counted, and the values in their placeholders must match consistently: one
-value of the item always stands for the same value of the document, and the other way round.  So
-a question with other numbers and names is caught, and a chance likeness of templates is not.
+Texts become templates: numbers, names and units turn into typed placeholders (a run of capitals is
+one name), other words into their lower-case form.  Windows of ``WINDOW`` template tokens are hashed
+and joined with those of the benchmark.  A Bloom filter of the benchmark's windows, of fixed size, is
+sent to the tasks so that next to no other windows are shuffled; the join decides.  Windows of one
+document and item at one alignment, or at alignments that differ by ``SLACK`` tokens step by step (words
+put in or left out), form a chain.  A chain counts if it holds ``LEAST_SHARE`` of the item's windows or
+covers ``LEAST_COVER`` of its tokens.
+
+The values in a chain's placeholders must match consistently: one value of the item always stands for
+the same value of the document, and two values that both changed don't become one; less than
+``BROKEN`` of the item's values may break this.  So a question with other numbers and names is caught,
+and a chance likeness of templates is not.  Windows with fewer than ``LEAST_WORDS`` words say little
+alone: a chain of these needs two.  Windows of placeholders only say nothing and are left out.
 
 Beside the template windows there are literal ones: lower-case tokens without placeholders, with no
-minimum of words.  A document matches on either; where the literal share is enough, the values need
-not be consistent.  A window without placeholders is both.
+minimum of words and no demand on values, so that copies are found whatever they consist of.
 
 Defined results: null and empty texts and items match nothing; an item shorter than a window is
-one window of its own length; equal items are reported each; repeated rows are reported each.
+one window of its own length; equal items are reported each; repeated rows are reported each; null
+ids are reported as such; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintframe.llm import common as C
 
-WINDOW = 8  # template tokens
-LEAST_SHARE = 0.5  # of an item's windows, at one alignment
-LEAST_WORDS = 3  # words that aren't placeholders, in a window
+WINDOW = 5  # template tokens
+LEAST_SHARE = 0.5  # of an item's template windows, in one chain
+LEAST_COVER = 0.7  # or of its tokens
+LITERAL_SHARE, LITERAL_COVER = 0.6, 0.8  # the same of literal windows, whose values needn't be consistent
+LEAST_WORDS = 3  # words that aren't placeholders, in a window that counts alone
+SLACK = 3  # tokens put in or left out at one place
+BROKEN = 0.25  # of an item's values, from which a chain is inconsistent
 FILTER_BITS = 26  # the filter has 2**26 bits (8 MB), whatever the benchmark's size
 SALTS = 16
 CACHE = 150_000
@@ -110,44 +120,71 @@ class Templates(dict):
         return token, kind, ids
 
 
-TEMPLATE, LITERAL = 1, 2  # modes of a window, as bits
+TEMPLATE, LITERAL = 1, 2
 
 
-def window_hashes(token: np.ndarray, word: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(positions, hashes, modes) of the windows, and how many are templates: those that hold enough words."""
+def window_hashes(token: np.ndarray, width: int) -> np.ndarray:
+    """A hash for every window of ``width`` tokens."""
     n = len(token) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-
-    def hashed(of: np.ndarray) -> np.ndarray:
-        h = np.full(n, width, np.uint64)
-        for k in range(width):
-            h += of[k : k + n] * _MULT[k]
-        return mix(h)
-
-    if not kind.any():
-        return np.arange(n), hashed(token), np.full(n, TEMPLATE | LITERAL), n
-    words = np.concatenate(([0], np.cumsum(kind == WORD)))
-    words = words[width:] - words[:n]
-    plain = words == width
-    enough = np.flatnonzero(words >= min(LEAST_WORDS, width))
-    mixed = np.flatnonzero(~plain)
-    at = np.concatenate((enough, mixed))
-    h = np.concatenate((hashed(token)[enough], hashed(word)[mixed]))
-    return at, h, np.concatenate((np.where(plain[enough], TEMPLATE | LITERAL, TEMPLATE), np.full(len(mixed), LITERAL))), len(enough)
+        return np.zeros(0, np.uint64)
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h += token[k : k + n] * _MULT[k]
+    return mix(h)
 
 
 WINDOW_FIELDS = [
+    T.StructField("n_windows", T.IntegerType()),  # of that mode and width in the text
+    T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("width", T.IntegerType()),
     T.StructField("h", T.LongType()),
     T.StructField("pos", T.IntegerType()),
     T.StructField("mode", T.IntegerType()),
+    T.StructField("strong", T.BooleanType()),  # holds enough words to count alone
     T.StructField("slots", T.ArrayType(T.StringType())),  # values of a template's placeholders, in order
 ]
 
 
+def text_windows(templates: Templates, text: str, passes, widths) -> Iterator[tuple]:
+    """(n_windows, n_tokens, width, h, pos, mode, strong, slots) of each window of a text that ``passes`` lets through."""
+    token, kind, ids = templates.of(text)
+    if kind.any():
+        # A run of names is one name.
+        first = np.flatnonzero(~((kind == NAME) & np.concatenate(([False], kind[:-1] == NAME))))
+        sequences = [(TEMPLATE, token[first], kind[first], first), (LITERAL, templates.hash[ids], None, None)]
+    else:
+        sequences = [(TEMPLATE | LITERAL, token, None, None)]
+    for mode, tokens, kinds, first in sequences:
+        for width in widths(len(tokens)):
+            h = window_hashes(tokens, width)
+            if not len(h):
+                continue
+            at = np.flatnonzero(passes(h))
+            if not len(at):
+                continue
+            words, n = None, len(h)
+            if kinds is not None:
+                counts = np.concatenate(([0], np.cumsum(kinds == WORD)))
+                words = counts[at + width] - counts[at]
+                at, words = at[words > 0], words[words > 0]
+                n = int((counts[width:] > counts[: len(h)]).sum())
+            for i, p in enumerate(at.tolist()):
+                slots = []
+                if kinds is not None and words[i] < width:
+                    for q in range(p, p + width):
+                        if kinds[q] != WORD:
+                            lo, hi = int(first[q]), int(first[q + 1]) if q + 1 < len(first) else len(ids)
+                            slots.append(" ".join(templates.values[c] for c in ids[lo:hi]))
+                strong = words is None or words[i] >= min(LEAST_WORDS, width)
+                for m in (TEMPLATE, LITERAL):
+                    if mode & m:
+                        yield n, len(tokens), width, int(h[p].view(np.int64)), p, m, bool(strong), slots
+
+
 def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
-    """One row for each window that ``open_task()`` lets pass: id, n_windows and n_literal (of its width in the text), width, h, pos, mode, slots."""
-    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_windows", T.IntegerType()), T.StructField("n_literal", T.IntegerType()), T.StructField("width", T.IntegerType()), *WINDOW_FIELDS])
+    """One row for each window that ``open_task()`` lets pass: id and WINDOW_FIELDS."""
+    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), *WINDOW_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, passes, widths = None, None, None
@@ -155,27 +192,14 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
             if templates is None:
                 templates = Templates()
                 passes, widths = open_task()
-            made: list[list] = [[] for _ in out.fields]
+            owner, made = [], []
             for i, text in enumerate(C.as_texts(batch.column(1))):
-                token, kind, ids = templates.of(text)
-                for width in widths(len(token)):
-                    at, h, mode, n = window_hashes(token, templates.hash[ids], kind, width)
-                    ok = passes(h)
-                    at, h, mode = at[ok], h[ok], mode[ok]
-                    if not len(at):
-                        continue
-                    made[0].extend([i] * len(at))
-                    made[1].extend([n] * len(at))
-                    made[2].extend([len(token) - width + 1] * len(at))
-                    made[3].extend([width] * len(at))
-                    made[4].extend(h.view(np.int64).tolist())
-                    made[5].extend(at.tolist())
-                    made[6].extend(mode.tolist())
-                    for a, m in zip(at.tolist(), mode.tolist(), strict=True):
-                        made[7].append([templates.values[ids[p]] for p in range(a, a + width) if kind[p]] if m == TEMPLATE else [])
-            if made[0]:
+                for window in text_windows(templates, text, passes, widths):
+                    owner.append(i)
+                    made.append(window)
+            if made:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(made[0], pa.int64()))] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(made[1:], out.fields[1:], strict=True)],
+                    [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(zip(*made, strict=True), WINDOW_FIELDS, strict=True)],
                     names=out.names,
                 )
 
@@ -188,7 +212,7 @@ def _filter_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc row, item) pairs that match: id, item, windows matched, share, exact (placeholders hold equal values)."""
+    """(doc row, item) pairs that match: id, item, windows matched, share of the item's windows, exact (all words, in one piece)."""
     spark = docs.sparkSession
     items = C.stored(_windows(benchmark, item_col, item_text, lambda: (lambda h: np.ones(len(h), bool), lambda n: [min(n, WINDOW)] if n else [])), "benchmark-windows")
     in_use = [r[0] for r in items.select("width").distinct().collect()]  # WINDOW, and the lengths of shorter items
@@ -212,33 +236,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return passes, lambda n: in_use
 
-    found = _windows(docs.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))), "__row", text_col, open_task)
-    found = C.stored(found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "h", "pos", "mode", "slots"), "leaked-windows")
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), F.col(text_col).alias("text"))
+    found = _windows(rows, "key", "text", open_task)
+    found = C.stored(found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "h", "mode", "pos", "slots"), "leaked-windows")
     salted = found.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
-    spread = items.select("id", "n_windows", "n_literal", "h", "pos", "mode", "slots").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    spread = spread.select(F.col("id").alias("item"), "n_windows", "n_literal", "h", "salt", F.col("pos").alias("item_pos"), F.col("mode").alias("item_mode"), F.col("slots").alias("item_slots"))
-    both = F.col("mode").bitwiseAND(F.col("item_mode"))
-    pairs = salted.join(spread, ["h", "salt"]).where((F.size("slots") == F.size("item_slots")) & (both > 0))
+    spread = items.select("id", "n_windows", "n_tokens", "width", "h", "mode", "pos", "strong", "slots").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    spread = spread.select(F.col("id").alias("item"), "n_windows", "n_tokens", "width", "h", "mode", "salt", F.col("pos").alias("item_pos"), "strong", F.col("slots").alias("item_slots"))
+    pairs = salted.join(spread, ["h", "mode", "salt"]).where(F.size("slots") == F.size("item_slots"))
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     values = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")).alias("values")
-    lined = pairs.select("row", "id", "item", "n_windows", "n_literal", "item_pos", both.alias("mode"), shift, values)
-
-    def count(mode: int) -> Column:
-        return F.count_distinct(F.when(F.col("mode").bitwiseAND(F.lit(mode)) > 0, F.col("item_pos")))
-
+    lined = pairs.select("row", "id", "item", "n_windows", "n_tokens", "width", "mode", "item_pos", "strong", shift, values)
     # Bounded by the item's length: one alignment of one item.
-    aligned = lined.groupBy("row", "id", "item", "shift").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_literal").alias("n_literal"), count(TEMPLATE).alias("matched"), count(LITERAL).alias("literal"),
-        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
+    key = ["row", "id", "item", "mode", "n_windows", "n_tokens", "width"]
+    aligned = lined.groupBy(*key, "shift").agg(F.collect_set("item_pos").alias("places"), F.max("strong").alias("strong"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    of_item = Window.partitionBy(*key).orderBy("shift")
+    new = F.coalesce(F.col("shift") - F.lag("shift").over(of_item) > SLACK, F.lit(True)).cast("int")
+    aligned = aligned.withColumn("new", new).withColumn("chain", F.sum("new").over(of_item))
+    chains = aligned.groupBy(*key, "chain").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.max("strong").alias("strong"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"), F.count(F.lit(1)).alias("shifts")
     )
-    item_values = F.transform("values", lambda v: v["item"])
-    doc_values = F.transform("values", lambda v: v["doc"])
-    exact = F.forall("values", lambda v: v["item"].eqNullSafe(v["doc"]))
-    consistent = (F.size(F.array_distinct(item_values)) == F.size("values")) & (F.size(F.array_distinct(doc_values)) == F.size("values"))
-    share = F.col("matched") / F.greatest("n_windows", F.lit(1))
-    literal = F.col("literal") / F.col("n_literal")
-    by_template = F.when(consistent & (share >= LEAST_SHARE), F.struct(F.col("matched"), share.alias("share"), exact.alias("exact")))
-    by_words = F.when(literal >= LEAST_SHARE, F.struct(F.col("literal").alias("matched"), literal.alias("share"), exact.alias("exact")))
-    kept = aligned.select("row", "id", "item", F.greatest(by_template, by_words).alias("k")).where("k is not null").select("row", "id", "item", "k.matched", "k.share", "k.exact")
-    best = kept.groupBy("row", "id", "item").agg(F.max(F.struct("matched", "share", "exact")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").alias("windows"), F.col("b.share").alias("share"), F.col("b.exact").alias("exact"))
+    matched = F.size("places")
+    # Tokens of the item under some window: each place adds what the place before it leaves.
+    covered = F.aggregate("places", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + F.col("width")).alias("end"), (a["n"] + p + F.col("width") - F.greatest(p, a["end"])).alias("n")))["n"]
+    share = matched / F.col("n_windows")
+    by_mode = lambda template, literal: F.when(F.col("mode") == TEMPLATE, template).otherwise(literal)
+    enough = (share >= by_mode(LEAST_SHARE, LITERAL_SHARE)) | (covered >= by_mode(LEAST_COVER, LITERAL_COVER) * F.col("n_tokens"))
+    changed = F.filter("values", lambda v: ~v["item"].eqNullSafe(v["doc"]))
+    # Values that several others of the item became, unless one of them was kept.
+    n_items = F.size(F.array_distinct(F.transform("values", lambda v: v["item"])))
+    merged = F.size(changed) - F.size(F.array_distinct(F.transform(changed, lambda v: v["doc"])))
+    broken = F.size("values") - n_items + F.greatest(merged, F.lit(0))
+    consistent = (F.col("mode") == LITERAL) | (broken == 0) | (broken < BROKEN * n_items)
+    sure = F.col("strong") | (matched > 1)
+    exact = (F.col("mode") == LITERAL) & (matched == F.col("n_windows")) & (F.col("shifts") == 1)
+    kept = chains.where(enough & consistent & sure).select("row", "id", "item", F.struct(exact.alias("exact"), matched.alias("matched"), share.alias("share")).alias("k"))
+    best = kept.groupBy("row", "id", "item").agg(F.max("k").alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").cast("long").alias("windows"), F.col("b.share").alias("share"), F.col("b.exact").alias("exact"))
