@@ -1,16 +1,18 @@
 """Operator 2, language ID by cross-parsing entropy.
 
-A suffix automaton is built over labelled text of each language (a bounded sample).  A document
-is parsed, once per language, into the longest phrases that the language's automaton accepts.
-The language that needs the fewest phrases, normalised by the letters parsed, wins.
+A suffix automaton is built over labelled texts of each language (a bounded sample of whole texts).  A
+document is parsed, once per language, into the longest phrases that the language's automaton
+accepts.  Phrases, times the logarithm of the automaton's text, per letter are the cross-parsing
+entropy; the language with the smallest wins, so unequal samples don't decide.
 
-The automata are laid out as dense transition tables with restarts folded in, so that numpy
-walks many lanes at once: a text is cut into lanes of ``LANE`` symbols, a phrase ends at a lane's
-end, and every symbol of the text is parsed.
+Numpy walks many lanes of ``LANE`` symbols at once.  A lane is first parsed on its own.  Then each lane
+goes on into the next one until a phrase begins where the next lane's own parse begins one: from there
+on both are the same.  So phrases cross lanes and the parse is that of the whole text.
 
 Defined results: null, empty or letterless text gives ``und`` with score 0; with no labelled
 row every document is ``und``; ties go to the language first in the alphabet; repeated rows
-get equal results.  The score is the second-best phrase count over the sum of the best two.
+get equal results; ids may be null.  The score is the second-best entropy over the sum of the best two.
+Columns of the operator's names (``lang_pred``, ``lang_score``, ``phrase_length``) are replaced.
 """
 
 from __future__ import annotations
@@ -24,26 +26,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintframe.llm import common as C
+from glintframe.llm.lm import Index
 
-SAMPLE_DOCS = 300  # documents per language, about
-PIECE = 160  # symbols taken from each
-MODEL_SYMBOLS = 32_000  # symbols per language at most
-MAX_SYMBOLS = 127  # distinct letters that are told apart
-LANE = 256
-START = np.int32(1 << 30)  # flag: this step began a phrase
+SAMPLE_DOCS = 40  # documents per language, about; their texts are taken whole
+LONGEST_SAMPLE = 100_000  # code points: longer texts aren't drawn into the sample, so it stays bounded
+LANE = 1024
+
+
+@dataclass
+class Automaton:
+    """Transitions of all substrings of a text: from[i] goes with symbol[i] to target[i]; state 0 is the start."""
+
+    states: int
+    alphabet: int
+    length: int
+    origin: np.ndarray
+    symbol: np.ndarray
+    target: np.ndarray
 
 
 @dataclass
 class Model:
-    """codes: character -> symbol (0: not a letter, 1: an unknown letter); tables: one per language."""
+    """symbols: letter -> symbol (0: not a letter, 1: an unknown letter); automata: one per language."""
 
     languages: list[str]
     symbols: dict[str, int]
-    tables: list[np.ndarray]
+    automata: list[Automaton]
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transition table (states x alphabet, -1: none) of the automaton of all substrings of ``text``."""
+def suffix_automaton(text: np.ndarray, alphabet: int) -> Automaton:
+    """The automaton of all substrings of ``text``, whose symbols are below ``alphabet``."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -70,41 +82,101 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), alphabet), -1, np.int32)
-    for s, moves in enumerate(nxt):
-        for c, t in moves.items():
-            table[s, c] = t
-    return table
-
-
-def parsing_table(automaton: np.ndarray) -> np.ndarray:
-    """Flat table of next offsets: where no transition exists, the move from the start, flagged.
-
-    A symbol that the start has no move for leads to a last state, which every symbol leaves by a new phrase.
-    """
-    states, width = automaton.shape
-    root = np.where(automaton[0] >= 0, automaton[0], states) * width
-    table = np.where(automaton >= 0, automaton * width, root[None, :] | START)
-    return np.vstack([table, root | START]).astype(np.int32).ravel()
-
-
-def phrases(lanes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each lane; ``lanes`` is (step, lane) with symbol -1 past the end."""
-    n = lanes.shape[1]
-    state = np.zeros(n, np.int32)
-    count = np.zeros(n, np.int32)
-    fresh = True
-    for row in lanes:
-        live = int(np.searchsorted(-row.astype(np.int16), 1)) if row[-1] < 0 else n  # lanes are longest first
-        if not live:
-            break
-        step = table[state[:live] + row[:live]]
-        if fresh:
-            count[:live] += 1  # the first phrase
-            fresh = False
-        else:
-            count[:live] += step >> 30
-        state[:live] = step & (START - 1)
+    sizes = np.fromiter(map(len, nxt), np.int64, len(nxt))
+    total = int(sizes.sum())
+    return Automaton(
+        len(nxt),
+        alphabet,
+        len(text),
+        np.repeat(np.arange(len(nxt)), sizes),
+        np.fromiter((c for moves in nxt for c in moves), np.int64, total),
+        np.fromiter((t for moves in nxt for t in moves.values()), np.int32, total),
+    )
+
+
+class Table:
+    """Moves of an automaton by a hash of (state, symbol).  From the state ``lost`` every symbol begins a phrase."""
+
+    def __init__(self, automaton: Automaton):
+        self.alphabet = automaton.alphabet
+        self.lost = automaton.states
+        self.index = Index(automaton.origin * automaton.alphabet + automaton.symbol)
+        self.target = np.append(automaton.target, np.int32(-1))
+        self.root = np.full(automaton.alphabet, self.lost, np.int32)
+        at_start = automaton.origin == 0
+        self.root[automaton.symbol[at_start]] = automaton.target[at_start]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with this symbol)."""
+        nxt = self.target[self.index.find(state.astype(np.int64) * self.alphabet + symbol)]
+        begins = nxt < 0
+        nxt[begins] = self.root[symbol[begins]]
+        return nxt, begins
+
+
+def parsing_table(automaton: Automaton) -> Table:
+    return Table(automaton)
+
+
+class Lanes:
+    """Texts cut into lanes, longest lane first: symbols is (step, lane)."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        parts = [c[k : k + LANE] for c in codes for k in range(0, len(c), LANE)]
+        owner = np.repeat(np.arange(len(codes)), [-(-len(c) // LANE) for c in codes])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(parts), np.int64)
+        place[order] = np.arange(len(parts))
+        self.owner, self.sizes = owner[order], sizes[order]
+        # The lane that goes before, -1 for the first of a text.
+        before = np.where(np.concatenate(([True], owner[1:] != owner[:-1])), -1, np.concatenate(([0], place[:-1]))) if len(parts) else place
+        self.before = before[order]
+        steps = int(sizes.max(initial=0))
+        cells = np.zeros((len(parts), steps), np.int64)
+        if len(parts):
+            cells[np.arange(steps)[None, :] < self.sizes[:, None]] = np.concatenate([parts[i] for i in order])
+        self.symbols = np.ascontiguousarray(cells.T)
+        self.live = np.searchsorted(-self.sizes, -np.arange(steps), side="left")  # lanes longer than each step
+
+
+def lane_phrases(lanes: Lanes, table: Table) -> np.ndarray:
+    """Phrases of the whole texts' parses that begin in each lane."""
+    n = len(lanes.sizes)
+    state = np.full(n, table.lost, np.int32)
+    begins = np.zeros(lanes.symbols.shape, bool)
+    for i, (row, live) in enumerate(zip(lanes.symbols, lanes.live.tolist(), strict=True)):
+        state[:live], begins[i, :live] = table.step(state[:live], row[:live])
+    own = np.cumsum(begins, axis=0, dtype=np.int32)
+    count = own[-1].copy() if n else np.zeros(0, np.int32)
+    own_end, end = state, state.copy()
+    todo = np.flatnonzero(lanes.before >= 0)
+    while len(todo):
+        # Go on from the lane before until a phrase begins where one of this lane's own parse does.
+        count[todo] = own[-1][todo]
+        at, now = todo, end[lanes.before[todo]]
+        late = np.zeros(n, np.int32)
+        reached = own_end.copy()
+        for i in range(lanes.symbols.shape[0]):
+            done = lanes.sizes[at] <= i
+            if done.any():
+                reached[at[done]] = now[done]
+                count[at[done]] = late[at[done]]
+                at, now = at[~done], now[~done]
+            if not len(at):
+                break
+            now, fresh = table.step(now, lanes.symbols[i][at])
+            same = fresh & begins[i, at]
+            met = at[same]
+            count[met] = late[met] + own[-1][met] - own[i][met] + 1
+            late[at[fresh]] += 1
+            at, now = at[~same], now[~same]
+        if len(at):
+            reached[at], count[at] = now, late[at]
+        changed = np.zeros(n, bool)
+        changed[todo] = reached[todo] != end[todo]
+        end[todo] = reached[todo]
+        todo = np.flatnonzero((lanes.before >= 0) & changed[lanes.before])
     return count
 
 
@@ -131,67 +203,47 @@ def letter_lookup() -> np.ndarray:
     """1 for every letter of Unicode, 0 for the rest."""
     if not _letters:
         every = "".join(map(chr, range(0x110000)))
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int32)
         table[[m.start() for m in C.LETTERS.finditer(every)]] = 1
         _letters.append(table)
     return _letters[0]
 
 
-def _sample(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(language, text piece) rows: about SAMPLE_DOCS documents per language, chosen by a hash of their id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (C.id_bucket("doc_id", 5) != 0))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, str]]:
+    """(language, text) rows: about SAMPLE_DOCS documents per language, chosen by a hash of their id."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.where("lang is not null and id is not null and text is not null").where((C.id_bucket("id", 5) != 0) & (F.length("text") <= LONGEST_SAMPLE))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
-    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(977)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000
-    # A piece from inside the text, so that headers common to many documents don't fill the sample.
-    start = F.greatest(F.lit(1), (F.length(text_col) / 3).cast("int"))
-    rows = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(2 * PIECE)).alias("piece"), F.xxhash64("doc_id").alias("h"))
+    chosen = F.pmod(F.xxhash64(F.col("id"), F.lit(977)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    rows = rows.where(chosen).select("lang", "text", F.xxhash64("id").alias("h"))
     return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1]))]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn one automaton per language from documents whose id may be learned from."""
-    pieces = _sample(docs, text_col, lang_col)
-    counts: dict[str, int] = {}
-    for _, piece in pieces:
-        for ch in piece.lower():
-            if C.LETTERS.match(ch):
-                counts[ch] = counts.get(ch, 0) + 1
-    top = sorted(counts, key=lambda ch: (-counts[ch], ch))[:MAX_SYMBOLS]
-    symbols = {ch: i + 2 for i, ch in enumerate(sorted(top))}
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learn one automaton per language from whole texts of documents whose id may be learned from."""
+    sample = _sample(docs, text_col, lang_col, id_col)
+    letters = sorted({ch for _, text in sample for ch in set(text.lower()) if C.LETTERS.match(ch)})
+    symbols = {ch: i + 2 for i, ch in enumerate(letters)}
     lookup = symbol_lookup(symbols)
     texts: dict[str, list[np.ndarray]] = {}
-    for lang, piece in pieces:
-        codes = encode(piece, lookup)[:PIECE]
-        if (codes > 0).any() and sum(map(len, texts.get(lang, []))) < MODEL_SYMBOLS:
-            texts.setdefault(lang, []).append(np.concatenate([codes, [0]]).astype(np.uint8))
+    for lang, text in sample:
+        codes = encode(text, lookup)
+        if (codes > 0).any():
+            texts.setdefault(lang, []).append(np.append(codes, np.int32(0)))
     languages = sorted(texts)
-    tables = [parsing_table(suffix_automaton(np.concatenate(texts[lang])[:MODEL_SYMBOLS], len(symbols) + 2)) for lang in languages]
-    return Model(languages, symbols, tables)
+    return Model(languages, symbols, [suffix_automaton(np.concatenate(texts[lang]), len(symbols) + 2) for lang in languages])
 
 
-def parse(codes: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+def parse(codes: list[np.ndarray], tables: list[Table]) -> np.ndarray:
     """Phrases of each document under each table: (document, table)."""
-    owner, parts = [], []
-    for d, c in enumerate(codes):
-        for k in range(0, len(c), LANE):
-            parts.append(c[k : k + LANE])
-            owner.append(d)
+    lanes = Lanes(codes)
     out = np.zeros((len(codes), len(tables)), np.int64)
-    if not parts:
-        return out
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    order = np.argsort(-sizes, kind="stable")
-    lanes = np.full((len(parts), LANE), -1, np.int16)
-    flat = np.concatenate([parts[i] for i in order])
-    cells = np.arange(LANE)[None, :] < sizes[order][:, None]
-    lanes[cells] = flat
-    lanes = np.ascontiguousarray(lanes.T)
-    who = np.asarray(owner)[order]
-    for k, table in enumerate(tables):
-        np.add.at(out[:, k], who, phrases(lanes, table))
+    if len(lanes.sizes):
+        for k, table in enumerate(tables):
+            np.add.at(out[:, k], lanes.owner, lane_phrases(lanes, table))
     return out
 
 
@@ -202,18 +254,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     def open_task():
         m = sent.value
         lookup = symbol_lookup(m.symbols)
+        tables = [parsing_table(a) for a in m.automata]
+        weight = np.log2([max(2, a.length) for a in m.automata])
 
         def block(texts: list[str]) -> tuple[list, list, list]:
             codes = [encode(t, lookup) for t in texts]
             letters = np.array([int((c > 0).sum()) for c in codes])
-            counts = parse(codes, m.tables) if m.tables else np.zeros((len(texts), 1), np.int64)
-            best = counts.argmin(axis=1)
-            first = counts[np.arange(len(texts)), best]
-            two = np.partition(counts, 1, axis=1)[:, 1] if counts.shape[1] > 1 else np.maximum(first, 1)
-            known = (letters > 0) & bool(m.tables)
+            counts = parse(codes, tables) if tables else np.zeros((len(texts), 1), np.int64)
+            bits = counts * weight if tables else counts.astype(float)
+            best = bits.argmin(axis=1)
+            phrases = counts[np.arange(len(texts)), best]
+            first = bits[np.arange(len(texts)), best]
+            two = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.maximum(first, 1)
+            known = (letters > 0) & bool(tables)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(known, two / (first + two), 0.0)
-                length = np.where(known, letters / first, 0.0)
+                length = np.where(known, letters / phrases, 0.0)
             return [m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score.tolist(), length.tolist()
 
         def work(column: pa.Array) -> list:

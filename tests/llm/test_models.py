@@ -195,3 +195,43 @@ def test_toxicity_context_and_odd_input(spark, odd_docs, no_docs, no_labels):
     lexicon = toxicity.fit(odd_docs, no_labels)
     assert max(r.toxicity for r in toxicity.score(odd_docs, lexicon, keep=["doc_id"]).collect()) < 0.01
     assert toxicity.score(no_docs, lexicon, keep=["doc_id"]).count() == 0
+
+
+def test_phrases_cross_lanes(monkeypatch):
+    monkeypatch.setattr(langid, "LANE", 7)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc") for _ in range(300)) + "ab" * 60
+    codes = lambda s: np.array([ord(c) - 96 for c in s], np.int32)
+    table = langid.parsing_table(langid.suffix_automaton(codes(text), 5))
+    lines = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    lines += ["ab" * 50, "ba" * 77, "aab" * 30, "d" * 30, text[20:200], "", "b"]
+    got = langid.parse([codes(x) for x in lines], [table])[:, 0]
+    for line, n in zip(lines, got, strict=True):
+        want, rest = 0, line
+        while rest:
+            k = next((k for k in range(len(rest), 0, -1) if rest[:k] in text), 1)
+            rest, want = rest[k:], want + 1
+        assert n == want, line
+
+
+def test_language_learns_whole_texts(spark):
+    """The language stands only at the end of long texts, and in letters of its own."""
+    rng = random.Random(2)
+    junk = lambda n: " ".join("".join(rng.choice("xyz") for _ in range(4)) for _ in range(n))
+    tails = {"aa": [chr(0x4E00 + i) for i in range(300)], "bb": [chr(0x5E00 + i) for i in range(300)]}
+    learn = [(i, junk(400) + " " + "".join(rng.choice(tails[lang]) for _ in range(600)), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    asked = [(1000 + i, "".join(rng.choice(tails[lang]) for _ in range(40)), lang) for i, lang in enumerate(["aa", "bb"] * 5)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(learn, schema))
+    rows = langid.identify(spark.createDataFrame(asked, schema), model).collect()
+    assert all(r.lang_pred == r.lang for r in rows)
+
+
+def test_unequal_samples_do_not_decide(spark):
+    rng = random.Random(6)
+    say = lambda ch, n: " ".join("".join(rng.choice(ch) for _ in range(5)) for _ in range(n))
+    learn = [(i, say("abcde", 400), "big") for i in range(30)] + [(100 + i, say("abfgh", 40), "small") for i in range(30)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(learn, schema))
+    rows = langid.identify(spark.createDataFrame([(i, say("abfgh", 30), "small") for i in range(9)], schema), model).collect()
+    assert {r.lang_pred for r in rows} == {"small"}
