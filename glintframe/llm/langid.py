@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 from glintframe.llm.lm import Index
 
-SAMPLE_DOCS = 40  # documents per language, about; their texts are taken whole
+SAMPLE_DOCS = 24  # documents per language, about; their texts are taken whole
 LONGEST_SAMPLE = 100_000  # code points: longer texts aren't drawn into the sample, so it stays bounded
 LANE = 1024
+DENSE = 1 << 23  # cells of an automaton up to which its moves are laid out as a plain table
+START = np.int32(1 << 30)  # flag: this step begins a phrase
 
 
 @dataclass
@@ -94,8 +96,33 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> Automaton:
     )
 
 
-class Table:
-    """Moves of an automaton by a hash of (state, symbol).  From the state ``lost`` every symbol begins a phrase."""
+class Dense:
+    """Moves of an automaton as a table of states and its own symbols; ``lost``: from there every symbol begins a phrase.
+
+    States are offsets of their rows.  Where no move exists, the cell holds the move from the start, flagged.
+    """
+
+    def __init__(self, automaton: Automaton, kinds: np.ndarray):
+        width = len(kinds) + 1  # 0: a symbol that the automaton doesn't know
+        self.code = np.zeros(automaton.alphabet, np.int32)
+        self.code[kinds] = np.arange(1, width)
+        self.lost = np.int32(automaton.states * width)
+        cells = np.full((automaton.states + 1, width), -1, np.int64)
+        cells[automaton.origin, self.code[automaton.symbol]] = automaton.target.astype(np.int64) * width
+        root = np.where(cells[0] < 0, self.lost, cells[0]) | START
+        self.cells = np.where(cells < 0, root, cells).astype(np.int32).ravel()
+
+    def own(self, symbols: np.ndarray) -> np.ndarray:
+        return self.code[symbols]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with this symbol)."""
+        move = self.cells[state + symbol]
+        return move & (START - 1), move >= START
+
+
+class Hashed:
+    """The same by a hash of (state, symbol), for automata of many symbols."""
 
     def __init__(self, automaton: Automaton):
         self.alphabet = automaton.alphabet
@@ -106,16 +133,19 @@ class Table:
         at_start = automaton.origin == 0
         self.root[automaton.symbol[at_start]] = automaton.target[at_start]
 
+    def own(self, symbols: np.ndarray) -> np.ndarray:
+        return symbols
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, whether a phrase begins with this symbol)."""
         nxt = self.target[self.index.find(state.astype(np.int64) * self.alphabet + symbol)]
         begins = nxt < 0
         nxt[begins] = self.root[symbol[begins]]
         return nxt, begins
 
 
-def parsing_table(automaton: Automaton) -> Table:
-    return Table(automaton)
+def parsing_table(automaton: Automaton) -> Dense | Hashed:
+    kinds = np.unique(automaton.symbol)
+    return Dense(automaton, kinds) if (automaton.states + 1) * (len(kinds) + 1) <= DENSE else Hashed(automaton)
 
 
 class Lanes:
@@ -133,19 +163,20 @@ class Lanes:
         before = np.where(np.concatenate(([True], owner[1:] != owner[:-1])), -1, np.concatenate(([0], place[:-1]))) if len(parts) else place
         self.before = before[order]
         steps = int(sizes.max(initial=0))
-        cells = np.zeros((len(parts), steps), np.int64)
+        cells = np.zeros((len(parts), steps), np.int32)
         if len(parts):
             cells[np.arange(steps)[None, :] < self.sizes[:, None]] = np.concatenate([parts[i] for i in order])
         self.symbols = np.ascontiguousarray(cells.T)
         self.live = np.searchsorted(-self.sizes, -np.arange(steps), side="left")  # lanes longer than each step
 
 
-def lane_phrases(lanes: Lanes, table: Table) -> np.ndarray:
+def lane_phrases(lanes: Lanes, table: Dense | Hashed) -> np.ndarray:
     """Phrases of the whole texts' parses that begin in each lane."""
     n = len(lanes.sizes)
+    symbols = table.own(lanes.symbols)
     state = np.full(n, table.lost, np.int32)
-    begins = np.zeros(lanes.symbols.shape, bool)
-    for i, (row, live) in enumerate(zip(lanes.symbols, lanes.live.tolist(), strict=True)):
+    begins = np.zeros(symbols.shape, bool)
+    for i, (row, live) in enumerate(zip(symbols, lanes.live.tolist(), strict=True)):
         state[:live], begins[i, :live] = table.step(state[:live], row[:live])
     own = np.cumsum(begins, axis=0, dtype=np.int32)
     count = own[-1].copy() if n else np.zeros(0, np.int32)
@@ -157,7 +188,7 @@ def lane_phrases(lanes: Lanes, table: Table) -> np.ndarray:
         at, now = todo, end[lanes.before[todo]]
         late = np.zeros(n, np.int32)
         reached = own_end.copy()
-        for i in range(lanes.symbols.shape[0]):
+        for i in range(len(symbols)):
             done = lanes.sizes[at] <= i
             if done.any():
                 reached[at[done]] = now[done]
@@ -165,7 +196,7 @@ def lane_phrases(lanes: Lanes, table: Table) -> np.ndarray:
                 at, now = at[~done], now[~done]
             if not len(at):
                 break
-            now, fresh = table.step(now, lanes.symbols[i][at])
+            now, fresh = table.step(now, symbols[i][at])
             same = fresh & begins[i, at]
             met = at[same]
             count[met] = late[met] + own[-1][met] - own[i][met] + 1
@@ -237,7 +268,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Model(languages, symbols, [suffix_automaton(np.concatenate(texts[lang]), len(symbols) + 2) for lang in languages])
 
 
-def parse(codes: list[np.ndarray], tables: list[Table]) -> np.ndarray:
+def parse(codes: list[np.ndarray], tables: list[Dense | Hashed]) -> np.ndarray:
     """Phrases of each document under each table: (document, table)."""
     lanes = Lanes(codes)
     out = np.zeros((len(codes), len(tables)), np.int64)

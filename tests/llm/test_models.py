@@ -197,8 +197,10 @@ def test_toxicity_context_and_odd_input(spark, odd_docs, no_docs, no_labels):
     assert toxicity.score(no_docs, lexicon, keep=["doc_id"]).count() == 0
 
 
-def test_phrases_cross_lanes(monkeypatch):
+@pytest.mark.parametrize("dense", [0, 1 << 23])
+def test_phrases_cross_lanes(monkeypatch, dense):
     monkeypatch.setattr(langid, "LANE", 7)
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(8)
     text = "".join(rng.choice("abc") for _ in range(300)) + "ab" * 60
     codes = lambda s: np.array([ord(c) - 96 for c in s], np.int32)
