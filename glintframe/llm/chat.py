@@ -8,7 +8,8 @@ row that holds its rendering.
 
 Defined results: turns are put in order of (turn, role, text), so gaps, ties and repeated turns
 keep a fixed place; a null role is ``user`` and a null text is empty; a pair with equal sides has
-empty completions; a pair that lacks one side has an empty prompt and one empty completion.
+empty completions; a pair that lacks one side has an empty prompt and one empty completion; turns without
+an id are left out; other columns aren't read.
 """
 
 from __future__ import annotations

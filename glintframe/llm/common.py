@@ -3,15 +3,14 @@
 Rules all operators keep:
 
 * a null text is an empty text; a null id is kept as a null id;
-* operators read only the columns they name, so extra columns never clash;
+* operators read only the columns they name; columns that pass through (``keep``, all by default) make way for
+  those of the operator where the names are equal, in any case of letters;
 * what goes to the driver or is broadcast is a model whose size has a documented bound.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glintframe.tables import stored  # noqa: F401  (for the operators)
+
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -37,20 +38,17 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="glint-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def passing(docs: DataFrame, keep: list[str] | None, made: list[str]) -> list[str]:
+    """The columns of ``keep`` (default: all of ``docs``) that no column of ``made`` replaces."""
+    taken = {name.lower() for name in made}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def aside(docs: DataFrame, made: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of the names ``made`` renamed, and what selects all columns under their own names again."""
+    taken = {name.lower() for name in made}
+    names = [f"__kept{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(f"`{new}`").alias(old) for new, old in zip(names, docs.columns, strict=True)]
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -83,9 +81,9 @@ def map_texts(
     """Append ``fields``, computed from the text column batch by batch inside the tasks.
 
     ``open_task`` runs once per task and returns a function from the Arrow text column to one
-    list or array per field.  Every column in ``keep`` passes through untouched.
+    list or array per field.  Every column in ``keep`` passes through untouched, but for those that a field replaces.
     """
-    keep = list(df.columns if keep is None else keep)
+    keep = passing(df, keep, [f.name for f in fields])
     out = T.StructType([df.schema[c] for c in keep] + fields)
     extra = [] if text_col in keep else [text_col]
 

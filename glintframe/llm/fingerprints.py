@@ -5,7 +5,8 @@ the smallest is chosen, the rightmost on ties; chosen hashes are kept with their
 texts that share ``WINDOW + GRAM - 1`` code points in a row share a chosen hash.
 
 Defined results: a null or empty text has the empty fingerprint; a text shorter than ``GRAM`` has
-one hash, of all of it at position 0; two empty fingerprints are alike (1.0).
+one hash, of all of it at position 0; two empty fingerprints are alike (1.0); repeated rows are rows of
+their own; null ids come after all others; columns named like the operator's own are replaced.
 """
 
 from __future__ import annotations

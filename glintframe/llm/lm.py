@@ -14,7 +14,8 @@ The base score is the unigram word model with add-one smoothing.  Counts of the
 at most ``HOT`` of them, are broadcast; all others are joined on the token.
 
 Defined results: null text is an empty text, of which only the end is coded; with no training
-rows every symbol costs log10(255) and N and V are 0; repeated rows get equal scores.
+rows every symbol costs log10(255) and N and V are 0; repeated rows get equal scores; ids aren't read;
+columns named like the operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -365,7 +366,7 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text") -> Trained:
 
 def score(docs: DataFrame, trained: Trained, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append n_tokens, n_known, base_score and score (log10) to ``keep``."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = C.passing(docs, keep, ["n_tokens", "n_known", "base_score", "score"])
     spark = docs.sparkSession
     is_hot = F.col("c") >= least_count(trained.tokens, "c", HOT)
     hot = {bytes(r[0]): r[1] for r in trained.tokens.where(is_hot).collect()}

@@ -15,7 +15,7 @@
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; rows with one id count as one
-document; a row with a null id is linked with nothing and kept.
+document; a row with a null id is linked with nothing and kept; other columns aren't read.
 """
 
 from __future__ import annotations

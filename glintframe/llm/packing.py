@@ -8,7 +8,7 @@ the rest, which is taken out.  Sequences that a block leaves with slack are diss
 again together with those of the other blocks.
 
 Defined results: a null or empty text is one piece with the end token only; repeated rows are
-packed as often as they occur; an empty table gives no rows.
+packed as often as they occur; an empty table gives no rows; null ids stay null; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -199,8 +199,8 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Append sequence_id and offset to rows with a ``length`` of 1 to ``capacity``."""
-    columns = rows.columns
-    rows = C.stored(rows.withColumn("__row", F.monotonically_increasing_id()), "pack-pieces")
+    columns = C.passing(rows, None, ["sequence_id", "offset"])
+    rows = C.stored(rows.select(*columns, F.monotonically_increasing_id().alias("__row")), "pack-pieces")
     full = F.col("length") >= capacity
     placed = rows.where(full).select("__row", (F.col("__row") + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = rows.where(~full).select("__row", "length")
@@ -215,6 +215,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
         n = left.count()
         blocks = max(1, math.ceil(n / block))
         dealt = left.withColumn("__block", F.pmod(F.xxhash64("__row", F.lit(k)), F.lit(blocks))).withColumn("__round", F.lit(k))
+        dealt = dealt.repartition(blocks, "__block")  # else small blocks are joined in few tasks
         made = C.stored(dealt.groupBy("__block").applyInPandas(run, "__row long, length long, sequence_id long, offset long, fill long"), f"pack-round{k}")
         last = k == ROUNDS - 1 or blocks == 1
         done = made if last else made.where(F.col("fill") >= TIGHT * capacity)

@@ -7,7 +7,8 @@ by level for a whole batch at once.
 
 Defined results: null text is an empty text and is scored by its (all zero) statistics; without
 labelled rows, or with one class only, every score is the share of label 1 (0.5 if unknown);
-repeated rows get equal scores.
+repeated rows get equal scores; rows and labels with a null id aren't learned from; columns named like
+the operator's own are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ class or shard, and the hottest groups (at most ``HOT`` can hold a ``HOT``-th of
 joined by broadcast.
 
 Defined results: a null text is its own empty group together with empty texts; repeated rows
-are rows of their own in the same group; an empty table gives no rows.
+are rows of their own in the same group; an empty table gives no rows; ids aren't read; columns named like the
+operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def schedule(classes: list[tuple[int, int]], shards: int) -> dict[int, list[tupl
 
 def assign(docs: DataFrame, shards: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append size, text_crc32, shard and slot to ``keep``; equal texts share a shard."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = C.passing(docs, keep, ["size", "text_crc32", "shard", "slot"])
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(*keep, (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("__group"))

@@ -10,7 +10,8 @@
    document into a score.
 
 Defined results: null or empty text, no letters, or no labelled row at all give a score of 0
-up to the intercept of the curve; repeated rows get equal scores; ids may be null.
+up to the intercept of the curve; repeated rows get equal scores; ids may be null; columns named like
+the operator's own are replaced.
 """
 
 from __future__ import annotations
