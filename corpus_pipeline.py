@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each one of the corpus operators, in the order of STAGES."""
+"""The corpus pipeline: five stages, each one of the corpus operators, in the order of STAGES.
+
+Defined results of every stage: columns that are not ``doc_id``, ``text`` or ``lang`` pass through whatever their
+names are; a null or empty text has no letters and goes with the language stage; a null ``lang`` is learned
+from by none; rows with a null id are judged by their text; an empty table stays empty.  What several rows
+with one id get is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +20,37 @@ LEAST_PHRASE = 2.3  # mean letters per phrase under which a text is in no learne
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator doesn't reject."""
+    """Documents that the toxicity operator doesn't reject; each row by its own text."""
     lexicon = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    rows, back = C.aside(docs, ["toxicity"])
+    return toxicity.score(rows, lexicon).where(F.col("toxicity") < TOXIC_FROM).select(*back)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, whose text some learned language explains."""
-    made = langid.identify(docs, langid.fit(docs))
-    return made.where((F.col("lang_pred") != "und") & (F.col("phrase_length") >= LEAST_PHRASE)).select(*docs.columns)
+    """Documents with letters, whose text some learned language explains; each row by its own text."""
+    rows, back = C.aside(docs, ["lang_pred", "lang_score", "phrase_length"])
+    made = langid.identify(rows, langid.fit(docs))
+    return made.where((F.col("lang_pred") != "und") & (F.col("phrase_length") >= LEAST_PHRASE)).select(*back)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates, and all that have none."""
-    gone = near_dups.cluster(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of every group of near-duplicates, and all that have none.
+
+    Rows with one id are one document: one of them stays, if any does.  Rows with a null id stay.
+    """
+    found = near_dups.cluster(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    found = found.agg(F.count(F.lit(1)).alias("__rows"), F.min("kept").alias("__kept")).where("__rows > 1 or not __kept")
+    marked = docs.join(C.stored(found, "near-marks"), F.col("doc_id") == F.col("__id"), "left")
+    single = marked.where("__id is null").select(*docs.columns)
+    return single.unionByName(marked.where("__kept").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that match no benchmark item."""
-    leaks = decontaminate.matches(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that match no benchmark item; each row by its own id and text, so that a null id hides nothing."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    leaks = decontaminate.matches(docs.select(key.alias("__key"), "text"), C.table(spark, sf_dir, "benchmark"), id_col="__key")
+    leaks = C.stored(leaks.select("__key").distinct(), "leaks")
+    return docs.withColumn("__key", key).join(leaks, "__key", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
