@@ -1,7 +1,8 @@
 """Operator 8, toxicity: Levenshtein automata over a lexicon trie, with context-window scores.
 
-1. A lexicon is learned from a bounded sample of labelled rows (``MAX_LABELLED``): words, and
-   stems that open many words, which occur in toxic documents far more often than in others.
+1. A lexicon is learned from a bounded sample of labelled rows (``MAX_LABELLED``): all words, and
+   stems that open many words, which occur in toxic documents, in enough different contexts, far
+   more often than in others.  How often is enough follows from the number of terms that were counted.
 2. The lexicon is a trie.  A Levenshtein automaton of one edit is intersected with it; the
    product is a deterministic automaton whose states are made when first reached.  It accepts a
    term, a word that starts with a stem, and (for long terms) a word one edit away.
@@ -16,6 +17,7 @@ the operator's own are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,14 +32,15 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 
 MAX_LABELLED = 20_000  # labelled rows that are learned from
-MAX_TERMS = 4_000  # terms in the lexicon
+BY_CHANCE = 0.01  # terms of the lexicon that chance alone would put there
 STEM_LENGTHS = range(3, 11)
 FUZZY_LENGTH = 5  # shortest term for which one edit is forgiven
 CONTEXT = 6  # words on either side
 QUOTED_WEIGHT = 0.35
 CLEAN_PER_NEIGHBOUR = 2_000  # clean documents per one that may hold a word an edit away from a term
 
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+(?:[@$!*]+[^\W_]+)*")  # signs between letters may stand for a letter
+SIGN = re.compile(r"[@$!*]+")
 # Words that report speech, in the four languages of the samples.
 REPORTING = frozenset("said says say quote quoted quotes quoting called wrote reported term word slur sagte sagt zitat zitiert nannte wort dit disait cite citation mot dijo dice cita palabra".split())
 QUOTES = frozenset("\"'“”„«»‘’`")
@@ -134,6 +137,8 @@ class Matcher:
         got = self.seen.get(word)
         if got is None:
             got = self._walk(word)
+            if got < self.EXACT and SIGN.search(word):  # or the signs part words
+                got = max(got, *map(self._walk, SIGN.split(word)))
             if len(self.seen) > 150_000:
                 self.seen.clear()
             self.seen[word] = got
@@ -205,7 +210,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         for batch in C.slices(batches):
             for text, label in zip(C.as_texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
-                keys = {(w, False) for w in words if len(w) <= 40}
+                keys = {(w, False) for w in words}
                 keys.update((w[:n], True) for w in words for n in STEM_LENGTHS if len(w) >= n)
                 seen.update(keys)
                 if label:
@@ -243,39 +248,11 @@ def choose_terms(counts: list) -> list[tuple[str, bool]]:
     return sorted(chosen.items())
 
 
-def cover(candidates: list[tuple[str, bool]], holds: list[list[int]], folds: int = 2, least: int = 3) -> list[tuple[str, bool]]:
-    """Greedy choice: each toxic document should hold ``folds`` chosen terms.
+def _contexts(toxic: DataFrame, candidates: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
+    """In how many different contexts (the word before and the word after) each candidate stands in the toxic documents.
 
-    ``holds`` has the candidates of each toxic document.  A term that adds fewer than ``least``
-    documents is left out: words that merely come along in copies of a toxic text explain nothing new.
+    Copies of one text are one context, so words that merely come along in copies don't count as often seen.
     """
-    where: list[list[int]] = [[] for _ in candidates]
-    for d, terms in enumerate(holds):
-        for t in terms:
-            where[t].append(d)
-    need = [folds] * len(holds)
-    gains = {t: len(w) for t, w in enumerate(where) if len(w) >= least}
-    chosen = []
-    while gains:
-        for t in sorted(gains, key=lambda t: (-gains[t], len(candidates[t][0]), candidates[t])):
-            now = sum(1 for d in where[t] if need[d])
-            stale = now < gains[t]
-            gains[t] = now
-            if now < least:
-                del gains[t]
-            elif not stale:
-                chosen.append(candidates[t])
-                for d in where[t]:
-                    need[d] = max(0, need[d] - 1)
-                del gains[t]
-                break
-        else:
-            continue
-    return chosen
-
-
-def _holdings(toxic: DataFrame, candidates: list[tuple[str, bool]]) -> list[list[int]]:
-    """For every toxic document of the sample, the candidates that it holds."""
     index = toxic.sparkSession.sparkContext.broadcast({c: i for i, c in enumerate(candidates)})
 
     def open_task():
@@ -286,16 +263,20 @@ def _holdings(toxic: DataFrame, candidates: list[tuple[str, bool]]) -> list[list
             out = []
             for text in C.as_texts(column):
                 found = set()
-                for w in set(WORD.findall(text.lower())):
-                    if w in words:
-                        found.add(words[w])
-                    found.update(stems[w[:n]] for n in STEM_LENGTHS if w[:n] in stems and len(w) >= n)
-                out.append(sorted(found))
+                spans = ["", *WORD.findall(text.lower()), ""]
+                for k, w in enumerate(spans[1:-1], 1):
+                    here = [words[w]] if w in words else []
+                    here += [stems[w[:n]] for n in STEM_LENGTHS if len(w) >= n and w[:n] in stems]
+                    found.update((i, f"{spans[k - 1]} {spans[k + 1]}") for i in here)
+                out.append([{"term": i, "context": c} for i, c in sorted(found)])
             return [out]
 
         return work
 
-    return [r[0] for r in C.map_texts(toxic, open_task, [T.StructField("held", T.ArrayType(T.IntegerType()))], keep=[]).collect()]
+    pair = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("context", T.StringType())])
+    made = C.map_texts(toxic, open_task, [T.StructField("held", T.ArrayType(pair))], keep=[])
+    rows = made.select(F.explode("held").alias("x")).select("x.term", "x.context").distinct().groupBy("term").count().collect()
+    return {candidates[i]: n for i, n in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -306,14 +287,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     n_docs, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n_toxic or n_docs == n_toxic:
         return Lexicon()
-    # A term must be in enough toxic documents and, smoothed, nearly nowhere else.
-    least = max(3, round(0.002 * n_toxic))
+    # A term must be in so many toxic documents, in as many contexts, that chance alone would hardly put one of all
+    # counted terms there; and, smoothed, nearly nowhere else.
     base = n_toxic / n_docs
+    counts = C.stored(_term_counts(sample), "toxic-terms")
+    least = max(3, math.ceil(math.log(BY_CHANCE / max(1, counts.count())) / math.log(base)))
     precise = (F.col("toxic") + base) / (F.col("docs") + 1) >= 0.6 + 0.4 * base
-    rows = _term_counts(sample).where((F.col("toxic") >= least) & precise)
-    found = [tuple(r) for r in rows.orderBy(F.desc("toxic"), "term", "stem").limit(20 * MAX_TERMS).collect()]
-    terms = choose_terms(found)
-    terms = cover(terms, _holdings(sample.where("label = 1"), terms), least=max(3, round(0.01 * n_toxic)))[:MAX_TERMS]
+    found = [tuple(r) for r in counts.where((F.col("toxic") >= min(least, n_toxic)) & precise).collect()]
+    toxic = sample.where("label = 1")
+    often = _contexts(toxic, sorted({(t, s) for t, s, _, _ in found})) if found else {}
+    terms = choose_terms([r for r in found if often.get(r[:2], 0) >= min(least, n_toxic)])
     lexicon = Lexicon({t: (stem, len(t) >= FUZZY_LENGTH + stem) for t, stem in terms})
     # An edit is forgiven only where the clean part of the sample holds (next to) no such neighbour.
     misled = _clean_neighbours(sample.where("label = 0"), lexicon)

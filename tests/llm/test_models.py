@@ -237,3 +237,84 @@ def test_unequal_samples_do_not_decide(spark):
     model = langid.fit(spark.createDataFrame(learn, schema))
     rows = langid.identify(spark.createDataFrame([(i, say("abfgh", 30), "small") for i in range(9)], schema), model).collect()
     assert {r.lang_pred for r in rows} == {"small"}
+
+
+def test_signs_within_words():
+    matcher = toxicity.Matcher({"idiot": (False, True), "bastard": (False, True)})
+    assert [matcher.match(w) for w in ("id!ot", "b@stard", "bast*rd", "id!o!t", "you!idiot", "a@b")] == [1, 1, 1, 0, 2, 0]
+    assert toxicity.document_features("what a b@stard that is", matcher)[0] > 0.5
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    rng = random.Random(11)
+    filler = [f"word{i}" for i in range(300)]
+    terms = ["scumface", "vileling", "hatewort"]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(filler) for _ in range(rng.randrange(5, 60))]
+        if i % 3 == 0:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(terms))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    copies = [(1000 + i, "zyx copied text with qqqq words that come along", 1) for i in range(9)]
+    docs = spark.createDataFrame([r[:2] for r in rows + copies], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows + copies], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    covered = lambda w: any(w == t or (stem and w.startswith(t)) for t, (stem, _) in lexicon.terms.items())
+    assert all(covered(t) for t in terms) and not covered("qqqq") and not any(covered(w) for w in filler)
+
+    def near(word, term, stem, fuzzy):
+        if word == term or (stem and word.startswith(term)):
+            return 2
+        ends = [word[:k] for k in range(len(word) + 1)] if stem else [word]
+        return int(fuzzy and any(edit_distance_at_most_one(w, term) for w in ends))
+
+    asked = ["a scumface b", 'they said "scumface" once', "scumfac of you", "plain words", "vile1ing hatewort and so on", "x" * 50 + " hatewort"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), lexicon).collect()
+    for r in got:
+        words = r.text.lower().split()
+        total = 0.0
+        for i, w in enumerate(words):
+            bare = w.strip('"')
+            kind = max((near(bare, t, *v) for t, v in lexicon.terms.items()), default=0)
+            around = [x.strip('"') for x in words[max(0, i - 6) : i + 7]]
+            quoted = w.startswith('"') and w.endswith('"')
+            total += (0, 0.7, 1.0)[kind] * (toxicity.QUOTED_WEIGHT if quoted or "said" in around else 1)
+        x = [min(math.log1p(3 * total), 3.0), min(100 * total / len(words), 5.0) / 5.0, 1.0]
+        assert r.toxicity == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, lexicon.weights, strict=True)))), rel=1e-9), r.text
+
+
+def test_trees_equal_brute_force(monkeypatch):
+    """Splits and leaf values of two trees on few rows, by trying every cut of every statistic."""
+    monkeypatch.setattr(quality, "TREES", 2)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, size=(90, len(quality.STATISTICS))).astype(float)
+    y = ((x[:, 2] > 2) ^ (rng.random(90) < 0.1)).astype(float)
+    got = quality.grow(x, y)
+    share = y.mean()
+    score = np.full(len(y), math.log(share / (1 - share)))
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(x.shape[1])]
+
+    def tree(rows, g, h, depth):
+        """{row: leaf value} of a depth-first tree."""
+        best = None
+        if depth:
+            for f in range(x.shape[1]):
+                for cut in edges[f]:
+                    left = rows[x[rows, f] <= cut]
+                    right = rows[x[rows, f] > cut]
+                    if min(len(left), len(right)) < quality.LEAST_CHILD:
+                        continue
+                    part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.RIDGE)
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, left, right)
+        if best is None:
+            return dict.fromkeys(rows.tolist(), quality.RATE * g[rows].sum() / (h[rows].sum() + quality.RIDGE))
+        return tree(best[1], g, h, depth - 1) | tree(best[2], g, h, depth - 1)
+
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-score))
+        leaves = tree(np.arange(len(y)), y - p, p * (1 - p), quality.DEPTH)
+        score = score + np.array([leaves[i] for i in range(len(y))])
+    assert got.raw(x) == pytest.approx(score, rel=1e-9)
