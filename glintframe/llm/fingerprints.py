@@ -12,6 +12,7 @@ their own; null ids come after all others; columns named like the operator's own
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 
 GRAM = 16
-WINDOW = 48
+WINDOW = 16
+RANGE_CHARS = 32_000_000  # code points in a range of ids, about
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 28  # of a position; a text has fewer code points than 2**28
@@ -118,6 +120,7 @@ FIELDS = [
     T.StructField("edited_fingerprint", T.StringType()),
     T.StructField("near_edited", T.DoubleType()),
     T.StructField("near_next", T.DoubleType()),
+    T.StructField("positions", T.ArrayType(T.IntegerType())),  # of the fingerprint's hashes
 ]
 
 
@@ -125,28 +128,40 @@ def beside_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """Rows in ranges of the id, each range sorted downwards and followed by a copy of the next range's first row.
 
     Columns: range, copied, doc_id, text.  After the last row comes the first.  Equal ids are
-    ordered by their text; null ids come last.
+    ordered by their text; null ids come last.  Ranges hold about equally much text and are a partition each.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cuts = np.unique(np.array([int(c) for c in cuts], np.int64))
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE_CHARS))
+    fine = 4 * ranges
+    steps = rows.stat.approxQuantile("key", [i / fine for i in range(1, fine)], 0.2 / fine) if ranges > 1 else []
+    steps = np.unique(np.array([int(c) for c in steps], np.int64))
 
-    @F.pandas_udf("long")
-    def range_of(ids):
-        import pandas as pd
+    def place_among(cuts: np.ndarray):
+        @F.pandas_udf("long")
+        def place(ids):
+            import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right"))
+            return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right"))
 
-    tops = sorted(tuple(r) for r in rows.select("key", range_of("key").alias("range")).groupBy("range").agg(F.max("key")).collect())
+        return place("key")
+
+    # Neighbouring steps of the ids are joined until a range has its share of the text.
+    held = np.zeros(len(steps) + 1, np.int64)
+    for step, chars in rows.groupBy(place_among(steps).alias("step")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64)).collect():
+        held[step] = chars
+    share = np.cumsum(held)[:-1] * ranges // max(1, int(held.sum()))
+    cuts = steps[np.flatnonzero(np.diff(np.concatenate(([0], share))))] if len(steps) else steps
+
+    tops = sorted(tuple(r) for r in rows.select("key", place_among(cuts).alias("range")).groupBy("range").agg(F.max("key")).collect())
     # The first row of each range also follows the range above; the very first follows the lowest.
     goes_to = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     heads = F.broadcast(spark.createDataFrame(goes_to, "key long, also long"))  # one row for each range
-    placed = rows.withColumn("range", range_of("key")).join(heads, "key", "left")
+    placed = rows.withColumn("range", place_among(cuts)).join(heads, "key", "left")
     placed = placed.select("key", "doc_id", "text", F.posexplode(F.array_compact(F.array("range", "also"))).alias("copied", "range"))
-    return placed.repartition(ranges, "range").sortWithinPartitions("range", "copied", F.desc("key"), "text").select("range", "copied", "doc_id", "text")
+    return placed.repartitionById(len(cuts) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "copied", F.desc("key"), "text").select("range", "copied", "doc_id", "text")
 
 
 def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -156,19 +171,19 @@ def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower = Winnower()
-        before = None  # (range, id, text, hashes, distinct hashes)
+        before = None  # (range, id, text, hashes, positions, distinct hashes)
 
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, 500):
             made: list[tuple] = []
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for part, copied, doc_id, text in zip(*columns, strict=True):
                 text = text or ""
                 if copied and (before is None or before[0] != part):
                     continue  # a further copy of tied first rows
-                chosen = winnower.choose(text)[0]
+                chosen, places = winnower.choose(text)
                 distinct = np.unique(chosen)
                 if before is not None:
-                    _, old_id, old, old_chosen, old_distinct = before
+                    _, old_id, old, old_chosen, old_places, old_distinct = before
                     third = len(old) // 3
                     edited = old[: len(old) - third] + text[:third]
                     other = winnower.choose(edited)[0]
@@ -181,9 +196,10 @@ def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                             as_string(other),
                             likeness(old_distinct, np.unique(other)),
                             likeness(old_distinct, distinct),
+                            old_places,
                         )
                     )
-                before = None if copied else (part, doc_id, text, chosen, distinct)
+                before = None if copied else (part, doc_id, text, chosen, places, distinct)
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(zip(*made, strict=True), out.fields, strict=True)], names=out.names)
 

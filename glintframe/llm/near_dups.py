@@ -8,9 +8,10 @@
    ``SKETCH - least_shared + 1`` rarest values of either sketch (rare: held by few sketches), and only
    these go into inverted lists.  Sets no larger than a sketch are held whole, where the exact
    prefix bound applies.  Values that many texts share are thus left out of most lists.
-3. Lists with equal members are evaluated once.  A list is cut into blocks of bounded size, and
-   each pair of blocks counts the intersections of full sets as matrix products and emits a
-   spanning forest of its exact links: never all pairs, and no link between two parts is lost.
+3. Lists with equal members are evaluated once.  A list is cut into blocks of bounded size.  In each
+   pair of blocks the same estimate, of all pairs of sketches at once, keeps the sets that may be linked
+   with some other; of these the intersections of full sets are counted as matrix products.  A
+   spanning forest of the exact links is emitted: never all pairs, and no link between two parts is lost.
 4. Connected components of the links by alternating large-star and small-star steps.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; with
@@ -166,12 +167,11 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     return made.join(wanted, ["rep", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "set")
 
 
-def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int = SIMILAR) -> np.ndarray:
-    """Pairs of indices that are linked and connect: a spanning forest.  Only pairs across sides unless ``same``."""
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share (a set with itself: how many it shares with any other)."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, code, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count[code] > 1
     owner, code = owner[shared], code[shared]
@@ -185,6 +185,31 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int
             cells = np.zeros((n, COLUMNS), np.float32)
             cells[owner[a:b], code[a:b] - lo] = 1
             both += cells @ cells.T
+    return both
+
+
+def may_be_linked(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, same: bool, similar: int) -> np.ndarray:
+    """Indices of sets that the union-sketch estimate leaves a partner.
+
+    Two linked sets share ``least_shared`` of their union's sketch, hence of their own sketches, but for a
+    chance of about one in a million; sets no larger than a sketch are compared exactly.
+    """
+    both = shared_counts([s[:SKETCH] for s in sets])
+    exact = np.ceil(similar * (sizes[:, None] + sizes) / (100 + similar))
+    ok = (both >= np.minimum(exact, least_shared(similar))) & (100 * np.minimum(sizes[:, None], sizes) >= similar * np.maximum(sizes[:, None], sizes))
+    ok &= ~np.eye(len(sets), dtype=bool) if same else side[:, None] != side
+    return np.flatnonzero(ok.any(axis=1))
+
+
+def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int = SIMILAR) -> np.ndarray:
+    """Pairs of indices that are linked and connect: a spanning forest.  Only pairs across sides unless ``same``."""
+    sizes = np.array([len(s) for s in sets])
+    likely = may_be_linked(sets, sizes, side, same, similar)
+    if len(likely) < 2:
+        return np.zeros((0, 2), np.int64)
+    sizes, side = sizes[likely], side[likely]
+    n = len(likely)
+    both = shared_counts([sets[i] for i in likely])
     found = []
     left = np.ones(n, bool)
 
@@ -203,7 +228,7 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int
             left[new] = False
             todo.extend(new.tolist())
             found.extend((start, x) for x in new.tolist())
-    return np.array(found, np.int64).reshape(-1, 2)
+    return likely[np.array(found, np.int64).reshape(-1, 2)]
 
 
 def exact_links(lists: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:

@@ -362,3 +362,56 @@ def brute_small(texts: dict) -> dict:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def parts(pairs) -> set[frozenset]:
+    """Connected sets of the pairs."""
+    made: list[set] = []
+    for pair in pairs:
+        met = [m for m in made if m & set(pair)]
+        made = [m for m in made if not m & set(pair)] + [set(pair).union(*met)]
+    return set(map(frozenset, made))
+
+
+def test_sketch_filter_loses_no_link():
+    rng = np.random.default_rng(5)
+    for n_words in (6, 30, 47, 49, 60, 400):
+        base = np.unique(rng.integers(-(1 << 60), 1 << 60, n_words))
+        sets = []
+        for _ in range(40):
+            gone = rng.random(len(base)) < rng.choice([0.0, 0.03, 0.08, 0.3])
+            sets.append(np.unique(np.concatenate([base[~gone], rng.integers(-(1 << 60), 1 << 60, int(gone.sum()))])))
+        sets += [np.unique(rng.integers(-(1 << 60), 1 << 60, n_words)) for _ in range(10)]  # linked with nothing
+        sizes = np.array([len(s) for s in sets])
+        linked = {(i, j) for i in range(50) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (sizes[i] + sizes[j] - k)}
+        likely = near_dups.may_be_linked(sets, sizes, np.zeros(50), True, 85)
+        assert {i for pair in linked for i in pair} <= set(likely.tolist()) and not set(range(40, 50)) & set(likely.tolist())
+        forest = near_dups.links_of(sets, np.zeros(50), True)
+        assert parts(forest.tolist()) == parts(linked)
+
+
+def rolled(gram: str) -> int:
+    """The mixed hash of one gram, by its definition."""
+    full = (1 << 64) - 1
+    h = sum((ord(c) + 1) * pow(fingerprints.BASE, k, 1 << 64) for k, c in enumerate(gram)) & full
+    h ^= h >> 31
+    h = h * 0xBF58476D1CE4E5B9 & full
+    return h ^ (h >> 29)
+
+
+def test_gram_hashes_by_definition():
+    rng = random.Random(12)
+    for n in (1, 15, 16, 17, 90):
+        text = "".join(rng.choice("abé\U0001f600 ") for _ in range(n))
+        want = [rolled(text[i : i + fingerprints.GRAM]) for i in range(max(1, n - fingerprints.GRAM + 1))]
+        assert [int(x) for x in fingerprints.Winnower().hashes(text)] == want
+
+
+def test_ranges_are_partitions_of_about_equal_text(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), F.when(F.col("id") < 300, 400).otherwise(20).cast("int")).alias("text"))
+    rows = fingerprints.beside_next(docs)
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("n"), F.count_distinct("range").alias("ranges")).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and all(r.ranges == 1 for r in sizes)
+    assert max(r.n for r in sizes) < 1.6 * sum(r.n for r in sizes) / len(sizes)
