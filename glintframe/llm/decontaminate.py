@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from glintframe.llm import common as C
 
@@ -46,7 +47,9 @@ FILTER_BITS = 26  # the filter has 2**26 bits (8 MB), whatever the benchmark's s
 SALTS = 16
 CACHE = 150_000
 
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million", re.I)
+NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?", re.I)
+# Numbers in words.
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve hundred thousand million".split())
 TRIM = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 SENTENCE_END = re.compile(r"[.!?:][\"'”’)\]]*$")
 # Units that may follow a number.
@@ -62,13 +65,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_hash(s: str) -> int:
-    """A fixed 64-bit hash of a short string."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
 class Templates(dict):
     """Template tokens of texts.  What a chunk of text between blanks says of itself is looked up once, by its number."""
 
@@ -80,21 +76,23 @@ class Templates(dict):
 
     def __missing__(self, chunk: str) -> int:
         if chunk.isalpha():
-            core, flags = chunk, 0
+            core, low, flags = chunk, chunk.lower(), 0
+            number = low in NUMBER_WORDS
         else:
             core = TRIM.sub("", chunk)
+            low = core.lower()
             flags = 8 * bool(SENTENCE_END.search(chunk)) + 16 * (not core)
-        low = core.lower()
-        if NUMBER.fullmatch(core):
+            number = low in NUMBER_WORDS or NUMBER.fullmatch(core) is not None
+        if number:
             flags |= 1
         else:
-            flags |= 2 * (low in UNITS) + 4 * (core[:1].isupper())
+            flags |= 2 * (low in UNITS) + 4 * core[:1].isupper()
         i = self[chunk] = len(self.values)
         self.values.append(low)
         if i == len(self.hash):
             self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
             self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-        self.hash[i] = text_hash(low)
+        self.hash[i] = xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         self.flags[i] = flags
         return i
 

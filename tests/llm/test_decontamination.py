@@ -67,6 +67,10 @@ def planted(seed: int):
     return items, docs, want
 
 
+def number(core: str) -> bool:
+    return core.lower() in D.NUMBER_WORDS or D.NUMBER.fullmatch(core) is not None
+
+
 def brute_windows(text: str):
     """(mode, words of the windows by position, slots), from the definitions."""
     raw = []
@@ -76,9 +80,9 @@ def brute_windows(text: str):
             raw.append((core, bool(D.SENTENCE_END.search(chunk)), chunk))
     tokens, before_end = [], True
     for k, (core, ends, _) in enumerate(raw):
-        if D.NUMBER.fullmatch(core):
+        if number(core):
             kind = "N"
-        elif core.lower() in D.UNITS and k and D.NUMBER.fullmatch(raw[k - 1][0]):
+        elif core.lower() in D.UNITS and k and number(raw[k - 1][0]):
             kind = "U"
         elif core[0].isupper() and not before_end:
             kind = "P"
