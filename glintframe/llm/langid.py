@@ -17,6 +17,7 @@ Columns of the operator's names (``lang_pred``, ``lang_score``, ``phrase_length`
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ SAMPLE_DOCS = 24  # documents per language, about; their texts are taken whole
 LONGEST_SAMPLE = 100_000  # code points: longer texts aren't drawn into the sample, so it stays bounded
 LANE = 1024
 DENSE = 1 << 23  # cells of an automaton up to which its moves are laid out as a plain table
+MIXED = re.compile(r"(?<!\w)[^\W\d]*+\d\w*")
 START = np.int32(1 << 30)  # flag: this step begins a phrase
 
 
@@ -212,7 +214,15 @@ def lane_phrases(lanes: Lanes, table: Dense | Hashed) -> np.ndarray:
 
 
 def encode(text: str, lookup: np.ndarray) -> np.ndarray:
-    """Symbols of a text: letters in lower case, every run of other characters one blank (0)."""
+    """Symbols of a text: letters in lower case, every run of other characters one blank (0).
+
+    Words with digits (keys, numbers with units) are in no language; they count only where there are no other letters.
+    """
+    codes = _symbols(MIXED.sub(" ", text), lookup)
+    return codes if codes.any() else _symbols(text, lookup)
+
+
+def _symbols(text: str, lookup: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = lookup[points]
     if len(codes):
@@ -290,7 +300,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
         def block(texts: list[str]) -> tuple[list, list, list]:
             codes = [encode(t, lookup) for t in texts]
-            letters = np.array([int((c > 0).sum()) for c in codes])
+            letters = np.array([np.count_nonzero(c) for c in codes])
             counts = parse(codes, tables) if tables else np.zeros((len(texts), 1), np.int64)
             bits = counts * weight if tables else counts.astype(float)
             best = bits.argmin(axis=1)

@@ -318,3 +318,12 @@ def test_trees_equal_brute_force(monkeypatch):
         leaves = tree(np.arange(len(y)), y - p, p * (1 - p), quality.DEPTH)
         score = score + np.array([leaves[i] for i in range(len(y))])
     assert got.raw(x) == pytest.approx(score, rel=1e-9)
+
+
+def test_words_with_digits_are_in_no_language():
+    lookup = langid.symbol_lookup({ch: i + 2 for i, ch in enumerate("abcdef")})
+    plain = langid.encode("abc def", lookup).tolist()
+    assert langid.encode("abc 12ff34ee def a1", lookup).tolist()[: len(plain)] == plain
+    assert np.count_nonzero(langid.encode("a1b2 77", lookup)) == 2
+    assert not langid.encode("12 34", lookup).any() and not len(langid.encode("", lookup))
+    assert np.count_nonzero(langid.encode("a" * 200_000 + " b", lookup)) == 200_001
