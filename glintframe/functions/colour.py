@@ -84,3 +84,24 @@ def red_transition(a: np.ndarray, b: np.ndarray, delta: float) -> np.ndarray:
     du = (((a >> 16) & 0x7FFF).astype(f) - ((b >> 16) & 0x7FFF).astype(f)) / f(32768)
     dv = ((a & 0xFFFF).astype(f) - (b & 0xFFFF).astype(f)) / f(65536)
     return (((a | b) & SATURATED) != 0) & (du * du + dv * dv > f(delta) * f(delta))
+
+
+def default_matrix(height: Column) -> Column:
+    """The matrix of a picture whose stream names none."""
+    return F.when(height > 576, "bt709").otherwise("bt601")
+
+
+def by_matrix(name: Column, y: Column, u: Column, v: Column) -> list[Column]:
+    """Red, green and blue codes of one sample, by the matrix that a column names."""
+    out = [F.lit(None).cast("long")] * 3
+    for matrix in YUV:
+        out = [F.when(name == matrix, made).otherwise(rest) for made, rest in zip(yuv_to_rgb(y, u, v, matrix), out, strict=True)]
+    return out
+
+
+def red_step(a: Column, b: Column, delta: float) -> Column:
+    """``red_transition`` of packed colours in columns of long."""
+    du = (F.shiftright(a, 16).bitwiseAND(F.lit(0x7FFF)) - F.shiftright(b, 16).bitwiseAND(F.lit(0x7FFF))) / F.lit(32768.0)
+    dv = (a.bitwiseAND(F.lit(0xFFFF)) - b.bitwiseAND(F.lit(0xFFFF))) / F.lit(65536.0)
+    red = a.bitwiseOR(b).bitwiseAND(F.lit(SATURATED)) != 0
+    return red & (du * du + dv * dv > F.lit(delta * delta))

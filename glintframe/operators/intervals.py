@@ -181,3 +181,22 @@ def labelled(sections: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
     other = spans.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("kind").alias("__k"))
     rows = sections.join(other, keys, "left").withColumn("__k", F.when((F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), F.col("__k")))
     return rows.groupBy(*sections.columns).agg(F.array_join(F.array_sort(F.collect_set("__k")), ",").alias("kinds"))
+
+
+def located(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Append to points the span (start, end, id) that holds them, null if none; spans of one key don't overlap.
+
+    An as-of join over the sorted union: the last span that starts at or before the point, if it ends after it.
+    """
+    point = points.select(*keys, F.col(at).alias("__x"), F.lit(None).cast(spans.select(F.struct("start", "end", "id")).schema[0].dataType).alias("__s"), F.struct(*points.columns).alias("__p"))
+    span = spans.select(*keys, F.col("start").alias("__x"), F.struct("start", "end", "id").alias("__s"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
+    up = Window.partitionBy(*keys).orderBy("__x", F.col("__p").isNotNull())
+    rows = point.unionByName(span).withColumn("__last", F.last("__s", ignorenulls=True).over(up)).where("__p is not null")
+    return rows.select("__p.*", F.when(F.col("__x") < F.col("__last.end"), F.col("__last")).alias("__in")).select(*points.columns, "__in.start", "__in.end", "__in.id")
+
+
+def pulses(marked: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Runs of consecutive ordinals: first, last and length."""
+    run = F.col(ordinal) - F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))
+    runs = marked.withColumn("__run", run).groupBy(*keys, "__run")
+    return runs.agg(F.min(ordinal).alias("first"), F.max(ordinal).alias("last"), F.count(F.lit(1)).alias("length")).drop("__run")

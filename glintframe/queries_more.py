@@ -292,3 +292,6 @@ def suggested_removals(spark: SparkSession, d: str) -> DataFrame:
     hot = flashes.series_flashes(rows, ["vid"]).where("strobing").select("vid", (F.col("tc") - 1.0).alias("start"), F.col("tc").alias("end"))
     spans = stored(V.merge_spans(hot, ["vid"]), "flashing")
     return search.suggest_removals(rows, spans, ["vid"], PROFILES["wcag"])
+
+
+from glintframe import queries_extra  # noqa: E402, F401  (registers its queries)
