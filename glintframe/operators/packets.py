@@ -81,9 +81,15 @@ def triage(packets: DataFrame, keys: list[str], chunk: str, share: float = 0.25)
 
 
 def sync_before(wanted: DataFrame, syncs: DataFrame, keys: list[str]) -> DataFrame:
-    """Append to wanted (t) the last sync time at or before it, or the first sync of all."""
-    rows = wanted.join(syncs.select(*keys, F.col("t").alias("__s")), keys, "left")
-    return rows.groupBy(*wanted.columns).agg(F.coalesce(F.max(F.when(F.col("__s") <= F.col("t"), F.col("__s"))), F.min("__s")).alias("sync"))
+    """Append to wanted (t) the last sync time at or before it, or the first sync of all.
+
+    An as-of join over the sorted union; no pairs of one key are made.
+    """
+    point = wanted.select(*keys, F.col("t").alias("__x"), F.lit(None).cast(syncs.schema["t"].dataType).alias("__s"), F.struct(*wanted.columns).alias("__p"))
+    sync = syncs.select(*keys, F.col("t").alias("__x"), F.col("t").alias("__s"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
+    up = Window.partitionBy(*keys).orderBy("__x", F.col("__p").isNotNull())
+    rows = point.unionByName(sync).withColumn("__last", F.last("__s", ignorenulls=True).over(up)).withColumn("__first", F.min("__s").over(Window.partitionBy(*keys)))
+    return rows.where("__p is not null").select("__p.*", F.coalesce("__last", "__first").alias("sync"))
 
 
 def near_sync(wanted: DataFrame, syncs: DataFrame, keys: list[str], slack: float = 0.005) -> DataFrame:
@@ -96,9 +102,15 @@ def near_sync(wanted: DataFrame, syncs: DataFrame, keys: list[str], slack: float
 
 
 def run_up(starts: DataFrame, frames: DataFrame, keys: list[str], seconds: float) -> DataFrame:
-    """For each start (tc): the first frame within ``seconds`` of it on the clock."""
-    rows = starts.join(frames.select(*keys, F.col("tc").alias("__tc"), F.col("n").alias("__n")), keys)
-    return rows.where((F.col("__tc") >= F.col("tc") - seconds) & (F.col("__tc") <= F.col("tc"))).groupBy(*starts.columns).agg(F.min("__n").alias("from_n"))
+    """For each start (tc): the first frame within ``seconds`` before it on the clock; starts without one are left out.
+
+    A range window over the sorted union of both; no pairs of one key are made.
+    """
+    start = starts.select(*keys, F.col("tc").alias("__x"), F.lit(None).cast(frames.schema["n"].dataType).alias("__n"), F.struct(*starts.columns).alias("__p"))
+    frame = frames.select(*keys, F.col("tc").alias("__x"), F.col("n").alias("__n"), F.lit(None).cast(start.schema["__p"].dataType).alias("__p"))
+    span = f"min(__n) OVER (PARTITION BY {', '.join(keys)} ORDER BY __x RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW)"
+    rows = start.unionByName(frame).withColumn("from_n", F.expr(span))
+    return rows.where("__p is not null and from_n is not null").select("__p.*", "from_n")
 
 
 def decode_times(packets: DataFrame, keys: list[str]) -> DataFrame:

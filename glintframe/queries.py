@@ -82,14 +82,14 @@ def monotonic_clock(spark, d):
 
 
 @query(
-    f"""WITH {CLOCK}, p AS (SELECT vid, tc + 0.05e0 AS at FROM c WHERE n % 3 = 0)
+    f"""WITH {CLOCK}, p AS (SELECT vid, tc + 0.05e0 AS at FROM c)
 SELECT p.vid, {US.format('p.at')} AS at_us, CAST(round((CASE WHEN b.tc IS NULL OR a.tc >= b.tc THEN a.t ELSE a.t + (b.t - a.t) * ((p.at - a.tc) / (b.tc - a.tc)) END)*1e4) AS BIGINT) AS native_e4
 FROM p LEFT JOIN LATERAL (SELECT tc, t FROM c WHERE c.vid = p.vid AND c.tc <= p.at ORDER BY tc DESC, n DESC LIMIT 1) a ON true
 LEFT JOIN LATERAL (SELECT tc, t FROM c WHERE c.vid = p.vid AND c.tc >= p.at ORDER BY tc, n LIMIT 1) b ON true"""
 )
 def to_native(spark, d):
     frames = clocked(spark, d)
-    points = frames.where("n % 3 = 0").select("vid", (F.col("tc") + 0.05).alias("at"))
+    points = frames.select("vid", (F.col("tc") + 0.05).alias("at"))
     made = clock.to_native(points, frames, ["vid"], "at")
     return made.select("vid", us("at").alias("at_us"), F.round(F.col("native") * 1e4).cast("long").alias("native_e4"))
 

@@ -157,12 +157,12 @@ def applied_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PACKETS}, k AS (SELECT DISTINCT vid, t FROM p WHERE sync), w AS (SELECT DISTINCT vid, t + 3 AS t FROM p WHERE "order" % 50 = 0)
+    f"""WITH {PACKETS}, k AS (SELECT DISTINCT vid, t FROM p WHERE sync), w AS (SELECT DISTINCT vid, t + 3 AS t FROM p)
 SELECT w.vid, w.t, coalesce(max(CASE WHEN k.t <= w.t THEN k.t END), min(k.t)) AS sync FROM w LEFT JOIN k ON k.vid = w.vid GROUP BY w.vid, w.t"""
 )
 def sync_before(spark: SparkSession, d: str) -> DataFrame:
     rows = packet_rows(spark, d)
-    wanted = rows.where("order % 50 = 0").select("vid", (F.col("t") + 3).alias("t")).distinct()
+    wanted = rows.select("vid", (F.col("t") + 3).alias("t")).distinct()
     return packets.sync_before(wanted, rows.where("sync").select("vid", "t").distinct(), ["vid"])
 
 
@@ -172,10 +172,10 @@ def near_keyframe(spark: SparkSession, d: str) -> DataFrame:
     return packets.near_sync(rows.where("NOT sync").select("vid", "order", "t"), rows.where("sync"), ["vid"])
 
 
-@query(f"WITH {CLOCK} SELECT a.vid, a.n, min(b.n) AS from_n FROM c a JOIN c b ON b.vid = a.vid AND b.tc >= a.tc - 2e0 AND b.tc <= a.tc WHERE a.n % 10 = 0 GROUP BY a.vid, a.n")
+@query(f"WITH {CLOCK} SELECT a.vid, a.n, min(b.n) AS from_n FROM c a JOIN c b ON b.vid = a.vid AND b.tc >= a.tc - 2e0 AND b.tc <= a.tc GROUP BY a.vid, a.n")
 def run_up(spark: SparkSession, d: str) -> DataFrame:
     rows = clocked(spark, d)
-    return packets.run_up(rows.where("n % 10 = 0").select("vid", "n", "tc"), rows, ["vid"], 2.0).select("vid", "n", "from_n")
+    return packets.run_up(rows.select("vid", "n", "tc"), rows, ["vid"], 2.0).select("vid", "n", "from_n")
 
 
 @query(
