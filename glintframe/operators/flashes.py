@@ -137,19 +137,42 @@ def series_flashes(df: DataFrame, keys: list[str], order: str = "n", time: str =
     fields = [T.StructField("transition", T.IntegerType()), T.StructField("flash", T.BooleanType()), T.StructField("opened", T.DoubleType()), T.StructField("strobing", T.BooleanType())]
 
     def begin():
-        runs, pairs = Runs(1, noise), Pairs(1, k)
+        # One series is one lane of Runs and Pairs: the same rules in plain floats.
+        direction, base, far, since = 0, None, 0.0, 0.0
+        pending, pending_t, times = 0, NEVER, [NEVER] * k
 
         def step(row: dict):
-            x, t = np.array([row[value]], float), row[time]
-            if runs.base is None:
-                runs.start(x, t)
+            nonlocal direction, base, far, since, pending, pending_t, times
+            x, t = row[value], row[time]
+            if base is None:
+                base, far, since = x, x, t
                 return 0, False, None, False
-            peak, trough, base, far = runs.feed(x, t)
-            rose = bool(peak[0] and far[0] - base[0] >= swing and base[0] < dark)
-            fell = bool(trough[0] and base[0] - far[0] >= swing and far[0] < dark)
-            polarity = int(rose) - int(fell)
-            flash = bool(pairs.feed(np.array([polarity]), t)[0])
-            return polarity, flash, float(pairs.opens[0, 0]) if flash else None, bool(pairs.strobing(t, k)[0])
+            polarity = 0
+            if direction:
+                if x >= far if direction == UP else x <= far:
+                    far = x
+                elif x < far - noise if direction == UP else x > far + noise:
+                    low, high = (base, far) if direction == UP else (far, base)
+                    if high - low >= swing and low < dark:
+                        polarity = direction
+                    direction, base, far, since = -direction, far, x, t
+            elif x > base + noise:
+                direction, far = UP, x
+            elif x < base - noise:
+                direction, far = DOWN, x
+            if t - since > MAX_RUN:
+                if not direction:
+                    far = x
+                base, since = far, t
+            flash, opened = False, None
+            if polarity:
+                if pending == -polarity and t - pending_t <= PAIR:
+                    flash, opened = True, pending_t
+                    times = [t, *times[:-1]]
+                    pending, pending_t = 0, NEVER
+                else:
+                    pending, pending_t = polarity, t
+            return polarity, flash, opened, t - times[0] <= FRESH and t - times[k - 1] < RATE
 
         return step
 

@@ -192,7 +192,7 @@ SELECT vid, 'limit' AS level, w.kind AS kind, {US.format('s')} AS start_us, {US.
 UNION ALL SELECT vid, 'strict', w.kind, {US.format('s')}, {US.format('e')}, CAST(round(sev*100) AS BIGINT), {US.format('w.t')} FROM more"""
 )
 def close_calls(spark, d):
-    st = stats(spark, d)
+    st = stored(stats(spark, d), "stats")  # read by every branch
     found = V.strobe_violations(st, ["vid"], 200, gap=0.2).where("severity >= 1.9")
     limit, strict = (V.warning_spans(st, ["vid"], th, "area", "red") for th in (380, 300))
     made = V.close_calls(limit, strict, found, ["vid"])
@@ -218,7 +218,7 @@ m2 AS (SELECT vid, min(s) AS s, max(e) AS e FROM g3 GROUP BY vid, i)
 SELECT m2.vid, {US.format('s')} AS start_us, {US.format('max(h)')} AS end_us FROM m2 JOIN hits ON hits.vid = m2.vid AND h <= e GROUP BY m2.vid, s, e"""
 )
 def extended_flashes(spark, d):
-    st = stats(spark, d).withColumnsRenamed({"area": "ext", "red": "ext_red"})
+    st = stored(stats(spark, d), "stats").withColumnsRenamed({"area": "ext", "red": "ext_red"})
     return V.extended_flashes(st, ["vid"], 330).select("vid", us("start").alias("start_us"), us("end").alias("end_us"))
 
 
@@ -233,8 +233,9 @@ SELECT vid, kinds, {US.format('s + (e - s) / parts * k')} AS start_us, {US.forma
 FROM (SELECT *, unnest(range(0, parts)) AS k FROM q5)"""
 )
 def work_sections(spark, d):
-    lasts = stats(spark, d).groupBy("vid").agg(F.max("t").alias("dur"))
-    found = strobes(spark, d).withColumn("kind", F.when(F.col("severity") >= 1.8, "red").otherwise("flash")).join(lasts, "vid")
+    st = stored(stats(spark, d), "stats")
+    lasts = st.groupBy("vid").agg(F.max("t").alias("dur"))
+    found = V.strobe_violations(st, ["vid"], 200, gap=0.2).withColumn("kind", F.when(F.col("severity") >= 1.8, "red").otherwise("flash")).join(lasts, "vid")
     made = V.sections(found, ["vid"], "dur", pad=0.3, gap=0.2, least=1.0, most=4.0)
     return made.select("vid", "kinds", us("start").alias("start_us"), us("end").alias("end_us"))
 
@@ -342,8 +343,9 @@ def picture_times(spark, d):
 SELECT vid, {US.format('s')} AS start_us, CASE WHEN e >= a - 1e-6 AND s < z - 1e-6 THEN 'inside' WHEN s >= z - 1e-6 AND s <= z + 0.125e0 THEN 'after' WHEN e < a THEN 'before' ELSE 'elsewhere' END AS bucket FROM v JOIN b USING (vid)"""
 )
 def classified_violations(spark, d):
-    bounds = stats(spark, d).groupBy("vid").agg((F.max("t") / 3).alias("a"), (F.max("t") * 2 / 3).alias("z"))
-    rows = strobes(spark, d).withColumnsRenamed({"start": "v_start", "end": "v_end"}).join(bounds, "vid")
+    st = stored(stats(spark, d), "stats")
+    bounds = st.groupBy("vid").agg((F.max("t") / 3).alias("a"), (F.max("t") * 2 / 3).alias("z"))
+    rows = V.strobe_violations(st, ["vid"], 200, gap=0.2).withColumnsRenamed({"start": "v_start", "end": "v_end"}).join(bounds, "vid")
     return edits.classified(rows, "a", "z").select("vid", us("v_start").alias("start_us"), "bucket")
 
 
