@@ -3,16 +3,17 @@
 1. *Pictures*: a pass over each video's sorted frames keeps a clock and the last new picture, and
    tells new pictures from repeated ones.  It emits bands of rows, as colour planes.
 2. *Pixels*: a pass over each (video, band) tracks every pixel's runs and flashes as numpy vectors
-   and emits partial sums per sliding window; windows are summed across bands by an aggregate.
-3. *Windows*: a pass over each (video, window) tracks the window's mean, which must flash too.
-4. *Frames*: aggregates over windows give one row of statistics per frame; intervals follow in SQL.
+   and emits the band's share of all sliding windows as one array a picture.
+3. *Frames*: a pass over each video adds the bands' arrays up, tracks every window's mean, which must
+   flash too, and gives one row of statistics per frame; intervals follow in SQL.
 
-Each pass keeps the state of its current key only.  Shuffles are keyed by (video, band) and
-(video, window), so one video is spread over many tasks once its pictures are told apart.
+Each pass keeps the state of its current key only.  The work on pixels is keyed by (video, band), so one
+video is spread over many tasks once its pictures are told apart; what meets again by video is small.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.config import Config
+from glintframe.config import Config, Geometry
 from glintframe.functions import colour
 from glintframe.operators import flashes as R
 from glintframe.operators import intervals as V
@@ -30,6 +31,11 @@ BAND = 32  # rows of a picture worked on together
 COUNTS = ["fail", "ext", "warn", "fail_red", "ext_red", "warn_red"]
 
 
+@functools.lru_cache
+def _geometry(cfg: Config, width: int, height: int) -> Geometry:
+    return cfg.geometry(width, height)
+
+
 def median(values: list[float]) -> float:
     return float(np.median(values)) if values else 1 / 30
 
@@ -56,7 +62,7 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                 held = False
                 if state["light"] is not None:
                     moved = (np.abs(light - state["light"]) > np.float32(0.5 * cfg.swing)) | (np.abs(red - state["red"]) > np.float32(0.5 * colour.LEAST_RED_SWING))
-                    held = bool(moved.sum() < max(1.0, 0.1 * cfg.geometry(row["w"], row["h"]).area))
+                    held = bool(moved.sum() < max(1.0, 0.1 * _geometry(cfg, row["w"], row["h"]).area))
                 first = state["light"] is None
                 if not held:
                     state["light"], state["red"] = light, red
@@ -109,11 +115,32 @@ class _Tile:
         return masks, ages
 
 
+def _window_sums(sums: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
+    """(plane, cell) totals of every window's part in a band, from sums accumulated along both axes."""
+    rows = sums.shape[1] - 1
+    top = np.clip(np.asarray(geo.ys) - y0, 0, rows)
+    bottom = np.clip(np.asarray(geo.ys) + geo.wh - y0, 0, rows)
+    left = np.asarray(geo.xs)
+    right = left + geo.ww
+    upper, lower = sums[:, top], sums[:, bottom]
+    return (lower[:, :, right] - upper[:, :, right] - lower[:, :, left] + upper[:, :, left]).reshape(len(sums), -1)
+
+
+def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
+    """The largest age in every window's part in a band; 0 where there is none."""
+    out = np.zeros((len(geo.ys), len(geo.xs)))
+    for i, y in enumerate(geo.ys):
+        a, b = max(0, y - y0), min(len(ages), y + geo.wh - y0)
+        if a < b:
+            column = ages[a:b].max(axis=0)
+            out[i] = [column[x : x + geo.ww].max() for x in geo.xs]
+    return out.ravel()
+
+
 def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
-    """Partial sums of every window over one band's rows, for each new picture (held pictures: nulls)."""
+    """One row for each new picture and band: totals of all windows over the band's rows; one without, for a held picture."""
     ready = bands.repartition("video", "band").sortWithinPartitions("video", "band", "n")
-    fields = ["sum_l", "sum_v", *COUNTS, "age", "age_red"]
-    schema = "video string, n long, cell int, t double, tc double, held boolean, first boolean, anomaly boolean, mean double, w int, h int, " + ", ".join(f"{f} double" for f in fields)
+    schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, None
@@ -121,8 +148,7 @@ def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
             made: list[tuple] = []
             for row in batch.to_pylist():
                 w, h, y0 = row["w"], row["h"], row["band"] * BAND
-                geo = cfg.geometry(w, h)
-                tags = (row["t"], row["tc"], row["held"], row["first"], row["anomaly"], row["mean"], w, h)
+                tags = tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
                 if (row["video"], row["band"]) != key:
                     key, tile = (row["video"], row["band"]), None
                 t = float(round(row["tc"] * 1e6))
@@ -131,8 +157,9 @@ def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
                         tile.light.settle(t)
                         tile.red.settle(t)
                     if row["band"] == 0:
-                        made.extend((row["video"], row["n"], cell, *tags, *[None] * len(fields)) for cell, *_ in geo.cells())
+                        made.append((*tags, 0, None))
                     continue
+                geo = _geometry(cfg, w, h)
                 rows = min(BAND, h - y0)
                 planes = np.frombuffer(row["planes"], np.int32).reshape(3, rows * w)
                 light, red, packed = planes[0].view(np.float32), planes[1].view(np.float32), planes[2].view(np.uint32).astype(np.int64)
@@ -144,83 +171,123 @@ def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
                 else:
                     masks, ages = tile.feed(light, red, packed, t)
                 sums = np.zeros((2 + len(COUNTS), rows + 1, w + 1))
-                sums[:, 1:, 1:] = np.stack([x.reshape(rows, w) for x in (light, red, *masks)]).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
-                grid_ages = [a.reshape(rows, w) for a in ages]
-                for cell, x0, top, x1, bottom in geo.cells():
-                    a, b = max(0, top - y0), min(rows, bottom - y0)
-                    if a >= b:
-                        continue
-                    s = sums[:, b, x1] - sums[:, a, x1] - sums[:, b, x0] + sums[:, a, x0]
-                    oldest = [float(g[a:b, x0:x1].max()) if m else 0.0 for g, m in zip(grid_ages, (s[2], s[5]), strict=True)]
-                    made.append((row["video"], row["n"], cell, *tags, *s.tolist(), *oldest))
+                some = [0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())]
+                sums[some, 1:, 1:] = np.stack([(light, red, *masks)[i].reshape(rows, w) for i in some]).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
+                oldest = [_oldest(g.reshape(rows, w), geo, y0) if m.any() else np.zeros(len(geo.xs) * len(geo.ys)) for g, m in zip(ages, (masks[0], masks[3]), strict=True)]
+                made.append((*tags, row["band"], np.vstack([_window_sums(sums, geo, y0), *oldest]).tobytes()))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     f64, i32 = pa.float64(), pa.int32()
-    kinds = [pa.string(), pa.int64(), i32, f64, f64, pa.bool_(), pa.bool_(), pa.bool_(), f64, i32, i32] + [f64] * len(fields)
-    made = ready.mapInArrow(run, schema)
-    sums = [F.sum(f).alias(f) for f in fields[:-2]] + [F.max(f).alias(f) for f in fields[-2:]]
-    return made.groupBy("video", "n", "cell", "t", "tc", "held", "first", "anomaly", "mean", "w", "h").agg(*sums)
-
-
-def _coherent(windows: DataFrame, cfg: Config) -> DataFrame:
-    """Append whether a window's mean flashes too, at the rates of failing, extended flashing and warnings."""
-    from pyspark.sql import types as T
-
-    names = ["coh_fail", "coh_ext", "coh_warn", "coh_fail_red", "coh_ext_red", "coh_warn_red"]
-    swing = np.float32(max(0.02, np.float32(cfg.swing) * np.float32(cfg.area_fraction)))
-    warn_swing = np.float32(max(0.02, np.float32(cfg.warn_swing) * np.float32(cfg.warn_area_fraction)))
-    red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.area_fraction)
-    warn_red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.warn_area_fraction)
-    fresh = max(cfg.pool, 0.2)
-
-    def begin():
-        swings = [swing, red, warn_swing, warn_red]
-        runs = [R.Runs(1, s * np.float32(0.3), dtype=np.float32) for s in swings]
-        pairs = [R.Pairs(1, cfg.k_fail) for _ in swings]
-
-        def step(row: dict):
-            t = row["tc"]
-            if row["held"]:
-                for r in runs:
-                    r.settle(t)
-                return (False,) * 6
-            geo = cfg.geometry(row["w"], row["h"])
-            means = [np.array([np.float32(np.float64(np.float32(row[c])) / (geo.ww * geo.wh))]) for c in ("sum_l", "sum_v")]
-            for i, (r, p, s) in enumerate(zip(runs, pairs, swings, strict=True)):
-                x = means[i % 2]
-                if r.base is None:
-                    r.start(x, t)
-                    continue
-                peak, trough, base, far = r.feed(x, t)
-                up, down = peak & (far - base >= s), trough & (base - far >= s)
-                p.feed(up.astype(np.int8) - down.astype(np.int8), t)
-            of = lambda p, k: bool(p.strobing(t, k, fresh)[0])
-            g, rd, wg, wr = pairs
-            return of(g, cfg.k_fail), of(g, cfg.k_extended), cfg.warns and of(wg, cfg.k_warn), of(rd, cfg.k_fail), of(rd, cfg.k_extended), cfg.warns and of(wr, cfg.k_warn)
+    kinds = [pa.string(), pa.int64(), f64, f64, pa.bool_(), pa.bool_(), f64, i32, i32, i32, pa.binary()]
+    return ready.mapInArrow(run, schema)
+
 
-        return step
+class _Windows:
+    """Whether the windows' means flash too: every window of a picture is a lane."""
 
-    return R.sorted_fold(windows, ["video", "cell"], ["n"], [T.StructField(n, T.BooleanType()) for n in names], begin, windows.columns)
+    def __init__(self, n: int, cfg: Config):
+        self.cfg = cfg
+        swing = np.float32(max(0.02, np.float32(cfg.swing) * np.float32(cfg.area_fraction)))
+        warn_swing = np.float32(max(0.02, np.float32(cfg.warn_swing) * np.float32(cfg.warn_area_fraction)))
+        red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.area_fraction)
+        warn_red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.warn_area_fraction)
+        self.swings = [swing, red, warn_swing, warn_red]
+        self.runs = [R.Runs(n, s * np.float32(0.3), dtype=np.float32) for s in self.swings]
+        self.pairs = [R.Pairs(n, cfg.k_fail) for _ in self.swings]
+
+    def settle(self, t: float) -> None:
+        for r in self.runs:
+            r.settle(t)
+
+    def feed(self, means: list[np.ndarray], t: float) -> list[np.ndarray]:
+        """Which windows flash often enough, in the order of COUNTS."""
+        for i, (r, p, s) in enumerate(zip(self.runs, self.pairs, self.swings, strict=True)):
+            x = means[i % 2]
+            if r.base is None:
+                r.start(x, t)
+                continue
+            peak, trough, base, far = r.feed(x, t)
+            up, down = peak & (far - base >= s), trough & (base - far >= s)
+            p.feed(up.astype(np.int8) - down.astype(np.int8), t)
+        cfg, (g, rd, wg, wr) = self.cfg, self.pairs
+        of = lambda p, k: p.strobing(t, k, max(cfg.pool, 0.2))
+        none = np.zeros(len(means[0]), bool)
+        return [of(g, cfg.k_fail), of(g, cfg.k_extended), of(wg, cfg.k_warn) if cfg.warns else none, of(rd, cfg.k_fail), of(rd, cfg.k_extended), of(wr, cfg.k_warn) if cfg.warns else none]
+
+
+STATS = "video string, n long, t double, tc double, held boolean, anomaly boolean, lum double, hazard int, hazard_red int, cell int, onset_tc double, onset_red_tc double, ext int, ext_red int, warn int, warn_red int, w int, h int"
 
 
 def frame_stats(frames: DataFrame, cfg: Config) -> DataFrame:
-    """One row per frame: clock, held, areas of hazard, extended flashing and warnings of both kinds, onsets, cell."""
-    windows = _coherent(_window_parts(_pictures(frames, cfg), cfg), cfg)
-    area = F.lit(None).cast("int")
-    sizes = frames.select("w", "h").distinct().collect()  # one row for each picture size
-    for w, h in sizes:
-        area = F.when((F.col("w") == w) & (F.col("h") == h), F.lit(cfg.geometry(w, h).area)).otherwise(area)
-    best = lambda c: F.max(F.when((F.col(c) >= area) & F.col(f"coh_{c}"), F.struct(F.col(c).cast("int").alias("area"), (-F.col("cell")).alias("cell"), F.col("age_red" if c.endswith("red") else "age").alias("age"))))
-    most = lambda c: F.coalesce(F.max(F.when(F.col(f"coh_{c}"), F.col(c).cast("int"))), F.lit(0)).alias(c)
-    stats = windows.groupBy("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h").agg(best("fail").alias("g"), best("fail_red").alias("r"), most("ext"), most("ext_red"), most("warn"), most("warn_red"))
-    onset = lambda s: F.when(F.col(s)["age"] > 0, F.col("tc") - F.col(s)["age"] * 1e-6 - cfg.pool).otherwise(F.col("tc"))
-    return stats.select(
-        "video", "n", "t", "tc", "held", "anomaly", F.col("mean").alias("lum"),
-        F.coalesce("g.area", F.lit(0)).alias("hazard"), F.coalesce("r.area", F.lit(0)).alias("hazard_red"), (-F.col("g.cell")).alias("cell"),
-        onset("g").alias("onset_tc"), onset("r").alias("onset_red_tc"), "ext", "ext_red", "warn", "warn_red", "w", "h",
-    )
+    """One row per frame: clock, held, areas of hazard, extended flashing and warnings of both kinds, onsets, cell.
+
+    The bands' totals of a picture, a few hundred numbers each, meet in a pass over each video's sorted frames.
+    """
+    parts = _window_parts(_pictures(frames, cfg), cfg).repartition("video").sortWithinPartitions("video", "n", "band")
+    names = [x.split()[0] for x in STATS.split(", ")]
+
+    def stats(tags: tuple, total: np.ndarray | None, state: _Windows | None) -> tuple:
+        video, n, t, tc, held, anomaly, mean, w, h = tags
+        if total is None:
+            return (video, n, t, tc, held, anomaly, mean, 0, 0, None, tc, tc, 0, 0, 0, 0, w, h)
+        geo = _geometry(cfg, w, h)
+        means = [(x.astype(np.float32).astype(np.float64) / (geo.ww * geo.wh)).astype(np.float32) for x in total[:2]]
+        flashing = state.feed(means, tc)
+        counts = dict(zip(COUNTS, zip(total[2:8], flashing, strict=True), strict=True))
+
+        def best(name: str, ages: np.ndarray) -> tuple:
+            """(area, cell, onset) of the window with the largest area that fails, the first of equal ones."""
+            area, ok = counts[name]
+            area = np.where(ok & (area >= geo.area), area, -1)
+            cell = int(area.argmax())
+            if area[cell] < 0:
+                return 0, None, tc
+            return int(area[cell]), cell, tc - ages[cell] * 1e-6 - cfg.pool if ages[cell] > 0 else tc
+
+        most = lambda name: int(np.where(counts[name][1], counts[name][0], 0).max())
+        (hazard, cell, onset), (hazard_red, _, onset_red) = best("fail", total[8]), best("fail_red", total[9])
+        return (video, n, t, tc, held, anomaly, mean, hazard, hazard_red, cell, onset, onset_red, most("ext"), most("ext_red"), most("warn"), most("warn_red"), w, h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, state = None, None
+        tags, total = None, None
+        made: list[tuple] = []
+
+        def close() -> None:
+            nonlocal video, state
+            if tags is None:
+                return
+            if tags[0] != video:
+                video, state = tags[0], None
+            if total is not None and state is None:
+                state = _Windows(total.shape[1], cfg)
+            elif total is None and state is not None:
+                state.settle(tags[3])
+            made.append(stats(tags, total, state))
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                part = None if row[-1] is None else np.frombuffer(row[-1], np.float64).reshape(4 + len(COUNTS), -1)
+                if tags is not None and row[:2] == tags[:2]:
+                    total = np.vstack([total[:-2] + part[:-2], np.maximum(total[-2:], part[-2:])])
+                else:
+                    close()
+                    tags, total = row[:-2], part
+            if made:
+                yield batch_of()
+                made.clear()
+        close()
+        if made:
+            yield batch_of()
+
+    f64, i32 = pa.float64(), pa.int32()
+    kinds = [pa.string(), pa.int64(), f64, f64, pa.bool_(), pa.bool_(), f64, i32, i32, i32, f64, f64, i32, i32, i32, i32, i32, i32]
+    return parts.mapInArrow(run, STATS)
 
 
 def verdict(stats: DataFrame, cfg: Config, width: int, height: int, patterns: DataFrame | None = None) -> DataFrame:
