@@ -102,13 +102,13 @@ def readouts(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""WITH z AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN '..a:b/' || p_name || '.mkv' WHEN 2 THEN p_name || '.MP4' WHEN 3 THEN p_name || '?*.mov ' ELSE p_name END AS raw FROM part),
 n AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(raw, '[\x00-\x1f<>:"/\\|?*]+', ' ', 'g'), '\s+', ' ', 'g'), '^[.\s]+|[.\s]+$', '', 'g') AS name FROM z)
-SELECT id, CASE WHEN length(name) = 0 THEN NULL WHEN regexp_matches(name, '(?i)\.mp4$') THEN name ELSE regexp_replace(name, '(?i)\.(mov|m4v|mkv|webm|avi|mp4v)$', '') || '.mp4' END AS file FROM n"""
+SELECT id, CASE WHEN length(name) = 0 THEN '(none)' WHEN regexp_matches(name, '(?i)\.mp4$') THEN name ELSE regexp_replace(name, '(?i)\.(mov|m4v|mkv|webm|avi|mp4v)$', '') || '.mp4' END AS file FROM n"""
 )
 def export_names(spark: SparkSession, d: str) -> DataFrame:
     key, name = F.col("p_partkey"), F.col("p_name")
     kind = key % 5
     raw = F.when(kind == 0, "  ").when(kind == 1, F.concat(F.lit("..a:b/"), name, F.lit(".mkv"))).when(kind == 2, F.concat(name, F.lit(".MP4"))).when(kind == 3, F.concat(name, F.lit("?*.mov "))).otherwise(name)
-    return table(spark, d, "part").select(key.alias("id"), display.export_name(raw).alias("file"))
+    return table(spark, d, "part").select(key.alias("id"), F.coalesce(display.export_name(raw), F.lit("(none)")).alias("file"))
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey // 4 AS VARCHAR) ELSE regexp_replace(printf('%.6f', s_suppkey / 4e0), '\\.?0+$', '') END AS text FROM supplier".replace("\\\\", "\\"))
