@@ -120,7 +120,7 @@ replies AS (
   SELECT conv_id, max(place) AS last, min_by(text, place) AS first_reply
   FROM turns WHERE role = 'assistant' GROUP BY conv_id HAVING count(*) > 1),
 opening AS (
-  SELECT conv_id, lead(conv_id) OVER (PARTITION BY role, text, ((conv_id % 16) + 16) % 16 ORDER BY conv_id) AS other
+  SELECT conv_id, lead(conv_id) OVER (PARTITION BY role, text ORDER BY conv_id) AS other
   FROM turns WHERE place = 0),
 pairs AS (
   SELECT 'swap-' || t.conv_id AS pair_id, place, struct_pack(role := role, text := text) AS c,
