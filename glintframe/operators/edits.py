@@ -26,6 +26,36 @@ def edited_sequence(frames: DataFrame, keys: list[str], hold: float = 1.0) -> Da
     return frames.withColumn("shown", F.col("rel") + F.coalesce(holds, F.lit(0.0)))
 
 
+def holds(frames: DataFrame, keys: list[str], end: str, hold: float = 1.0) -> DataFrame:
+    """The holds of extended frames that stay: from where the next frame would be (for the last one: the section's end)."""
+    by = Window.partitionBy(*keys).orderBy("ord")
+    rows = frames.withColumn("at", F.coalesce(F.lead("rel").over(by), F.col(end)))
+    return rows.where(F.col("extended") & ~F.col("removed")).select(*keys, "ord", "at", F.lit(hold).alias("seconds"))
+
+
+def slots(pictures: DataFrame, keys: list[str]) -> DataFrame:
+    """Append ``grid`` (slots a second), ``first_slot`` and ``slots`` for an export at a constant rate.
+
+    Pictures (n, rel, until: where each one ends) take whole slots, at least one each; one that finds its
+    slot taken borrows from those after it.  The end of picture i is max(end before + 1, its own place),
+    which is i and the running maximum of place - i.  25 and 50 a second lie on a grid of 100, other rates
+    on 120, doubled until it is 1.8 times the rate.
+    """
+    by = Window.partitionBy(*keys).orderBy("n")
+    step = F.col("until") - F.col("rel")
+    usual = pictures.where(step > 1e-6).groupBy(*keys).agg((1 / F.percentile(step, 0.5)).alias("__rate"))
+    rate = F.col("__rate")
+    base = F.when((F.abs(rate - 25) < 0.5) | (F.abs(rate - 50) < 1.0), 100).otherwise(120)
+    grids = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: base * F.pow(F.lit(2), i))
+    grid = F.coalesce(F.element_at(F.filter(grids, lambda g: g >= rate * 1.8), 1), F.lit(120.0))
+    rows = pictures.join(usual.select(*keys, grid.cast("long").alias("grid")), keys, "left").fillna(120, ["grid"])
+    place = F.row_number().over(by)
+    rows = rows.withColumn("__i", place).withColumn("__p", F.rint(F.col("until") * F.col("grid")).cast("long") - F.col("__i"))
+    last = F.col("__i") + F.greatest(F.lit(0), F.max("__p").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__end", last).withColumn("first_slot", F.coalesce(F.lag("__end").over(by), F.lit(0)))
+    return rows.withColumn("slots", F.col("__end") - F.col("first_slot")).drop("__i", "__p", "__end")
+
+
 def picture_times(sequence: DataFrame, keys: list[str]) -> DataFrame:
     """The first time each source is shown."""
     return sequence.groupBy(*keys, "source").agg(F.min("shown").alias("first_shown"), F.count(F.lit(1)).alias("places"))

@@ -196,6 +196,28 @@ def greedy_gaps(df: DataFrame, keys: list[str], order: str, time: str, gap: floa
     return sorted_fold(df, keys, [order], [T.StructField(name, T.BooleanType())], begin, df.columns)
 
 
+def thinned(df: DataFrame, keys: list[str], order: str, time: str, gap: float | str, gone: str, scope: str, name: str = "thins") -> DataFrame:
+    """Append whether a row is removed so that pictures lie ``gap`` apart.
+
+    Rows that are ``gone`` neither pace nor go again; rows out of ``scope`` stay and pace the others.
+    """
+
+    def begin():
+        last = [NEVER]
+
+        def step(row: dict):
+            if row[gone]:
+                return (False,)
+            if row[scope] and row[time] - last[0] < (row[gap] if isinstance(gap, str) else gap) - 1e-9:
+                return (True,)
+            last[0] = row[time]
+            return (False,)
+
+        return step
+
+    return sorted_fold(df, keys, [order], [T.StructField(name, T.BooleanType())], begin, df.columns)
+
+
 def debounced(df: DataFrame, keys: list[str], order: str, time: str, active: str, least: float = 0.25, name: str = "event") -> DataFrame:
     """Append whether a row starts an event: activity turns on, or lasts and ``least`` seconds have passed."""
 

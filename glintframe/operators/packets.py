@@ -47,6 +47,36 @@ def chunk_starts(packets: DataFrame, keys: list[str], order: str, length: float
     return sorted_fold(rows, keys, [order], [T.StructField("starts", T.BooleanType())], begin, [*keys, order, "t"]).where("starts").drop("starts")
 
 
+def decode_spans(packets: DataFrame, keys: list[str], order: str, k: int, least: int = 120) -> DataFrame:
+    """Each series as at most ``k`` spans of about equal packets that can be decoded at once: part, from_order, from, to.
+
+    A span starts at a keyframe at least 0.75 shares after the one before and half a share before the end;
+    a series of fewer than ``least`` packets stays whole.  ``order`` counts packets from 1.
+    """
+    ends = packets.groupBy(*keys).agg(F.min("t").alias("__first"), F.max("t").alias("__last"), F.count(F.lit(1)).alias("__total"))
+    rows = packets.where("sync").join(ends.where(F.col("__total") >= least), keys)
+
+    def begin():
+        last, cuts = 0, 0
+
+        def step(row: dict):
+            nonlocal last, cuts
+            i, share = row[order] - 1, row["__total"] / k
+            cut = i > 0 and cuts < k - 1 and row["__first"] < row["t"] < row["__last"] and i - last >= share * 0.75 and row["__total"] - i >= share * 0.5
+            if cut:
+                last, cuts = i, cuts + 1
+            return (cut,)
+
+        return step
+
+    cuts = sorted_fold(rows, keys, [order], [T.StructField("cut", T.BooleanType())], begin, [*keys, order, "t"]).where("cut")
+    starts = cuts.select(*keys, F.col(order).alias("from_order"), F.col("t").alias("from"))
+    whole = ends.select(*keys, F.lit(1).cast(packets.schema[order].dataType).alias("from_order"), F.col("__first").alias("from"))
+    by = Window.partitionBy(*keys).orderBy("from_order")
+    made = whole.unionByName(starts).withColumn("part", F.row_number().over(by).cast("long")).withColumn("__to", F.lead("from").over(by))
+    return made.join(ends.select(*keys, "__last"), keys).withColumn("to", F.coalesce("__to", "__last")).drop("__to", "__last")
+
+
 def triage(packets: DataFrame, keys: list[str], chunk: str, share: float = 0.25) -> DataFrame:
     """Score the chunks of each index by their packets (size, sync, t) and mark the hottest ``share``.
 

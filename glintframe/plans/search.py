@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glintframe.config import Config
 from glintframe.operators import edits
+from glintframe.operators import intervals as V
 from glintframe.operators.flashes import greedy_gaps, series_flashes
 from glintframe.tables import stored
 
@@ -76,6 +77,85 @@ def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg:
     return best.select(*keys, "b.*")
 
 
+def flashing_spans(series: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
+    """Merged spans (keys, start, end) of the second before every moment at the failing rate."""
+    fold = series_flashes(series, keys, noise=cfg.noise, swing=cfg.swing, dark=cfg.dark, k=cfg.k_fail)
+    hot = fold.where("strobing").select(*keys, (F.col("tc") - 1.0).alias("start"), F.col("tc").alias("end"))
+    return V.merge_spans(hot, keys).select(*keys, "start", "end")
+
+
+def minority_frames(series: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: within each span, the frames beyond the middle of its percentiles, on the light side unless the dark one is clearly smaller.
+
+    Spans of a key don't meet, so the span of a frame is the last that starts before it.
+    """
+    both = series.select(*keys, F.col("tc").alias("__at"), "n", "x", F.lit(None).cast("struct<start:double,end:double>").alias("__s"))
+    marks = spans.select(*keys, F.col("start").alias("__at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("x"), F.struct("start", "end").alias("__s"))
+    up = Window.partitionBy(*keys).orderBy("__at", F.col("n").isNotNull(), "n").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.unionByName(marks).withColumn("__s", F.last("__s", ignorenulls=True).over(up)).where("n is not null and __at <= __s.end")
+    inside = inside.select(*keys, F.col("__s.start").alias("span"), "n", "x")
+    own = [*keys, "span"]
+    low, high = (F.percentile("x", p) for p in (0.15, 0.85))
+    cuts = inside.groupBy(*own).agg(low.alias("lo"), high.alias("hi")).where(F.col("hi") - F.col("lo") >= 1e-4)
+    rows = inside.join(cuts.select(*own, ((F.col("lo") + F.col("hi")) / 2).alias("cut")), own)
+    sides = rows.groupBy(*own).agg(F.count_if(F.col("x") > F.col("cut")).alias("light"), F.count_if(F.col("x") <= F.col("cut")).alias("dark"))
+    rows = rows.join(sides.select(*own, (F.col("dark") < 0.8 * F.col("light")).alias("darker")), own)
+    return rows.where(F.when(F.col("darker"), F.col("x") <= F.col("cut")).otherwise(F.col("x") > F.col("cut"))).select(*keys, "n").distinct()
+
+
+def blended(series: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Append to every row ``mixed``: a marked one's value between its unmarked neighbours (null where it isn't marked)."""
+    by = Window.partitionBy(*keys).orderBy("n")
+    rows = series.join(marks.select(*keys, "n", F.lit(True).alias("__m")), [*keys, "n"], "left")
+    free = F.when(F.col("__m").isNull(), F.struct("n", "x"))
+    a = F.last(free, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    b = F.first(free, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("__a", a).withColumn("__b", b)
+    share = (F.col("n") - F.col("__a.n")) / (F.col("__b.n") - F.col("__a.n"))
+    between = F.coalesce(F.col("__a.x") * (1 - share) + F.col("__b.x") * share, F.col("__a.x"), F.col("__b.x"), F.col("x"))
+    return rows.withColumn("mixed", F.when(F.col("__m"), between)).drop("__m", "__a", "__b")
+
+
+def suggest_blend(series: DataFrame, keys: list[str], cfg: Config, rounds: int = 3, steps: int = 20, room: float = 0.8) -> DataFrame:
+    """keys, frames, marked, least, strength, safe: how strongly flashing frames must be blended with their neighbours to pass.
+
+    Frames to blend are gathered in up to ``rounds`` rounds at full strength, each from what still flashes.
+    Then every strength is a variant of one plan, and the least that passes is found among them by halving;
+    the strength chosen leaves at most ``room`` of the flash that just passes.  A series that passes as it
+    is has no marks and strength 0; one that full strength doesn't settle has strength 1 and isn't safe.
+    """
+    marks = None
+    shown = series
+    for r in range(rounds):
+        spans = stored(flashing_spans(shown, keys, cfg), f"blend-spans-{r}")
+        if r == 0:
+            hot = spans.select(*keys).distinct()
+        new = minority_frames(shown, spans, keys)
+        marks = stored(new if marks is None else marks.unionByName(new).distinct(), f"blend-marks-{r}")
+        if r < rounds - 1:
+            shown = stored(blended(series, marks, keys).select(*keys, "n", "tc", F.coalesce("mixed", "x").alias("x")), f"blend-shown-{r}")
+    rows = blended(series, marks, keys)
+    strengths = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    share = F.col("step") / steps
+    tried = rows.join(hot, keys, "left_semi").select(*keys, "n", "tc", "x", "mixed", strengths)
+    tried = tried.select(*keys, "step", "n", "tc", F.coalesce(F.col("x") * (1 - share) + F.col("mixed") * share, F.col("x")).alias("x"))
+    passes = _passing(tried, [*keys, "step"], cfg).groupBy(*keys)
+    passes = passes.agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "passes"))), lambda s: s["passes"]).alias("__ok"))
+    ok = F.col("__ok")
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(steps).alias("hi"))
+    halve = lambda e, _: F.when(e["hi"] - e["lo"] <= 1, e).when(F.element_at(ok, F.greatest(F.lit(1), F.floor((e["lo"] + e["hi"]) / 2).cast("int"))), F.struct(e["lo"].alias("lo"), F.floor((e["lo"] + e["hi"]) / 2).cast("int").alias("hi"))).otherwise(F.struct(F.floor((e["lo"] + e["hi"]) / 2).cast("int").alias("lo"), e["hi"].alias("hi")))
+    found = passes.withColumn("__hi", F.aggregate(F.sequence(F.lit(1), F.lit(steps.bit_length())), ends, halve)["hi"]).withColumn("safe", F.element_at(ok, steps))
+    least = F.col("__hi") / steps
+    chosen = F.least(F.lit(steps), F.ceil((1 - room * (1 - least)) * steps - 1e-9)).cast("int")
+    found = found.withColumn("__chosen", chosen).select(
+        *keys, "safe", F.when(F.col("safe"), least).otherwise(1.0).alias("least"),
+        F.when(~F.col("safe"), 1.0).when(F.element_at(ok, F.col("__chosen")), F.col("__chosen") / steps).otherwise(least).alias("strength"),
+    )
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.count("mixed").alias("marked"))
+    made = counts.join(found, keys, "left").fillna(0.0, ["least", "strength"]).fillna(True, ["safe"])
+    return made.select(*keys, "frames", "marked", "least", "strength", "safe")
+
+
 def two_scenes(frames: DataFrame, keys: list[str], apart: float = 12.0, rounds: int = 20) -> DataFrame:
     """Append ``scene`` (0 or 1; null if there is one scene): means of two groups of signatures under the mean absolute distance.
 

@@ -294,4 +294,4 @@ def suggested_removals(spark: SparkSession, d: str) -> DataFrame:
     return search.suggest_removals(rows, spans, ["vid"], PROFILES["wcag"])
 
 
-from glintframe import queries_extra  # noqa: E402, F401  (registers its queries)
+from glintframe import queries_edits, queries_extra  # noqa: E402, F401  (register their queries)
