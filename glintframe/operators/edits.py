@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintframe.operators.intervals import touching
+
 
 def replacement(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Append ``source``: the frame shown at each place.  A removed frame shows the nearest survivor on its
@@ -69,12 +71,9 @@ def classified(violations: DataFrame, start: str, end: str, boundary: float = 0.
 
 
 def flagged_frames(frames: DataFrame, spans: DataFrame, keys: list[str], slack: float = 0.05) -> DataFrame:
-    """Frames that lie in some span, onset included: a range semi-join."""
-    other = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], F.least("onset", "start").alias("__s"), F.col("end").alias("__e"))
-    on = (F.col("t") >= F.col("__s") - slack) & (F.col("t") <= F.col("__e") + slack)
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return frames.join(other, on, "left_semi")
+    """Frames that lie in some span, onset included."""
+    t = F.col("t")
+    return touching(frames, t, t, spans, F.least("onset", "start") - slack, F.col("end") + slack, keys).where("touches").drop("touches")
 
 
 def percentile_cut(frames: DataFrame, keys: list[str], metric: str = "x", remove: str = "light", tight: bool = False) -> DataFrame:
@@ -141,10 +140,10 @@ def pick_side(frames: DataFrame, keys: list[str], metric: str, cut: float) -> Da
 
 def soften_plan(frames: DataFrame, keys: list[str], threshold: float, margin: float = 0.25) -> DataFrame:
     """Frames within ``margin`` of a clearly striped one, and the blur that its stripes ask for (sigma of at least 1)."""
-    striped = frames.where(F.col("pattern") >= threshold / 2).select(*keys, F.col("t").alias("__t"), "pattern", "period")
-    rows = frames.select(*keys, "n", "t").join(striped, keys).where(F.abs(F.col("t") - F.col("__t")) <= margin)
-    weight = F.sum("pattern")
-    return rows.groupBy(*keys, "n").agg(F.greatest(F.lit(1.0), F.sum(F.col("period") * F.col("pattern")) / weight).alias("sigma"))
+    near = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN {margin}D PRECEDING AND {margin}D FOLLOWING)"  # the API takes whole numbers only
+    weight, spread = (F.expr(f"sum(CASE WHEN pattern >= {threshold / 2} THEN {v} END) {near}") for v in ("pattern", "period * pattern"))
+    rows = frames.select(*keys, "n", weight.alias("__w"), spread.alias("__s")).where("__w is not null")
+    return rows.select(*keys, "n", F.greatest(F.lit(1.0), F.col("__s") / F.col("__w")).alias("sigma"))
 
 
 def section_timeline(frames: DataFrame, keys: list[str], duration: str) -> DataFrame:

@@ -57,13 +57,37 @@ def warning_spans(stats: DataFrame, keys: list[str], threshold: int, general: st
     return spans.select(*keys, "start", "end", "severity", F.col("w.kind").alias("kind"), F.col("w.t").alias("peak"))
 
 
+def asof(points: DataFrame, at: Column, others: DataFrame, time: str, value: Column, keys: list[str], name: str, after: bool = False, strict: bool = False) -> DataFrame:
+    """Append to points ``name``: the value of the last of ``others`` whose time is at or before ``at``.
+
+    ``after`` takes the first at or after it, ``strict`` leaves out those at ``at`` itself.  Null if there is none.
+    Points and others are sorted together, so that no pairs of one key are made; keys that are null are one key.
+    """
+    value = F.struct(value.alias("v"))
+    point = points.select(*keys, at.cast("double").alias("__x"), F.lit(None).cast(others.select(value.alias("__v")).schema["__v"].dataType).alias("__v"), F.struct(*points.columns).alias("__p"))
+    other = others.select(*keys, F.col(time).cast("double").alias("__x"), value.alias("__v"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
+    first = F.col("__p").isNull() if strict else F.col("__p").isNotNull()
+    by = Window.partitionBy(*keys).orderBy(F.desc("__x") if after else F.asc("__x"), first)
+    rows = point.unionByName(other).withColumn("__v", F.last("__v", ignorenulls=True).over(by))
+    return rows.where("__p is not null").select("__p.*", F.col("__v.v").alias(name))
+
+
+def touching(rows: DataFrame, low: Column, high: Column, spans: DataFrame, start: Column, end: Column, keys: list[str], closed: bool = True) -> DataFrame:
+    """Append ``touches``: whether [low, high] meets some span of its key, which is if the farthest end of those that start by ``high`` reaches ``low``.
+
+    One running maximum over the sorted union; no pairs of one key are made.
+    """
+    point = rows.select(*keys, high.cast("double").alias("__x"), F.lit(None).cast("double").alias("__e"), low.cast("double").alias("__low"), F.struct(*rows.columns).alias("__p"))
+    span = spans.select(*keys, start.cast("double").alias("__x"), end.cast("double").alias("__e"), F.lit(None).cast("double").alias("__low"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
+    by = Window.partitionBy(*keys).orderBy("__x", F.col("__p").isNotNull() if closed else F.col("__p").isNull())
+    reach = F.max("__e").over(by)
+    met = point.unionByName(span).withColumn("__m", F.coalesce(reach >= F.col("__low") if closed else reach > F.col("__low"), F.lit(False)))
+    return met.where("__p is not null").select("__p.*", F.col("__m").alias("touches"))
+
+
 def not_over(spans: DataFrame, louder: DataFrame, keys: list[str]) -> DataFrame:
     """Spans that touch no span of ``louder`` (closed at both ends)."""
-    other = louder.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    on = (F.col("start") <= F.col("__e")) & (F.col("end") >= F.col("__s"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return spans.join(other, on, "left_anti")
+    return touching(spans, F.col("start"), F.col("end"), louder, F.col("start"), F.col("end"), keys).where("NOT touches").drop("touches")
 
 
 def close_calls(limit: DataFrame, strict: DataFrame, violations: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,16 +106,23 @@ def merge_spans(spans: DataFrame, keys: list[str], start: str = "start", end: st
 
 
 def coverage(positions: DataFrame, spans: DataFrame, keys: list[str], width: Column) -> DataFrame:
-    """Append to positions (column x): seconds of [x, x + width] that disjoint spans cover, and where they open and end."""
-    lit = spans.select(*keys, F.col("start").alias("__a"), F.col("end").alias("__z"))
+    """Append to positions (column x): seconds of [x, x + width] that disjoint spans cover, and where they open and end.
+
+    The length covered up to a place is that of all spans before the last one to start, and what of this one
+    lies before the place.  Positions of keys without spans are left out.
+    """
+    before = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.select(*keys, "start", "end", F.coalesce(F.sum(F.col("end") - F.col("start")).over(before), F.lit(0)).alias("before"))
+    span = F.struct("start", "end", "before")
     end = F.col("x") + width
-    rows = positions.join(lit, keys)
-    inside = F.greatest(F.lit(0.0), F.least("__z", end) - F.greatest("__a", "x"))
-    return rows.groupBy(*positions.columns).agg(
-        F.sum(inside).alias("covered"),
-        F.min(F.when(F.col("__z") > F.col("x"), F.greatest("__a", "x"))).alias("start"),
-        F.max(F.when(F.col("__a") < end, F.least("__z", end))).alias("end"),
-    )
+    rows = asof(positions, F.col("x"), sums, "start", span, keys, "__at")
+    rows = asof(rows, F.col("x"), sums, "start", F.col("start"), keys, "__next", after=True, strict=True)
+    rows = asof(rows, end, sums, "start", span, keys, "__to", strict=True)
+    up_to = lambda c, y: F.coalesce(F.col(f"{c}.before") + F.least(y, F.col(f"{c}.end")) - F.col(f"{c}.start"), F.lit(0.0))
+    opens = F.when(F.col("__at.end") > F.col("x"), F.col("x")).otherwise(F.col("__next"))
+    rows = rows.withColumn("covered", F.greatest(F.lit(0.0), up_to("__to", end) - up_to("__at", F.col("x"))))
+    rows = rows.withColumn("start", opens).withColumn("end", F.when(F.col("__to").isNotNull(), F.least(F.col("__to.end"), end)))
+    return rows.where("start is not null or end is not null").drop("__at", "__next", "__to")
 
 
 def extended_flashes(stats: DataFrame, keys: list[str], threshold: int, hold: float = 1.0, window: float = 5.0, share: float = 0.8) -> DataFrame:
@@ -109,7 +140,7 @@ def extended_flashes(stats: DataFrame, keys: list[str], threshold: int, hold: fl
     tried = edges.unionByName(ends).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("xh"))).select(*keys, "x", "wd").distinct()
     full = coverage(tried, lit, keys, F.col("wd")).where((F.col("covered") / F.col("wd") >= share) & (F.col("end") > F.col("start")))
     spans = merge_spans(full, keys).drop("parts")
-    last = spans.join(hits, keys).where(F.col("h") <= F.col("end")).groupBy(*keys, "start", "end").agg(F.max("h").alias("last"))
+    last = asof(spans, F.col("end"), hits, "h", F.col("h"), keys, "last").where("last is not null")
     return last.select(*keys, "start", F.col("last").alias("end"))
 
 
@@ -131,11 +162,9 @@ def sections(violations: DataFrame, keys: list[str], duration: str, pad: float =
 
 def snap_to_marks(spans: DataFrame, marks: DataFrame, keys: list[str], mark: str = "mark", slack: float = 1e-6) -> DataFrame:
     """Widen spans to the last mark at or before the start and the first at or after the end."""
-    rows = spans.join(marks.select(*keys, F.col(mark).alias("__m")), keys, "left")
-    before = F.max(F.when(F.col("__m") <= F.col("start") + slack, F.col("__m")))
-    after = F.min(F.when(F.col("__m") >= F.col("end") - slack, F.col("__m")))
-    snapped = rows.groupBy(*spans.columns).agg(before.alias("__b"), after.alias("__a"))
-    return snapped.withColumn("snap_start", F.coalesce("__b", "start")).withColumn("snap_end", F.coalesce("__a", "end")).drop("__a", "__b")
+    rows = asof(spans, F.col("start") + slack, marks, mark, F.col(mark), keys, "__b")
+    rows = asof(rows, F.col("end") - slack, marks, mark, F.col(mark), keys, "__a", after=True)
+    return rows.withColumn("snap_start", F.coalesce("__b", "start")).withColumn("snap_end", F.coalesce("__a", "end")).drop("__a", "__b")
 
 
 def timeline(events: DataFrame, keys: list[str], time: str, width: float, kinds: list[str], kind: str = "kind") -> DataFrame:
@@ -153,12 +182,8 @@ def envelope(series: DataFrame, keys: list[str], micros: str, value: str, reach:
 
 
 def reached(spans: DataFrame, others: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Spans that some other span lies within ``reach`` of (an interval semi-join)."""
-    other = others.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    on = (F.col("start") <= F.col("__e") + reach) & (F.col("end") >= F.col("__s") - reach)
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return spans.join(other, on, "left_semi")
+    """Spans that some other span lies within ``reach`` of."""
+    return touching(spans, F.col("start"), F.col("end"), others, F.col("start") - reach, F.col("end") + reach, keys).where("touches").drop("touches")
 
 
 def violation_spans(violations: DataFrame, keys: list[str], pad: float = 0.3) -> DataFrame:
@@ -169,11 +194,7 @@ def violation_spans(violations: DataFrame, keys: list[str], pad: float = 0.3) ->
 def free_ranges(wanted: DataFrame, taken: DataFrame, keys: list[str], duration: str) -> DataFrame:
     """Ranges clamped to the duration and rounded to microseconds, without empty ones and those that overlap a taken one."""
     rows = wanted.select(*keys, F.round(F.greatest(F.lit(0.0), F.col("start")), 6).alias("start"), F.round(F.least(F.col("end"), F.col(duration)), 6).alias("end")).where("end > start")
-    other = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    on = (F.col("start") < F.col("__e") - 1e-6) & (F.col("end") > F.col("__s") + 1e-6)
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return rows.join(other, on, "left_anti")
+    return touching(rows, F.col("start"), F.col("end"), taken, F.col("start") + 1e-6, F.col("end") - 1e-6, keys, closed=False).where("NOT touches").drop("touches")
 
 
 def labelled(sections: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintframe.operators.flashes import NEVER, sorted_fold
+from glintframe.operators.intervals import touching
 
 
 def index_summary(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -124,11 +125,8 @@ def sync_before(wanted: DataFrame, syncs: DataFrame, keys: list[str]) -> DataFra
 
 def near_sync(wanted: DataFrame, syncs: DataFrame, keys: list[str], slack: float = 0.005) -> DataFrame:
     """Wanted rows with a sync within ``slack``."""
-    other = syncs.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("t").alias("__s"))
-    on = F.abs(F.col("t") - F.col("__s")) <= slack
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return wanted.join(other, on, "left_semi")
+    t = F.col("t")
+    return touching(wanted, t, t, syncs, t - slack, t + slack, keys).where("touches").drop("touches")
 
 
 def run_up(starts: DataFrame, frames: DataFrame, keys: list[str], seconds: float) -> DataFrame:
