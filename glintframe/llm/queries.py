@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common as C
-from glintframe.llm import chat, decontaminate, fingerprints, langid, lm, near_dups, packing, quality, sharding, toxicity
+from glintframe.llm import audit, chat, decontaminate, fingerprints, langid, lm, mixing, near_dups, packing, quality, resample, sharding, toxicity
 
 
 def tokenizer_path() -> str:
@@ -68,10 +68,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    ratio = resample.fit(docs, C.table(spark, sf_dir, "benchmark"), order=1, buckets=10_000)
+    made = resample.draw(resample.weigh(docs, ratio, keep=["doc_id"]), percent=10, least_words=20, seed=2024)
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents"), percent=100, keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op4_near_duplicates, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op9_chat_pairs, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_sharding, op4_near_duplicates, op5_fingerprints, op6_quality, op7_packing, op8_toxicity, op9_chat_pairs, op10_decontamination, op11_filter_audit, op12_importance_resampling, op13_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the chat pairs are SQL; the tests hold the others against brute force, round trips or held-out rows."""
-    return {"op9_chat_pairs": chat.ORACLE}
+    """The tests hold operators that aren't SQL against brute force, round trips or held-out rows."""
+    return {"op9_chat_pairs": chat.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_importance_resampling": resample.ORACLE}
