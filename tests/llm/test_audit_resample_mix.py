@@ -97,7 +97,7 @@ def brute_resample(data, wanted, order, buckets):
     for text in wanted:
         t.update(features(text)[1])
     s_all, t_all = sum(s.values()), sum(t.values())
-    gain = [math.floor(1000 * math.log((t[b] + 1) * (t_all and s_all + buckets or s_all + buckets) / ((s[b] + 1) * (t_all + buckets)))) for b in range(buckets)]
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets)))) for b in range(buckets)]
     out = []
     for i, text in data:
         n, found = features(text)
