@@ -1,7 +1,9 @@
 """Operator 10, benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names and units turn into typed placeholders (a run of capitals is
-one name), other words into their lower-case form.  Windows of ``WINDOW`` template tokens are hashed
+Texts become templates: numbers, names and units turn into typed placeholders (a run of capitals within a
+sentence is one name), other words into their lower-case form.  A word that opens a sentence with a capital is a name too:
+protagonists stand there most of all.  Where it is a common word, its value stays what it was, which is consistent;
+such values don't count among the item's.  Windows of ``WINDOW`` template tokens are hashed
 and joined with those of the benchmark.  A Bloom filter of the benchmark's windows, of fixed size, is
 sent to the tasks so that next to no other windows are shuffled; the join decides.  Windows of one
 document and item at one alignment, or at alignments that differ by ``SLACK`` tokens step by step (words
@@ -96,8 +98,8 @@ class Templates(dict):
         self.flags[i] = flags
         return i
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token hash, kind, chunk number) of each template token."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token hash, kind, chunk number, whether it opens a sentence) of each template token."""
         if len(self) > CACHE:
             self.clear()
             self.values.clear()
@@ -108,17 +110,19 @@ class Templates(dict):
             ids = ids[flags < 16]
             flags = flags[flags < 16]
         kind = np.zeros(len(ids), np.uint8)
+        starts = np.zeros(len(ids), bool)
         if len(ids):
             number = (flags & 1) > 0
             starts = np.concatenate(([True], (flags[:-1] & 8) > 0))
-            kind[((flags & 4) > 0) & ~starts] = NAME
+            kind[(flags & 4) > 0] = NAME
             kind[((flags & 2) > 0) & np.concatenate(([False], number[:-1]))] = UNIT
             kind[number] = NUM
         token = np.where(kind == WORD, self.hash[ids], kind.astype(np.uint64))
-        return token, kind, ids
+        return token, kind, ids, starts
 
 
 TEMPLATE, LITERAL = 1, 2
+OPENS = "^"  # no value begins with it
 
 
 def window_hashes(token: np.ndarray, width: int) -> np.ndarray:
@@ -140,16 +144,16 @@ WINDOW_FIELDS = [
     T.StructField("pos", T.IntegerType()),
     T.StructField("mode", T.IntegerType()),
     T.StructField("strong", T.BooleanType()),  # holds enough words to count alone
-    T.StructField("slots", T.ArrayType(T.StringType())),  # values of a template's placeholders, in order
+    T.StructField("slots", T.ArrayType(T.StringType())),  # values of a template's placeholders, in order; OPENS before those that open a sentence
 ]
 
 
 def text_windows(templates: Templates, text: str, passes, widths) -> Iterator[tuple]:
     """(n_windows, n_tokens, width, h, pos, mode, strong, slots) of each window of a text that ``passes`` lets through."""
-    token, kind, ids = templates.of(text)
+    token, kind, ids, starts = templates.of(text)
     if kind.any():
-        # A run of names is one name.
-        first = np.flatnonzero(~((kind == NAME) & np.concatenate(([False], kind[:-1] == NAME))))
+        # A run of names within a sentence is one name.
+        first = np.flatnonzero(~((kind == NAME) & ~starts & np.concatenate(([False], kind[:-1] == NAME))))
         sequences = [(TEMPLATE, token[first], kind[first], first), (LITERAL, templates.hash[ids], None, None)]
     else:
         sequences = [(TEMPLATE | LITERAL, token, None, None)]
@@ -173,7 +177,7 @@ def text_windows(templates: Templates, text: str, passes, widths) -> Iterator[tu
                     for q in range(p, p + width):
                         if kinds[q] != WORD:
                             lo, hi = int(first[q]), int(first[q + 1]) if q + 1 < len(first) else len(ids)
-                            slots.append(" ".join(templates.values[c] for c in ids[lo:hi]))
+                            slots.append((OPENS if kinds[q] == NAME and starts[lo] else "") + " ".join(templates.values[c] for c in ids[lo:hi]))
                 strong = words is None or words[i] >= min(LEAST_WORDS, width)
                 for m in (TEMPLATE, LITERAL):
                     if mode & m:
@@ -259,12 +263,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     share = matched / F.col("n_windows")
     by_mode = lambda template, literal: F.when(F.col("mode") == TEMPLATE, template).otherwise(literal)
     enough = (share >= by_mode(LEAST_SHARE, LITERAL_SHARE)) | (covered >= by_mode(LEAST_COVER, LITERAL_COVER) * F.col("n_tokens"))
-    changed = F.filter("values", lambda v: ~v["item"].eqNullSafe(v["doc"]))
+    bare = lambda v: F.struct(F.ltrim(v["item"], F.lit(OPENS)).alias("item"), F.ltrim(v["doc"], F.lit(OPENS)).alias("doc"))
+    chains = chains.withColumn("marked", F.col("values")).withColumn("values", F.array_distinct(F.transform("values", bare)))
+    changed = F.filter("values", lambda v: v["item"] != v["doc"])
     # Values that several others of the item became, unless one of them was kept.
     n_items = F.size(F.array_distinct(F.transform("values", lambda v: v["item"])))
+    telling = F.filter("marked", lambda v: ~F.startswith(v["item"], F.lit(OPENS)) | (bare(v)["item"] != bare(v)["doc"]))
+    n_telling = F.size(F.array_distinct(F.transform(telling, lambda v: bare(v)["item"])))
     merged = F.size(changed) - F.size(F.array_distinct(F.transform(changed, lambda v: v["doc"])))
     broken = F.size("values") - n_items + F.greatest(merged, F.lit(0))
-    consistent = (F.col("mode") == LITERAL) | (broken == 0) | (broken < BROKEN * n_items)
+    consistent = (F.col("mode") == LITERAL) | (broken == 0) | (broken < BROKEN * n_telling)
     sure = F.col("strong") | (matched > 1)
     exact = (F.col("mode") == LITERAL) & (matched == F.col("n_windows")) & (F.col("shifts") == 1)
     kept = chains.where(enough & consistent & sure).select("row", "id", "item", F.struct(exact.alias("exact"), matched.alias("matched"), share.alias("share")).alias("k"))

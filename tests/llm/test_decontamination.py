@@ -84,19 +84,19 @@ def brute_windows(text: str):
             kind = "N"
         elif core.lower() in D.UNITS and k and number(raw[k - 1][0]):
             kind = "U"
-        elif core[0].isupper() and not before_end:
+        elif core[0].isupper():
             kind = "P"
         else:
             kind = ""
-        tokens.append((kind, core.lower()))
+        tokens.append((kind, core.lower(), before_end))
         before_end = ends
     merged = []
-    for kind, value in tokens:
-        if kind == "P" and merged and merged[-1][0] == "P":
-            merged[-1] = ("P", merged[-1][1] + " " + value)
+    for kind, value, opens in tokens:
+        if kind == "P" and not opens and merged and merged[-1][0] == "P":
+            merged[-1] = ("P", merged[-1][1] + " " + value, merged[-1][2])
         else:
-            merged.append((kind, value))
-    return merged, [("", v) for _, v in tokens]
+            merged.append((kind, value, opens and kind == "P"))
+    return merged, [("", v, False) for _, v, _ in tokens]
 
 
 def brute(items: dict, docs: dict) -> set:
@@ -106,7 +106,7 @@ def brute(items: dict, docs: dict) -> set:
             if not of:
                 continue
             width = min(D.WINDOW, len(of))
-            cut = lambda t: [tuple(("", v) if not k else (k, "") for k, v in t[p : p + width]) for p in range(len(t) - width + 1)]
+            cut = lambda t: [tuple(("", v) if not k else (k, "") for k, v, _ in t[p : p + width]) for p in range(len(t) - width + 1)]
             mine = cut(of)
             informative = [any(not k for k, _ in w) for w in mine]
             for d, doc in docs.items():
@@ -131,9 +131,10 @@ def brute(items: dict, docs: dict) -> set:
                         pairs = {(of[p + k][1], other[q + k][1]) for p, q in chain for k in range(width) if of[p + k][0]}
                         changed = {x for x in pairs if x[0] != x[1]}
                         n = len({a for a, _ in pairs})
+                        telling = {of[p + k][1] for p, q in chain for k in range(width) if of[p + k][0] and not (of[p + k][2] and of[p + k][1] == other[q + k][1])}
                         broken = len(pairs) - n + len(changed) - len({b for _, b in changed})
                         strong = any(sum(not k for k, _ in mine[p]) >= min(D.LEAST_WORDS, width) for p in at)
-                        if (broken and broken >= D.BROKEN * n) or not (strong or len(at) > 1):
+                        if (broken and broken >= D.BROKEN * len(telling)) or not (strong or len(at) > 1):
                             continue
                     found.add((d, i))
     return found
@@ -151,3 +152,49 @@ def test_planted_items_are_found_as_by_brute_force(spark):
     assert all(d in want for d, _ in got)
     exact = {(r.doc_id, r.item_id) for r in rows if r.exact}
     assert exact == {(d, i) for d, (i, kind) in want.items() if kind == "verbatim"}
+
+
+PROBLEMS = """{a} has {x} apples. {a} buys {y} more. {a} eats {z}. How many apples are left?
+{a} has {x} red pens. {a} has {y} blue pens. How many pens are there?
+{a} walks {x} km to the market. {b} walks {y} km. How far do both walk together?
+{b} sells {x} tickets on Monday. {b} sells {y} tickets on Tuesday. How many tickets in all?
+{a} is {x} years old. {b} is {y} years older. How old will {b} be in {z} years?
+{a} reads {x} pages a day. The book has {y} pages. How many days does {a} need?
+{a} and {b} share {x} marbles. {a} takes {y}. How many marbles does {b} get?
+A train leaves at {x} with {y} people. {z} people get off. How many stay?
+{b} fills {x} bottles with {y} litres each. {b} spills {z} litres. How much is left?
+{a} earns {x} dollars. {a} spends {y} dollars on a bike. {a} saves the rest. How much is it?
+Every box holds {x} eggs. {a} packs {y} boxes. {b} breaks {z} eggs. How many are whole?
+{a} plants {x} trees in spring. {b} plants {y} trees in autumn. How many trees grow?""".splitlines()
+CLEAN = """{a} has {x} cousins in the north. {a} visits them every summer. They swim a lot.
+{a} buys a red coat. {b} buys {y} buttons for it. The coat is warm.
+{b} sells the house by the river. {b} moves to town with {x} cats.
+{a} walks home. {b} walks {y} dogs for the neighbours. The dogs bark at night.
+{a} is a teacher. {b} is {y} years into the job. Both like the school.
+{a} reads a letter. The letter has {y} stamps. {b} collects stamps.
+{a} and {b} share a room. {a} takes the bed. {b} takes the floor.
+The train to town leaves soon. {b} packs {x} bags. {a} waits outside.
+{a} earns little. {a} spends evenings in the library. {b} works {x} nights.""".splitlines()
+
+
+def spoken(rng: random.Random, form: str) -> str:
+    a, b = rng.sample(["Tom", "Mia", "Bob", "Zoe", "Ann Marie", "Omar", "Ilse", "Pavel", "Kim"], 2)
+    x, y, z = rng.sample(range(2, 200), 3)
+    return form.format(a=a, b=b, x=x, y=y, z=z)
+
+
+def test_names_that_open_sentences(spark):
+    rng = random.Random(8)
+    items = {i: spoken(rng, form) for i, form in enumerate(PROBLEMS)}
+    docs, want = {}, {}
+    around = lambda: spoken(rng, rng.choice(CLEAN))
+    for i, form in enumerate(PROBLEMS):
+        for _ in range(5):
+            want[len(docs)] = i
+            docs[len(docs)] = f"{around()} {spoken(rng, form)} {around()}"
+    for _ in range(300):
+        docs[len(docs)] = " ".join(around() for _ in range(rng.randrange(1, 6)))
+    rows = D.matches(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(got & set(want.items())) >= 0.9 * len(want), sorted(set(want.items()) - got)
+    assert all(d in want for d, _ in got), [docs[d] for d, _ in got if d not in want]
