@@ -16,7 +16,8 @@
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; rows with one id count as one
-document; a row with a null id is linked with nothing and kept; other columns aren't read.
+document: its texts are linked with each other, whatever they are (a text without words is not); a row with a null
+id is linked with nothing and kept; ids are whole numbers; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -119,17 +120,17 @@ def least_shared(similar: int) -> int:
 
 
 def inverted_lists(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(v, rep, n): the rarest sketch values of each set that any other sketch holds too, one list of each membership."""
-    held = sets.select("rep", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    """(v, key, n): the rarest sketch values of each set that any other sketch holds too, one list of each membership."""
+    held = sets.select("key", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = held.join(often, "v").groupBy("rep", "n_shingles", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
+    mine = held.join(often, "v").groupBy("key", "n_shingles", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     whole = F.col("n_shingles") * 100 <= F.lit(SKETCH * similar - 100)
     prefix = F.when(whole, F.floor(F.col("n_shingles") * (100 - similar) / 100) + 1).otherwise(F.lit(SKETCH - least_shared(similar) + 1))
     # Values that no other sketch holds are rarer than all in the list.
     room = F.greatest(F.lit(0), prefix - (F.col("kept") - F.size("values"))).cast("int")
-    index = mine.select("rep", F.col("n_shingles").alias("n"), F.explode(F.slice("values", F.lit(1), room)).alias("x")).select("x.v", "rep", "n")
+    index = mine.select("key", F.col("n_shingles").alias("n"), F.explode(F.slice("values", F.lit(1), room)).alias("x")).select("x.v", "key", "n")
     index = C.stored(index, "near-index")
-    code = F.xxhash64("rep")
+    code = F.xxhash64("key")
     lists = index.groupBy("v").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("mass"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 24)).alias("s")).where("g > 1")
     once = lists.groupBy("g", "x", "s").agg(F.min(F.struct("v", "mass")).alias("l")).select("l.v", "l.mass", "g")
     blocks = F.greatest(F.ceil(F.col("mass") / BLOCK_SHINGLES), F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
@@ -137,7 +138,7 @@ def inverted_lists(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, set) of the wanted (rep, d1, d2).  A filter of fixed size keeps other rows out of the shuffle."""
+    """(key, rep, set) of the wanted (key, rep, d1, d2).  A filter of fixed size keeps other rows out of the shuffle."""
     at = F.shiftrightunsigned(F.xxhash64("rep"), 64 - FILTER_BITS)
     words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -164,7 +165,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     made = rows.select("rep", "text", at.alias("slot")).mapInArrow(run, out)
-    return made.join(wanted, ["rep", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "set")
+    return made.join(wanted, ["rep", "d1", "d2"]).dropDuplicates(["key"]).select("key", "rep", "set")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -232,13 +233,13 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, same: bool, similar: int
 
 
 def exact_links(lists: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(a, b) links that connect what the lists hold."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = lists.withColumn("block", block).join(sets, "rep")
+    """(a, b) links that connect what the lists hold, by the sets' smallest ids."""
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = lists.withColumn("block", block).join(sets, "key")
     # A block meets every block of its list, itself included: once for each pair.
-    rows = rows.select("v", "rep", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "set")
-    rows = rows.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "rep")
+    rows = rows.select("v", "key", "rep", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "rep", "set")
+    rows = rows.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "key").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reps, sets_here, side = None, [], [], []
@@ -291,16 +292,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def same_id_links(full: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links between the sets of ids that have several, each to the one with the smallest id."""
+    of_set = F.struct("n_shingles", "d1", "d2")
+    several = full.groupBy("doc_id").agg(F.min(of_set).alias("lo"), F.max(of_set).alias("hi")).where("lo != hi").select("doc_id")
+    mine = full.join(several, "doc_id").select("doc_id", "n_shingles", "d1", "d2").distinct().join(sets, ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
+    least = mine.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return mine.join(least, "doc_id").select(F.col("rep").alias("a"), "b")
+
+
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     made = C.stored(sketches(docs, id_col, text_col), "near-sketches")
     rows = made.select(F.col("doc_id"), "n_shingles", "d1", "d2")
     full = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = full.groupBy("n_shingles", "d1", "d2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    sets = C.stored(sets, "near-sets")
+    sets = C.stored(sets.withColumn("key", F.monotonically_increasing_id()), "near-sets")
     lists = C.stored(inverted_lists(sets, similar), "near-lists")
-    wanted = sets.select("rep", "d1", "d2").join(lists.select("rep").distinct(), "rep", "left_semi")
-    found = components(exact_links(lists, _candidate_sets(docs, wanted, id_col, text_col), similar))
+    wanted = sets.select("key", "rep", "d1", "d2").join(lists.select("key").distinct(), "key", "left_semi")
+    links = exact_links(lists, _candidate_sets(docs, wanted, id_col, text_col), similar)
+    found = components(links.unionByName(same_id_links(full, sets)))
     of_set = sets.join(found, sets.rep == found.node, "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
     of_set = C.stored(of_set, "near-components")
     n_rows = rows.count()

@@ -415,3 +415,16 @@ def test_ranges_are_partitions_of_about_equal_text(spark):
     sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("n"), F.count_distinct("range").alias("ranges")).collect()
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and all(r.ranges == 1 for r in sizes)
     assert max(r.n for r in sizes) < 1.6 * sum(r.n for r in sizes) / len(sizes)
+
+
+def test_one_id_with_several_texts(spark):
+    """8 is near one text of id 5, 9 near the other: one component, the same on every run."""
+    rng = random.Random(4)
+    a, b, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(80)] for c in "abc")
+    near = lambda words: " ".join([*words[:-1], "end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (8, near(a)), (9, near(b)), (3, " ".join(other)), (5, ""), (4, " ".join(a)), (5, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted(map(tuple, near_dups.cluster(docs.repartition(1 + i)).collect())) for i in range(10)]
+    assert all(r == runs[0] for r in runs)
+    assert {(r[0], r[2]) for r in runs[0] if r[1]} == {(3, 3), (4, 4), (5, 4), (8, 4), (9, 4)}
+    assert [r for r in runs[0] if not r[1]] == [(5, 0, 5, True)]
