@@ -10,7 +10,6 @@ Rules all operators keep:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -157,6 +156,3 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
         if np.abs(step).max() < 1e-6:
             break
     return w
-
-
-LETTERS = re.compile(r"[^\W\d_]")

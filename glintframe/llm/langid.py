@@ -1,6 +1,7 @@
 """Operator 2, language ID by cross-parsing entropy.
 
-A suffix automaton is built over labelled texts of each language (a bounded sample of whole texts).  A
+A suffix automaton is built over labelled texts of each language: a sample of pieces of ``PIECE`` code points, which most
+texts don't fill, so that long texts are neither left out nor cut off.  ``SYMBOLS`` bounds the letters of all automata.  A
 document is parsed, once per language, into the longest phrases that the language's automaton
 accepts.  Phrases, times the logarithm of the automaton's text, per letter are the cross-parsing
 entropy; the language with the smallest wins, so unequal samples don't decide.
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 from glintframe.llm import common as C
 from glintframe.llm.lm import Index
 
-SAMPLE_DOCS = 24  # documents per language, about; their texts are taken whole
-LONGEST_SAMPLE = 100_000  # code points: longer texts aren't drawn into the sample, so it stays bounded
+SAMPLE_PIECES = 24  # per language, about
+PIECE = 20_000  # code points; shorter texts are whole
+SYMBOLS = 1_000_000  # code points learned from in all, shared evenly by the languages; one piece of each is learned at least
 LANE = 1024
 DENSE = 1 << 23  # cells of an automaton up to which its moves are laid out as a plain table
 MIXED = re.compile(r"(?<!\w)[^\W\d]*+\d\w*")
@@ -241,32 +243,39 @@ _letters: list[np.ndarray] = []
 
 
 def letter_lookup() -> np.ndarray:
-    """1 for every letter of Unicode, 0 for the rest."""
+    """1 for every letter of Unicode (not for digits, fractions or numerals of any kind), 0 for the rest."""
     if not _letters:
         every = "".join(map(chr, range(0x110000)))
         table = np.zeros(0x110000, np.int32)
-        table[[m.start() for m in C.LETTERS.finditer(every)]] = 1
+        table[np.fromiter(map(str.isalpha, every), bool, len(every))] = 1
         _letters.append(table)
     return _letters[0]
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, str]]:
-    """(language, text) rows: about SAMPLE_DOCS documents per language, chosen by a hash of their id."""
+    """(language, piece) rows: about SAMPLE_PIECES a language, chosen by a hash of their id and place, within SYMBOLS in all."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where("lang is not null and id is not null and text is not null").where((C.id_bucket("id", 5) != 0) & (F.length("text") <= LONGEST_SAMPLE))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.where("lang is not null and id is not null and text is not null").where(C.id_bucket("id", 5) != 0)
+    pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECE)).cast("int")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(pieces)).collect()}
     if not sizes:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
-    chosen = F.pmod(F.xxhash64(F.col("id"), F.lit(977)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    rows = rows.where(chosen).select("lang", "text", F.xxhash64("id").alias("h"))
-    return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1]))]
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_PIECES / n))])
+    cut = rows.select("id", "text", "lang", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("k"))
+    chosen = F.pmod(F.xxhash64(F.col("id"), F.lit(977) + F.col("k")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    cut = cut.where(chosen).select("lang", F.substring("text", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("piece"), F.xxhash64("id", "k").alias("h"))
+    most, taken, out = max(PIECE, SYMBOLS // len(sizes)), {}, []
+    for r in sorted(cut.collect(), key=lambda r: (r[0], r[2], r[1])):
+        taken[r[0]] = taken.get(r[0], 0) + len(r[1])
+        if taken[r[0]] <= most:
+            out.append((r[0], r[1]))
+    return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn one automaton per language from whole texts of documents whose id may be learned from."""
     sample = _sample(docs, text_col, lang_col, id_col)
-    letters = sorted({ch for _, text in sample for ch in set(text.lower()) if C.LETTERS.match(ch)})
+    letters = sorted({ch for _, text in sample for ch in set(text.lower()) if ch.isalpha()})
     symbols = {ch: i + 2 for i, ch in enumerate(letters)}
     lookup = symbol_lookup(symbols)
     texts: dict[str, list[np.ndarray]] = {}

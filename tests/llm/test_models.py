@@ -327,3 +327,13 @@ def test_words_with_digits_are_in_no_language():
     assert np.count_nonzero(langid.encode("a1b2 77", lookup)) == 2
     assert not langid.encode("12 34", lookup).any() and not len(langid.encode("", lookup))
     assert np.count_nonzero(langid.encode("a" * 200_000 + " b", lookup)) == 200_001
+
+
+def test_numerals_are_no_letters_and_long_texts_are_learned(spark, monkeypatch):
+    long = {"xx": "tara bolu miso ketan " * 4_000, "yy": "grün schlaf wurzel hand " * 3_000}
+    rows = [(i, long["xx"] if i % 2 else long["yy"], "xx" if i % 2 else "yy") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (100, "½ ² ① Ⅷ", None), (101, "bolu miso", None), (102, "wurzel hand", None), (103, "x²", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["xx", "yy"] and all(a.length <= langid.SYMBOLS // 2 + 100 for a in model.automata)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).where("doc_id >= 100").collect()}
+    assert got[100] == "und" and got[101] == "xx" and got[102] == "yy" and got[103] != "und"
