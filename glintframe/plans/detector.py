@@ -1,12 +1,13 @@
-"""The detector as a plan over frames(video, n, t, w, h, rgb): from pictures to violations.
+"""The detector as a plan over frames(video, n, t, w, h, rgb[, tc0]): from pictures to violations.
 
 1. *Pictures*: a pass over each video's sorted frames keeps a clock and the last new picture, and
-   tells new pictures from repeated ones.  It emits bands of rows, as colour planes.
+   tells new pictures from repeated ones.  It emits bands of rows, as the codes they came in.
 2. *Pixels*: a pass over each (video, band) tracks every pixel's runs and flashes as numpy vectors
    and emits the band's share of all sliding windows as one array a picture.
 3. *Frames*: a pass over each video adds the bands' arrays up, tracks every window's mean, which must
    flash too, and gives one row of statistics per frame; intervals follow in SQL.
 
+``tc0`` is what a video's clock shows at its first frame (0 without the column), for parts of a longer one.
 Each pass keeps the state of its current key only.  The work on pixels is keyed by (video, band), so one
 video is spread over many tasks once its pictures are told apart; what meets again by video is small.
 """
@@ -41,7 +42,8 @@ def median(values: list[float]) -> float:
 
 
 def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
-    ready = frames.select("video", "n", "t", "w", "h", "rgb").repartition("video").sortWithinPartitions("video", "n")
+    start = F.col("tc0") if "tc0" in frames.columns else F.lit(0.0).alias("tc0")
+    ready = frames.select("video", "n", "t", "w", "h", "rgb", start).repartition("video").sortWithinPartitions("video", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, None
@@ -49,9 +51,9 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
             made = []
             for row in batch.to_pylist():
                 rgb = np.frombuffer(row["rgb"], np.uint8).reshape(row["h"], row["w"], 3)
-                light, red, packed = colour.planes(rgb, cfg.red_saturation, cfg.red_flare)
+                light, red, _ = colour.planes(rgb, cfg.red_saturation, cfg.red_flare)
                 if row["video"] != video:
-                    video, state = row["video"], {"tc": 0.0, "t": row["t"], "steps": [], "light": None}
+                    video, state = row["video"], {"tc": row["tc0"], "t": row["t"], "steps": [], "light": None}
                 step = row["t"] - state["t"]
                 anomaly = state["light"] is not None and not 0 < step <= cfg.max_gap
                 if state["light"] is not None:
@@ -68,12 +70,12 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                     state["light"], state["red"] = light, red
                 mean = float(light.sum(dtype=np.float64) / light.size)
                 for band, y in enumerate(range(0, row["h"], BAND)):
-                    part = None if held else np.concatenate([light[y : y + BAND].ravel().view(np.int32), red[y : y + BAND].ravel().view(np.int32), packed[y : y + BAND].ravel().astype(np.uint32).view(np.int32)]).tobytes()
+                    part = None if held else rgb[y : y + BAND].tobytes()
                     made.append((video, band, row["n"], row["t"], state["tc"], held, first, anomaly, mean, row["w"], row["h"], part))
             columns = list(zip(*made, strict=True)) or [[]] * 12
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "video string, band int, n long, t double, tc double, held boolean, first boolean, anomaly boolean, mean double, w int, h int, planes binary"
+    schema = "video string, band int, n long, t double, tc double, held boolean, first boolean, anomaly boolean, mean double, w int, h int, codes binary"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
     return ready.mapInArrow(run, schema)
@@ -161,8 +163,8 @@ def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
                     continue
                 geo = _geometry(cfg, w, h)
                 rows = min(BAND, h - y0)
-                planes = np.frombuffer(row["planes"], np.int32).reshape(3, rows * w)
-                light, red, packed = planes[0].view(np.float32), planes[1].view(np.float32), planes[2].view(np.uint32).astype(np.int64)
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(rows * w, 3)
+                light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
                 if tile is None:
                     tile = _Tile(rows * w, cfg)
                     tile.light.start(light, t)
@@ -293,12 +295,14 @@ def frame_stats(frames: DataFrame, cfg: Config) -> DataFrame:
 def verdict(stats: DataFrame, cfg: Config, width: int, height: int, patterns: DataFrame | None = None) -> DataFrame:
     """Violations (kind flash, red, extended, pattern) and warnings of the videos whose pictures have this size.
 
-    ``patterns`` has the striped area of each frame (``pattern_stats``), if patterns are looked for.
+    ``patterns`` has the striped area of each frame (``pattern_stats``); settings that look for patterns need it.
 
     Columns: video, what, kind, level, start, end, severity, onset, peak.
     """
     from glintframe.operators.clock import to_native
 
+    if cfg.patterns and patterns is None:
+        raise ValueError("these settings look for patterns: give pattern_stats of the frames")
     keys = ["video"]
     geo = cfg.geometry(width, height)
     frames = stats.select("video", "tc", "t")
@@ -316,7 +320,7 @@ def verdict(stats: DataFrame, cfg: Config, width: int, height: int, patterns: Da
         spans = spans.select("video", F.col("s").alias("start"), F.col("e").alias("end"), F.lit(1.0).alias("severity"), F.col("s").alias("onset"), F.col("s").alias("peak"), F.lit("extended").alias("kind"))
         found = found.unionByName(spans)
     out = found
-    if cfg.patterns and patterns is not None:
+    if cfg.patterns:
         rows = stats.select("video", "n", "t", "tc").join(patterns.select("video", "n", "pattern"), ["video", "n"])
         spans = V.pattern_violations(rows, keys, max(1, math.floor(cfg.pattern_area * width * height + 0.5)), cfg.pattern_hold, cfg.pattern_seconds)
         out = out.unionByName(spans.withColumn("onset", F.col("start")).withColumn("kind", F.lit("pattern")))

@@ -15,8 +15,6 @@ from glintframe.config import PROFILES
 from glintframe.functions import colour, times
 from glintframe.operators import clock, edits, flashes, packets, signatures
 from glintframe.operators import intervals as V
-from glintframe.plans import detector
-from glintframe.sources import scenes
 from glintframe.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,30 +555,3 @@ def time_text(spark, d):
     text = F.format_string("%d:%02d:%02d.5", key % 3, key % 60, other % 60)
     seconds = times.parse_time(text)
     return table(spark, d, "orders").select(key.alias("id"), seconds.alias("sec"), times.format_time(seconds).alias("shown"))
-
-
-# The published verdicts of the scenes, times in ten-thousandths of a second.
-PUBLISHED = """
-('wcag', 'square4hz', 'violation', 'flash', NULL, 11345, 59059, 40, 1419, 11345), ('wcag', 'square3hz', 'warning', 'flash', 'limit', 11678, 98432, 40, 11678, 11678),
-('wcag', 'red_grey', 'violation', 'red', NULL, 11345, 49049, 40, 1419, 11345), ('wcag', 'red_green', 'violation', 'red', NULL, 11345, 49049, 40, 1419, 11345),
-('wcag', 'red_darkred', 'violation', 'flash', NULL, 11345, 49049, 40, 1419, 11345), ('wcag', 'red_equilum', 'violation', 'red', NULL, 9009, 49049, 40, 752, 9009),
-('wcag', 'partial35', 'violation', 'flash', NULL, 11345, 59059, 14, 1419, 11345), ('wcag', 'burst3hz', 'warning', 'flash', 'limit', 11678, 18352, 40, 11678, 11678),
-('wcag_ext', 'square3hz', 'violation', 'extended', NULL, 11678, 98432, 10, 11678, 11678), ('wcag_ext', 'soft3hz', 'warning', 'flash', 'strict', 11678, 58392, 50, 11678, 11678),
-('wcag_ext', 'burst3hz', 'warning', 'flash', 'limit', 11678, 18352, 40, 11678, 11678)"""
-_E4 = ["start", "end", "onset", "peak"]
-
-
-@query(
-    f"""SELECT profile, video, what, kind, level, CAST(s AS BIGINT) AS start_e4, CAST(e AS BIGINT) AS end_e4, CAST(sev AS BIGINT) AS severity_e1, CAST(o AS BIGINT) AS onset_e4, CAST(k AS BIGINT) AS peak_e4
-FROM (VALUES {PUBLISHED}) v(profile, video, what, kind, level, s, e, sev, o, k)"""
-)
-def scene_verdicts(spark, d):
-    """The whole detector over generated pictures of all ten scenes, by the profiles whose verdicts are published."""
-    out = None
-    for profile, left_out in (("wcag", ["soft3hz"]), ("wcag_ext", [s for s in scenes.SCENES if not s.endswith("3hz")])):
-        config = PROFILES[profile]
-        found = stored(detector.frame_stats(scenes.frames(spark, [s for s in scenes.SCENES if s not in left_out]), config), "frame-stats")
-        made = detector.verdict(found, config, scenes.W, scenes.H).withColumn("profile", F.lit(profile))
-        out = made if out is None else out.unionByName(made)
-    times = [F.round(F.col(c) * 1e4).cast("long").alias(f"{c}_e4") for c in _E4]
-    return out.select("profile", "video", "what", "kind", "level", *times, F.round(F.col("severity") * 10).cast("long").alias("severity_e1"))

@@ -6,7 +6,7 @@ import pytest
 
 from glintframe.config import PROFILES, profile_name, with_settings
 from glintframe.plans import detector
-from glintframe.sources import scenes
+import scenes
 
 # Fixed values: (profile, scene) -> held pictures, (what, kind, level, start, end, severity, onset, peak).
 EXPECTED = {

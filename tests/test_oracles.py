@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from glintframe import queries_more  # noqa: F401  (registers its queries)
+from glintframe import queries_detector, queries_more  # noqa: F401  (register their queries)
 from glintframe.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
