@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ BROKEN = 0.25  # of an item's values, from which a chain is inconsistent
 FILTER_BITS = 26  # the filter has 2**26 bits (8 MB), whatever the benchmark's size
 SALTS = 16
 CACHE = 150_000
+GROUP = 1_000_000  # characters worked on at once
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?", re.I)
 # Numbers in words.
@@ -98,27 +100,30 @@ class Templates(dict):
         self.flags[i] = flags
         return i
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token hash, kind, chunk number, whether it opens a sentence) of each template token."""
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, token hash, kind, chunk number, whether it opens a sentence) of each template token of the texts, one after another."""
         if len(self) > CACHE:
             self.clear()
             self.values.clear()
-        chunks = text.split()
-        ids = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        chunks = [text.split() for text in texts]
+        sizes = [len(c) for c in chunks]
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(chunks)), np.int64, sum(sizes))
+        owner = np.repeat(np.arange(len(texts)), sizes)
         flags = self.flags[ids]
         if (flags >= 16).any():
-            ids = ids[flags < 16]
-            flags = flags[flags < 16]
+            some = flags < 16
+            ids, owner, flags = ids[some], owner[some], flags[some]
         kind = np.zeros(len(ids), np.uint8)
-        starts = np.zeros(len(ids), bool)
+        starts = np.ones(len(ids), bool)
         if len(ids):
+            same = owner[1:] == owner[:-1]
             number = (flags & 1) > 0
-            starts = np.concatenate(([True], (flags[:-1] & 8) > 0))
+            starts[1:] = ~same | ((flags[:-1] & 8) > 0)
             kind[(flags & 4) > 0] = NAME
-            kind[((flags & 2) > 0) & np.concatenate(([False], number[:-1]))] = UNIT
+            kind[1:][((flags[1:] & 2) > 0) & same & number[:-1]] = UNIT
             kind[number] = NUM
         token = np.where(kind == WORD, self.hash[ids], kind.astype(np.uint64))
-        return token, kind, ids, starts
+        return owner, token, kind, ids, starts
 
 
 TEMPLATE, LITERAL = 1, 2
@@ -148,40 +153,52 @@ WINDOW_FIELDS = [
 ]
 
 
-def text_windows(templates: Templates, text: str, passes, widths) -> Iterator[tuple]:
-    """(n_windows, n_tokens, width, h, pos, mode, strong, slots) of each window of a text that ``passes`` lets through."""
-    token, kind, ids, starts = templates.of(text)
-    if kind.any():
-        # A run of names within a sentence is one name.
-        first = np.flatnonzero(~((kind == NAME) & ~starts & np.concatenate(([False], kind[:-1] == NAME))))
-        sequences = [(TEMPLATE, token[first], kind[first], first), (LITERAL, templates.hash[ids], None, None)]
-    else:
-        sequences = [(TEMPLATE | LITERAL, token, None, None)]
-    for mode, tokens, kinds, first in sequences:
-        for width in widths(len(tokens)):
+def text_windows(templates: Templates, texts: list[str], passes, widths) -> Iterator[tuple]:
+    """(text number, n_windows, n_tokens, width, h, pos, mode, strong, slots) of each window that ``passes`` lets through.
+
+    All texts are worked on at once, as one sequence of tokens; windows that reach from one into the next don't count.
+    """
+    owner, token, kind, ids, starts = templates.of(texts)
+    marked = np.zeros(len(texts), bool)  # texts with placeholders: their literal windows are others
+    marked[owner[kind != WORD]] = True
+    # A run of names within a sentence is one name.
+    first = np.flatnonzero(~((kind == NAME) & ~starts & np.concatenate(([False], kind[:-1] == NAME)))) if len(kind) else np.zeros(0, np.int64)
+    literal = (LITERAL, owner, templates.hash[ids], None)
+    for mode, of, tokens, kinds in ((TEMPLATE, owner[first], token[first], kind[first]), literal):
+        lengths = np.bincount(of, minlength=len(texts))
+        begins = np.cumsum(lengths) - lengths
+        for width, has in widths(lengths):
             h = window_hashes(tokens, width)
             if not len(h):
                 continue
-            at = np.flatnonzero(passes(h))
-            if not len(at):
-                continue
-            words, n = None, len(h)
+            whole = (of[: len(h)] == of[width - 1 :]) & has[of[: len(h)]]
             if kinds is not None:
                 counts = np.concatenate(([0], np.cumsum(kinds == WORD)))
-                words = counts[at + width] - counts[at]
-                at, words = at[words > 0], words[words > 0]
-                n = int((counts[width:] > counts[: len(h)]).sum())
-            for i, p in enumerate(at.tolist()):
+                whole &= (counts[width:] > counts[: len(h)]) & marked[of[: len(h)]]  # the literal windows stand for texts without placeholders
+            n = np.bincount(of[: len(h)][whole], minlength=len(texts))
+            at = np.flatnonzero(whole)
+            for p in at[passes(h[at])].tolist():
+                text = int(of[p])
                 slots = []
-                if kinds is not None and words[i] < width:
+                if kinds is not None:
                     for q in range(p, p + width):
                         if kinds[q] != WORD:
                             lo, hi = int(first[q]), int(first[q + 1]) if q + 1 < len(first) else len(ids)
+                            hi = min(hi, int(np.searchsorted(owner, text, "right")))
                             slots.append((OPENS if kinds[q] == NAME and starts[lo] else "") + " ".join(templates.values[c] for c in ids[lo:hi]))
-                strong = words is None or words[i] >= min(LEAST_WORDS, width)
-                for m in (TEMPLATE, LITERAL):
-                    if mode & m:
-                        yield n, len(tokens), width, int(h[p].view(np.int64)), p, m, bool(strong), slots
+                strong = kinds is None or counts[p + width] - counts[p] >= min(LEAST_WORDS, width)
+                for m in (mode,) if marked[text] else (TEMPLATE, LITERAL):
+                    yield text, int(n[text]), int(lengths[text]), width, int(h[p].view(np.int64)), p - int(begins[text]), m, bool(strong), slots
+
+
+def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of about GROUP characters."""
+    done = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP or i == len(texts) - 1:
+            yield done, texts[done : i + 1]
+            done, size = i + 1, 0
 
 
 def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
@@ -194,16 +211,12 @@ def _windows(df: DataFrame, id_col: str, text_col: str, open_task) -> DataFrame:
             if templates is None:
                 templates = Templates()
                 passes, widths = open_task()
-            owner, made = [], []
-            for i, text in enumerate(C.as_texts(batch.column(1))):
-                for window in text_windows(templates, text, passes, widths):
-                    owner.append(i)
-                    made.append(window)
-            if made:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(zip(*made, strict=True), WINDOW_FIELDS, strict=True)],
-                    names=out.names,
-                )
+            for at, texts in groups(C.as_texts(batch.column(1))):
+                made = list(text_windows(templates, texts, passes, widths))
+                if made:
+                    owner, *fields = zip(*made, strict=True)
+                    ids = batch.column(0).take(pa.array([at + i for i in owner], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids] + [pa.array(v, C.arrow_type(f.dataType)) for v, f in zip(fields, WINDOW_FIELDS, strict=True)], names=out.names)
 
     return df.select(id_col, text_col).mapInArrow(run, out)
 
@@ -216,7 +229,7 @@ def _filter_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc row, item) pairs that match: id, item, windows matched, share of the item's windows, exact (all words, in one piece)."""
     spark = docs.sparkSession
-    items = C.stored(_windows(benchmark, item_col, item_text, lambda: (lambda h: np.ones(len(h), bool), lambda n: [min(n, WINDOW)] if n else [])), "benchmark-windows")
+    items = C.stored(_windows(benchmark, item_col, item_text, lambda: (lambda h: np.arange(len(h)), lambda n: [(w, np.minimum(n, WINDOW) == w) for w in range(1, WINDOW + 1)])), "benchmark-windows")
     in_use = [r[0] for r in items.select("width").distinct().collect()]  # WINDOW, and the lengths of shorter items
     # The two filter positions of each window, as set bits of 64-bit words: at most 2**20 words.
     top = F.shiftrightunsigned("h", 64 - FILTER_BITS)
@@ -231,12 +244,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         words = sent.value.view(np.uint64)
 
         def passes(h: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(h), bool)
-            for bit in _filter_bits(h):
-                ok &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+            ok = np.arange(len(h))
+            for k in range(2):  # few pass the first bit
+                bit = _filter_bits(h[ok])[k]
+                ok = ok[(words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0]
             return ok
 
-        return passes, lambda n: in_use
+        return passes, lambda n: [(w, n >= w) for w in in_use]
 
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), F.col(text_col).alias("text"))
     found = _windows(rows, "key", "text", open_task)
