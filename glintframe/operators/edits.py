@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.operators.intervals import touching
+from glintframe.operators.intervals import asof, located, touching
 
 
 def replacement(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,21 +38,26 @@ def holds(frames: DataFrame, keys: list[str], end: str, hold: float = 1.0) -> Da
     return rows.where(F.col("extended") & ~F.col("removed")).select(*keys, "ord", "at", F.lit(hold).alias("seconds"))
 
 
+# Rates (and how near to them) on the grid of 100 slots a second, and slots there must be for a picture.
+GRID_100 = ((25, 0.5), (50, 1.0))
+GRID_ROOM = 1.8
+
+
 def slots(pictures: DataFrame, keys: list[str]) -> DataFrame:
     """Append ``grid`` (slots a second), ``first_slot`` and ``slots`` for an export at a constant rate.
 
     Pictures (n, rel, until: where each one ends) take whole slots, at least one each; one that finds its
     slot taken borrows from those after it.  The end of picture i is max(end before + 1, its own place),
-    which is i and the running maximum of place - i.  25 and 50 a second lie on a grid of 100, other rates
-    on 120, doubled until it is 1.8 times the rate.
+    which is i and the running maximum of place - i.  Rates near those of ``GRID_100`` lie on a grid of 100, others
+    on 120, doubled until it is ``GRID_ROOM`` times the rate.
     """
     by = Window.partitionBy(*keys).orderBy("n")
     step = F.col("until") - F.col("rel")
     usual = pictures.where(step > 1e-6).groupBy(*keys).agg((1 / F.percentile(step, 0.5)).alias("__rate"))
     rate = F.col("__rate")
-    base = F.when((F.abs(rate - 25) < 0.5) | (F.abs(rate - 50) < 1.0), 100).otherwise(120)
+    base = F.when(reduce(or_, (F.abs(rate - near) < slack for near, slack in GRID_100)), 100).otherwise(120)
     grids = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: base * F.pow(F.lit(2), i))
-    grid = F.coalesce(F.element_at(F.filter(grids, lambda g: g >= rate * 1.8), 1), F.lit(120.0))
+    grid = F.coalesce(F.element_at(F.filter(grids, lambda g: g >= rate * GRID_ROOM), 1), F.lit(120.0))
     rows = pictures.join(usual.select(*keys, grid.cast("long").alias("grid")), keys, "left").fillna(120, ["grid"])
     place = F.row_number().over(by)
     rows = rows.withColumn("__i", place).withColumn("__p", F.rint(F.col("until") * F.col("grid")).cast("long") - F.col("__i"))
@@ -105,16 +113,36 @@ def blend_weights(u: Column, strength: float) -> list[Column]:
     return [F.lit(1 - strength), F.lit(strength) * (1 - u), F.lit(strength) * u]
 
 
+def first_come(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (start, end) in order of their starts, each without what earlier ones cover; empty ones go."""
+    earlier = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    return segments.withColumn("start", F.greatest("start", F.max("end").over(earlier))).where("start < end")
+
+
 def sound_places(segments: DataFrame, holds: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments (start, end) cut where a hold begins and moved by all holds at or before them."""
-    inner = holds.select(*keys, F.col("at").alias("cut"), "seconds")
-    cuts = segments.join(inner, keys, "left")
-    marks = cuts.groupBy(*segments.columns).agg(F.array_sort(F.collect_set(F.when((F.col("cut") > F.col("start")) & (F.col("cut") < F.col("end")), F.col("cut")))).alias("cuts"))
-    edges = F.concat(F.array("start"), F.col("cuts"), F.array("end"))
-    parts = marks.select(*segments.columns, F.explode(F.arrays_zip(F.slice(edges, 1, F.size(edges) - 1).alias("a"), F.slice(edges, 2, F.size(edges) - 1).alias("b"))).alias("p"))
-    parts = parts.select(*[c for c in segments.columns if c not in ("start", "end")], F.col("p.a").alias("start"), F.col("p.b").alias("end"))
-    moved = parts.join(inner, keys, "left")
-    return moved.groupBy(*parts.columns).agg(F.coalesce(F.sum(F.when(F.col("cut") <= F.col("start"), F.col("seconds"))), F.lit(0.0)).alias("shift")).withColumn("placed", F.col("start") + F.col("shift"))
+    """Segments (start, end; disjoint, see :func:`first_come`) cut where a hold begins and moved by all holds at or before them.
+
+    A cut belongs to the segment that holds it, and the shift is a running sum of the holds: both are as-of joins.
+    """
+    whole = segments.withColumn("__from", F.col("start"))
+    spans = whole.select(*keys, "start", "end", F.col("__from").alias("id"))
+    cuts = located(holds.select(*keys, "at").distinct(), spans, keys, "at").where("id is not null and at > id").select(*keys, F.col("id").alias("__from"), F.col("at").alias("start"))
+    rest = [c for c in segments.columns if c not in (*keys, "start", "end")]
+    inner = cuts.join(whole.select(*keys, "__from", "end", *rest), [*keys, "__from"])
+    parts = whole.unionByName(inner.select(whole.columns))
+    nearest = F.lead("start").over(Window.partitionBy(*keys, "__from").orderBy("start"))
+    parts = parts.withColumn("end", F.coalesce(nearest, "end")).drop("__from")
+    sums = holds.groupBy(*keys, "at").agg(F.sum("seconds").alias("seconds"))
+    sums = sums.withColumn("held", F.sum("seconds").over(Window.partitionBy(*keys).orderBy("at")))
+    moved = asof(parts, F.col("start"), sums, "at", F.col("held"), keys, "shift").fillna(0.0, ["shift"])
+    return moved.withColumn("placed", F.col("start") + F.col("shift"))
+
+
+def sound_source(points: DataFrame, places: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Append ``source``: which second of the source sounds at an output second; null in silence."""
+    end = F.col("placed") + F.col("end") - F.col("start")
+    spans = places.select(*keys, F.col("placed").alias("start"), end.alias("end"), F.col("shift").alias("id"))
+    return located(points, spans, keys, at).withColumn("source", F.col(at) - F.col("id")).drop("start", "end", "id")
 
 
 def export_layout(sections: DataFrame, keys: list[str], duration: str, least_gap: float = 0.02) -> DataFrame:

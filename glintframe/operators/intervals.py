@@ -20,16 +20,17 @@ def islands(df: DataFrame, keys: list[str], order: list, joins: Column, name: st
 def strobe_violations(stats: DataFrame, keys: list[str], threshold: int, area: str = "area", gap: float = 1.0) -> DataFrame:
     """Spans of rows (n, t, tc, onset) whose area reaches the threshold and that follow within ``gap``.
 
-    Columns: keys, start, end, severity, onset, peak.  The peak is the first row of the highest severity.
+    Columns: keys, start, end, severity, onset, peak.  The peak is the first row of the highest severity; the end and
+    the onset are the latest and earliest of all rows.
     """
     by = Window.partitionBy(*keys).orderBy("n")
     rows = stats.where(F.col(area) >= threshold).withColumn("severity", hundredths(F.col(area), threshold))
     rows = islands(rows, keys, ["n"], F.col("tc") - F.lag("tc").over(by) <= gap)
     return rows.groupBy(*keys, "island").agg(
         F.min_by("t", "n").alias("start"),
-        F.max_by("t", "n").alias("end"),
+        F.max("t").alias("end"),
         F.max("severity").alias("severity"),
-        F.min_by(F.least("t", "onset"), "n").alias("onset"),
+        F.min(F.least("t", "onset")).alias("onset"),
         F.min_by("t", F.struct(-F.col("severity"), F.col("n"))).alias("peak"),
     )
 
@@ -198,10 +199,11 @@ def free_ranges(wanted: DataFrame, taken: DataFrame, keys: list[str], duration:
 
 
 def labelled(sections: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Append ``kinds``: the sorted kinds of all spans that overlap a section."""
-    other = spans.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("kind").alias("__k"))
-    rows = sections.join(other, keys, "left").withColumn("__k", F.when((F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s")), F.col("__k")))
-    return rows.groupBy(*sections.columns).agg(F.array_join(F.array_sort(F.collect_set("__k")), ",").alias("kinds"))
+    """Append ``kinds``: the sorted kinds of all spans that overlap a section.  Each section is tried once for each kind of its key."""
+    kinds = spans.where("kind is not null").select(*keys, F.col("kind").alias("__k")).distinct()
+    tried = sections.join(kinds, keys, "left")
+    met = touching(tried, F.col("start"), F.col("end"), spans.withColumnRenamed("kind", "__k"), F.col("start"), F.col("end"), [*keys, "__k"], closed=False)
+    return met.groupBy(*sections.columns).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("touches"), F.col("__k")))), ",").alias("kinds"))
 
 
 def located(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:

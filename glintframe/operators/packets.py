@@ -48,10 +48,14 @@ def chunk_starts(packets: DataFrame, keys: list[str], order: str, length: float
     return sorted_fold(rows, keys, [order], [T.StructField("starts", T.BooleanType())], begin, [*keys, order, "t"]).where("starts").drop("starts")
 
 
-def decode_spans(packets: DataFrame, keys: list[str], order: str, k: int, least: int = 120) -> DataFrame:
+# Shares of a span between its start and the one before, and before the end; packets that are worth cutting.
+SPAN_SHARE, END_SHARE, SPAN_LEAST = 0.75, 0.5, 120
+
+
+def decode_spans(packets: DataFrame, keys: list[str], order: str, k: int, least: int = SPAN_LEAST) -> DataFrame:
     """Each series as at most ``k`` spans of about equal packets that can be decoded at once: part, from_order, from, to.
 
-    A span starts at a keyframe at least 0.75 shares after the one before and half a share before the end;
+    A span starts at a keyframe at least ``SPAN_SHARE`` shares after the one before and ``END_SHARE`` of a share before the end;
     a series of fewer than ``least`` packets stays whole.  ``order`` counts packets from 1.
     """
     ends = packets.groupBy(*keys).agg(F.min("t").alias("__first"), F.max("t").alias("__last"), F.count(F.lit(1)).alias("__total"))
@@ -63,7 +67,7 @@ def decode_spans(packets: DataFrame, keys: list[str], order: str, k: int, least:
         def step(row: dict):
             nonlocal last, cuts
             i, share = row[order] - 1, row["__total"] / k
-            cut = i > 0 and cuts < k - 1 and row["__first"] < row["t"] < row["__last"] and i - last >= share * 0.75 and row["__total"] - i >= share * 0.5
+            cut = i > 0 and cuts < k - 1 and row["__first"] < row["t"] < row["__last"] and i - last >= share * SPAN_SHARE and row["__total"] - i >= share * END_SHARE
             if cut:
                 last, cuts = i, cuts + 1
             return (cut,)
@@ -78,24 +82,36 @@ def decode_spans(packets: DataFrame, keys: list[str], order: str, k: int, least:
     return made.join(ends.select(*keys, "__last"), keys).withColumn("to", F.coalesce("__to", "__last")).drop("__to", "__last")
 
 
-def triage(packets: DataFrame, keys: list[str], chunk: str, share: float = 0.25) -> DataFrame:
+# What each rank adds to a chunk's score, how small a keyframe is flat, and when a packet is a spike.
+TRIAGE_WEIGHTS = {"weight": 0.25, "keys_rate": 0.2, "spike_rate": 0.3, "flat_rate": 0.25}
+FLAT_SHARE, FLAT_BYTES_PER_PIXEL, SPIKE, UPPER, LEAST_CHUNKS = 0.25, 0.002, 3, 0.75, 4
+
+
+def triage(packets: DataFrame, keys: list[str], chunk: str, pixels: int, share: float = 0.25) -> DataFrame:
     """Score the chunks of each index by their packets (size, sync, t) and mark the hottest ``share``.
 
-    Features: bytes a packet, keyframes a second, spikes a second (three times the discrete upper
-    quartile of the others) and flat keyframes a second; each is ranked with ties at their mean.
+    Features: bytes a packet, keyframes a second, spikes a second (other packets of more than three times
+    the upper quartile of the chunk's own) and flat keyframes a second (under a quarter of the index's median
+    keyframe, or under 0.002 bytes a pixel); each is ranked with ties at their mean.  A chunk lasts until the next one
+    starts, the last one until the last packet and a median step.
     """
     group = [*keys, chunk]
-    quartile = Window.partitionBy(*keys).orderBy("size", "order")
-    plain = packets.where("NOT sync").withColumn("__k", F.row_number().over(quartile) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    upper = plain.where(F.col("__k") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.75))).select(*keys, F.col("size").alias("p75"))
-    rows = packets.join(upper, keys, "left")
-    length = F.greatest(F.max("t") - F.min("t"), F.lit(1e-3))
+    upper = discrete_quantile(packets.where("NOT sync"), group, "size", UPPER).withColumnRenamed("quantile", "p75")
+    flat = discrete_quantile(packets.where("sync"), keys, "size", 0.5).withColumnRenamed("quantile", "key_size")
+    step = packets.withColumn("__d", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("order"))).groupBy(*keys)
+    ends = step.agg((F.max("t") + F.coalesce(F.percentile(F.when(F.col("__d") > 0, F.col("__d")), 0.5), F.lit(0.0))).alias("ends"))
+    rows = packets.join(upper, group, "left").join(flat, keys, "left")
+    under = F.greatest(F.coalesce("key_size", F.lit(0)) * FLAT_SHARE, F.lit(FLAT_BYTES_PER_PIXEL * max(1, pixels)))
     made = rows.groupBy(*group).agg(
+        F.min("t").alias("__t"),
         (F.sum("size") / F.count(F.lit(1))).alias("weight"),
-        (F.count_if("sync") / length).alias("keys_rate"),
-        (F.count_if(~F.col("sync") & (F.col("size") > 3 * F.col("p75"))) / length).alias("spike_rate"),
-        (F.count_if(F.col("sync") & (F.col("size") < F.col("p75"))) / length).alias("flat_rate"),
+        F.count_if("sync").alias("keys_rate"),
+        F.count_if(~F.col("sync") & (F.col("size") > SPIKE * F.col("p75"))).alias("spike_rate"),
+        F.count_if(F.col("sync") & (F.col("size") < under)).alias("flat_rate"),
     )
+    until = F.coalesce(F.lead("__t").over(Window.partitionBy(*keys).orderBy(chunk)), "ends")
+    made = made.join(ends, keys).withColumn("__s", F.greatest(until - F.col("__t"), F.lit(1e-3)))
+    made = made.withColumns({c: F.col(c) / F.col("__s") for c in ("keys_rate", "spike_rate", "flat_rate")}).drop("__t", "__s", "ends")
     whole = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(whole)
 
@@ -104,11 +120,10 @@ def triage(packets: DataFrame, keys: list[str], chunk: str, share: float = 0.25)
         place = F.rank().over(whole.orderBy(c)) - 1 + (peers - 1) / 2
         return F.when(n > 1, place / (n - 1)).otherwise(0.5)
 
-    weights = {"weight": 0.25, "keys_rate": 0.2, "spike_rate": 0.3, "flat_rate": 0.25}
-    made = made.withColumns({f"__{c}": rank(c) for c in weights})
-    made = made.withColumn("score", sum((F.col(f"__{c}") * w for c, w in weights.items()), F.lit(0.0)))
+    made = made.withColumns({f"__{c}": rank(c) for c in TRIAGE_WEIGHTS})
+    made = made.withColumn("score", sum((F.col(f"__{c}") * w for c, w in TRIAGE_WEIGHTS.items()), F.lit(0.0)))
     place = F.row_number().over(whole.orderBy(F.desc(F.round("score", 9)), chunk))
-    return made.withColumn("hot", (n >= 4) & (place <= F.greatest(F.lit(1), F.round(n * share)))).drop(*[f"__{c}" for c in weights])
+    return made.withColumn("hot", (n >= LEAST_CHUNKS) & (place <= F.greatest(F.lit(1), F.round(n * share)))).drop(*[f"__{c}" for c in TRIAGE_WEIGHTS])
 
 
 def sync_before(wanted: DataFrame, syncs: DataFrame, keys: list[str]) -> DataFrame:

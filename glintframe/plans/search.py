@@ -45,18 +45,21 @@ def search_rate(series: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
     return best.select(*keys, "b.*")
 
 
-def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
-    """keys, variant, removed, passes: the way of removing frames within spans that passes with the fewest removed.
+WAYS = ["light", "light-tight", "dark", "dark-tight", "light-hold", "dark-hold"]
 
-    Ways: cut at the middle between percentiles, or close to the side that stays, on either side; or keep
-    only the extreme frame of each span.
-    """
-    spans = spans.withColumn("span", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end")))
-    other = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"), "span")
-    on = (F.col("tc") >= F.col("__s")) & (F.col("tc") <= F.col("__e"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    inside = stored(series.join(other, on).select(*keys, "span", "n", "tc", "x"), "inside-spans")  # read by every way
+
+def in_spans(series: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, span, n, tc, x: frames with the start of the span that holds them (spans of a key are disjoint, ends belong to them)."""
+    both = series.select(*keys, F.col("tc").alias("__at"), "n", "x", F.lit(None).cast("struct<start:double,end:double>").alias("__s"))
+    marks = spans.select(*keys, F.col("start").alias("__at"), F.lit(None).cast(series.schema["n"].dataType).alias("n"), F.lit(None).cast("double").alias("x"), F.struct("start", "end").alias("__s"))
+    up = Window.partitionBy(*keys).orderBy("__at", F.col("n").isNotNull(), "n").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.unionByName(marks).withColumn("__s", F.last("__s", ignorenulls=True).over(up)).where("n is not null and __at <= __s.end")
+    return inside.select(*keys, F.col("__s.start").alias("span"), "n", F.col("__at").alias("tc"), "x")
+
+
+def removal_ways(series: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, variant, n: the frames that each of the WAYS removes within spans."""
+    inside = stored(in_spans(series, spans, keys), "inside-spans")  # read by every way
     own = [*keys, "span"]
     ways = []
     for side in ("light", "dark"):
@@ -67,9 +70,21 @@ def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg:
     gone = ways[0]
     for w in ways[1:]:
         gone = gone.unionByName(w)
-    gone = stored(gone.where("n > 0").distinct(), "removals")
-    names = ["light", "light-tight", "dark", "dark-tight", "light-hold", "dark-hold"]
-    rows = series.join(spans.select(*keys).distinct(), keys, "left_semi").withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+    return gone.where("n > 0").distinct()
+
+
+def suggest_removals(series: DataFrame, spans: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
+    """keys, variant, removed, passes: the way of removing frames within spans that passes with the fewest removed.
+
+    Ways: cut at the middle between percentiles, or close to the side that stays, on either side; or keep
+    only the extreme frame of each span.
+    """
+    return best_way(series, spans, stored(removal_ways(series, spans, keys), "removals"), keys, cfg)
+
+
+def best_way(series: DataFrame, spans: DataFrame, gone: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
+    """keys, variant, removed, passes: the best of the ways (keys, variant, n)."""
+    rows = series.join(spans.select(*keys).distinct(), keys, "left_semi").withColumn("variant", F.explode(F.array(*map(F.lit, WAYS))))
     left = rows.join(gone, [*keys, "variant", "n"], "left_anti")
     counts = gone.groupBy(*keys, "variant").agg(F.count(F.lit(1)).alias("removed"))
     tried = _passing(left, [*keys, "variant"], cfg).join(counts, [*keys, "variant"], "left").fillna(0, ["removed"])
@@ -86,14 +101,8 @@ def flashing_spans(series: DataFrame, keys: list[str], cfg: Config) -> DataFrame
 
 def minority_frames(series: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n: within each span, the frames beyond the middle of its percentiles, on the light side unless the dark one is clearly smaller.
-
-    Spans of a key don't meet, so the span of a frame is the last that starts before it.
     """
-    both = series.select(*keys, F.col("tc").alias("__at"), "n", "x", F.lit(None).cast("struct<start:double,end:double>").alias("__s"))
-    marks = spans.select(*keys, F.col("start").alias("__at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("x"), F.struct("start", "end").alias("__s"))
-    up = Window.partitionBy(*keys).orderBy("__at", F.col("n").isNotNull(), "n").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.unionByName(marks).withColumn("__s", F.last("__s", ignorenulls=True).over(up)).where("n is not null and __at <= __s.end")
-    inside = inside.select(*keys, F.col("__s.start").alias("span"), "n", "x")
+    inside = in_spans(series, spans, keys).drop("tc")
     own = [*keys, "span"]
     low, high = (F.percentile("x", p) for p in (0.15, 0.85))
     cuts = inside.groupBy(*own).agg(low.alias("lo"), high.alias("hi")).where(F.col("hi") - F.col("lo") >= 1e-4)

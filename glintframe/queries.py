@@ -151,7 +151,7 @@ def islands_sql(where: str, gap: str, order: str = "n", by: str = "vid") -> str:
 FROM (SELECT *, lag(tc) OVER (PARTITION BY {by} ORDER BY {order}) AS p FROM st WHERE {where}))"""
 
 
-STROBES = f"""v AS (SELECT vid, i, min_by(t, n) AS s, max_by(t, n) AS e, max(sev) AS sev, min_by(least(t, onset), n) AS onset, min_by(t, (-sev, n)) AS peak
+STROBES = f"""v AS (SELECT vid, i, min_by(t, n) AS s, max(t) AS e, max(sev) AS sev, min(least(t, onset)) AS onset, min_by(t, (-sev, n)) AS peak
 FROM (SELECT *, round_even(CAST(area AS DOUBLE) / 200 * 100, 0) / 100 AS sev FROM {islands_sql('area >= 200', '0.2e0')}) GROUP BY vid, i)"""
 
 
@@ -428,10 +428,15 @@ def scan_chunks(spark, d):
 
 @query(
     f"""WITH {PACKETS}, c AS (SELECT *, CAST(floor(t / 200) AS BIGINT) AS chunk FROM p),
-pl AS (SELECT vid, size, row_number() OVER (PARTITION BY vid ORDER BY size, "order") - 1 AS k, count(*) OVER (PARTITION BY vid) AS m FROM p WHERE NOT sync),
-up AS (SELECT vid, size AS p75 FROM pl WHERE k = least(m - 1, floor(m * 0.75))),
-f AS (SELECT c.vid, chunk, sum(size) / count(*) AS weight, count(*) FILTER (WHERE sync) / greatest(max(t) - min(t), 1e-3) AS kr, count(*) FILTER (WHERE NOT sync AND size > 3 * p75) / greatest(max(t) - min(t), 1e-3) AS sr,
- count(*) FILTER (WHERE sync AND size < p75) / greatest(max(t) - min(t), 1e-3) AS fr FROM c LEFT JOIN up ON up.vid = c.vid GROUP BY c.vid, chunk),
+pl AS (SELECT vid, chunk, size, row_number() OVER (PARTITION BY vid, chunk ORDER BY size) - 1 AS k, count(*) OVER (PARTITION BY vid, chunk) AS m FROM c WHERE NOT sync),
+up AS (SELECT vid, chunk, size AS p75 FROM pl WHERE k = least(m - 1, floor(m * 0.75))),
+kl AS (SELECT vid, size, row_number() OVER (PARTITION BY vid ORDER BY size) - 1 AS k, count(*) OVER (PARTITION BY vid) AS m FROM p WHERE sync),
+km AS (SELECT vid, size AS key_size FROM kl WHERE k = least(m - 1, floor(m * 0.5))),
+en AS (SELECT vid, max(t) + coalesce(quantile_cont(CASE WHEN dd > 0 THEN dd END, 0.5), 0e0) AS ends FROM (SELECT *, t - lag(t) OVER (PARTITION BY vid ORDER BY "order") AS dd FROM p) GROUP BY vid),
+f0 AS (SELECT c.vid, c.chunk, min(t) AS t0, sum(size) / count(*) AS weight, count(*) FILTER (WHERE sync) AS kr, count(*) FILTER (WHERE NOT sync AND size > 3 * p75) AS sr,
+ count(*) FILTER (WHERE sync AND size < greatest(coalesce(key_size, 0) * 0.25e0, 0.002e0 * 1600000000)) AS fr FROM c LEFT JOIN up ON up.vid = c.vid AND up.chunk = c.chunk LEFT JOIN km ON km.vid = c.vid GROUP BY c.vid, c.chunk),
+f1 AS (SELECT f0.*, greatest(coalesce(lead(t0) OVER (PARTITION BY f0.vid ORDER BY chunk), ends) - t0, 1e-3) AS secs FROM f0 JOIN en ON en.vid = f0.vid),
+f AS (SELECT vid, chunk, weight, kr / secs AS kr, sr / secs AS sr, fr / secs AS fr FROM f1),
 q AS (SELECT *, count(*) OVER (PARTITION BY vid) AS m,
  rank() OVER (PARTITION BY vid ORDER BY weight) - 1 + (count(*) OVER (PARTITION BY vid, weight) - 1) / 2 AS a, rank() OVER (PARTITION BY vid ORDER BY kr) - 1 + (count(*) OVER (PARTITION BY vid, kr) - 1) / 2 AS b,
  rank() OVER (PARTITION BY vid ORDER BY sr) - 1 + (count(*) OVER (PARTITION BY vid, sr) - 1) / 2 AS e, rank() OVER (PARTITION BY vid ORDER BY fr) - 1 + (count(*) OVER (PARTITION BY vid, fr) - 1) / 2 AS g FROM f),
@@ -439,8 +444,9 @@ z AS (SELECT *, CASE WHEN m > 1 THEN 0.25e0 * a / (m - 1) + 0.2e0 * b / (m - 1)
 SELECT vid, chunk, {US.format('score')} AS score_e6, m >= 4 AND row_number() OVER (PARTITION BY vid ORDER BY round(score, 9) DESC, chunk) <= greatest(1, round(m * 0.25e0)) AS hot FROM z"""
 )
 def triage_chunks(spark, d):
+    """Extended prices in cents are the sizes, so pictures are taken to have as many pixels as make some keyframes flat."""
     rows = packet_rows(spark, d).withColumn("chunk", F.floor(F.col("t") / 200).cast("long"))
-    return packets.triage(rows, ["vid"], "chunk").select("vid", "chunk", us("score").alias("score_e6"), "hot")
+    return packets.triage(rows, ["vid"], "chunk", 1_600_000_000).select("vid", "chunk", us("score").alias("score_e6"), "hot")
 
 
 @query(

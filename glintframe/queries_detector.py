@@ -84,7 +84,7 @@ hz AS (SELECT *, CASE WHEN us > opened THEN tc - (us - opened) * 1e-6 - 0.125e0
 nat AS (SELECT hz.*, CASE WHEN a.tc IS NULL THEN b.t WHEN b.tc IS NULL OR a.tc >= b.tc THEN a.t ELSE a.t + (b.t - a.t) * ((hz.at - a.tc) / (b.tc - a.tc)) END AS onset
   FROM hz LEFT JOIN LATERAL (SELECT tc, t FROM st WHERE st.vid = hz.vid AND st.tc <= hz.at ORDER BY tc DESC, n DESC LIMIT 1) a ON true
   LEFT JOIN LATERAL (SELECT tc, t FROM st WHERE st.vid = hz.vid AND st.tc >= hz.at ORDER BY tc, n LIMIT 1) b ON true),
-v AS (SELECT vid, min_by(t, n) AS s, max_by(t, n) AS e, max(hazard) AS area, min_by(least(t, onset), n) AS onset, min_by(t, (-hazard, n)) AS peak FROM nat GROUP BY vid, i),
+v AS (SELECT vid, min_by(t, n) AS s, max(t) AS e, max(hazard) AS area, min(least(t, onset)) AS onset, min_by(t, (-hazard, n)) AS peak FROM nat GROUP BY vid, i),
 lim AS (SELECT vid, min(t) AS s, max(t) AS e, max(ext) AS area, min_by(t, (-ext, n)) AS peak FROM {islands(f'ext >= {_geo.area}')} GROUP BY vid, i),
 str AS (SELECT vid, min(t) AS s, max(t) AS e, max(warn) AS area, min_by(t, (-warn, n)) AS peak FROM {islands(f'warn >= {_geo.warn_area}')} GROUP BY vid, i),
 loud AS (SELECT vid, least(onset, s) AS s, e FROM v),

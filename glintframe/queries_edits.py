@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glintframe.config import PROFILES
 from glintframe.operators import edits, flashes, packets
-from glintframe.plans import search
-from glintframe.queries import CLOCK, EDITS, PACKETS, US, clocked, edited, packet_rows, query, us
+from glintframe.plans import restore, search
+from glintframe.queries import CLOCK, EDITS, ORDER_SPANS, PACKETS, US, clocked, edited, order_spans, packet_rows, query, us
 from glintframe.tables import stored
 
 
@@ -79,3 +79,65 @@ def suggested_blend(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(clocked(spark, d).select("vid", "n", "tc", "x"), "series")
     made = search.suggest_blend(rows, ["vid"], PROFILES["wcag"])
     return made.select("vid", "frames", "marked", us("least").alias("least_e6"), us("strength").alias("strength_e6"), "safe")
+
+
+SOUND = f"""{ORDER_SPANS}, h AS (SELECT vid, CAST(s AS DOUBLE) + 3 AS mark, CAST(1 + id % 3 AS DOUBLE) AS seconds FROM o WHERE id % 4 = 0),
+raw AS (SELECT vid, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e FROM o),
+seg AS (SELECT vid, greatest(s, coalesce(max(e) OVER (PARTITION BY vid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS s, e FROM raw),
+kept AS (SELECT vid, s, e FROM seg WHERE s < e),
+cuts AS (SELECT vid, s, e, s AS a FROM kept UNION SELECT k.vid, s, e, mark FROM kept k JOIN h ON h.vid = k.vid WHERE mark > s AND mark < e),
+parts AS (SELECT vid, a, coalesce(lead(a) OVER (PARTITION BY vid, s ORDER BY a), e) AS b FROM cuts),
+placed AS (SELECT p.vid, p.a, p.b, coalesce(sum(CASE WHEN mark <= p.a THEN seconds END), 0e0) AS shift FROM parts p LEFT JOIN h ON h.vid = p.vid GROUP BY p.vid, p.a, p.b)"""
+
+
+def sound(spark: SparkSession, d: str) -> DataFrame:
+    spans = order_spans(spark, d)
+    holds = spans.where("id % 4 = 0").select("vid", (F.col("start").cast("double") + 3).alias("at"), (1 + F.col("id") % 3).cast("double").alias("seconds"))
+    segments = spans.select("vid", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    return edits.sound_places(edits.first_come(segments, ["vid"]), holds, ["vid"])
+
+
+@query(f'WITH {SOUND} SELECT vid, a AS start, b AS "end", shift, a + shift AS placed FROM placed')
+def sound_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pieces of sound, of which the first keeps its place, with holds."""
+    return sound(spark, d)
+
+
+@query(
+    f"""WITH {SOUND}, pt AS (SELECT DISTINCT vid, CAST(s + id % 50 AS DOUBLE) AS u FROM o)
+SELECT pt.vid, pt.u AS "at", min(pt.u - shift) AS source FROM pt LEFT JOIN placed p ON p.vid = pt.vid AND pt.u >= a + shift AND pt.u < b + shift GROUP BY pt.vid, pt.u"""
+)
+def sound_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """Which second of the source sounds at moments of the edited timeline."""
+    points = order_spans(spark, d).select("vid", (F.col("start") + F.col("id") % 50).cast("double").alias("at")).distinct()
+    return edits.sound_source(points, sound(spark, d), ["vid"], "at")
+
+
+@query(None)
+def fewest_removals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every frame that the best passing removal takes out: what comes back as a flash that may stay, or into a long gap."""
+    rows = stored(clocked(spark, d).select("vid", "n", "tc", "x"), "series")
+    spans = stored(search.flashing_spans(rows, ["vid"], PROFILES["wcag"]), "flashing")
+    ways = stored(search.removal_ways(rows, spans, ["vid"]), "removals")
+    best = search.best_way(rows, spans, ways, ["vid"], PROFILES["wcag"]).where("passes").select("vid", "variant")
+    made = restore.fewest_removals(rows, ways.join(best, ["vid", "variant"]), ["vid"], PROFILES["wcag"])
+    return made.select("vid", "n", F.coalesce("back", F.lit("")).alias("back"))
+
+
+@query(
+    f"""WITH RECURSIVE {CLOCK}, w AS (SELECT vid, n, tc, lag(tc) OVER (PARTITION BY vid ORDER BY n) AS bf, lead(tc) OVER (PARTITION BY vid ORDER BY n) AS af FROM c),
+sg AS (SELECT vid, tc - bf AS dd, row_number() OVER (PARTITION BY vid ORDER BY tc - bf) - 1 AS k, count(*) OVER (PARTITION BY vid) AS m FROM w WHERE bf IS NOT NULL),
+gp AS (SELECT vid, dd AS gap FROM sg WHERE k = least(m - 1, floor(m * 0.5))),
+rm AS (SELECT *, n - row_number() OVER (PARTITION BY vid ORDER BY n) AS run FROM w WHERE n % 23 BETWEEN 4 AND 15),
+en AS (SELECT rm.vid, run, min(n) AS first, coalesce(min_by(struct_pack(v := bf), n).v, min(tc) - coalesce(max(gap), 1e0/30)) AS t0, coalesce(max_by(struct_pack(v := af), n).v, max(tc) + coalesce(max(gap), 1e0/30)) AS t1 FROM rm LEFT JOIN gp ON gp.vid = rm.vid GROUP BY rm.vid, run),
+y AS (SELECT rm.vid, first, n, tc, t0, t1, row_number() OVER (PARTITION BY rm.vid, first ORDER BY n) AS k FROM rm JOIN en ON en.vid = rm.vid AND en.run = rm.run),
+r AS (SELECT vid, first, n, k, CASE WHEN tc - t0 >= 0.175e0 - 1e-9 AND t1 - tc >= 0.175e0 - 1e-9 THEN tc ELSE t0 END AS last, tc - t0 >= 0.175e0 - 1e-9 AND t1 - tc >= 0.175e0 - 1e-9 AS shows FROM y WHERE k = 1
+  UNION ALL SELECT y.vid, y.first, y.n, y.k, CASE WHEN y.tc - last >= 0.175e0 - 1e-9 AND t1 - y.tc >= 0.175e0 - 1e-9 THEN y.tc ELSE last END, y.tc - last >= 0.175e0 - 1e-9 AND t1 - y.tc >= 0.175e0 - 1e-9
+  FROM r JOIN y ON y.vid = r.vid AND y.first = r.first AND y.k = r.k + 1)
+SELECT vid, first, n FROM r WHERE shows"""
+)
+def gap_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that long runs of removed ones have room for, 0.175 seconds apart."""
+    rows = stored(clocked(spark, d).select("vid", "n", "tc", "x"), "series")
+    runs = restore.pulses(rows, rows.where("n % 23 BETWEEN 4 AND 15"), ["vid"])
+    return restore.gap_frames(runs, restore.frame_gaps(rows, ["vid"]), ["vid"], 0.175).select("vid", "first", "n")

@@ -10,6 +10,7 @@ from glintframe.functions import media
 from glintframe.operators import clock, edits, flashes, packets, patterns, projects, signatures
 from glintframe.operators import intervals as V
 from glintframe.plans import search
+from glintframe.streaming import verdicts
 from glintframe.tables import stored
 from glintframe.queries import CLOCK, FOLD, MERGED, ORDER_SPANS, PACKETS, PIXELS, SERIES, STATS, STROBES, US, clocked, folded, order_spans, packet_rows, pixels, query, series, stats, strobes, table, us
 
@@ -279,6 +280,13 @@ def smart_cut(spark: SparkSession, d: str) -> DataFrame:
     return V.merge_spans(wide, ["vid"]).withColumnRenamed("parts", "sections")
 
 
+@query(f"WITH {STATS}, {STROBES} SELECT vid, {US.format('s')} AS start_us, {US.format('e')} AS end_us, CAST(round(sev*100) AS BIGINT) AS severity, {US.format('onset')} AS onset_us, {US.format('peak')} AS peak_us FROM v")
+def session_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The violations again, as event-time sessions: the plan that a stream runs."""
+    made = verdicts.sessions(stats(spark, d), 200, gap="200 milliseconds")
+    return made.select("vid", us("start").alias("start_us"), us("end").alias("end_us"), F.round(F.col("severity") * 100).cast("long").alias("severity"), us("onset").alias("onset_us"), us("peak").alias("peak_us"))
+
+
 @query(None)
 def search_frame_rate(spark: SparkSession, d: str) -> DataFrame:
     """All rates of every series' ladder at once; held against a brute-force loop in the tests."""
