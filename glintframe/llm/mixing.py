@@ -29,6 +29,7 @@ from glintframe.llm import common as C
 
 BLOCK = 64
 SHARD = 16_384
+TASK = 50_000  # slots a task works out
 EPOCHS = 3
 WEIGHTS = 3
 BUCKET_BITS = 12
@@ -116,7 +117,9 @@ def mixed_slots(sources: DataFrame, slots: int, shard: int = SHARD, seed: int =
     counts = C.stored(draws(sources, slots, shard, seed), "mix-draws")
     before = F.sum("drawn").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     nth = F.explode(F.sequence("from", F.col("from") + F.col("drawn") - 1)).alias("nth")
-    dealt = counts.withColumn("from", F.coalesce(before, F.lit(0))).select("shard", "sid", nth)
+    # few small rows become many: as many tasks as the slots ask for, not as the rows do
+    begun = counts.withColumn("from", F.coalesce(before, F.lit(0))).repartition(slots // TASK + 1, "shard", "sid")
+    dealt = begun.select("shard", "sid", nth)
     # what sources have too much (over) and too little (under), each as ranges of one numbering
     over, under = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
     settled = sources.join(counts.groupBy("sid").agg(F.sum("drawn").alias("drawn")), "sid", "left").fillna(0, ["drawn"])
