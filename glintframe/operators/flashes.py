@@ -77,7 +77,10 @@ class Runs:
 
 
 class Pairs:
-    """Opposing transitions within ``PAIR`` seconds make a flash; the last ``k`` flashes are kept with their openings."""
+    """Opposing transitions within ``PAIR`` seconds make a flash; the last ``k`` flashes are kept with their openings.
+
+    The first transition of lanes that are ``wild`` completes a flash that began before there was anything to see.
+    """
 
     def __init__(self, n: int, k: int, pair: float = PAIR):
         self.pair = pair
@@ -85,11 +88,15 @@ class Pairs:
         self.pending_t = np.full(n, NEVER)
         self.times = np.full((k, n), NEVER)
         self.opens = np.full((k, n), NEVER)
+        self.wild = None
 
     def feed(self, polarity: np.ndarray, t: float) -> np.ndarray:
         """polarity: 1, -1 or 0 for none.  Returns where a flash was completed."""
         some = polarity != 0
         flash = some & (self.pending == -polarity) & (t - self.pending_t <= self.pair)
+        if self.wild is not None:
+            flash |= some & self.wild
+            self.wild = self.wild & ~some
         if flash.any():
             self.times[1:, flash] = self.times[:-1, flash]
             self.opens[1:, flash] = self.opens[:-1, flash]
@@ -104,13 +111,19 @@ class Pairs:
         return (t - self.times[0] <= fresh) & (t - self.times[k - 1] < rate)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session shuffles to.  A number that is asked for isn't lowered for small
+    rows: what a fold costs is its work on rows, not their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[T.StructField], begin, keep: list[str]) -> DataFrame:
     """Feed rows to a fold, key by key in order; ``begin()`` makes a key's step function: row tuple -> new values.
 
     One pass over sorted partitions: a key's rows are never gathered, only its state.
     """
     out = T.StructType([df.schema[c] for c in keep] + fields)
-    ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ready = spread(df, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

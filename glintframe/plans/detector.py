@@ -7,7 +7,8 @@
 3. *Frames*: a pass over each video adds the bands' arrays up, tracks every window's mean, which must
    flash too, and gives one row of statistics per frame; intervals follow in SQL.
 
-``tc0`` is what a video's clock shows at its first frame (0 without the column), for parts of a longer one.
+Parts of a longer video say what its clock shows at their first frame (``tc0``), the good steps before that (``recent``, on
+the first frame) and from which frame on there are to be statistics (``from_n``); ``segments`` makes such parts.
 Each pass keeps the state of its current key only.  The work on pixels is keyed by (video, band), so one
 video is spread over many tasks once its pictures are told apart; what meets again by video is small.
 """
@@ -29,6 +30,8 @@ from glintframe.operators import flashes as R
 from glintframe.operators import intervals as V
 
 BAND = 32  # rows of a picture worked on together
+FIRST = -(1 << 63)  # below all frame numbers
+CODE = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64).view(np.int64)
 COUNTS = ["fail", "ext", "warn", "fail_red", "ext_red", "warn_red"]
 
 
@@ -42,8 +45,10 @@ def median(values: list[float]) -> float:
 
 
 def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
-    start = F.col("tc0") if "tc0" in frames.columns else F.lit(0.0).alias("tc0")
-    ready = frames.select("video", "n", "t", "w", "h", "rgb", start).repartition("video").sortWithinPartitions("video", "n")
+    given = {"tc0": F.lit(0.0), "from_n": F.lit(FIRST), "recent": F.lit(None).cast("array<double>")}
+    given = [c if c in frames.columns else default.alias(c) for c, default in given.items()]
+    ready = frames.select("video", "n", "t", "w", "h", "rgb", *given)
+    ready = R.spread(ready, "video").sortWithinPartitions("video", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, None
@@ -53,7 +58,7 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                 rgb = np.frombuffer(row["rgb"], np.uint8).reshape(row["h"], row["w"], 3)
                 light, red, _ = colour.planes(rgb, cfg.red_saturation, cfg.red_flare)
                 if row["video"] != video:
-                    video, state = row["video"], {"tc": row["tc0"], "t": row["t"], "steps": [], "light": None}
+                    video, state = row["video"], {"tc": row["tc0"], "t": row["t"], "steps": row["recent"] or [], "light": None}
                 step = row["t"] - state["t"]
                 anomaly = state["light"] is not None and not 0 < step <= cfg.max_gap
                 if state["light"] is not None:
@@ -65,33 +70,58 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                 if state["light"] is not None:
                     moved = (np.abs(light - state["light"]) > np.float32(0.5 * cfg.swing)) | (np.abs(red - state["red"]) > np.float32(0.5 * colour.LEAST_RED_SWING))
                     held = bool(moved.sum() < max(1.0, 0.1 * _geometry(cfg, row["w"], row["h"]).area))
-                first = state["light"] is None
                 if not held:
                     state["light"], state["red"] = light, red
                 mean = float(light.sum(dtype=np.float64) / light.size)
                 for band, y in enumerate(range(0, row["h"], BAND)):
                     part = None if held else rgb[y : y + BAND].tobytes()
-                    made.append((video, band, row["n"], row["t"], state["tc"], held, first, anomaly, mean, row["w"], row["h"], part))
+                    made.append((video, band, row["n"], row["t"], state["tc"], held, anomaly, mean, row["w"], row["h"], row["from_n"], part))
             columns = list(zip(*made, strict=True)) or [[]] * 12
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "video string, band int, n long, t double, tc double, held boolean, first boolean, anomaly boolean, mean double, w int, h int, codes binary"
+    schema = "video string, band int, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, from_n long, codes binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     return ready.mapInArrow(run, schema)
 
 
 class _Tile:
-    """Runs and flashes of a band's pixels; times in microseconds."""
+    """Runs and flashes of a band's pixels; times in microseconds.
 
-    def __init__(self, n: int, cfg: Config):
+    ``wild``: which lanes of each tracker begin within a flash.  With ``carry`` a shadow of each tracker takes all of
+    them to do so; the two differ in what waits for its counterpart and in their latest flashes, until something makes them equal.
+    """
+
+    def __init__(self, n: int, cfg: Config, wild: np.ndarray | None = None, carry: bool = False):
         k = cfg.k_fail
         us = {"max_run": R.MAX_RUN * 1e6}
         self.light = R.Runs(n, cfg.noise, dtype=np.float32, **us)
         self.red = R.Runs(n, cfg.red_noise, dtype=np.float32, extra=True, **us)
         self.pairs = [R.Pairs(n, k, R.PAIR * 1e6) for _ in range(3)]  # general, warning, red
+        self.shadows = [R.Pairs(n, k, R.PAIR * 1e6) for _ in range(3)] if carry else []
+        for i, pairs in enumerate(self.pairs if wild is not None else ()):
+            pairs.wild = wild[i]
+        for shadow in self.shadows:
+            shadow.wild = np.ones(n, bool)
         self.cfg = cfg
 
+    def states(self, t: float) -> np.ndarray:
+        """(tracker, as it is or its shadow, lane): codes that are equal where the future is; a shadow that saw nothing is as the tracker."""
+
+        def code(p: R.Pairs) -> np.ndarray:
+            out = np.where(t - p.pending_t <= p.pair, p.pending, 0).astype(np.int64) * CODE[0]
+            for i, (at, opened) in enumerate(zip(p.times, p.opens, strict=True)):
+                both = at.astype(np.int64) * CODE[2 * i + 1] + np.maximum(opened, 0).astype(np.int64) * CODE[2 * i + 2]
+                out += np.where(t - at < 1e6, both, 0)
+            return (out ^ (out >> 32)).astype(np.int32)
+
+        return np.stack([[own := code(p), np.where(s.wild, own, code(s))] for p, s in zip(self.pairs, self.shadows, strict=True)])
+
+    def _pair(self, i: int, polarity: np.ndarray, t: float) -> None:
+        self.pairs[i].feed(polarity, t)
+        if self.shadows:
+            self.shadows[i].feed(polarity, t)
+
     def feed(self, light: np.ndarray, red: np.ndarray, packed: np.ndarray, t: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(masks as COUNTS, ages of the openings of failing flashes: general, red)."""
         cfg = self.cfg
@@ -103,12 +133,12 @@ class _Tile:
             return up.astype(np.int8) - down.astype(np.int8)
 
         general, warning, reds = self.pairs
-        general.feed(polarity(cfg.swing), t)
+        self._pair(0, polarity(cfg.swing), t)
         if cfg.warns:
-            warning.feed(polarity(cfg.warn_swing), t)
+            self._pair(1, polarity(cfg.warn_swing), t)
         peak, trough, _, _, base_c, far_c = self.red.feed(red, t, packed)
         moved = colour.red_transition(base_c, far_c, cfg.red_delta)
-        reds.feed((peak & moved).astype(np.int8) - (trough & moved).astype(np.int8), t)
+        self._pair(2, (peak & moved).astype(np.int8) - (trough & moved).astype(np.int8), t)
         test = lambda p, k: p.strobing(t, k, cfg.pool * 1e6, R.RATE * 1e6)
         none = np.zeros(len(light), bool)
         masks = [test(general, cfg.k_fail), test(general, cfg.k_extended), test(warning, cfg.k_warn) if cfg.warns else none]
@@ -139,50 +169,75 @@ def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
     return out.ravel()
 
 
-def _window_parts(bands: DataFrame, cfg: Config) -> DataFrame:
-    """One row for each new picture and band: totals of all windows over the band's rows; one without, for a held picture."""
-    ready = bands.repartition("video", "band").sortWithinPartitions("video", "band", "n")
-    schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary"
+def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFrame:
+    """One row for each new picture and band: totals of all windows over the band's rows; one without, for a held picture.
+
+    A row numbered FIRST has in its codes which lanes are wild.  With ``carry`` each band of a video gives one more row:
+    the codes of its pixels' states (see ``_Tile.states``) before its ``from_n`` and after its last frame.
+    """
+    ready = R.spread(bands, "video", "band").sortWithinPartitions("video", "band", "n")
+    schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary, carry binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile = None, None
+        key, tile, wild, before, last = None, None, None, None, 0.0
+
+        def carried() -> list[tuple]:
+            if not carry or tile is None:
+                return []
+            now = tile.states(last)
+            return [(key[0], None, None, None, None, None, None, None, None, key[1], None, np.stack([now if before is None else before, now]).tobytes())]
+
+        def batch_of(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             made: list[tuple] = []
             for row in batch.to_pylist():
+                if (row["video"], row["band"]) != key:
+                    made += carried()
+                    key, tile, wild, before = (row["video"], row["band"]), None, None, None
+                if row["n"] == FIRST:
+                    wild = np.frombuffer(row["codes"], bool).reshape(3, -1)
+                    continue
                 w, h, y0 = row["w"], row["h"], row["band"] * BAND
                 tags = tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
-                if (row["video"], row["band"]) != key:
-                    key, tile = (row["video"], row["band"]), None
-                t = float(round(row["tc"] * 1e6))
+                counts = row["n"] >= row["from_n"]
+                if carry and counts and before is None and tile is not None:
+                    before = tile.states(last)
+                t = last = float(round(row["tc"] * 1e6))
                 if row["held"]:
                     if tile is not None:
                         tile.light.settle(t)
                         tile.red.settle(t)
-                    if row["band"] == 0:
-                        made.append((*tags, 0, None))
+                    if row["band"] == 0 and counts:
+                        made.append((*tags, 0, None, None))
                     continue
                 geo = _geometry(cfg, w, h)
                 rows = min(BAND, h - y0)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(rows * w, 3)
                 light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
                 if tile is None:
-                    tile = _Tile(rows * w, cfg)
+                    tile = _Tile(rows * w, cfg, wild, carry)
                     tile.light.start(light, t)
                     tile.red.start(red, t, packed)
                     masks, ages = [np.zeros(rows * w, bool)] * 6, [np.zeros(rows * w)] * 2
                 else:
                     masks, ages = tile.feed(light, red, packed, t)
+                if not counts:
+                    continue
                 sums = np.zeros((2 + len(COUNTS), rows + 1, w + 1))
                 some = [0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())]
                 sums[some, 1:, 1:] = np.stack([(light, red, *masks)[i].reshape(rows, w) for i in some]).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
                 oldest = [_oldest(g.reshape(rows, w), geo, y0) if m.any() else np.zeros(len(geo.xs) * len(geo.ys)) for g, m in zip(ages, (masks[0], masks[3]), strict=True)]
-                made.append((*tags, row["band"], np.vstack([_window_sums(sums, geo, y0), *oldest]).tobytes()))
+                made.append((*tags, row["band"], np.vstack([_window_sums(sums, geo, y0), *oldest]).tobytes(), None))
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+                yield batch_of(made)
+        if made := carried():
+            yield batch_of(made)
 
     names = [x.split()[0] for x in schema.split(", ")]
     f64, i32 = pa.float64(), pa.int32()
-    kinds = [pa.string(), pa.int64(), f64, f64, pa.bool_(), pa.bool_(), f64, i32, i32, i32, pa.binary()]
+    kinds = [pa.string(), pa.int64(), f64, f64, pa.bool_(), pa.bool_(), f64, i32, i32, i32, pa.binary(), pa.binary()]
     return ready.mapInArrow(run, schema)
 
 
@@ -223,11 +278,14 @@ STATS = "video string, n long, t double, tc double, held boolean, anomaly boolea
 
 
 def frame_stats(frames: DataFrame, cfg: Config) -> DataFrame:
-    """One row per frame: clock, held, areas of hazard, extended flashing and warnings of both kinds, onsets, cell.
+    """One row per frame: clock, held, areas of hazard, extended flashing and warnings of both kinds, onsets, cell."""
+    return _frames_of_parts(_window_parts(_pictures(frames, cfg), cfg), cfg)
 
-    The bands' totals of a picture, a few hundred numbers each, meet in a pass over each video's sorted frames.
-    """
-    parts = _window_parts(_pictures(frames, cfg), cfg).repartition("video").sortWithinPartitions("video", "n", "band")
+
+def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
+    """The bands' totals of a picture, a few hundred numbers each, meet in a pass over each video's sorted frames."""
+    parts = parts.select("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h", "band", "parts")
+    parts = R.spread(parts, "video").sortWithinPartitions("video", "n", "band")
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def stats(tags: tuple, total: np.ndarray | None, state: _Windows | None) -> tuple:

@@ -1,19 +1,26 @@
 """Scanning one video in time segments, and one result from theirs.
 
-A segment is scanned with a run-up: frames before its start, after which the detector's state is that of a
-scan from the video's beginning.  One thing a run-up can't restore: in flashing without a pause that is longer than it, transitions may
-pair up the other way round, so such a span may open or close half a flash earlier or later.  So segments are scanned side by side, in as many tasks as there are, and only their rows of
-statistics meet.  Joining is associative: what a segment hands on is how long its clock ran, and
-the step that one clock over all kept frames takes at the seam.
+A segment is scanned with a run-up: frames before its start, after which runs, ages and rings are those of a
+scan from the video's beginning.  One thing a run-up can't restore: in flashing without a pause, which transitions pair up hangs on
+all that went before.  So each segment is followed both ways, as if it began between flashes or within one.  It hands
+on a code of each pixel's state at its start and its end either way, 48 bytes a pixel.  A pass over these, segment
+by segment, tells which way each pixel went; only bands in which some pixel went the other way are scanned again.
+
+Segments are scanned side by side, in as many tasks as there are.  Their windows' sums run through the last pass of
+the detector as one video, by one clock.  ``merge`` joins results of segments that were scanned with clocks of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.config import Config
-from glintframe.operators.clock import monotonic_clock
+from glintframe.operators.clock import LOOK_BACK, monotonic_clock
 from glintframe.operators.intervals import asof
 from glintframe.plans import detector
 from glintframe.tables import stored
@@ -22,7 +29,9 @@ SECONDS = 10.0
 
 
 def spans(times: DataFrame, cfg: Config, segment: Column | None = None, run_up: float | None = None) -> DataFrame:
-    """video, segment, run_n, tc0, from_n, to_n from (video, n, t): frames from run_n (at clock tc0) on are read, those from from_n on count.
+    """video, segment, run_n, from_n, to_n from (video, n, t): frames from run_n on are read, those from from_n on count.
+
+    tc0 and recent are the clock at run_n and the good steps that its median looks back on.
 
     ``segment``: a number that doesn't fall along a video, from n, t and the clock tc; by default every ``SECONDS`` a new one.
     The run-up is measured by the clock, so jumps of the source's time don't shorten it.
@@ -31,8 +40,16 @@ def spans(times: DataFrame, cfg: Config, segment: Column | None = None, run_up:
     number = F.floor(F.col("tc") / SECONDS) if segment is None else segment
     starts = clock.withColumn("segment", number.cast("long")).groupBy("video", "segment").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"), F.min("tc").alias("from_tc"))
     early = F.col("from_tc") - (cfg.context_seconds if run_up is None else run_up)
-    rows = asof(starts, early, clock, "tc", F.struct("n", "tc"), ["video"], "run", after=True)
-    return rows.select("video", "segment", F.col("run.n").alias("run_n"), F.col("run.tc").alias("tc0"), "from_n", "to_n")
+    by = Window.partitionBy("video").orderBy("n")
+    step = F.col("t") - F.lag("t").over(by)
+    good = (step > 0) & (step <= cfg.max_gap)
+    clock = clock.withColumn("step", F.when(good, step)).withColumn("good", F.count("step").over(by))
+    rows = stored(asof(starts, early, clock, "tc", F.struct("n", "tc", "good"), ["video"], "run", after=True), "segment-starts")
+    looked = rows.where("run.good > 0").select("video", "segment", F.explode(F.sequence(F.greatest(F.lit(1), F.col("run.good") - (LOOK_BACK - 1)), F.col("run.good"))).alias("good"))
+    steps = looked.join(clock.where("step is not null").select("video", "good", "step"), ["video", "good"]).groupBy("video", "segment")
+    recent = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("good", "step"))), lambda s: s["step"]).alias("recent"))
+    rows = rows.join(recent, ["video", "segment"], "left")
+    return rows.select("video", "segment", F.col("run.n").alias("run_n"), F.col("run.tc").alias("tc0"), "recent", "from_n", "to_n")
 
 
 def first_kept(stats: DataFrame, start: str = "from_t") -> DataFrame:
@@ -68,20 +85,64 @@ def merge(stats: DataFrame, cfg: Config) -> DataFrame:
     return made.select([F.col("anomaly").cast("boolean").alias(c) if c == "anomaly" else c for c in names])
 
 
+def ways(carries: DataFrame) -> DataFrame:
+    """video, segment, band, codes: which lanes of each tracker began within a flash, where some did.
+
+    ``carries`` (video, segment, band, carry) has codes of the states at a segment's start and end, either way.  A pass
+    over each band's segments in order: the state at the end of one is that at the start of the next.
+    """
+    ready = carries.repartition("video", "band").sortWithinPartitions("video", "band", "segment")
+    schema = "video string, segment long, band int, codes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ends = None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                # (start or end, tracker, one way or the other, lane)
+                codes = np.frombuffer(row["carry"], np.int32).reshape(2, 3, 2, -1)
+                one, other = codes[0, :, 0], codes[0, :, 1]
+                if (row["video"], row["band"]) != key:
+                    key, ends = (row["video"], row["band"]), one
+                within = (one != other) & (ends == other)
+                ends = np.where(within, codes[1, :, 1], codes[1, :, 0])
+                if within.any():
+                    made.append((*key[:1], row["segment"], key[1], within.tobytes()))
+            columns = list(zip(*made, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["video", "segment", "band", "codes"])
+
+    return ready.select("video", "segment", "band", "carry").mapInArrow(run, schema)
+
+
 def scan(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up: float | None = None) -> DataFrame:
     """``frame_stats`` of whole videos, every segment a key of its own: the same rows, in parallel along the time.
 
-    Where the segments begin is worked out from the frames' times alone; pictures are read once and go to their own segment
-    and those whose run-up they are in.
+    Where the segments begin is worked out from the frames' times alone; pictures go to their own segment and those
+    whose run-up they are in.
     """
     marks = stored(spans(frames, cfg, segment, run_up), "segments")
-    mark = marks.select(F.col("video").alias("__video"), "segment", "run_n", "to_n", "tc0")
-    own = frames.join(mark, (F.col("video") == F.col("__video")) & F.col("n").between(F.col("run_n"), F.col("to_n")))
-    keyed = own.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video"))
-    stats = detector.frame_stats(keyed.select("video", "n", "t", "w", "h", "rgb", "tc0"), cfg)
-    parts = F.split("video", ":", 2)
-    named = stats.withColumn("segment", parts[0].cast("long")).withColumn("video", parts[1])
-    return merge(named.join(marks.select("video", "segment", "from_n"), ["video", "segment"]), cfg)
+
+    def bands(marks: DataFrame) -> DataFrame:
+        mark = marks.withColumnRenamed("video", "__video")
+        own = frames.join(mark, (F.col("video") == F.col("__video")) & F.col("n").between(F.col("run_n"), F.col("to_n")))
+        own = own.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).withColumn("recent", F.when(F.col("n") == F.col("run_n"), F.col("recent")))
+        return detector._pictures(own.select("video", "n", "t", "w", "h", "rgb", "tc0", "from_n", "recent"), cfg)
+
+    def named(rows: DataFrame) -> DataFrame:
+        parts = F.split("video", ":", 2)
+        return rows.withColumn("segment", parts[0].cast("long")).withColumn("video", parts[1])
+
+    found = stored(named(detector._window_parts(bands(marks), cfg, carry=True)), "segment-parts")
+    turned = stored(ways(found.where("carry is not null")), "segment-ways")
+    key = ["video", "segment", "band"]
+    again = bands(marks.join(turned.select("video", "segment").distinct(), ["video", "segment"], "left_semi"))
+    known = turned.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).select("video", "band", "codes")
+    again = again.join(known.select("video", "band"), ["video", "band"], "left_semi")
+    again = again.unionByName(known.withColumn("n", F.lit(detector.FIRST)), allowMissingColumns=True)
+    second = named(detector._window_parts(again, cfg))
+    first = found.where("carry is null").join(turned.select(*key), key, "left_anti")
+    # frames that show nothing new have a row in band 0 only, whichever scan it comes from
+    return detector._frames_of_parts(first.unionByName(second).drop("segment"), cfg)
 
 
 def counts(stats: DataFrame) -> DataFrame:

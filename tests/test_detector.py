@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from glintframe.config import PROFILES, profile_name, with_settings
+from glintframe.operators.patterns import pattern_stats
 from glintframe.plans import detector
 import scenes
 
@@ -34,7 +35,8 @@ def test_verdicts(spark, profile):
     config = PROFILES[profile]
     stats = detector.frame_stats(scenes.frames(spark, names), config).cache()
     held = {r[0]: r[1] for r in stats.where("held").groupBy("video").count().collect()}
-    rows = detector.verdict(stats, config, scenes.W, scenes.H).orderBy("video", "start").collect()
+    patterns = pattern_stats(scenes.frames(spark, names), config) if config.patterns else None
+    rows = detector.verdict(stats, config, scenes.W, scenes.H, patterns).orderBy("video", "start").collect()
     for name in names:
         n, want = EXPECTED[profile, name]
         assert held[name] == n
