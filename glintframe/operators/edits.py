@@ -7,9 +7,13 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from glintframe.operators.flashes import sorted_fold
 from glintframe.operators.intervals import asof, located, touching
 
+PICK_SLACK = 1e-9  # seconds by which a frame may seem early
+
 
 def replacement(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Append ``source``: the frame shown at each place.  A removed frame shows the nearest survivor on its
@@ -160,6 +164,35 @@ def export_layout(sections: DataFrame, keys: list[str], duration: str, least_gap
     return rows.withColumn("placed", F.coalesce(F.sum(length).over(before), F.lit(0.0)))
 
 
+def pick_pictures(wanted: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted (i from 0 without gaps, at) with ``place`` and ``t`` of the frame (place from 0 without gaps, t) that shows each moment.
+
+    The moment waits for the first frame at or after it that comes later than the one its predecessor waited for.  Of this
+    frame and the one before it the nearer is taken, the later on ties, but none twice.  Moments that no frame is left for go.
+    Frames waited for are i and the running maximum of place - i; only the choice between two frames is a fold.
+    """
+    first = asof(wanted, F.col("at") - PICK_SLACK, frames, "t", F.col("place"), keys, "__first", after=True).where("__first is not null")
+    along = Window.partitionBy(*keys).orderBy("i")
+    waits = F.col("i") + F.max(F.col("__first") - F.col("i")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = first.select(*wanted.columns, waits.alias("__k"))
+    shown = frames.select(*keys, F.col("place").alias("__k"), F.col("t").alias("__t"), F.lag("t").over(Window.partitionBy(*keys).orderBy("place")).alias("__before"))
+    rows = rows.join(shown, [*keys, "__k"])
+
+    def begin():
+        used = [-1]
+
+        def step(row: dict):
+            k, at = row["__k"], row["at"]
+            earlier = row["__before"] is not None and used[0] != k - 1 and abs(row["__before"] - at) < abs(row["__t"] - at)
+            used[0] = k - 1 if earlier else k
+            return used[0], row["__before"] if earlier else row["__t"]
+
+        return step
+
+    fields = [T.StructField("place", T.LongType()), T.StructField("t", T.DoubleType())]
+    return sorted_fold(rows, keys, ["i"], fields, begin, wanted.columns)
+
+
 def pick_side(frames: DataFrame, keys: list[str], metric: str, cut: float) -> DataFrame:
     """Which side to remove: the light one unless the dark one is clearly smaller."""
     counts = frames.groupBy(*keys).agg(F.count_if(F.col(metric) > cut).alias("light"), F.count_if(F.col(metric) <= cut).alias("dark"))

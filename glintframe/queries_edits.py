@@ -201,3 +201,21 @@ def composed_sections(spark: SparkSession, d: str) -> DataFrame:
 def section_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whether every edited section passes beside its neighbours' edits; held against a loop in the tests."""
     return checks.check(*edited_sections(spark, d), PROFILES["wcag"])
+
+
+@query(
+    f"""WITH RECURSIVE {CLOCK}, wt AS (SELECT vid, i, i * 0.15e0 AS at FROM (SELECT vid, unnest(range(0, CAST(floor(max(tc) / 0.15e0) AS BIGINT) + 2)) AS i FROM c GROUP BY vid)),
+pk AS (SELECT vid, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS used, CAST(NULL AS DOUBLE) AS t FROM c WHERE n = 0
+  UNION ALL SELECT vid, i + 1, k2, CASE WHEN earlier THEN k2 - 1 ELSE k2 END, CASE WHEN earlier THEN bt ELSE kt END
+  FROM (SELECT pk.vid, pk.i, a.n AS k2, a.tc AS kt, b.tc AS bt, coalesce(pk.used <> a.n - 1 AND abs(b.tc - w.at) < abs(a.tc - w.at), false) AS earlier
+    FROM pk JOIN wt w ON w.vid = pk.vid AND w.i = pk.i
+    JOIN LATERAL (SELECT n, tc FROM c WHERE c.vid = pk.vid AND c.n > pk.k AND c.tc + 1e-9 >= w.at ORDER BY n LIMIT 1) a ON true
+    LEFT JOIN c b ON b.vid = pk.vid AND b.n = a.n - 1))
+SELECT vid, i - 1 AS i, used AS place, {US.format('t')} AS t_us FROM pk WHERE i > 0"""
+)
+def picked_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The frame that shows each moment of a grid of 0.15 seconds, none twice."""
+    frames = stored(clocked(spark, d).select("vid", F.col("n").alias("place"), F.col("tc").alias("t")), "series")
+    ends = frames.groupBy("vid").agg((F.floor(F.max("t") / 0.15) + 1).alias("last"))
+    wanted = ends.select("vid", F.explode(F.sequence(F.lit(0), "last")).alias("i")).withColumn("at", F.col("i") * 0.15)
+    return edits.pick_pictures(wanted, frames, ["vid"]).select("vid", "i", "place", us("t").alias("t_us"))
