@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from glintframe.operators.flashes import sorted_fold
 from glintframe.operators.intervals import asof, located, touching
 
+LOCATE_SLACK = 1e-6  # seconds by which a moment may lie past the end
 PICK_SLACK = 1e-9  # seconds by which a frame may seem early
 
 
@@ -164,6 +165,21 @@ def export_layout(sections: DataFrame, keys: list[str], duration: str, least_gap
     return rows.withColumn("placed", F.coalesce(F.sum(length).over(before), F.lit(0.0)))
 
 
+def locate(points: DataFrame, layout: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Where moments of an export come from: ``piece``, seconds ``into`` it, and the ``source`` time they stand for; null past the end.
+
+    ``layout`` as made by :func:`export_layout`.  Within a section ``into`` is on its own timeline, holds included.  A
+    moment where two pieces meet is the later one's, the end of all belongs to the last.
+    """
+    length = F.col("b") - F.col("a") + F.col("extra")
+    last = F.lead("placed").over(Window.partitionBy(*keys).orderBy("placed", "a")).isNull()
+    end = F.col("placed") + length + F.when(last, LOCATE_SLACK).otherwise(0.0)
+    spans = layout.where(length > 0).select(*keys, F.col("placed").alias("start"), end.alias("end"), F.struct("piece", "a", "placed").alias("id"))
+    found = located(points, spans, keys, at)
+    into = F.col(at) - F.col("id.placed")
+    return found.select(*points.columns, F.col("id.piece").alias("piece"), into.alias("into"), (F.col("id.a") + into).alias("source"))
+
+
 def pick_pictures(wanted: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """wanted (i from 0 without gaps, at) with ``place`` and ``t`` of the frame (place from 0 without gaps, t) that shows each moment.
 

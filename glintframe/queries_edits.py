@@ -9,7 +9,7 @@ from glintframe.config import PROFILES
 from glintframe.operators import edits, flashes, packets
 from glintframe.plans import restore, search
 from glintframe.plans import sections as checks
-from glintframe.queries import CLOCK, EDITS, ORDER_SPANS, PACKETS, US, clocked, edited, order_spans, packet_rows, query, us
+from glintframe.queries import CLOCK, EDITS, ORACLES, ORDER_SPANS, PACKETS, US, clocked, edited, export_layout, order_spans, packet_rows, query, us
 from glintframe.tables import stored
 
 
@@ -219,3 +219,15 @@ def picked_pictures(spark: SparkSession, d: str) -> DataFrame:
     ends = frames.groupBy("vid").agg((F.floor(F.max("t") / 0.15) + 1).alias("last"))
     wanted = ends.select("vid", F.explode(F.sequence(F.lit(0), "last")).alias("i")).withColumn("at", F.col("i") * 0.15)
     return edits.pick_pictures(wanted, frames, ["vid"]).select("vid", "i", "place", us("t").alias("t_us"))
+
+
+@query(
+    f"""WITH lay AS ({ORACLES['export_layout']}), pt AS (SELECT DISTINCT o_custkey AS vid, CAST(o_orderkey % 3000 AS DOUBLE) AS "at" FROM orders),
+en AS (SELECT vid, max(placed + b - a + extra) AS ends FROM lay GROUP BY vid)
+SELECT pt.vid, pt."at", piece, pt."at" - placed AS "into", a + pt."at" - placed AS source
+FROM pt LEFT JOIN (lay JOIN en USING (vid)) l ON l.vid = pt.vid AND pt."at" >= placed AND (pt."at" < placed + b - a + extra OR pt."at" = ends AND placed + b - a + extra = ends)"""
+)
+def export_located(spark: SparkSession, d: str) -> DataFrame:
+    """Which piece of an export holds a moment, how far into it, and where in the source that is."""
+    points = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("vid"), (F.col("o_orderkey") % 3000).cast("double").alias("at")).distinct()
+    return edits.locate(points, export_layout(spark, d), ["vid"], "at")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from glintframe.operators.intervals import hundredths
+from glintframe.operators.intervals import asof, hundredths
 
 ISLAND = "island long, start double, end double, severity double, onset double, peak double, last_tc double"
 UPDATES = "vid long, frames long, last_n long, island long, start double, end double, severity double, onset double, peak double, open boolean"
@@ -126,3 +126,18 @@ def sessions(rows: DataFrame, threshold: int, gap: str = "1 second", delay: str
         F.min_by("t", F.struct(-F.col("severity"), F.col("n"))).alias("peak"),
     )
     return found.drop("session_window")
+
+
+def beside_trace(trace: DataFrame, keys: list[str], values: list[str], path: str):
+    """A sink for ``foreachBatch``: live rows (keys, tc) with ``stored``, the trace's values at or before their time.
+
+    The trace (keys, tc, values) is a table, so a batch needs no state: each is an as-of join over its rows and the trace of
+    their keys, and the batches together are the join of the whole stream.
+    """
+    write = upsert(path)
+
+    def join(live: DataFrame, batch: int) -> None:
+        mine = trace.join(live.select(*keys).distinct(), keys, "left_semi")
+        write(asof(live, F.col("tc"), mine, "tc", F.struct(*values), keys, "stored"), batch)
+
+    return join

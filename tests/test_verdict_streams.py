@@ -6,8 +6,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from glintframe.operators.intervals import strobe_violations
+from glintframe.operators.intervals import asof, strobe_violations
 from glintframe.streaming import verdicts
 
 SCHEMA = "vid long, n long, t double, tc double, area int, onset double"
@@ -90,3 +91,18 @@ def test_sessions_are_the_islands(spark, tmp_path):
     query.stop()
     got = close(spark.table("sessions").collect())
     assert got == want and not math.isnan(sum(x[1] for x in got))
+
+
+def test_live_rows_beside_a_stored_trace(spark, tmp_path):
+    live = spark.createDataFrame(some_rows(), SCHEMA)
+    trace = live.where("n % 3 = 0 AND vid <> 2").select("vid", (F.col("tc") + 0.01).alias("tc"), F.col("area").alias("old_area"), F.col("onset").alias("old_onset")).cache()
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        live.where(f"n div 50 = {k}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(live.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = stream.writeStream.foreachBatch(verdicts.beside_trace(trace, ["vid"], ["old_area", "old_onset"], sink)).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = sorted(map(repr, spark.read.parquet(sink).select("vid", "n", "stored").collect()))
+    want = asof(live, F.col("tc"), trace, "tc", F.struct("old_area", "old_onset"), ["vid"], "stored").select("vid", "n", "stored")
+    assert got == sorted(map(repr, want.collect())) and len(got) == live.count()
