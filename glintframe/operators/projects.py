@@ -35,3 +35,12 @@ def edits_from_json(projects: DataFrame, column: str) -> DataFrame:
     extended = F.coalesce("e.extended", F.lit(False)) & ~removed
     made = rows.where("ord >= 0").select("section", "ord", removed.alias("removed"), extended.alias("extended"), F.when(F.col("e.fill") == "next", "next").otherwise("prev").alias("fill"))
     return made.where("removed OR extended")
+
+
+def result_json(every: DataFrame, violations: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, result: one JSON document for each of ``every``: its verdict, and its violations in the order of ``fields``."""
+    rows = violations.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("violations"))
+    met = every.select(key).distinct().join(rows, key, "left")
+    none = F.array().cast(rows.schema["violations"].dataType)
+    document = F.struct(F.col(key).alias("video"), F.col("violations").isNull().alias("passed"), F.coalesce("violations", none).alias("violations"))
+    return met.select(key, F.to_json(document).alias("result"))

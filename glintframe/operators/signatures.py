@@ -33,6 +33,29 @@ def window_sums(pixels: DataFrame, cells: DataFrame, keys: list[str], value: str
     return pixels.join(F.broadcast(cells), inside).groupBy(*keys, "cell").agg(F.sum(value).alias("total"), F.max(value).alias("largest"), F.count(F.lit(1)).alias("pixels"))
 
 
+def best_window(pixels: DataFrame, keys: list[str], width: int, height: int, value: str = "v") -> DataFrame:
+    """keys, total, ox, oy: the ``width`` by ``height`` window with the largest sum over every place of it, the first of equal ones.
+
+    Sums run along the rows and then down the columns, so a pixel is read twice whatever the window's size; pictures are whole.
+    """
+    from pyspark.sql import Window
+
+    def along(rows: DataFrame, others: list[str], at: str, size: int) -> DataFrame:
+        by = Window.partitionBy(*keys, *others).orderBy(at).rowsBetween(0, size - 1)
+        return rows.withColumns({"__sum": F.sum("__sum").over(by), "__n": F.count(F.lit(1)).over(by)}).where(F.col("__n") == size)
+
+    rows = pixels.select(*keys, "x", "y", F.col(value).cast("long").alias("__sum"))
+    sums = along(along(rows, ["y"], "x", width), ["x"], "y", height)
+    best = F.max(F.struct("__sum", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
+    return sums.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.__sum").alias("total"), (-F.col("b.x")).cast("long").alias("ox"), (-F.col("b.y")).cast("long").alias("oy"))
+
+
+def region_mean(pixels: DataFrame, boxes: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """keys, mean, pixels: the mean in each listed picture's own box (keys, x0, y0, x1, y1)."""
+    inside = pixels.join(boxes, keys).where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    return inside.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("pixels"))
+
+
 def shrink(pixels: DataFrame, keys: list[str], width: int, height: int, to_width: int, to_height: int, value: str = "v") -> DataFrame:
     """Area-average resample of integer codes: each output pixel weighs inputs by how far they overlap it.
 

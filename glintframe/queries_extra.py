@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import colour, display, limits, media
 from glintframe.operators import intervals as V
+from glintframe.operators import projects, signatures
 from glintframe.queries import CODES, ORACLES, PIXELS, SERIES, _fl, codes, pixels, query, series, strobe_violations, table
 
 _MATRICES = "m(matrix, ys, yo, rv, gu, gv, bu) AS (VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in colour.YUV.items()) + ")"
@@ -172,19 +173,16 @@ SELECT pic, CAST(total AS BIGINT) AS total, CAST(ox AS BIGINT) AS ox, CAST(oy AS
 )
 def best_window(spark: SparkSession, d: str) -> DataFrame:
     """The 3 by 2 window of each picture with the largest sum, the first of equal ones, over every place."""
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.struct((i % 6).alias("ox"), F.floor(i / 6).alias("oy"))))
-    rows = pixels(spark, d).select("pic", "x", "y", "v", place.alias("o")).where("x >= o.ox AND x < o.ox + 3 AND y >= o.oy AND y < o.oy + 2")
-    sums = rows.groupBy("pic", "o.ox", "o.oy").agg(F.sum("v").cast("long").alias("total"))
-    best = F.max(F.struct("total", (-F.col("oy")).alias("oy"), (-F.col("ox")).alias("ox")))
-    return sums.groupBy("pic").agg(best.alias("b")).select("pic", "b.total", (-F.col("b.ox")).cast("long").alias("ox"), (-F.col("b.oy")).cast("long").alias("oy"))
+    return signatures.best_window(pixels(spark, d), ["pic"], 3, 2)
 
 
-@query(f"WITH {PIXELS} SELECT pic, CAST(round(avg(v) * 1e4) AS BIGINT) AS mean_e4, count(*) AS pixels FROM px WHERE pic % 3 <> 1 AND x >= 2 AND x < 6 AND y >= 1 AND y < 4 GROUP BY pic")
+@query(f"WITH {PIXELS} SELECT pic, CAST(round(avg(v) * 1e4) AS BIGINT) AS mean_e4, count(*) AS pixels FROM px WHERE pic % 3 <> 1 AND x >= pic % 4 AND x < pic % 4 + 4 AND y >= 1 AND y < 4 GROUP BY pic")
 def region_metric(spark: SparkSession, d: str) -> DataFrame:
-    """The mean in a box, for the pictures of a list."""
-    listed = pixels(spark, d).select("pic").distinct().where("pic % 3 <> 1")
-    rows = pixels(spark, d).where("x >= 2 AND x < 6 AND y >= 1 AND y < 4").join(listed, "pic", "left_semi")
-    return rows.groupBy("pic").agg(F.round(F.avg("v") * 1e4).cast("long").alias("mean_e4"), F.count(F.lit(1)).alias("pixels"))
+    """The mean in a box of its own, for the pictures of a list."""
+    left = F.col("pic") % 4
+    boxes = pixels(spark, d).select("pic").distinct().where("pic % 3 <> 1").select("pic", left.alias("x0"), F.lit(1).alias("y0"), (left + 4).alias("x1"), F.lit(4).alias("y1"))
+    made = signatures.region_mean(pixels(spark, d), boxes, ["pic"])
+    return made.select("pic", F.round(F.col("mean") * 1e4).cast("long").alias("mean_e4"), "pixels")
 
 
 @query(
@@ -194,9 +192,5 @@ FROM e LEFT JOIN v USING (vid) GROUP BY e.vid"""
 )
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     """One JSON document a series: its verdict and its violations in order."""
-    found = F.struct("start_us", "end_us", "severity")
-    rows = strobe_violations(spark, d).groupBy("vid").agg(F.sort_array(F.collect_list(found)).alias("violations"))
-    every = table(spark, d, "events").select(F.col("user_id").alias("vid")).distinct().join(rows, "vid", "left")
-    empty = F.array().cast(rows.schema["violations"].dataType)
-    result = F.struct(F.col("vid").alias("video"), F.col("violations").isNull().alias("passed"), F.coalesce("violations", empty).alias("violations"))
-    return every.select("vid", F.to_json(result).alias("result"))
+    every = table(spark, d, "events").select(F.col("user_id").alias("vid"))
+    return projects.result_json(every, strobe_violations(spark, d), "vid", ["start_us", "end_us", "severity"])
