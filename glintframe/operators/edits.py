@@ -216,11 +216,16 @@ def pick_side(frames: DataFrame, keys: list[str], metric: str, cut: float) -> Da
 
 
 def soften_plan(frames: DataFrame, keys: list[str], threshold: float, margin: float = 0.25) -> DataFrame:
-    """Frames within ``margin`` of a clearly striped one, and the blur that its stripes ask for (sigma of at least 1)."""
+    """Frames within ``margin`` of a clearly striped one, and the blur that its stripes ask for (sigma of at least 1, and the radius of its boxes)."""
     near = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN {margin}D PRECEDING AND {margin}D FOLLOWING)"  # the API takes whole numbers only
     weight, spread = (F.expr(f"sum(CASE WHEN pattern >= {threshold / 2} THEN {v} END) {near}") for v in ("pattern", "period * pattern"))
     rows = frames.select(*keys, "n", weight.alias("__w"), spread.alias("__s")).where("__w is not null")
-    return rows.select(*keys, "n", F.greatest(F.lit(1.0), F.col("__s") / F.col("__w")).alias("sigma"))
+    return rows.select(*keys, "n", F.greatest(F.lit(1.0), F.col("__s") / F.col("__w")).alias("sigma")).withColumn("radius", blur_radius(F.col("sigma")))
+
+
+def blur_radius(sigma: Column) -> Column:
+    """Radius of three box passes whose variance, ((2 r + 1)**2 - 1) / 4, is nearest to sigma's; at least 1."""
+    return F.greatest(F.lit(1), F.floor((F.sqrt(4 * sigma * sigma + 1) - 1) / 2 + 0.5)).cast("long")
 
 
 def section_timeline(frames: DataFrame, keys: list[str], duration: str) -> DataFrame:

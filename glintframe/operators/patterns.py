@@ -120,6 +120,37 @@ def pattern_stats(frames: DataFrame, cfg: Config) -> DataFrame:
     return frames.select("video", "n", "w", "h", "rgb").mapInArrow(run, "video string, n long, pattern int, period double")
 
 
+def blurred(picture: np.ndarray, radius: int, passes: int = 3) -> np.ndarray:
+    """Codes (height, width, channels) blurred by boxes of 2 ``radius`` + 1, along the rows and down the columns, ``passes`` times.
+
+    Edges repeat; every mean is rounded half up.
+    """
+    out = picture
+    size = 2 * radius + 1
+    for _ in range(passes if radius > 0 else 0):
+        for axis in (1, 0):
+            ends = [(0, 0)] * out.ndim
+            ends[axis] = (radius + 1, radius)
+            sums = np.pad(out.astype(np.int64), ends, mode="edge").cumsum(axis=axis)
+            n = out.shape[axis]
+            total = np.take(sums, np.arange(size, size + n), axis=axis) - np.take(sums, np.arange(n), axis=axis)
+            out = ((total + size // 2) // size).astype(picture.dtype)
+    return out
+
+
+def softened(frames: DataFrame, plan: DataFrame) -> DataFrame:
+    """Frames (video, n, t, w, h, rgb) with those of the plan (video, n, radius) blurred: a table of pictures like any other."""
+    rows = frames.select("video", "n", "t", "w", "h", "rgb").join(plan.select("video", "n", F.col("radius").cast("int").alias("radius")), ["video", "n"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, h, rgb, radius = (batch.column(c).to_pylist() for c in ("w", "h", "rgb", "radius"))
+            made = [p if not r else blurred(np.frombuffer(p, np.uint8).reshape(y, x, 3), r).tobytes() for x, y, p, r in zip(w, h, rgb, radius, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.binary())], names=["video", "n", "t", "w", "h", "rgb"])
+
+    return rows.mapInArrow(run, "video string, n long, t double, w int, h int, rgb binary")
+
+
 def box_blur(rows: DataFrame, keys: list[str], at: str, value: str, reach: int) -> DataFrame:
     """One pass of a box blur along ``at`` (0, 1, ...): edges repeat, sums are rounded half up."""
     by = Window.partitionBy(*keys).orderBy(at)

@@ -121,11 +121,12 @@ def pick_side(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {STATS}, p AS (SELECT vid, t AS pt, pattern, 1 + pattern / 128e0 AS period FROM st WHERE pattern >= 90)
-SELECT st.vid, st.n, {US.format('greatest(1e0, sum(period * p.pattern) / sum(p.pattern))')} AS sigma_e6 FROM st JOIN p ON p.vid = st.vid AND abs(st.t - pt) <= 0.25e0 GROUP BY st.vid, st.n"""
+SELECT vid, n, {US.format('sigma')} AS sigma_e6, CAST(greatest(1, floor((sqrt(4e0 * sigma * sigma + 1e0) - 1e0) / 2e0 + 0.5e0)) AS BIGINT) AS radius
+FROM (SELECT st.vid, st.n, greatest(1e0, sum(period * p.pattern) / sum(p.pattern)) AS sigma FROM st JOIN p ON p.vid = st.vid AND abs(st.t - pt) <= 0.25e0 GROUP BY st.vid, st.n)"""
 )
 def soften_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = stats(spark, d).withColumn("period", 1 + F.col("pattern") / 128)  # a binary fraction: sums are exact in any order
-    return edits.soften_plan(rows, ["vid"], 180).select("vid", "n", us("sigma").alias("sigma_e6"))
+    return edits.soften_plan(rows, ["vid"], 180).select("vid", "n", us("sigma").alias("sigma_e6"), "radius")
 
 
 @query(

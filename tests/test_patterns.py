@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from glintframe.config import PROFILES
-from glintframe.operators.patterns import pattern_stats, stripes
+from glintframe.operators.patterns import blurred, pattern_stats, softened, stripes
 from glintframe.plans import detector
 
 CONFIG = PROFILES["wcag_ext"]
@@ -52,3 +52,27 @@ def test_pattern_violation(spark):
     frames = spark.createDataFrame(rows, "video string, n long, t double, w int, h int, rgb binary")
     found = detector.verdict(detector.frame_stats(frames, CONFIG), CONFIG, W, H, pattern_stats(frames, CONFIG)).collect()
     assert [(r.kind, round(r.start, 3), round(r.end, 3)) for r in found] == [("pattern", 0.5, 1.4)]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_blur_by_definition(radius):
+    picture = np.random.default_rng(4).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    want = picture.astype(int)
+    for _ in range(3 if radius else 0):
+        for axis in (1, 0):
+            n = want.shape[axis]
+            around = [np.take(want, np.clip(np.arange(n) + k, 0, n - 1), axis=axis) for k in range(-radius, radius + 1)]
+            want = np.floor(sum(around) / (2 * radius + 1) + 0.5).astype(int)
+    assert (blurred(picture, radius) == want).all() and blurred(picture, radius).dtype == np.uint8
+    assert (blurred(np.full((4, 9, 3), 77, np.uint8), radius) == 77).all()
+
+
+def test_softened_stripes_pass(spark):
+    striped = np.repeat(np.where(picture(6)[..., None] > 0.3, 200, 60).astype(np.uint8), 3, axis=2)
+    rows = [("clip", n, n / 10, W, H, striped.tobytes()) for n in range(8)]
+    frames = spark.createDataFrame(rows, "video string, n long, t double, w int, h int, rgb binary")
+    plan = spark.createDataFrame([("clip", n, 4) for n in range(1, 8)] + [("clip", 0, 0), ("other", 3, 9)], "video string, n long, radius long")
+    soft = softened(frames, plan).cache()
+    assert soft.columns == frames.columns and {r.n: r.pattern > 0 for r in pattern_stats(soft, CONFIG).collect()} == {n: n == 0 for n in range(8)}
+    found = [detector.verdict(detector.frame_stats(f, CONFIG), CONFIG, W, H, pattern_stats(f, CONFIG)).where("kind = 'pattern'").count() for f in (frames, soft)]
+    assert found == [1, 0]
