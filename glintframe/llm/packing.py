@@ -33,7 +33,7 @@ CAPACITY = 4096
 BLOCK = 20_000  # pieces per block, about
 TIGHT = 0.995  # a sequence filled less than this is packed again
 ROUNDS = 2
-CACHE = 150_000
+CACHE = 250_000
 
 #: Text in these characters is split into words here; any other text goes to the tokenizer whole.
 CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -62,13 +62,19 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _count(self, chunk: str) -> int:
+        """Words of a chunk: letters only and letters with one sign behind them need no pattern."""
+        if chunk.isalpha():
+            return 1
+        return 2 if chunk[:-1].isalpha() and not chunk[-1].isalnum() else len(self.words.findall(chunk))
+
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks: many go to the tokenizer as one text, and the tokens that end a word part the result."""
-        rows = [" ".join(chunks[k : k + 100]) for k in range(0, len(chunks), 100)]
+        rows = [" ".join(chunks[k : k + 1000]) for k in range(0, len(chunks), 1000)]
         ids = [i for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids]
         packed = np.asarray(ids, "<u4")
         ends = np.concatenate(([0], 4 * (np.flatnonzero(self.ends_word[packed]) + 1)))
-        words = np.fromiter((1 if c.isalpha() else len(self.words.findall(c)) for c in chunks), np.int64, len(chunks))
+        words = np.fromiter(map(self._count, chunks), np.int64, len(chunks))
         assert words.sum() == len(ends) - 1
         raw = packed.tobytes()
         lo = 0
@@ -79,17 +85,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks, old = self.chunks, self.old
         split = [t.lower().split() if t.isascii() and not CONTROL.search(t) or PLAIN.fullmatch(t) else None for t in texts]
-        found = [None if s is None else list(map(chunks.get, s)) for s in split]
-        holes = [[i for i, x in enumerate(f) if x is None] if f and None in f else [] for f in found]
-        fresh = {s[i] for s, at in zip(split, holes, strict=True) for i in at}
-        chunks.update((c, x) for c in fresh if (x := old.get(c)) is not None)
-        if new := [c for c in fresh if c not in chunks]:
+        fresh = set().union(*(s for s in split if s)).difference(chunks)
+        kept = fresh.intersection(old)
+        chunks.update((c, old[c]) for c in kept)
+        if new := list(fresh - kept):
             self._learn(new)
-        out = []
-        for t, s, f, at in zip(texts, split, found, holes, strict=True):
-            for i in at:
-                f[i] = chunks[s[i]]
-            out.append(self._whole(t) if f is None else b"".join(f))
+        known = chunks.__getitem__
+        out = [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split, strict=True)]
         if len(chunks) > CACHE:
             self.chunks, self.old = {}, chunks
         return out
