@@ -106,12 +106,12 @@ def sound_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {SOUND}, pt AS (SELECT DISTINCT vid, CAST(s + id % 50 AS DOUBLE) AS u FROM o)
-SELECT pt.vid, pt.u AS "at", min(pt.u - shift) AS source FROM pt LEFT JOIN placed p ON p.vid = pt.vid AND pt.u >= a + shift AND pt.u < b + shift GROUP BY pt.vid, pt.u"""
+SELECT pt.vid, pt.u AS "at", coalesce(min(pt.u - shift), -1) AS source FROM pt LEFT JOIN placed p ON p.vid = pt.vid AND pt.u >= a + shift AND pt.u < b + shift GROUP BY pt.vid, pt.u"""
 )
 def sound_inverse(spark: SparkSession, d: str) -> DataFrame:
-    """Which second of the source sounds at moments of the edited timeline."""
+    """Which second of the source sounds at moments of the edited timeline; -1 in silence."""
     points = order_spans(spark, d).select("vid", (F.col("start") + F.col("id") % 50).cast("double").alias("at")).distinct()
-    return edits.sound_source(points, sound(spark, d), ["vid"], "at")
+    return edits.sound_source(points, sound(spark, d), ["vid"], "at").fillna(-1.0, ["source"])
 
 
 @query(None)
@@ -224,10 +224,10 @@ def picked_pictures(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH lay AS ({ORACLES['export_layout']}), pt AS (SELECT DISTINCT o_custkey AS vid, CAST(o_orderkey % 3000 AS DOUBLE) AS "at" FROM orders),
 en AS (SELECT vid, max(placed + b - a + extra) AS ends FROM lay GROUP BY vid)
-SELECT pt.vid, pt."at", piece, pt."at" - placed AS "into", a + pt."at" - placed AS source
+SELECT pt.vid, pt."at", coalesce(piece, '') AS piece, coalesce(pt."at" - placed, -1) AS "into", coalesce(a + pt."at" - placed, -1) AS source
 FROM pt LEFT JOIN (lay JOIN en USING (vid)) l ON l.vid = pt.vid AND pt."at" >= placed AND (pt."at" < placed + b - a + extra OR pt."at" = ends AND placed + b - a + extra = ends)"""
 )
 def export_located(spark: SparkSession, d: str) -> DataFrame:
-    """Which piece of an export holds a moment, how far into it, and where in the source that is."""
+    """Which piece of an export holds a moment, how far into it, and where in the source that is; none and -1 past the end."""
     points = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("vid"), (F.col("o_orderkey") % 3000).cast("double").alias("at")).distinct()
-    return edits.locate(points, export_layout(spark, d), ["vid"], "at")
+    return edits.locate(points, export_layout(spark, d), ["vid"], "at").fillna(-1.0, ["into", "source"]).fillna("", ["piece"])
