@@ -93,8 +93,10 @@ def composed(frames: DataFrame, sections: DataFrame, edited: DataFrame, tails: D
     ends = edited.groupBy(*KEYS).agg(F.max("shown").alias("last"))
     ends = ends.join(tails, KEYS, "left").fillna(0.0, ["held"])
     sides = rows.drop("dt").join(part, [*KEYS, "side", "part"]).join(ends, KEYS)
-    tc = F.col("at") + F.col("t") - F.col("base")
-    tc = F.when(F.col("side") == "lead", tc - F.col("total")).otherwise(F.col("last") + F.col("held") + F.col("dt") + tc)
+    # added up from the left, so that moments are the same doubles wherever they are worked out
+    lead = F.col("at") + F.col("t") - F.col("base") - F.col("total")
+    tail = F.col("last") + F.col("held") + F.col("dt") + F.col("at") + F.col("t") - F.col("base")
+    tc = F.when(F.col("side") == "lead", lead).otherwise(tail)
     every = sides.select(*KEYS, "side", tc.alias("tc"), "x").unionByName(edited.join(sections.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.lit("own").alias("side"), F.col("shown").alias("tc"), "x"))
     return every.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("tc")) - 1)
 

@@ -99,3 +99,21 @@ def test_no_sections(spark):
     frames, marks, edited, tails = tables(spark)
     assert sections.check(frames, marks.where("id > 9"), edited, tails, CONFIG).count() == 0
     assert sections.check(frames.where("n < 0"), marks, edited.where("id > 9"), tails, CONFIG).count() == 0
+
+
+def test_moments_are_added_up_from_the_left(spark):
+    """The run-out's moments are ((((last + held) + step) + at) + t) - base to the last bit."""
+    times = [10 * k / 97 for k in range(97)]
+    frames = spark.createDataFrame([(1, n, t, 0.5) for n, t in enumerate(times)], FRAMES)
+    marks = spark.createDataFrame([(1, 1, 1.7, 2.9)], "video long, id long, start double, end double")
+    own = [t for t in times if 1.7 - 1e-9 <= t < 2.9 - 1e-9]
+    edited = spark.createDataFrame([(1, 1, t - own[0], 0.5) for t in own], "video long, id long, shown double, x double")
+    tails = spark.createDataFrame([(1, 1, 0.1)], "video long, id long, held double")
+    made = sections.composed(frames, marks, edited, tails, 4.5)
+    got = sorted(r.tc for r in made.where("side = 'tail'").collect())
+    steps = sorted(b - a for a, b in zip(own, own[1:], strict=False))
+    step = (steps[(len(steps) - 1) // 2] + steps[len(steps) // 2]) / 2
+    after = [t for t in times if 2.9 - 1e-6 <= t < 2.9 + 4.5 - 1e-6]
+    last = own[-1] - own[0]
+    assert got == [last + 0.1 + step + 0.0 + t - after[0] for t in after]
+    assert got != [(last + 0.1 + step) + (t - after[0]) for t in after]
