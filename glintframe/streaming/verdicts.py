@@ -111,21 +111,32 @@ def sessions(rows: DataFrame, threshold: int, gap: str = "1 second", delay: str
     """The violations as event-time sessions: rows of one key that follow within ``gap``, both ends included.
 
     Streams need ``delay``, the watermark: a session is emitted once, when no row can join it any more.  The
-    same plan over a table gives all of them.
+    same plan over a table gives all of them.  Timestamps are whole microseconds, so sessions are cut again wherever the
+    clock itself says that the gap is longer; for that a session keeps its rows.
     """
     rows = timed(rows)
     if delay is not None:
         rows = rows.withWatermark("ts", delay)
     # the condition names ts, so it stays behind the watermark, which quiet rows then move too
     hot = rows.where(F.when(F.col("ts").isNotNull(), F.col("area")) >= threshold).withColumn("severity", hundredths(F.col("area"), threshold))
-    found = hot.groupBy("vid", F.session_window("ts", gap)).agg(
-        F.min_by("t", "n").alias("start"),
-        F.max("t").alias("end"),
-        F.max("severity").alias("severity"),
-        F.min(F.least("t", "onset")).alias("onset"),
-        F.min_by("t", F.struct(-F.col("severity"), F.col("n"))).alias("peak"),
+    # a microsecond more, as timestamps are rounded: no row that belongs to a session stays out
+    row = F.struct("n", "tc", "t", "severity", "onset")
+    found = hot.groupBy("vid", F.session_window("ts", f"{gap} 1 microsecond")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    seconds = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {gap}) / 1e6D")
+    at = lambda i: F.element_at("rows", i.cast("int"))["tc"]
+    cuts = F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: (i == 1) | (at(i) - at(F.greatest(i - 1, F.lit(1))) > seconds))
+    found = found.withColumn("cuts", F.concat(cuts, F.array(F.size("rows") + 1)))
+    parts = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda a, k: F.slice("rows", a, F.element_at("cuts", k + 2) - a))
+    found = found.select("vid", F.explode(parts).alias("part"))
+    each = lambda f: F.transform("part", f)
+    return found.select(
+        "vid",
+        F.col("part")[0]["t"].alias("start"),
+        F.array_max(each(lambda r: r["t"])).alias("end"),
+        F.array_max(each(lambda r: r["severity"])).alias("severity"),
+        F.array_min(each(lambda r: F.least(r["t"], r["onset"]))).alias("onset"),
+        F.array_min(each(lambda r: F.struct((-r["severity"]).alias("s"), r["n"].alias("n"), r["t"].alias("t"))))["t"].alias("peak"),
     )
-    return found.drop("session_window")
 
 
 def beside_trace(trace: DataFrame, keys: list[str], values: list[str], path: str):

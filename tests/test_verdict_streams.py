@@ -93,6 +93,14 @@ def test_sessions_are_the_islands(spark, tmp_path):
     assert got == want and not math.isnan(sum(x[1] for x in got))
 
 
+def test_a_gap_longer_by_less_than_a_microsecond_ends_a_session(spark):
+    """Timestamps are rounded, the clock decides: 0.2 s and a tenth of a microsecond is a gap, 0.2 s less that is none."""
+    at = [0.0, 0.2000001, 0.4, 1.0, 1.2]
+    rows = spark.createDataFrame([(1, n, t, t, 400 - n, t - 0.01) for n, t in enumerate(at)], SCHEMA)
+    got = verdicts.sessions(rows, THRESHOLD, gap="200 milliseconds").collect()
+    assert close(got) == close(strobe_violations(rows, ["vid"], THRESHOLD, gap=0.2).collect()) and len(got) == 3
+
+
 def test_live_rows_beside_a_stored_trace(spark, tmp_path):
     live = spark.createDataFrame(some_rows(), SCHEMA)
     trace = live.where("n % 3 = 0 AND vid <> 2").select("vid", (F.col("tc") + 0.01).alias("tc"), F.col("area").alias("old_area"), F.col("onset").alias("old_onset")).cache()
