@@ -114,6 +114,26 @@ def ways(carries: DataFrame) -> DataFrame:
     return ready.select("video", "segment", "band", "carry").mapInArrow(run, schema)
 
 
+def _bands(frames: DataFrame, marks: DataFrame, cfg: Config) -> DataFrame:
+    """The detector's first pass over segments, each a video of its own named segment:video."""
+    mark = marks.withColumnRenamed("video", "__video")
+    own = frames.join(mark, (F.col("video") == F.col("__video")) & F.col("n").between(F.col("run_n"), F.col("to_n")))
+    own = own.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).withColumn("recent", F.when(F.col("n") == F.col("run_n"), F.col("recent")))
+    return detector._pictures(own.select("video", "n", "t", "w", "h", "rgb", "tc0", "from_n", "recent"), cfg)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    parts = F.split("video", ":", 2)
+    return rows.withColumn("segment", parts[0].cast("long")).withColumn("video", parts[1])
+
+
+def pictures(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up: float | None = None) -> DataFrame:
+    """The columns video to lum of ``scan`` alone: they are known as soon as repeated pictures are told apart, before any work on pixels."""
+    marks = stored(spans(frames, cfg, segment, run_up), "segments")
+    rows = _named(_bands(frames, marks, cfg)).where("band = 0 AND n >= from_n")
+    return rows.select("video", "n", "t", "tc", "held", "anomaly", F.col("mean").alias("lum"))
+
+
 def scan(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up: float | None = None) -> DataFrame:
     """``frame_stats`` of whole videos, every segment a key of its own: the same rows, in parallel along the time.
 
@@ -121,25 +141,15 @@ def scan(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up:
     whose run-up they are in.
     """
     marks = stored(spans(frames, cfg, segment, run_up), "segments")
-
-    def bands(marks: DataFrame) -> DataFrame:
-        mark = marks.withColumnRenamed("video", "__video")
-        own = frames.join(mark, (F.col("video") == F.col("__video")) & F.col("n").between(F.col("run_n"), F.col("to_n")))
-        own = own.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).withColumn("recent", F.when(F.col("n") == F.col("run_n"), F.col("recent")))
-        return detector._pictures(own.select("video", "n", "t", "w", "h", "rgb", "tc0", "from_n", "recent"), cfg)
-
-    def named(rows: DataFrame) -> DataFrame:
-        parts = F.split("video", ":", 2)
-        return rows.withColumn("segment", parts[0].cast("long")).withColumn("video", parts[1])
-
-    found = stored(named(detector._window_parts(bands(marks), cfg, carry=True)), "segment-parts")
+    bands = lambda marks: _bands(frames, marks, cfg)
+    found = stored(_named(detector._window_parts(bands(marks), cfg, carry=True)), "segment-parts")
     turned = stored(ways(found.where("carry is not null")), "segment-ways")
     key = ["video", "segment", "band"]
     again = bands(marks.join(turned.select("video", "segment").distinct(), ["video", "segment"], "left_semi"))
     known = turned.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).select("video", "band", "codes")
     again = again.join(known.select("video", "band"), ["video", "band"], "left_semi")
     again = again.unionByName(known.withColumn("n", F.lit(detector.FIRST)), allowMissingColumns=True)
-    second = named(detector._window_parts(again, cfg))
+    second = _named(detector._window_parts(again, cfg))
     first = found.where("carry is null").join(turned.select(*key), key, "left_anti")
     # frames that show nothing new have a row in band 0 only, whichever scan it comes from
     return detector._frames_of_parts(first.unionByName(second).drop("segment"), cfg)

@@ -77,3 +77,13 @@ def test_merging_is_associative(frames, whole):
 def test_patterns_are_not_skipped(whole):
     with pytest.raises(ValueError, match="patterns"):
         detector.verdict(whole, CONFIG, scenes.W, scenes.H)
+
+
+def test_counts_need_no_work_on_pixels(frames, whole, monkeypatch):
+    """Frames, held pictures and anomalies of the pictures alone are those of the whole scan."""
+    monkeypatch.setattr(detector, "_window_parts", None)
+    made = segments.pictures(frames, CONFIG, F.expr("n div 30"))
+    assert sorted(map(tuple, segments.counts(made).collect())) == sorted(map(tuple, segments.counts(whole).collect()))
+    columns = made.columns
+    got, want = (df.select(columns).orderBy("video", "n").collect() for df in (made, whole))
+    assert len(got) == len(want) and all(close(p, q) for x, y in zip(got, want, strict=True) for p, q in zip(x, y, strict=True))
