@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintframe.tables import stored as kept
+
+
+#: Pairs of one frame count that a task compares.
+PAIRS = 20_000_000
+
 
 def same_video(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs with an equal frame count and durations within a frame: an equi-join with a tolerance."""
+    """Pairs with an equal frame count and durations within a frame: an equi-join with a tolerance.
+
+    The rows of a frame count are dealt to as many parts as its pairs ask for, ``PAIRS`` to each: all pairs are made, but a
+    task's work doesn't grow with the tables.
+    """
+    sizes = stored.groupBy("frames").agg(F.count(F.lit(1)).alias("a")).join(found.groupBy("frames").agg(F.count(F.lit(1)).alias("b")), "frames")
+    parts = kept(sizes.select(F.col("frames").alias("__f"), F.ceil(F.col("a") * F.col("b") / PAIRS).cast("long").alias("__parts")), "pair-parts")
+    spark = stored.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.agg(F.sum("__parts")).first()[0] or 1)
+    own = stored.join(parts, F.col("frames") == F.col("__f")).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")))
     other = found.select(F.col("id").alias("video_id"), F.col("frames").alias("__n"), F.col("seconds").alias("__s"))
+    other = other.join(parts, F.col("__n") == F.col("__f")).select("video_id", "__n", "__s", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"))
+    own, other = own.repartition(tasks, "frames", "__part"), other.repartition(tasks, "__n", "__p")
     near = F.abs(F.col("seconds") - F.col("__s")) <= F.col("seconds") / F.greatest(F.lit(1), F.col("frames"))
-    return stored.join(other, (F.col("frames") == F.col("__n")) & near).drop("__n", "__s")
+    made = own.join(other, (F.col("frames") == F.col("__n")) & (F.col("__part") == F.col("__p")) & near)
+    return made.select(*stored.columns, "video_id")
 
 
 def latest(projects: DataFrame, prefix: Column) -> DataFrame:
