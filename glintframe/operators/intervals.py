@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintframe.operators.flashes import spread
+
 
 def hundredths(area: Column, threshold: int) -> Column:
     """area / threshold to two decimals, ties to even."""
@@ -69,7 +71,7 @@ def asof(points: DataFrame, at: Column, others: DataFrame, time: str, value: Col
     other = others.select(*keys, F.col(time).cast("double").alias("__x"), value.alias("__v"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
     first = F.col("__p").isNull() if strict else F.col("__p").isNotNull()
     by = Window.partitionBy(*keys).orderBy(F.desc("__x") if after else F.asc("__x"), first)
-    rows = point.unionByName(other).withColumn("__v", F.last("__v", ignorenulls=True).over(by))
+    rows = spread(point.unionByName(other), *keys).withColumn("__v", F.last("__v", ignorenulls=True).over(by))
     return rows.where("__p is not null").select("__p.*", F.col("__v.v").alias(name))
 
 
@@ -82,7 +84,7 @@ def touching(rows: DataFrame, low: Column, high: Column, spans: DataFrame, start
     span = spans.select(*keys, start.cast("double").alias("__x"), end.cast("double").alias("__e"), F.lit(None).cast("double").alias("__low"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
     by = Window.partitionBy(*keys).orderBy("__x", F.col("__p").isNotNull() if closed else F.col("__p").isNull())
     reach = F.max("__e").over(by)
-    met = point.unionByName(span).withColumn("__m", F.coalesce(reach >= F.col("__low") if closed else reach > F.col("__low"), F.lit(False)))
+    met = spread(point.unionByName(span), *keys).withColumn("__m", F.coalesce(reach >= F.col("__low") if closed else reach > F.col("__low"), F.lit(False)))
     return met.where("__p is not null").select("__p.*", F.col("__m").alias("touches"))
 
 
@@ -214,7 +216,7 @@ def located(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> Da
     point = points.select(*keys, F.col(at).alias("__x"), F.lit(None).cast(spans.select(F.struct("start", "end", "id")).schema[0].dataType).alias("__s"), F.struct(*points.columns).alias("__p"))
     span = spans.select(*keys, F.col("start").alias("__x"), F.struct("start", "end", "id").alias("__s"), F.lit(None).cast(point.schema["__p"].dataType).alias("__p"))
     up = Window.partitionBy(*keys).orderBy("__x", F.col("__p").isNotNull())
-    rows = point.unionByName(span).withColumn("__last", F.last("__s", ignorenulls=True).over(up)).where("__p is not null")
+    rows = spread(point.unionByName(span), *keys).withColumn("__last", F.last("__s", ignorenulls=True).over(up)).where("__p is not null")
     return rows.select("__p.*", F.when(F.col("__x") < F.col("__last.end"), F.col("__last")).alias("__in")).select(*points.columns, "__in.start", "__in.end", "__in.id")
 
 

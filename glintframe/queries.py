@@ -243,7 +243,8 @@ ORDER_SPANS = """o AS (SELECT o_custkey AS vid, o_orderkey AS id, CAST(epoch_us(
 
 def order_spans(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(micros("o_orderdate") / 86400000000).cast("long")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("vid"), F.col("o_orderkey").alias("id"), day.alias("start"), (day + 20 + F.col("o_orderkey") % 90).alias("end"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("vid"), F.col("o_orderkey").alias("id"), day.alias("start"), (day + 20 + F.col("o_orderkey") % 90).alias("end"))
+    return flashes.spread(rows, "vid")
 
 
 MERGED = """mi AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY vid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS nw FROM o WHERE e > s),
