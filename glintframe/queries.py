@@ -47,7 +47,7 @@ def micros(c: str) -> Column:
 
 def series(spark: SparkSession, d: str) -> DataFrame:
     # Renamed before the window, so that one shuffle by vid serves it and all that follow.
-    rows = table(spark, d, "events").withColumnRenamed("user_id", "vid")
+    rows = flashes.spread(table(spark, d, "events").withColumnRenamed("user_id", "vid"), "vid")
     n = F.row_number().over(Window.partitionBy("vid").orderBy("ts", "event_id")) - 1
     rows = rows.withColumn("n", n.cast("long"))
     t = (micros("ts") - 1577836800000000).cast("double") / 345600e6
