@@ -113,14 +113,21 @@ class Pairs:
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys to as many tasks as the session shuffles to.  A number that is asked for isn't lowered for small
-    rows: what a fold costs is its work on rows, not their bytes."""
+    rows: what a fold costs is its work on rows, not their bytes, and sorted unions of wide rows take many times their shuffled bytes."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[T.StructField], begin, keep: list[str]) -> DataFrame:
-    """Feed rows to a fold, key by key in order; ``begin()`` makes a key's step function: row tuple -> new values.
+def plain(column: pa.Array) -> list:
+    """The values of a column as Python objects; numbers without nulls by way of numpy, which is faster."""
+    numbers = pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if numbers and not column.null_count else column.to_pylist()
 
-    One pass over sorted partitions: a key's rows are never gathered, only its state.
+
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[T.StructField], begin, keep: list[str], takes: list[str] | None = None) -> DataFrame:
+    """Feed rows to a fold, key by key in order; ``begin()`` makes a key's step function: row -> new values.
+
+    One pass over sorted partitions: a key's rows are never gathered, only its state.  A step gets a row as a dict or, where
+    ``takes`` names columns, their values alone; columns that are only kept never become Python objects then.
     """
     out = T.StructType([df.schema[c] for c in keep] + fields)
     ready = spread(df, *keys).sortWithinPartitions(*keys, *order)
@@ -132,14 +139,14 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[T
         for batch in batches:
             names = batch.schema.names
             made = []
-            key_at = [names.index(k) for k in keys]
-            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
-                now = tuple(row[i] for i in key_at)
+            known = {c: plain(batch.column(names.index(c))) for c in dict.fromkeys([*keys, *(names if takes is None else takes)])}
+            rows = zip(*(known[c] for c in takes or names), strict=True)
+            for now, row in zip(zip(*(known[k] for k in keys), strict=True), rows, strict=True):
                 if now != key:
                     key, step = now, begin()
-                made.append(step(dict(zip(names, row, strict=True))))
+                made.append(step(dict(zip(names, row, strict=True))) if takes is None else step(*row))
             columns = [batch.column(names.index(c)) for c in keep]
-            columns += [pa.array([m[i] for m in made], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+            columns += [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(list(zip(*made, strict=True)) or [[]] * len(fields), fields, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return ready.mapInArrow(run, out)
@@ -154,9 +161,8 @@ def series_flashes(df: DataFrame, keys: list[str], order: str = "n", time: str =
         direction, base, far, since = 0, None, 0.0, 0.0
         pending, pending_t, times = 0, NEVER, [NEVER] * k
 
-        def step(row: dict):
+        def step(x: float, t: float):
             nonlocal direction, base, far, since, pending, pending_t, times
-            x, t = row[value], row[time]
             if base is None:
                 base, far, since = x, x, t
                 return 0, False, None, False
@@ -189,7 +195,7 @@ def series_flashes(df: DataFrame, keys: list[str], order: str = "n", time: str =
 
         return step
 
-    return sorted_fold(df, keys, [order], fields, begin, df.columns)
+    return sorted_fold(df, keys, [order], fields, begin, df.columns, [value, time])
 
 
 def greedy_gaps(df: DataFrame, keys: list[str], order: str, time: str, gap: float | str, name: str = "kept") -> DataFrame:
@@ -198,15 +204,15 @@ def greedy_gaps(df: DataFrame, keys: list[str], order: str, time: str, gap: floa
     def begin():
         last = [NEVER]
 
-        def step(row: dict):
-            keeps = row[time] - last[0] >= (row[gap] if isinstance(gap, str) else gap) - 1e-9
+        def step(t: float, least: float = gap):
+            keeps = t - last[0] >= least - 1e-9
             if keeps:
-                last[0] = row[time]
+                last[0] = t
             return (keeps,)
 
         return step
 
-    return sorted_fold(df, keys, [order], [T.StructField(name, T.BooleanType())], begin, df.columns)
+    return sorted_fold(df, keys, [order], [T.StructField(name, T.BooleanType())], begin, df.columns, [time, gap] if isinstance(gap, str) else [time])
 
 
 def thinned(df: DataFrame, keys: list[str], order: str, time: str, gap: float | str, gone: str, scope: str, name: str = "thins") -> DataFrame:
