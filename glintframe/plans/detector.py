@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,34 +89,56 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
 class _Tile:
     """Runs and flashes of a band's pixels; times in microseconds.
 
-    ``wild``: which lanes of each tracker begin within a flash.  With ``carry`` a shadow of each tracker takes all of
-    them to do so; the two differ in what waits for its counterpart and in their latest flashes, until something makes them equal.
+    From ``unsure`` on, each tracker's shadow takes all lanes to be within a flash; the two differ in what waits for its
+    counterpart and in their latest flashes, until something makes them equal.
     """
 
-    def __init__(self, n: int, cfg: Config, wild: np.ndarray | None = None, carry: bool = False):
-        k = cfg.k_fail
+    def __init__(self, n: int, cfg: Config):
         us = {"max_run": R.MAX_RUN * 1e6}
         self.light = R.Runs(n, cfg.noise, dtype=np.float32, **us)
         self.red = R.Runs(n, cfg.red_noise, dtype=np.float32, extra=True, **us)
-        self.pairs = [R.Pairs(n, k, R.PAIR * 1e6) for _ in range(3)]  # general, warning, red
-        self.shadows = [R.Pairs(n, k, R.PAIR * 1e6) for _ in range(3)] if carry else []
+        self.n, self.cfg, self.shadows = n, cfg, []
+        self.pairs = self._fresh()
+
+    def _fresh(self) -> list[R.Pairs]:
+        return [R.Pairs(self.n, self.cfg.k_fail, R.PAIR * 1e6) for _ in range(3)]  # general, warning, red
+
+    def unsure(self, wild: np.ndarray | None, carry: bool) -> None:
+        """Flashes begin anew, as the runs are known by now but not what waits for its counterpart; ``wild``: which lanes of each tracker are within a flash."""
+        self.pairs = self._fresh()
         for i, pairs in enumerate(self.pairs if wild is not None else ()):
             pairs.wild = wild[i]
+        self.shadows = self._fresh() if carry else []
         for shadow in self.shadows:
-            shadow.wild = np.ones(n, bool)
-        self.cfg = cfg
+            shadow.wild = np.ones(self.n, bool)
 
-    def states(self, t: float) -> np.ndarray:
-        """(tracker, as it is or its shadow, lane): codes that are equal where the future is; a shadow that saw nothing is as the tracker."""
+    def still(self) -> np.ndarray:
+        """Which lanes have had no run yet, in light and in red."""
+        return np.stack([r.direction == 0 for r in (self.light, self.red)])
+
+    def states(self, t: float, seen: int) -> np.ndarray:
+        """(tracker, as it is or its shadow, lane): codes that are equal where the future is; a shadow that saw nothing is as the tracker.
+
+        The last one is of the runs and of ``seen``, a code of the last new picture.  A lane without a run has no code of its own:
+        its base may differ with where the scan began, but says nothing as long as no run begins.
+        """
+        fold = lambda x: (x ^ (x >> 32)).astype(np.int32)
 
         def code(p: R.Pairs) -> np.ndarray:
             out = np.where(t - p.pending_t <= p.pair, p.pending, 0).astype(np.int64) * CODE[0]
             for i, (at, opened) in enumerate(zip(p.times, p.opens, strict=True)):
                 both = at.astype(np.int64) * CODE[2 * i + 1] + np.maximum(opened, 0).astype(np.int64) * CODE[2 * i + 2]
                 out += np.where(t - at < 1e6, both, 0)
-            return (out ^ (out >> 32)).astype(np.int32)
+            return fold(out)
+
+        def run(r: R.Runs, k: int) -> np.ndarray:
+            values = [r.direction, r.base.view(np.int32), r.far.view(np.int32), r.since] + ([r.base_aux, r.far_aux] if r.extra else [])
+            return np.where(r.direction == 0, 0, sum(v.astype(np.int64) * CODE[k + i] for i, v in enumerate(values)))
 
-        return np.stack([[own := code(p), np.where(s.wild, own, code(s))] for p, s in zip(self.pairs, self.shadows, strict=True)])
+        runs = fold(run(self.light, 16) + run(self.red, 20) + seen * CODE[31:])
+        own = [code(p) for p in self.pairs]
+        other = [np.where(s.wild, mine, code(s)) for mine, s in zip(own, self.shadows, strict=True)] if self.shadows else own
+        return np.stack([*(np.stack(both) for both in zip(own, other, strict=True)), np.stack([runs, np.zeros_like(runs)])])
 
     def _pair(self, i: int, polarity: np.ndarray, t: float) -> None:
         self.pairs[i].feed(polarity, t)
@@ -172,20 +195,26 @@ def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
 def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFrame:
     """One row for each new picture and band: totals of all windows over the band's rows; one without, for a held picture.
 
-    A row numbered FIRST has in its codes which lanes are wild.  With ``carry`` each band of a video gives one more row:
-    the codes of its pixels' states (see ``_Tile.states``) before its ``from_n`` and after its last frame.
+    Of a part that begins later than its video, runs settle for ``R.MAX_RUN`` seconds before flashes are followed: the first
+    pictures may show transitions that are none in the video, or hide some.  A row numbered FIRST has in its codes which lanes are
+    wild then.  With ``carry`` each band of a video gives one more row: the codes of its pixels' states (see ``_Tile.states``)
+    before its ``from_n`` and after its last frame; the runs' second code tells where a lane had its first run in between, if the part began later.
     """
     ready = R.spread(bands, "video", "band").sortWithinPartitions("video", "band", "n")
     schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary, carry binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile, wild, before, last = None, None, None, None, 0.0
+        still, seen, began, settled = None, 0, None, math.inf
 
         def carried() -> list[tuple]:
             if not carry or tile is None:
                 return []
-            now = tile.states(last)
-            return [(key[0], None, None, None, None, None, None, None, None, key[1], None, np.stack([now if before is None else before, now]).tobytes())]
+            now = tile.states(last, seen)
+            codes = np.stack([now if before is None else before, now])
+            if not began:  # without a run-up nothing is known
+                codes[0, 3, 1] = 1 if before is None else (still & ~tile.still()).any(axis=0)
+            return [(key[0], None, None, None, None, None, None, None, None, key[1], None, codes.tobytes())]
 
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
@@ -195,15 +224,23 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
             for row in batch.to_pylist():
                 if (row["video"], row["band"]) != key:
                     made += carried()
-                    key, tile, wild, before = (row["video"], row["band"]), None, None, None
+                    key, tile, wild, before, still = (row["video"], row["band"]), None, None, None, None
+                    began = None
                 if row["n"] == FIRST:
                     wild = np.frombuffer(row["codes"], bool).reshape(3, -1)
                     continue
                 w, h, y0 = row["w"], row["h"], row["band"] * BAND
                 tags = tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
                 counts = row["n"] >= row["from_n"]
+                if began is None:
+                    began = row["tc"] == 0.0
+                    settled = math.inf if began or not (carry or wild is not None) else row["tc"] + R.MAX_RUN
+                elif settled < math.inf and (counts or row["tc"] >= settled):
+                    tile.unsure(wild, carry)
+                    settled = math.inf
                 if carry and counts and before is None and tile is not None:
-                    before = tile.states(last)
+                    before = tile.states(last, seen)
+                    still = tile.still()
                 t = last = float(round(row["tc"] * 1e6))
                 if row["held"]:
                     if tile is not None:
@@ -214,10 +251,11 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
                     continue
                 geo = _geometry(cfg, w, h)
                 rows = min(BAND, h - y0)
+                seen = zlib.crc32(row["codes"]) if carry else 0
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(rows * w, 3)
                 light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
                 if tile is None:
-                    tile = _Tile(rows * w, cfg, wild, carry)
+                    tile = _Tile(rows * w, cfg)
                     tile.light.start(light, t)
                     tile.red.start(red, t, packed)
                     masks, ages = [np.zeros(rows * w, bool)] * 6, [np.zeros(rows * w)] * 2

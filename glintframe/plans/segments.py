@@ -1,10 +1,12 @@
 """Scanning one video in time segments, and one result from theirs.
 
-A segment is scanned with a run-up: frames before its start, after which runs, ages and rings are those of a
+A segment is scanned with a run-up: frames before its start, after which runs, ages and rings should be those of a
 scan from the video's beginning.  One thing a run-up can't restore: in flashing without a pause, which transitions pair up hangs on
-all that went before.  So each segment is followed both ways, as if it began between flashes or within one.  It hands
-on a code of each pixel's state at its start and its end either way, 48 bytes a pixel.  A pass over these, segment
-by segment, tells which way each pixel went; only bands in which some pixel went the other way are scanned again.
+all that went before.  So each segment is followed both ways, as if it began between flashes or within one, as soon as its runs had
+time to settle.  It hands on a code of each pixel's state at its start and its end either way, 64 bytes a pixel.  A pass over
+these, segment by segment, tells which way each pixel went; only bands in which some pixel went the other way are scanned again.
+Where a pixel went neither way (its run-up was too short to settle a run, or the last new picture is not the same one),
+the whole video is scanned from its beginning.
 
 Segments are scanned side by side, in as many tasks as there are.  Their windows' sums run through the last pass of
 the detector as one video, by one clock.  ``merge`` joins results of segments that were scanned with clocks of their own.
@@ -86,7 +88,7 @@ def merge(stats: DataFrame, cfg: Config) -> DataFrame:
 
 
 def ways(carries: DataFrame) -> DataFrame:
-    """video, segment, band, codes: which lanes of each tracker began within a flash, where some did.
+    """video, segment, band, codes: which lanes of each tracker began within a flash, where some did; no codes, where some went neither way.
 
     ``carries`` (video, segment, band, carry) has codes of the states at a segment's start and end, either way.  A pass
     over each band's segments in order: the state at the end of one is that at the start of the next.
@@ -99,21 +101,30 @@ def ways(carries: DataFrame) -> DataFrame:
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                # (start or end, tracker, one way or the other, lane)
-                codes = np.frombuffer(row["carry"], np.int32).reshape(2, 3, 2, -1)
-                one, other = codes[0, :, 0], codes[0, :, 1]
+                # (start or end, tracker or runs, one way or the other, lane)
+                codes = np.frombuffer(row["carry"], np.int32).reshape(2, 4, 2, -1)
+                one, other = codes[0, :3, 0], codes[0, :3, 1]
+                (runs, first_run), now = codes[0, 3], codes[1, 3, 0]
                 if (row["video"], row["band"]) != key:
-                    key, ends = (row["video"], row["band"]), one
+                    key, ends, last = (row["video"], row["band"]), one, runs
+                neither = ((ends != one) & (ends != other)).any() or (last != runs).any() or first_run.any()
                 within = (one != other) & (ends == other)
-                ends = np.where(within, codes[1, :, 1], codes[1, :, 0])
-                if within.any():
-                    made.append((*key[:1], row["segment"], key[1], within.tobytes()))
+                ends, last = np.where(within, codes[1, :3, 1], codes[1, :3, 0]), now
+                if neither or within.any():
+                    made.append((*key[:1], row["segment"], key[1], None if neither else within.tobytes()))
             columns = list(zip(*made, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["video", "segment", "band", "codes"])
 
     return ready.select("video", "segment", "band", "carry").mapInArrow(run, schema)
 
 
+def _whole(marks: DataFrame, videos: DataFrame) -> DataFrame:
+    """One segment, numbered -1, of all of each of these videos."""
+    rows = marks.join(videos, "video", "left_semi").groupBy("video")
+    whole = rows.agg(F.min("run_n").alias("run_n"), F.min("from_n").alias("from_n"), F.max("to_n").alias("to_n"))
+    return whole.select("video", F.lit(-1).cast("long").alias("segment"), "run_n", F.lit(0.0).alias("tc0"), F.lit(None).cast("array<double>").alias("recent"), "from_n", "to_n")
+
+
 def _bands(frames: DataFrame, marks: DataFrame, cfg: Config) -> DataFrame:
     """The detector's first pass over segments, each a video of its own named segment:video."""
     mark = marks.withColumnRenamed("video", "__video")
@@ -128,9 +139,20 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def pictures(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up: float | None = None) -> DataFrame:
-    """The columns video to lum of ``scan`` alone: they are known as soon as repeated pictures are told apart, before any work on pixels."""
+    """The columns video to lum of ``scan`` alone: they are known as soon as repeated pictures are told apart, before any work on pixels.
+
+    The last new picture before a segment must be the one that the segment before ends with; if not, the video is taken as a whole.
+    """
     marks = stored(spans(frames, cfg, segment, run_up), "segments")
-    rows = _named(_bands(frames, marks, cfg)).where("band = 0 AND n >= from_n")
+    rows = _named(_bands(frames, marks, cfg)).withColumn("code", F.xxhash64("codes")).drop("codes")
+    rows = stored(rows, "segment-pictures")
+    new = rows.where("NOT held").groupBy("video", "band", "segment")
+    ends = new.agg(F.max_by("code", F.when(F.col("n") < F.col("from_n"), F.col("n"))).alias("start"), F.max_by("code", "n").alias("end"))
+    before = F.lag("end").over(Window.partitionBy("video", "band").orderBy("segment"))
+    other = stored(ends.withColumn("before", before).where("before IS NOT NULL AND NOT before <=> start").select("video").distinct(), "segment-videos")
+    again = _named(_bands(frames, _whole(marks, other), cfg))
+    first = rows.join(other, "video", "left_anti")
+    rows = first.unionByName(again, allowMissingColumns=True).where("band = 0 AND n >= from_n")
     return rows.select("video", "n", "t", "tc", "held", "anomaly", F.col("mean").alias("lum"))
 
 
@@ -144,13 +166,16 @@ def scan(frames: DataFrame, cfg: Config, segment: Column | None = None, run_up:
     bands = lambda marks: _bands(frames, marks, cfg)
     found = stored(_named(detector._window_parts(bands(marks), cfg, carry=True)), "segment-parts")
     turned = stored(ways(found.where("carry is not null")), "segment-ways")
+    other = turned.where("codes is null").select("video").distinct()
+    turned = turned.join(other, "video", "left_anti")
     key = ["video", "segment", "band"]
-    again = bands(marks.join(turned.select("video", "segment").distinct(), ["video", "segment"], "left_semi"))
+    again = bands(marks.join(turned.select("video", "segment").distinct(), ["video", "segment"], "left_semi").unionByName(_whole(marks, other)))
     known = turned.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).select("video", "band", "codes")
-    again = again.join(known.select("video", "band"), ["video", "band"], "left_semi")
+    whole = found.where("carry is not null").join(other, "video", "left_semi").select(F.concat(F.lit("-1:"), "video").alias("video"), "band").distinct()
+    again = again.join(known.select("video", "band").unionByName(whole), ["video", "band"], "left_semi")
     again = again.unionByName(known.withColumn("n", F.lit(detector.FIRST)), allowMissingColumns=True)
     second = _named(detector._window_parts(again, cfg))
-    first = found.where("carry is null").join(turned.select(*key), key, "left_anti")
+    first = found.where("carry is null").join(turned.select(*key), key, "left_anti").join(other, "video", "left_anti")
     # frames that show nothing new have a row in band 0 only, whichever scan it comes from
     return detector._frames_of_parts(first.unionByName(second).drop("segment"), cfg)
 
