@@ -63,8 +63,8 @@ def yuv_to_rgb(y: Column, u: Column, v: Column, matrix: str = "bt709-limited") -
     return [F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright((c + 32768).cast("int"), 16))) for c in (base + v * rv, base - u * gu - v * gv, base + u * bu)]
 
 
-def planes(rgb: np.ndarray, saturation: float, flare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(luminance, distance from red, packed chromaticity) of sRGB codes (..., 3): float32, float32, int64."""
+def planes(rgb: np.ndarray, saturation: float, flare: float, pack: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(luminance, distance from red, packed chromaticity) of sRGB codes (..., 3): float32, float32, int64; without ``pack`` no third."""
     f = np.float32
     r, g, b = (LINEAR[rgb[..., i]] for i in range(3))
     mix = lambda w, r, g, b: f(w[0]) * r + f(w[1]) * g + f(w[2]) * b
@@ -74,6 +74,8 @@ def planes(rgb: np.ndarray, saturation: float, flare: float) -> tuple[np.ndarray
     d = x + f(15) * y + f(3) * z
     u, v = f(4) * x / d, f(9) * y / d
     du, dv = u - f(RED_UV[0]), v - f(RED_UV[1])
+    if not pack:
+        return light, np.sqrt(du * du + dv * dv), None
     packed = (np.minimum(np.floor(u * f(32768) + f(0.5)), 0x7FFF).astype(np.int64) << 16) | np.minimum(np.floor(v * f(65536) + f(0.5)), 0xFFFF).astype(np.int64)
     return light, np.sqrt(du * du + dv * dv), packed | np.where(r >= f(saturation) * (r + g + b), SATURATED, 0)
 

@@ -6,6 +6,7 @@ with a series.  The same kernel works on numpy vectors, for a tile of pixels at
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,41 @@ MAX_RUN, PAIR, RATE, FRESH = 2.0, 1.0, 0.999, 0.125  # seconds
 NEVER = -1e18
 
 
-class Runs:
-    """Monotonic runs of ``n`` values side by side.  ``feed`` returns the run that just ended, where one did."""
+class Lanes:
+    """Arrays whose last axis is lanes, by name in ``lanes``; None where there is none yet."""
+
+    lanes: tuple = ()
+
+    def take(self, part: slice):
+        """The same state of some lanes, in views."""
+        out = copy.copy(self)
+        for name in self.lanes:
+            value = getattr(self, name)
+            setattr(out, name, None if value is None else value[..., part])
+        return out
+
+    def own(self):
+        """The same state in arrays of its own."""
+        return self.joined([self])
+
+    @classmethod
+    def joined(cls, states: list):
+        """Lanes of several states side by side."""
+        out = copy.copy(states[0])
+        for name in out.lanes:
+            values = [getattr(x, name) for x in states]
+            setattr(out, name, None if values[0] is None else np.concatenate(values, axis=-1))
+        return out
+
+
+class Runs(Lanes):
+    """Monotonic runs of ``n`` values side by side.  ``feed`` returns the run that just ended, where one did.
+
+    Times are one number, or one for each lane.
+    """
+
+    lanes = ("direction", "base", "far", "since", "base_aux", "far_aux")
+    base_aux = far_aux = None
 
     def __init__(self, n: int, noise: float, max_run: float = MAX_RUN, dtype=np.float64, extra: bool = False):
         self.noise, self.max_run = dtype(noise), max_run
@@ -35,6 +69,17 @@ class Runs:
         if self.extra:
             self.base_aux, self.far_aux = aux.copy(), aux.copy()
 
+    def begin(self, part: slice, x: np.ndarray, t: np.ndarray, aux: np.ndarray | None = None) -> None:
+        """``start`` for some lanes."""
+        if self.base is None:
+            self.base, self.far = np.zeros_like(x), np.zeros_like(x)
+            if self.extra:
+                self.base_aux, self.far_aux = np.zeros_like(aux), np.zeros_like(aux)
+        self.base[part] = self.far[part] = x[part]
+        self.since[part] = t[part]
+        if self.extra:
+            self.base_aux[part] = self.far_aux[part] = aux[part]
+
     def feed(self, x: np.ndarray, t: float, aux: np.ndarray | None = None):
         """(turned down, turned up, base, far[, base aux, far aux]) of the runs as they were."""
         up, down = self.direction == UP, self.direction == DOWN
@@ -70,18 +115,26 @@ class Runs:
         self._age(t - self.since > self.max_run, t)
 
     def _age(self, stale: np.ndarray, t: float) -> None:
-        self.base = np.where(stale, self.far, self.base)
-        self.since = np.where(stale, t, self.since)
+        if not stale.any():
+            return
+        self.base[stale] = self.far[stale]
+        self.since[stale] = _of(t, stale)
         if self.extra:
-            self.base_aux = np.where(stale, self.far_aux, self.base_aux)
+            self.base_aux[stale] = self.far_aux[stale]
 
 
-class Pairs:
+def _of(t: float | np.ndarray, some: np.ndarray) -> float | np.ndarray:
+    return t[some] if np.ndim(t) else t
+
+
+class Pairs(Lanes):
     """Opposing transitions within ``PAIR`` seconds make a flash; the last ``k`` flashes are kept with their openings.
 
     The first transition of lanes that are ``wild`` completes a flash that began before there was anything to see.
     """
 
+    lanes = ("pending", "pending_t", "times", "opens", "wild")
+
     def __init__(self, n: int, k: int, pair: float = PAIR):
         self.pair = pair
         self.pending = np.zeros(n, np.int8)
@@ -93,6 +146,8 @@ class Pairs:
     def feed(self, polarity: np.ndarray, t: float) -> np.ndarray:
         """polarity: 1, -1 or 0 for none.  Returns where a flash was completed."""
         some = polarity != 0
+        if not some.any():
+            return some
         flash = some & (self.pending == -polarity) & (t - self.pending_t <= self.pair)
         if self.wild is not None:
             flash |= some & self.wild
@@ -100,7 +155,7 @@ class Pairs:
         if flash.any():
             self.times[1:, flash] = self.times[:-1, flash]
             self.opens[1:, flash] = self.opens[:-1, flash]
-            self.times[0, flash] = t
+            self.times[0, flash] = _of(t, flash)
             self.opens[0, flash] = self.pending_t[flash]
         waits = some & ~flash
         self.pending = np.where(flash, 0, np.where(waits, polarity, self.pending)).astype(np.int8)
@@ -108,7 +163,8 @@ class Pairs:
         return flash
 
     def strobing(self, t: float, k: int, fresh: float = FRESH, rate: float = RATE) -> np.ndarray:
-        return (t - self.times[0] <= fresh) & (t - self.times[k - 1] < rate)
+        last = t - self.times[0] <= fresh
+        return last & (t - self.times[k - 1] < rate) if last.any() else last
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

@@ -15,7 +15,9 @@ video is spread over many tasks once its pictures are told apart; what meets aga
 
 from __future__ import annotations
 
+import copy
 import functools
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ from glintframe.operators import intervals as V
 
 BAND = 32  # rows of a picture worked on together
 FIRST = -(1 << 63)  # below all frame numbers
+LOT, CHUNK = 4 << 20, 1 << 18  # bytes of rows, and of codes, worked on together
+LANES = 1 << 14  # of series side by side: what a processor's cache holds
 CODE = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64).view(np.int64)
 COUNTS = ["fail", "ext", "warn", "fail_red", "ext_red", "warn_red"]
 
@@ -45,19 +49,82 @@ def median(values: list[float]) -> float:
     return float(np.median(values)) if values else 1 / 30
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, of about ``LOT`` bytes: what a task holds as Python objects doesn't grow with a batch."""
+    for batch in batches:
+        step = max(1, LOT * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+class _Series:
+    """One key of a pass over sorted rows: its lanes' ``state`` and what is to come of this lot's rows.
+
+    ``turns``: (a new picture, held ones before it), ``tail``: held ones after the last.  Pictures are whatever the pass makes of rows.
+    """
+
+    def __init__(self, key):
+        self.key, self.size, self.state, self.turns, self.tail = key, None, None, [], []
+
+    def add(self, picture, held: bool) -> None:
+        if held:
+            self.tail.append(picture)
+        else:
+            self.turns.append((picture, self.tail))
+            self.tail = []
+
+
+def _in_step(series: list[_Series], lanes: int, blank) -> Iterator[tuple]:
+    """(turns, series, their joint state, which are at their first picture): all series' first new pictures of this lot, their second ones, and so on.
+
+    Numpy's calls are dear and pictures small: one call serves all series of a lot.  The state of a series that is done goes
+    back to it.
+    """
+    if len(series) > (most := max(1, LANES // lanes)):
+        for i in range(0, len(series), most):
+            yield from _in_step(series[i : i + most], lanes, blank)
+        return
+    new = {id(x) for x in series if x.state is None}
+    order = sorted((x for x in series if x.turns), key=lambda x: -len(x.turns))
+    joint, at = None, 0
+    while order:
+        left = [x for x in order if len(x.turns) > at]
+        if joint is None:
+            joint = blank(0).joined([x.state or blank(lanes) for x in order])
+        for i in range(len(left), len(order)):
+            order[i].state = joint.take(slice(i * lanes, (i + 1) * lanes)).own()
+        if len(left) < len(order):
+            joint = joint.take(slice(0, len(left) * lanes))
+        order = left
+        if order:
+            yield [x.turns[at] for x in order], order, joint, [at == 0 and id(x) in new for x in order]
+        at += 1
+    for x in series:
+        x.turns = []
+
+
 def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
     given = {"tc0": F.lit(0.0), "from_n": F.lit(FIRST), "recent": F.lit(None).cast("array<double>")}
     given = [c if c in frames.columns else default.alias(c) for c, default in given.items()]
     ready = frames.select("video", "n", "t", "w", "h", "rgb", *given)
     ready = R.spread(ready, "video").sortWithinPartitions("video", "n")
 
+    def lights(rows: list[tuple]) -> Iterator[tuple]:
+        """(row, its codes, luminance, distance from red); pictures of one size are worked on together."""
+        size = lambda row: (row["h"], row["w"])
+        for (h, w), same in itertools.groupby(rows, size):
+            same = list(same)
+            for at in range(0, len(same), step := max(1, CHUNK // (3 * w * h))):
+                some = same[at : at + step]
+                rgb = np.frombuffer(b"".join(row["rgb"] for row in some), np.uint8).reshape(len(some), h, w, 3)
+                light, red, _ = colour.planes(rgb, cfg.red_saturation, cfg.red_flare, pack=False)
+                yield from zip(some, rgb, light, red, strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, None
-        for batch in batches:
+        for batch in _lots(batches):
             made = []
-            for row in batch.to_pylist():
-                rgb = np.frombuffer(row["rgb"], np.uint8).reshape(row["h"], row["w"], 3)
-                light, red, _ = colour.planes(rgb, cfg.red_saturation, cfg.red_flare)
+            for row, rgb, light, red in lights(batch.to_pylist()):
                 if row["video"] != video:
                     video, state = row["video"], {"tc": row["tc0"], "t": row["t"], "steps": row["recent"] or [], "light": None}
                 step = row["t"] - state["t"]
@@ -70,9 +137,9 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                 held = False
                 if state["light"] is not None:
                     moved = (np.abs(light - state["light"]) > np.float32(0.5 * cfg.swing)) | (np.abs(red - state["red"]) > np.float32(0.5 * colour.LEAST_RED_SWING))
-                    held = bool(moved.sum() < max(1.0, 0.1 * _geometry(cfg, row["w"], row["h"]).area))
+                    held = bool(np.count_nonzero(moved) < max(1.0, 0.1 * _geometry(cfg, row["w"], row["h"]).area))
                 if not held:
-                    state["light"], state["red"] = light, red
+                    state["light"], state["red"] = light.copy(), red.copy()
                 mean = float(light.sum(dtype=np.float64) / light.size)
                 for band, y in enumerate(range(0, row["h"], BAND)):
                     part = None if held else rgb[y : y + BAND].tobytes()
@@ -86,31 +153,63 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
     return ready.mapInArrow(run, schema)
 
 
-class _Tile:
+class _State:
+    """Several ``Lanes`` of the same lanes."""
+
+    def members(self) -> dict:
+        return {name: value for name, value in vars(self).items() if isinstance(value, (R.Lanes, list))}
+
+    def _with(self, change) -> _State:
+        out = copy.copy(self)
+        for name, value in self.members().items():
+            setattr(out, name, [change(name, i) for i in range(len(value))] if isinstance(value, list) else change(name, None))
+        return out
+
+    def member(self, name: str, i: int | None) -> R.Lanes:
+        value = getattr(self, name)
+        return value if i is None else value[i]
+
+    def take(self, part: slice) -> _State:
+        return self._with(lambda name, i: self.member(name, i).take(part))
+
+    def own(self) -> _State:
+        return self._with(lambda name, i: self.member(name, i).own())
+
+    def joined(self, states: list) -> _State:
+        return self._with(lambda name, i: R.Lanes.joined([x.member(name, i) for x in states]))
+
+
+class _Tile(_State):
     """Runs and flashes of a band's pixels; times in microseconds.
 
     From ``unsure`` on, each tracker's shadow takes all lanes to be within a flash; the two differ in what waits for its
     counterpart and in their latest flashes, until something makes them equal.
     """
 
-    def __init__(self, n: int, cfg: Config):
+    def __init__(self, n: int, cfg: Config, ways: bool = False, carry: bool = False):
         us = {"max_run": R.MAX_RUN * 1e6}
         self.light = R.Runs(n, cfg.noise, dtype=np.float32, **us)
         self.red = R.Runs(n, cfg.red_noise, dtype=np.float32, extra=True, **us)
-        self.n, self.cfg, self.shadows = n, cfg, []
-        self.pairs = self._fresh()
+        for runs in (self.light, self.red):
+            runs.base, runs.far = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        self.red.base_aux, self.red.far_aux = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.cfg = cfg
+        self.pairs, self.shadows = ([R.Pairs(n, cfg.k_fail, R.PAIR * 1e6) for _ in range(k)] for k in (3, 3 * carry))  # general, warning, red
+        for pairs in self.pairs + self.shadows if ways else ():
+            pairs.wild = np.zeros(n, bool)
 
-    def _fresh(self) -> list[R.Pairs]:
-        return [R.Pairs(self.n, self.cfg.k_fail, R.PAIR * 1e6) for _ in range(3)]  # general, warning, red
+    def settle(self, t: float) -> None:
+        self.light.settle(t)
+        self.red.settle(t)
 
-    def unsure(self, wild: np.ndarray | None, carry: bool) -> None:
+    def unsure(self, wild: np.ndarray | None) -> None:
         """Flashes begin anew, as the runs are known by now but not what waits for its counterpart; ``wild``: which lanes of each tracker are within a flash."""
-        self.pairs = self._fresh()
-        for i, pairs in enumerate(self.pairs if wild is not None else ()):
-            pairs.wild = wild[i]
-        self.shadows = self._fresh() if carry else []
+        for pairs in self.pairs + self.shadows:
+            pairs.pending[:], pairs.pending_t[:], pairs.times[:], pairs.opens[:] = 0, R.NEVER, R.NEVER, R.NEVER
+        for i, pairs in enumerate(self.pairs):
+            pairs.wild[:] = False if wild is None else wild[i]
         for shadow in self.shadows:
-            shadow.wild = np.ones(self.n, bool)
+            shadow.wild[:] = True
 
     def still(self) -> np.ndarray:
         """Which lanes have had no run yet, in light and in red."""
@@ -145,8 +244,8 @@ class _Tile:
         if self.shadows:
             self.shadows[i].feed(polarity, t)
 
-    def feed(self, light: np.ndarray, red: np.ndarray, packed: np.ndarray, t: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(masks as COUNTS, ages of the openings of failing flashes: general, red)."""
+    def feed(self, light: np.ndarray, red: np.ndarray, packed: np.ndarray, t: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+        """(masks as COUNTS, ages of the openings of failing flashes, if any: general, red)."""
         cfg = self.cfg
         peak, trough, base, far = self.light.feed(light, t)
 
@@ -160,25 +259,26 @@ class _Tile:
         if cfg.warns:
             self._pair(1, polarity(cfg.warn_swing), t)
         peak, trough, _, _, base_c, far_c = self.red.feed(red, t, packed)
-        moved = colour.red_transition(base_c, far_c, cfg.red_delta)
-        self._pair(2, (peak & moved).astype(np.int8) - (trough & moved).astype(np.int8), t)
+        if (peak | trough).any():
+            moved = colour.red_transition(base_c, far_c, cfg.red_delta)
+            self._pair(2, (peak & moved).astype(np.int8) - (trough & moved).astype(np.int8), t)
         test = lambda p, k: p.strobing(t, k, cfg.pool * 1e6, R.RATE * 1e6)
         none = np.zeros(len(light), bool)
         masks = [test(general, cfg.k_fail), test(general, cfg.k_extended), test(warning, cfg.k_warn) if cfg.warns else none]
         masks += [test(reds, cfg.k_fail), test(reds, cfg.k_extended), test(reds, cfg.k_warn) if cfg.warns else none]
-        ages = [np.where(m, t - p.opens[cfg.k_fail - 1], 0.0) for m, p in ((masks[0], general), (masks[3], reds))]
+        ages = [np.where(m, t - p.opens[cfg.k_fail - 1], 0.0) if m.any() else None for m, p in ((masks[0], general), (masks[3], reds))]
         return masks, ages
 
 
 def _window_sums(sums: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
-    """(plane, cell) totals of every window's part in a band, from sums accumulated along both axes."""
-    rows = sums.shape[1] - 1
+    """(plane, picture, cell) totals of every window's part in a band, from sums accumulated along both axes."""
+    rows = sums.shape[2] - 1
     top = np.clip(np.asarray(geo.ys) - y0, 0, rows)
     bottom = np.clip(np.asarray(geo.ys) + geo.wh - y0, 0, rows)
     left = np.asarray(geo.xs)
     right = left + geo.ww
-    upper, lower = sums[:, top], sums[:, bottom]
-    return (lower[:, :, right] - upper[:, :, right] - lower[:, :, left] + upper[:, :, left]).reshape(len(sums), -1)
+    upper, lower = sums[:, :, top], sums[:, :, bottom]
+    return (lower[..., right] - upper[..., right] - lower[..., left] + upper[..., left]).reshape(*sums.shape[:2], -1)
 
 
 def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
@@ -192,6 +292,15 @@ def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
     return out.ravel()
 
 
+class _Band(_Series):
+    """A series of one band's pictures, and what is known of a part of a video: see ``_window_parts``."""
+
+    def __init__(self, key):
+        super().__init__(key)
+        self.wild = self.before = self.still = self.began = None
+        self.seen, self.last, self.settled = 0, 0.0, math.inf
+
+
 def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFrame:
     """One row for each new picture and band: totals of all windows over the band's rows; one without, for a held picture.
 
@@ -203,74 +312,109 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
     ready = R.spread(bands, "video", "band").sortWithinPartitions("video", "band", "n")
     schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary, carry binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile, wild, before, last = None, None, None, None, 0.0
-        still, seen, began, settled = None, 0, None, math.inf
-
-        def carried() -> list[tuple]:
-            if not carry or tile is None:
-                return []
-            now = tile.states(last, seen)
-            codes = np.stack([now if before is None else before, now])
-            if not began:  # without a run-up nothing is known
-                codes[0, 3, 1] = 1 if before is None else (still & ~tile.still()).any(axis=0)
-            return [(key[0], None, None, None, None, None, None, None, None, key[1], None, codes.tobytes())]
+    def carried(s: _Band) -> list[tuple]:
+        if not carry or s.state is None:
+            return []
+        now = s.state.states(s.last, s.seen)
+        codes = np.stack([now if s.before is None else s.before, now])
+        if not s.began:  # without a run-up nothing is known
+            codes[0, 3, 1] = 1 if s.before is None else (s.still & ~s.state.still()).any(axis=0)
+        return [(s.key[0], None, None, None, None, None, None, None, None, s.key[1], None, codes.tobytes())]
+
+    def counts(s: _Band, row: dict, state: _Tile | None) -> bool:
+        """Whether there are to be statistics of a row that comes next; what is to be done before it is done."""
+        does = row["n"] >= row["from_n"]
+        if s.began is None:
+            s.began = row["tc"] == 0.0
+            s.settled = math.inf if s.began or not (carry or s.wild is not None) else row["tc"] + R.MAX_RUN
+        elif s.settled < math.inf and (does or row["tc"] >= s.settled):
+            state.unsure(s.wild)
+            s.settled = math.inf
+        if carry and does and s.before is None and state is not None:
+            s.before, s.still = state.states(s.last, s.seen), state.still()
+        s.last = float(round(row["tc"] * 1e6))
+        return does
+
+    def tags(row: dict) -> tuple:
+        return tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
+
+    def held(s: _Band, rows: list[dict], state: _Tile | None) -> list[tuple]:
+        made = []
+        for row in rows:
+            does = counts(s, row, state)
+            if state is not None:
+                state.settle(s.last)
+            if row["band"] == 0 and does:
+                made.append((*tags(row), 0, None, None))
+        return made
+
+    def group(series: list[_Band], w: int, h: int, band: int) -> list[tuple]:
+        """Rows of bands that lie alike in pictures of one size."""
+        geo, y0 = _geometry(cfg, w, h), band * BAND
+        rows, cells = min(BAND, h - y0), len(geo.xs) * len(geo.ys)
+        ways = carry or any(s.wild is not None for s in series)
+        made: list[tuple] = []
+        for turns, some, joint, begin in _in_step(series, rows * w, lambda n: _Tile(n, cfg, ways, carry)):
+            parts = [slice(i * rows * w, (i + 1) * rows * w) for i in range(len(some))]
+            wanted = []
+            for s, (row, before), part, first in zip(some, turns, parts, begin, strict=True):
+                state = None if first else joint.take(part) if before or s.settled < math.inf or (carry and s.before is None) else joint
+                made += held(s, before, state)
+                wanted.append(counts(s, row, state))
+                s.seen = zlib.crc32(row["codes"]) if carry else 0
+            t = np.repeat([s.last for s in some], rows * w)
+            codes = np.frombuffer(b"".join(row["codes"] for row, _ in turns), np.uint8).reshape(-1, 3)
+            light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
+            for part, first in zip(parts, begin, strict=True):
+                if first:
+                    joint.light.begin(part, light, t)
+                    joint.red.begin(part, red, t, packed)
+            masks, ages = joint.feed(light, red, packed, t)
+            if not any(wanted):
+                continue
+            sums = np.zeros((2 + len(COUNTS), len(some), rows + 1, w + 1))
+            for i in (0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())):
+                sums[i, :, 1:, 1:] = (light, red, *masks)[i].reshape(-1, rows, w).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
+            totals = np.zeros((len(some), 4 + len(COUNTS), cells))
+            totals[:, :-2] = _window_sums(sums, geo, y0).transpose(1, 0, 2)
+            for k, mask, age in ((-2, masks[0], ages[0]), (-1, masks[3], ages[1])):
+                if age is not None:
+                    for i in np.flatnonzero(mask.reshape(len(some), -1).any(axis=1)):
+                        totals[i, k] = _oldest(age[parts[i]].reshape(rows, w), geo, y0)
+            made += [(*tags(row), band, total.tobytes(), None) for (row, _), total, does in zip(turns, totals, wanted, strict=True) if does]
+        for s in series:
+            made += held(s, s.tail, s.state)
+            s.tail = []
+        return made
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-        for batch in batches:
-            made: list[tuple] = []
+        last: _Band | None = None
+        for batch in _lots(batches):
+            lot: list[_Band] = [last] if last else []
             for row in batch.to_pylist():
-                if (row["video"], row["band"]) != key:
-                    made += carried()
-                    key, tile, wild, before, still = (row["video"], row["band"]), None, None, None, None
-                    began = None
+                if not lot or (row["video"], row["band"]) != lot[-1].key:
+                    lot.append(_Band((row["video"], row["band"])))
                 if row["n"] == FIRST:
-                    wild = np.frombuffer(row["codes"], bool).reshape(3, -1)
-                    continue
-                w, h, y0 = row["w"], row["h"], row["band"] * BAND
-                tags = tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
-                counts = row["n"] >= row["from_n"]
-                if began is None:
-                    began = row["tc"] == 0.0
-                    settled = math.inf if began or not (carry or wild is not None) else row["tc"] + R.MAX_RUN
-                elif settled < math.inf and (counts or row["tc"] >= settled):
-                    tile.unsure(wild, carry)
-                    settled = math.inf
-                if carry and counts and before is None and tile is not None:
-                    before = tile.states(last, seen)
-                    still = tile.still()
-                t = last = float(round(row["tc"] * 1e6))
-                if row["held"]:
-                    if tile is not None:
-                        tile.light.settle(t)
-                        tile.red.settle(t)
-                    if row["band"] == 0 and counts:
-                        made.append((*tags, 0, None, None))
-                    continue
-                geo = _geometry(cfg, w, h)
-                rows = min(BAND, h - y0)
-                seen = zlib.crc32(row["codes"]) if carry else 0
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(rows * w, 3)
-                light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
-                if tile is None:
-                    tile = _Tile(rows * w, cfg)
-                    tile.light.start(light, t)
-                    tile.red.start(red, t, packed)
-                    masks, ages = [np.zeros(rows * w, bool)] * 6, [np.zeros(rows * w)] * 2
+                    lot[-1].wild = np.frombuffer(row["codes"], bool).reshape(3, -1)
                 else:
-                    masks, ages = tile.feed(light, red, packed, t)
-                if not counts:
-                    continue
-                sums = np.zeros((2 + len(COUNTS), rows + 1, w + 1))
-                some = [0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())]
-                sums[some, 1:, 1:] = np.stack([(light, red, *masks)[i].reshape(rows, w) for i in some]).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
-                oldest = [_oldest(g.reshape(rows, w), geo, y0) if m.any() else np.zeros(len(geo.xs) * len(geo.ys)) for g, m in zip(ages, (masks[0], masks[3]), strict=True)]
-                made.append((*tags, row["band"], np.vstack([_window_sums(sums, geo, y0), *oldest]).tobytes(), None))
+                    lot[-1].size = (row["w"], row["h"], row["band"])
+                    lot[-1].add(row, row["held"])
+            made: list[tuple] = []
+            sizes: dict[tuple, list[_Band]] = {}
+            for s in lot:
+                if s.size is not None:
+                    sizes.setdefault((*s.size, s.wild is not None), []).append(s)
+            for (*size, _), series in sizes.items():
+                made += group(series, *size)
+            last = lot[-1]
+            for s in lot[:-1]:
+                made += carried(s)
             if made:
                 yield batch_of(made)
-        if made := carried():
+        if last and (made := carried(last)):
             yield batch_of(made)
 
     names = [x.split()[0] for x in schema.split(", ")]
@@ -279,7 +423,7 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
     return ready.mapInArrow(run, schema)
 
 
-class _Windows:
+class _Windows(_State):
     """Whether the windows' means flash too: every window of a picture is a lane."""
 
     def __init__(self, n: int, cfg: Config):
@@ -288,21 +432,20 @@ class _Windows:
         warn_swing = np.float32(max(0.02, np.float32(cfg.warn_swing) * np.float32(cfg.warn_area_fraction)))
         red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.area_fraction)
         warn_red = np.float32(colour.LEAST_RED_SWING) * np.float32(cfg.warn_area_fraction)
-        self.swings = [swing, red, warn_swing, warn_red]
+        self.swings = (swing, red, warn_swing, warn_red)
         self.runs = [R.Runs(n, s * np.float32(0.3), dtype=np.float32) for s in self.swings]
+        for r in self.runs:
+            r.base, r.far = np.zeros(n, np.float32), np.zeros(n, np.float32)
         self.pairs = [R.Pairs(n, cfg.k_fail) for _ in self.swings]
 
     def settle(self, t: float) -> None:
         for r in self.runs:
             r.settle(t)
 
-    def feed(self, means: list[np.ndarray], t: float) -> list[np.ndarray]:
+    def feed(self, means: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
         """Which windows flash often enough, in the order of COUNTS."""
         for i, (r, p, s) in enumerate(zip(self.runs, self.pairs, self.swings, strict=True)):
             x = means[i % 2]
-            if r.base is None:
-                r.start(x, t)
-                continue
             peak, trough, base, far = r.feed(x, t)
             up, down = peak & (far - base >= s), trough & (base - far >= s)
             p.feed(up.astype(np.int8) - down.astype(np.int8), t)
@@ -326,62 +469,84 @@ def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
     parts = R.spread(parts, "video").sortWithinPartitions("video", "n", "band")
     names = [x.split()[0] for x in STATS.split(", ")]
 
-    def stats(tags: tuple, total: np.ndarray | None, state: _Windows | None) -> tuple:
-        video, n, t, tc, held, anomaly, mean, w, h = tags
-        if total is None:
-            return (video, n, t, tc, held, anomaly, mean, 0, 0, None, tc, tc, 0, 0, 0, 0, w, h)
+    def held(rows: list[tuple], state: _Windows | None) -> list[tuple]:
+        made = []
+        for (video, n, t, tc, held, anomaly, mean, w, h), _ in rows:
+            if state is not None:
+                state.settle(tc)
+            made.append((video, n, t, tc, held, anomaly, mean, 0, 0, None, tc, tc, 0, 0, 0, 0, w, h))
+        return made
+
+    def group(series: list[_Series], w: int, h: int) -> list[tuple]:
         geo = _geometry(cfg, w, h)
-        means = [(x.astype(np.float32).astype(np.float64) / (geo.ww * geo.wh)).astype(np.float32) for x in total[:2]]
-        flashing = state.feed(means, tc)
-        counts = dict(zip(COUNTS, zip(total[2:8], flashing, strict=True), strict=True))
-
-        def best(name: str, ages: np.ndarray) -> tuple:
-            """(area, cell, onset) of the window with the largest area that fails, the first of equal ones."""
-            area, ok = counts[name]
-            area = np.where(ok & (area >= geo.area), area, -1)
-            cell = int(area.argmax())
-            if area[cell] < 0:
-                return 0, None, tc
-            return int(area[cell]), cell, tc - ages[cell] * 1e-6 - cfg.pool if ages[cell] > 0 else tc
-
-        most = lambda name: int(np.where(counts[name][1], counts[name][0], 0).max())
-        (hazard, cell, onset), (hazard_red, _, onset_red) = best("fail", total[8]), best("fail_red", total[9])
-        return (video, n, t, tc, held, anomaly, mean, hazard, hazard_red, cell, onset, onset_red, most("ext"), most("ext_red"), most("warn"), most("warn_red"), w, h)
+        lanes = len(geo.xs) * len(geo.ys)
+        made: list[tuple] = []
+        for turns, some, joint, begin in _in_step(series, lanes, lambda n: _Windows(n, cfg)):
+            parts = [slice(i * lanes, (i + 1) * lanes) for i in range(len(some))]
+            for (_, before), part, first in zip(turns, parts, begin, strict=True):
+                made += held(before, joint.take(part) if before and not first else None)
+            pictures = [picture for picture, _ in turns]
+            total = np.stack([x for _, x in pictures], axis=1)  # (plane, picture, window)
+            t = np.repeat([tags[3] for tags, _ in pictures], lanes)
+            means = [(x.ravel().astype(np.float32).astype(np.float64) / (geo.ww * geo.wh)).astype(np.float32) for x in total[:2]]
+            for part, first in zip(parts, begin, strict=True):
+                if first:
+                    for i, r in enumerate(joint.runs):
+                        r.begin(part, means[i % 2], t)
+            flashing = [x.reshape(-1, lanes) for x in joint.feed(means, t)]
+            counts = dict(zip(COUNTS, zip(total[2:8], flashing, strict=True), strict=True))
+            each = range(len(some))
+
+            def best(name: str, ages: np.ndarray) -> list[tuple]:
+                """(area, cell, onset) of the window with the largest area that fails, the first of equal ones."""
+                area, ok = counts[name]  # noqa: B023
+                area = np.where(ok & (area >= geo.area), area, -1)
+                cells = area.argmax(axis=1)
+                found = zip(area[each, cells].tolist(), cells.tolist(), ages[each, cells].tolist(), [tags[3] for tags, _ in pictures], strict=True)  # noqa: B023
+                return [(0, None, tc) if a < 0 else (int(a), cell, tc - age * 1e-6 - cfg.pool if age > 0 else tc) for a, cell, age, tc in found]
+
+            most = lambda name: np.where(counts[name][1], counts[name][0], 0).max(axis=1).astype(int).tolist()  # noqa: E731, B023
+            rows = zip(pictures, best("fail", total[8]), best("fail_red", total[9]), *(most(x) for x in ("ext", "ext_red", "warn", "warn_red")), strict=True)
+            made += [(*tags[:7], a, b, cell, onset, onset_red, *rest, w, h) for (tags, _), (a, cell, onset), (b, _, onset_red), *rest in rows]
+        for s in series:
+            made += held(s.tail, s.state)
+            s.tail = []
+        return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, state = None, None
-        tags, total = None, None
-        made: list[tuple] = []
+        tags, total, last = None, None, None
 
-        def close() -> None:
-            nonlocal video, state
-            if tags is None:
-                return
-            if tags[0] != video:
-                video, state = tags[0], None
-            if total is not None and state is None:
-                state = _Windows(total.shape[1], cfg)
-            elif total is None and state is not None:
-                state.settle(tags[3])
-            made.append(stats(tags, total, state))
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+        def work(lot: list[_Series]) -> Iterator[pa.RecordBatch]:
+            sizes: dict[tuple, list[_Series]] = {}
+            for s in lot:
+                sizes.setdefault(s.size, []).append(s)
+            made = [row for size, series in sizes.items() for row in group(series, *size)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-        for batch in batches:
+        def close(lot: list[_Series]) -> None:
+            if tags is not None:
+                if not lot or lot[-1].key != tags[0]:
+                    lot.append(_Series(tags[0]))
+                    lot[-1].size = tags[-2:]
+                lot[-1].add((tags, total), total is None)
+
+        for batch in _lots(batches):
+            lot = [last] if last else []
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 part = None if row[-1] is None else np.frombuffer(row[-1], np.float64).reshape(4 + len(COUNTS), -1)
                 if tags is not None and row[:2] == tags[:2]:
                     total = np.vstack([total[:-2] + part[:-2], np.maximum(total[-2:], part[-2:])])
                 else:
-                    close()
+                    close(lot)
                     tags, total = row[:-2], part
-            if made:
-                yield batch_of()
-                made.clear()
-        close()
-        if made:
-            yield batch_of()
+            if lot:
+                yield from work(lot)
+                last = lot[-1]
+        lot = [last] if last else []
+        close(lot)
+        if lot:
+            yield from work(lot)
 
     f64, i32 = pa.float64(), pa.int32()
     kinds = [pa.string(), pa.int64(), f64, f64, pa.bool_(), pa.bool_(), f64, i32, i32, i32, f64, f64, i32, i32, i32, i32, i32, i32]

@@ -65,3 +65,29 @@ def test_settings():
     assert PROFILES["wcag"].signature() != PROFILES["strict"].signature()
     assert with_settings("wcag", section_pad=9).signature() == PROFILES["wcag"].signature()
     assert PROFILES["wcag"].analysis_size(1920, 1080) == (256, 144)
+
+
+def test_rows_are_worked_on_in_bounded_lots():
+    """However large a batch is, a pass holds a part of it at a time, and lots give what one batch gives."""
+    import pyarrow as pa
+
+    from glintframe.plans import detector
+
+    rows = 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([bytes(2304)] * rows)], names=["n", "rgb"])
+    lots = list(detector._lots(iter([batch])))
+    assert len(lots) > 1 and max(x.nbytes for x in lots) <= detector.LOT * 1.1
+    assert [n for x in lots for n in x.column(0).to_pylist()] == list(range(rows))
+
+
+def test_series_are_worked_on_side_by_side():
+    """One call of numpy serves many series."""
+    from glintframe.plans import detector
+    from glintframe.queries_detector import CONFIG
+
+    series = [detector._Series(i) for i in range(5)]
+    for s in series:
+        for n in range(3):
+            s.add(n, False)
+    steps = list(detector._in_step(series, 8, lambda n: detector._Windows(n, CONFIG)))
+    assert [len(turns) for turns, *_ in steps] == [5, 5, 5]
