@@ -6,7 +6,6 @@ with a series.  The same kernel works on numpy vectors, for a tile of pixels at
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,13 @@ MAX_RUN, PAIR, RATE, FRESH = 2.0, 1.0, 0.999, 0.125  # seconds
 NEVER = -1e18
 
 
+def shallow(x):
+    """``copy.copy`` of a plain object, which takes longer to find out how to."""
+    out = object.__new__(type(x))
+    out.__dict__.update(x.__dict__)
+    return out
+
+
 class Lanes:
     """Arrays whose last axis is lanes, by name in ``lanes``; None where there is none yet."""
 
@@ -27,7 +33,7 @@ class Lanes:
 
     def take(self, part: slice):
         """The same state of some lanes, in views."""
-        out = copy.copy(self)
+        out = shallow(self)
         for name in self.lanes:
             value = getattr(self, name)
             setattr(out, name, None if value is None else value[..., part])
@@ -40,7 +46,7 @@ class Lanes:
     @classmethod
     def joined(cls, states: list):
         """Lanes of several states side by side."""
-        out = copy.copy(states[0])
+        out = shallow(states[0])
         for name in out.lanes:
             values = [getattr(x, name) for x in states]
             setattr(out, name, None if values[0] is None else np.concatenate(values, axis=-1))
@@ -110,9 +116,11 @@ class Runs(Lanes):
         self._age(stale, t)
         return ended
 
-    def settle(self, t: float) -> None:
-        """Time passes without a new value."""
-        self._age(t - self.since > self.max_run, t)
+    def settle(self, t: float, part: slice = slice(None)) -> None:
+        """Time passes without a new value, for some lanes or all."""
+        stale = t - self.since[part] > self.max_run
+        if stale.any():
+            self.take(part)._age(stale, t)
 
     def _age(self, stale: np.ndarray, t: float) -> None:
         if not stale.any():

@@ -15,12 +15,12 @@ video is spread over many tasks once its pictures are told apart; what meets aga
 
 from __future__ import annotations
 
-import copy
 import functools
 import itertools
 import math
+import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from glintframe.operators import intervals as V
 
 BAND = 32  # rows of a picture worked on together
 FIRST = -(1 << 63)  # below all frame numbers
-LOT, CHUNK = 4 << 20, 1 << 18  # bytes of rows, and of codes, worked on together
+LOT, CHUNK = 8 << 20, 1 << 18  # bytes of rows, and of codes, worked on together
 LANES = 1 << 14  # of series side by side: what a processor's cache holds
+FACTORS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(256)], np.uint64)
 CODE = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64).view(np.int64)
 COUNTS = ["fail", "ext", "warn", "fail_red", "ext_red", "warn_red"]
 
@@ -57,12 +58,34 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """One number for each pixel of (..., 3) codes."""
+    return codes[..., 0] | codes[..., 1].astype(np.uint32) << 8 | codes[..., 2].astype(np.uint32) << 16
+
+
+def _alike(codes: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one pixel of each class, each pixel's class) of (picture, pixel) numbers: pixels alike in all pictures, and in what is ``known``, are one class.
+
+    Classes are found by a sum of multiples and then compared; pixels that the sum mixes up, or that are hardly ever alike, are classes of their own.
+    """
+    count, pixels = codes.shape
+    factors = FACTORS[np.arange(count) % len(FACTORS)] * np.arange(1, 2 * count, 2, dtype=np.uint64)
+    total = (codes * factors[:, None]).sum(axis=0)
+    if known is not None:
+        total += known.astype(np.uint64) * FACTORS[-1]
+    _, pick, which = np.unique(total, return_index=True, return_inverse=True)
+    same = 2 * len(pick) <= pixels and (codes == codes[:, pick[which]]).all() and (known is None or (known == known[pick[which]]).all())
+    return (pick, which) if same else (np.arange(pixels), np.arange(pixels))
+
+
 class _Series:
     """One key of a pass over sorted rows: its lanes' ``state`` and what is to come of this lot's rows.
 
     ``turns``: (a new picture, held ones before it), ``tail``: held ones after the last.  Pictures are whatever the pass makes of rows.
     """
 
+    lanes = 0
+
     def __init__(self, key):
         self.key, self.size, self.state, self.turns, self.tail = key, None, None, [], []
 
@@ -74,30 +97,49 @@ class _Series:
             self.tail = []
 
 
+def side_by_side(series: list[_Series], lanes: Callable[[_Series], int]) -> Iterator[list[_Series]]:
+    """Series in groups of about ``LANES`` lanes."""
+    some: list[_Series] = []
+    total = 0
+    for x in series:
+        if some and total + lanes(x) > LANES:
+            yield some
+            some, total = [], 0
+        some.append(x)
+        total += lanes(x)
+    if some:
+        yield some
+
+
 def _in_step(series: list[_Series], lanes: int, blank) -> Iterator[tuple]:
-    """(turns, series, their joint state, which are at their first picture): all series' first new pictures of this lot, their second ones, and so on.
+    """(turns, series, their joint state, which are at their first picture, where in it each one is): all series' first new pictures of this lot, their second ones, and so on.
 
     Numpy's calls are dear and pictures small: one call serves all series of a lot.  The state of a series that is done goes
     back to it.
     """
-    if len(series) > (most := max(1, LANES // lanes)):
-        for i in range(0, len(series), most):
-            yield from _in_step(series[i : i + most], lanes, blank)
-        return
+    for some in side_by_side(series, lambda x: lanes):
+        yield from _steps(some, lanes, blank)
+
+
+def _steps(series: list[_Series], lanes: int | None, blank) -> Iterator[tuple]:
+    """``_in_step`` for series that fit side by side; without ``lanes`` each series has a number of its own."""
     new = {id(x) for x in series if x.state is None}
     order = sorted((x for x in series if x.turns), key=lambda x: -len(x.turns))
+    ends = list(itertools.accumulate(lanes or x.lanes for x in order))
+    parts = [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)]
     joint, at = None, 0
     while order:
         left = [x for x in order if len(x.turns) > at]
         if joint is None:
-            joint = blank(0).joined([x.state or blank(lanes) for x in order])
+            states = [[blank(sum(lanes or x.lanes for x in some))] if fresh else [x.state for x in some] for fresh, some in ((k, list(g)) for k, g in itertools.groupby(order, lambda x: x.state is None))]
+            joint = blank(0).joined(sum(states, []))
         for i in range(len(left), len(order)):
-            order[i].state = joint.take(slice(i * lanes, (i + 1) * lanes)).own()
+            order[i].state = joint.take(parts[i]).own()
         if len(left) < len(order):
-            joint = joint.take(slice(0, len(left) * lanes))
+            joint = joint.take(slice(0, ends[len(left) - 1] if left else 0))
         order = left
         if order:
-            yield [x.turns[at] for x in order], order, joint, [at == 0 and id(x) in new for x in order]
+            yield [x.turns[at] for x in order], order, joint, [at == 0 and id(x) in new for x in order], parts[: len(order)]
         at += 1
     for x in series:
         x.turns = []
@@ -109,41 +151,58 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
     ready = frames.select("video", "n", "t", "w", "h", "rgb", *given)
     ready = R.spread(ready, "video").sortWithinPartitions("video", "n")
 
-    def lights(rows: list[tuple]) -> Iterator[tuple]:
-        """(row, its codes, luminance, distance from red); pictures of one size are worked on together."""
-        size = lambda row: (row["h"], row["w"])
-        for (h, w), same in itertools.groupby(rows, size):
+    def chunks(rows: list[tuple]) -> Iterator[list[tuple]]:
+        """Rows of one video and size, of about ``CHUNK`` bytes."""
+        for (_, h, w), same in itertools.groupby(rows, lambda row: (row[0], row[4], row[3])):
             same = list(same)
-            for at in range(0, len(same), step := max(1, CHUNK // (3 * w * h))):
-                some = same[at : at + step]
-                rgb = np.frombuffer(b"".join(row["rgb"] for row in some), np.uint8).reshape(len(some), h, w, 3)
-                light, red, _ = colour.planes(rgb, cfg.red_saturation, cfg.red_flare, pack=False)
-                yield from zip(some, rgb, light, red, strict=True)
+            step = max(1, CHUNK // (3 * w * h))
+            yield from (same[at : at + step] for at in range(0, len(same), step))
+
+    def lights(some: list[tuple], before: list[bytes]):
+        """(codes, mean luminances, how many pixels moved between two pictures); ``before`` is number -1.  Pixels alike are worked out once."""
+        h, w = some[0][4], some[0][3]
+        rgb = np.frombuffer(b"".join([*before, *(row[5] for row in some)]), np.uint8).reshape(-1, h * w, 3)
+        pick, which = _alike(_packed(rgb))
+        share = np.bincount(which)
+        light, red, _ = colour.planes(rgb[:, pick], cfg.red_saturation, cfg.red_flare, pack=False)
+        off = len(before)
+
+        def moved(i, k):
+            far = (np.abs(light[i + off] - light[k + off]) > np.float32(0.5 * cfg.swing)) | (np.abs(red[i + off] - red[k + off]) > np.float32(0.5 * colour.LEAST_RED_SWING))
+            return (far * share).sum(axis=-1)
+
+        return rgb[off:].reshape(-1, h, w, 3), ((light[off:].astype(np.float64) * share).sum(axis=1) / (h * w)).tolist(), moved
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, None
         for batch in _lots(batches):
             made = []
-            for row, rgb, light, red in lights(batch.to_pylist()):
-                if row["video"] != video:
-                    video, state = row["video"], {"tc": row["tc0"], "t": row["t"], "steps": row["recent"] or [], "light": None}
-                step = row["t"] - state["t"]
-                anomaly = state["light"] is not None and not 0 < step <= cfg.max_gap
-                if state["light"] is not None:
-                    state["tc"] += median(state["steps"]) if anomaly else step
-                    if not anomaly:
-                        state["steps"] = [*state["steps"], step][-120:]
-                state["t"] = row["t"]
-                held = False
-                if state["light"] is not None:
-                    moved = (np.abs(light - state["light"]) > np.float32(0.5 * cfg.swing)) | (np.abs(red - state["red"]) > np.float32(0.5 * colour.LEAST_RED_SWING))
-                    held = bool(np.count_nonzero(moved) < max(1.0, 0.1 * _geometry(cfg, row["w"], row["h"]).area))
-                if not held:
-                    state["light"], state["red"] = light.copy(), red.copy()
-                mean = float(light.sum(dtype=np.float64) / light.size)
-                for band, y in enumerate(range(0, row["h"], BAND)):
-                    part = None if held else rgb[y : y + BAND].tobytes()
-                    made.append((video, band, row["n"], row["t"], state["tc"], held, anomaly, mean, row["w"], row["h"], row["from_n"], part))
+            for rows in chunks(list(zip(*(R.plain(column) for column in batch.columns), strict=True))):
+                w, h = rows[0][3:5]
+                if rows[0][0] != video:
+                    video, state = rows[0][0], {"tc": rows[0][6], "t": rows[0][2], "steps": rows[0][8] or [], "last": None}
+                before = [state["last"]] if state["last"] is not None and len(state["last"]) == 3 * w * h else []
+                rgb, means, moved = lights(rows, before)
+                each = np.arange(1, len(rows))
+                near, new = [None, *moved(each, each - 1).tolist()], -1
+                least = max(1.0, 0.1 * _geometry(cfg, w, h).area)
+                for i, (_, n, t, _, _, codes, _, from_n, _) in enumerate(rows):
+                    step = t - state["t"]
+                    begun = state["last"] is not None
+                    anomaly = begun and not 0 < step <= cfg.max_gap
+                    if begun:
+                        state["tc"] += median(state["steps"]) if anomaly else step
+                        if not anomaly:
+                            state["steps"] = [*state["steps"], step][-120:]
+                    state["t"] = t
+                    held = False
+                    if new >= 0 or before:
+                        held = (near[i] if new == i - 1 >= 0 else int(moved(i, new))) < least
+                    if not held:
+                        state["last"], new = codes, i
+                    for band, y in enumerate(range(0, h, BAND)):
+                        part = None if held else codes if h <= BAND else rgb[i, y : y + BAND].tobytes()
+                        made.append((video, band, n, t, state["tc"], held, anomaly, means[i], w, h, from_n, part))
             columns = list(zip(*made, strict=True)) or [[]] * 12
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -160,7 +219,7 @@ class _State:
         return {name: value for name, value in vars(self).items() if isinstance(value, (R.Lanes, list))}
 
     def _with(self, change) -> _State:
-        out = copy.copy(self)
+        out = R.shallow(self)
         for name, value in self.members().items():
             setattr(out, name, [change(name, i) for i in range(len(value))] if isinstance(value, list) else change(name, None))
         return out
@@ -198,9 +257,9 @@ class _Tile(_State):
         for pairs in self.pairs + self.shadows if ways else ():
             pairs.wild = np.zeros(n, bool)
 
-    def settle(self, t: float) -> None:
-        self.light.settle(t)
-        self.red.settle(t)
+    def settle(self, t: float, part: slice) -> None:
+        self.light.settle(t, part)
+        self.red.settle(t, part)
 
     def unsure(self, wild: np.ndarray | None) -> None:
         """Flashes begin anew, as the runs are known by now but not what waits for its counterpart; ``wild``: which lanes of each tracker are within a flash."""
@@ -215,29 +274,30 @@ class _Tile(_State):
         """Which lanes have had no run yet, in light and in red."""
         return np.stack([r.direction == 0 for r in (self.light, self.red)])
 
-    def states(self, t: float, seen: int) -> np.ndarray:
+    def states(self, t: float | np.ndarray, seen: int | np.ndarray) -> np.ndarray:
         """(tracker, as it is or its shadow, lane): codes that are equal where the future is; a shadow that saw nothing is as the tracker.
 
         The last one is of the runs and of ``seen``, a code of the last new picture.  A lane without a run has no code of its own:
-        its base may differ with where the scan began, but says nothing as long as no run begins.
+        its base may differ with where the scan began, but says nothing as long as no run begins.  Times are one number, or one for each lane.
         """
         fold = lambda x: (x ^ (x >> 32)).astype(np.int32)
-
-        def code(p: R.Pairs) -> np.ndarray:
-            out = np.where(t - p.pending_t <= p.pair, p.pending, 0).astype(np.int64) * CODE[0]
-            for i, (at, opened) in enumerate(zip(p.times, p.opens, strict=True)):
-                both = at.astype(np.int64) * CODE[2 * i + 1] + np.maximum(opened, 0).astype(np.int64) * CODE[2 * i + 2]
-                out += np.where(t - at < 1e6, both, 0)
-            return fold(out)
+        lanes = len(self.light.direction)
+        trackers = self.pairs + self.shadows
+        p = R.Pairs.joined(trackers)
+        each = np.tile(t, len(trackers)) if np.ndim(t) else t
+        out = np.where(each - p.pending_t <= p.pair, p.pending, 0).astype(np.int64) * CODE[0]
+        both = p.times.astype(np.int64) * CODE[1 : 2 * len(p.times) : 2, None] + np.maximum(p.opens, 0).astype(np.int64) * CODE[2 : 2 * len(p.times) + 1 : 2, None]
+        out += np.where(each - p.times < 1e6, both, 0).sum(axis=0)
+        own = fold(out).reshape(-1, len(self.pairs), lanes)
+        if self.shadows:
+            own[1] = np.where(p.wild.reshape(own.shape)[1], own[0], own[1])
 
         def run(r: R.Runs, k: int) -> np.ndarray:
             values = [r.direction, r.base.view(np.int32), r.far.view(np.int32), r.since] + ([r.base_aux, r.far_aux] if r.extra else [])
             return np.where(r.direction == 0, 0, sum(v.astype(np.int64) * CODE[k + i] for i, v in enumerate(values)))
 
         runs = fold(run(self.light, 16) + run(self.red, 20) + seen * CODE[31:])
-        own = [code(p) for p in self.pairs]
-        other = [np.where(s.wild, mine, code(s)) for mine, s in zip(own, self.shadows, strict=True)] if self.shadows else own
-        return np.stack([*(np.stack(both) for both in zip(own, other, strict=True)), np.stack([runs, np.zeros_like(runs)])])
+        return np.stack([*np.stack([own[0], own[-1]], axis=1), np.stack([runs, np.zeros_like(runs)])])
 
     def _pair(self, i: int, polarity: np.ndarray, t: float) -> None:
         self.pairs[i].feed(polarity, t)
@@ -270,6 +330,13 @@ class _Tile(_State):
         return masks, ages
 
 
+def _sums(planes: np.ndarray) -> np.ndarray:
+    """(plane, picture, row, column) accumulated along rows and columns, from 0 on."""
+    out = np.zeros((*planes.shape[:2], planes.shape[2] + 1, planes.shape[3] + 1))
+    out[:, :, 1:, 1:] = planes.cumsum(axis=2, dtype=np.float64).cumsum(axis=3)
+    return out
+
+
 def _window_sums(sums: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
     """(plane, picture, cell) totals of every window's part in a band, from sums accumulated along both axes."""
     rows = sums.shape[2] - 1
@@ -293,12 +360,49 @@ def _oldest(ages: np.ndarray, geo: Geometry, y0: int) -> np.ndarray:
 
 
 class _Band(_Series):
-    """A series of one band's pictures, and what is known of a part of a video: see ``_window_parts``."""
+    """A series of one band's pictures, and what is known of a part of a video: see ``_window_parts``.
+
+    Pixels that were alike in all pictures so far share a lane: ``pick`` is a pixel of each lane, ``which`` the lane of each pixel,
+    ``share`` (window, lane) how many of a lane's pixels lie in a window, where that is less than to go through the pixels.
+    """
 
     def __init__(self, key):
         super().__init__(key)
-        self.wild = self.before = self.still = self.began = None
-        self.seen, self.last, self.settled = 0, 0.0, math.inf
+        self.wild = self.before = self.still = self.began = self.which = self.share = None
+        self.seen, self.last, self.settled = b"", 0.0, math.inf
+
+    def split(self, geo: Geometry, y0: int) -> None:
+        """Lanes whose pixels are no longer alike in this lot's pictures become several, and pictures the codes of lanes."""
+        if not self.turns:
+            return
+        codes = np.frombuffer(b"".join(row["codes"] for (row, _) in self.turns), np.uint8).reshape(len(self.turns), -1, 3)
+        known = self.which
+        if self.wild is not None:
+            known = (0 if known is None else known * 8) + self.wild.T @ np.array([1, 2, 4])
+        pick, which = _alike(_packed(codes), known)
+        if self.state is not None:
+            old = self.which[pick]
+            self.state = self.state.take(old).own()
+            if self.before is not None:
+                self.before, self.still = self.before[..., old], self.still[..., old]
+        self.share = None
+        if 8 * len(pick) * len(geo.xs) * len(geo.ys) <= len(which):
+            ones = (which == np.arange(len(pick))[:, None]).reshape(1, len(pick), -1, geo.width)
+            self.share = _window_sums(_sums(ones), geo, y0)[0].T
+        self.pick, self.which, self.lanes = pick, which, len(pick)
+        self.turns = [((row, own), before) for (row, before), own in zip(self.turns, codes[:, pick], strict=True)]
+
+
+def lanes_of(which: np.ndarray, codes: np.ndarray) -> bytes:
+    """Codes of a band's lanes with the lane of each pixel, for ``pixels_of``."""
+    return np.concatenate([[codes.shape[-1]], which, codes.ravel()]).astype(np.int32).tobytes()
+
+
+def pixels_of(carry: bytes) -> np.ndarray:
+    """(start or end, tracker or runs, one way or the other, pixel): what ``lanes_of`` packed."""
+    packed = np.frombuffer(carry, np.int32)
+    which, codes = np.split(packed[1:], [len(packed) - 1 - 16 * packed[0]])
+    return codes.reshape(2, 4, 2, -1)[..., which]
 
 
 def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFrame:
@@ -312,79 +416,96 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
     ready = R.spread(bands, "video", "band").sortWithinPartitions("video", "band", "n")
     schema = "video string, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, band int, parts binary, carry binary"
 
-    def carried(s: _Band) -> list[tuple]:
-        if not carry or s.state is None:
-            return []
-        now = s.state.states(s.last, s.seen)
-        codes = np.stack([now if s.before is None else s.before, now])
-        if not s.began:  # without a run-up nothing is known
-            codes[0, 3, 1] = 1 if s.before is None else (s.still & ~s.state.still()).any(axis=0)
-        return [(s.key[0], None, None, None, None, None, None, None, None, s.key[1], None, codes.tobytes())]
+    def carried(done: list[_Band]) -> list[tuple]:
+        made = []
+        for some in side_by_side([s for s in done if carry and s.state is not None], lambda s: s.lanes):
+            sizes = [s.lanes for s in some]
+            joint = some[0].state.joined([s.state for s in some])
+            now, still, ends = joint.states(np.repeat([s.last for s in some], sizes), np.repeat([zlib.crc32(s.seen) for s in some], sizes)), joint.still(), np.cumsum(sizes)[:-1]
+            for s, now, still in zip(some, np.split(now, ends, axis=-1), np.split(still, ends, axis=-1), strict=True):
+                codes = np.stack([now if s.before is None else s.before, now])
+                if not s.began:  # without a run-up nothing is known
+                    codes[0, 3, 1] = 1 if s.before is None else (s.still & ~still).any(axis=0)
+                made.append((s.key[0], None, None, None, None, None, None, None, None, s.key[1], None, lanes_of(s.which, codes)))
+        return made
 
-    def counts(s: _Band, row: dict, state: _Tile | None) -> bool:
+    def counts(s: _Band, row: dict, state: _Tile | None, part: slice) -> bool:
         """Whether there are to be statistics of a row that comes next; what is to be done before it is done."""
         does = row["n"] >= row["from_n"]
         if s.began is None:
             s.began = row["tc"] == 0.0
             s.settled = math.inf if s.began or not (carry or s.wild is not None) else row["tc"] + R.MAX_RUN
         elif s.settled < math.inf and (does or row["tc"] >= s.settled):
-            state.unsure(s.wild)
+            state.take(part).unsure(None if s.wild is None else s.wild[:, s.pick])
             s.settled = math.inf
         if carry and does and s.before is None and state is not None:
-            s.before, s.still = state.states(s.last, s.seen), state.still()
+            now = state.take(part)
+            s.before, s.still = now.states(s.last, zlib.crc32(s.seen)), now.still()
         s.last = float(round(row["tc"] * 1e6))
         return does
 
-    def tags(row: dict) -> tuple:
-        return tuple(row[c] for c in ("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h"))
+    tags = operator.itemgetter("video", "n", "t", "tc", "held", "anomaly", "mean", "w", "h")
 
-    def held(s: _Band, rows: list[dict], state: _Tile | None) -> list[tuple]:
+    def held(s: _Band, rows: list[dict], state: _Tile | None, part: slice) -> list[tuple]:
         made = []
         for row in rows:
-            does = counts(s, row, state)
+            does = counts(s, row, state, part)
             if state is not None:
-                state.settle(s.last)
+                state.settle(s.last, part)
             if row["band"] == 0 and does:
                 made.append((*tags(row), 0, None, None))
         return made
 
-    def group(series: list[_Band], w: int, h: int, band: int) -> list[tuple]:
-        """Rows of bands that lie alike in pictures of one size."""
+    def group(series: list[_Band], last: _Band, w: int, h: int, band: int) -> list[tuple]:
+        """Rows of bands that lie alike in pictures of one size; all but the ``last`` one of the lot are done then and keep no state."""
         geo, y0 = _geometry(cfg, w, h), band * BAND
         rows, cells = min(BAND, h - y0), len(geo.xs) * len(geo.ys)
         ways = carry or any(s.wild is not None for s in series)
         made: list[tuple] = []
-        for turns, some, joint, begin in _in_step(series, rows * w, lambda n: _Tile(n, cfg, ways, carry)):
-            parts = [slice(i * rows * w, (i + 1) * rows * w) for i in range(len(some))]
-            wanted = []
-            for s, (row, before), part, first in zip(some, turns, parts, begin, strict=True):
-                state = None if first else joint.take(part) if before or s.settled < math.inf or (carry and s.before is None) else joint
-                made += held(s, before, state)
-                wanted.append(counts(s, row, state))
-                s.seen = zlib.crc32(row["codes"]) if carry else 0
-            t = np.repeat([s.last for s in some], rows * w)
-            codes = np.frombuffer(b"".join(row["codes"] for row, _ in turns), np.uint8).reshape(-1, 3)
-            light, red, packed = colour.planes(codes, cfg.red_saturation, cfg.red_flare)
-            for part, first in zip(parts, begin, strict=True):
-                if first:
-                    joint.light.begin(part, light, t)
-                    joint.red.begin(part, red, t, packed)
-            masks, ages = joint.feed(light, red, packed, t)
-            if not any(wanted):
-                continue
-            sums = np.zeros((2 + len(COUNTS), len(some), rows + 1, w + 1))
-            for i in (0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())):
-                sums[i, :, 1:, 1:] = (light, red, *masks)[i].reshape(-1, rows, w).cumsum(axis=1, dtype=np.float64).cumsum(axis=2)
-            totals = np.zeros((len(some), 4 + len(COUNTS), cells))
-            totals[:, :-2] = _window_sums(sums, geo, y0).transpose(1, 0, 2)
-            for k, mask, age in ((-2, masks[0], ages[0]), (-1, masks[3], ages[1])):
-                if age is not None:
-                    for i in np.flatnonzero(mask.reshape(len(some), -1).any(axis=1)):
-                        totals[i, k] = _oldest(age[parts[i]].reshape(rows, w), geo, y0)
-            made += [(*tags(row), band, total.tobytes(), None) for (row, _), total, does in zip(turns, totals, wanted, strict=True) if does]
         for s in series:
-            made += held(s, s.tail, s.state)
-            s.tail = []
+            s.split(geo, y0)
+        for near in side_by_side(series, lambda s: s.lanes):
+            for turns, some, joint, begin, parts in _steps(near, None, lambda n: _Tile(n, cfg, ways, carry)):
+                wanted = []
+                for s, ((row, _), before), part, first in zip(some, turns, parts, begin, strict=True):
+                    state = None if first else joint
+                    made += held(s, before, state, part)
+                    wanted.append(counts(s, row, state, part))
+                    s.seen = row["codes"]
+                t = np.repeat([s.last for s in some], [s.lanes for s in some])
+                light, red, packed = colour.planes(np.concatenate([codes for (_, codes), _ in turns]), cfg.red_saturation, cfg.red_flare)
+                for part, first in zip(parts, begin, strict=True):
+                    if first:
+                        joint.light.begin(part, light, t)
+                        joint.red.begin(part, red, t, packed)
+                masks, ages = joint.feed(light, red, packed, t)
+                some = [(s, part, row) for s, ((row, _), _), part, does in zip(some, turns, parts, wanted, strict=True) if does]
+                if not some:
+                    continue
+                totals = np.zeros((len(some), 4 + len(COUNTS), cells))
+                if all(s.share is not None for s, _, _ in some):
+                    places = np.concatenate([np.arange(part.start, part.stop) for _, part, _ in some])
+                    share = np.concatenate([s.share for s, _, _ in some], axis=1)
+                    begins = [0, *itertools.accumulate(s.lanes for s, _, _ in some[:-1])]
+                    values = np.stack([light, red, *masks], dtype=np.float64)[:, None, places]
+                    totals[:, :-2] = np.add.reduceat(values * share, begins, axis=2).transpose(2, 0, 1)
+                else:
+                    pixels = np.concatenate([s.which + part.start for s, part, _ in some])
+                    for i in (0, 1, *(i + 2 for i, m in enumerate(masks) if m.any())):
+                        totals[:, i] = _window_sums(_sums((light, red, *masks)[i][pixels].reshape(1, -1, rows, w)), geo, y0)[0]
+                for k, mask, age in ((-2, masks[0], ages[0]), (-1, masks[3], ages[1])):
+                    if age is not None:
+                        for i, (s, part, _) in enumerate(some):
+                            if mask[part].any():
+                                totals[i, k] = _oldest(age[part][s.which].reshape(rows, w), geo, y0)
+                made += [(*tags(row), band, total.tobytes(), None) for (_, _, row), total in zip(some, totals, strict=True)]
+            done = [s for s in near if s is not last]
+            for s in near:
+                made += held(s, s.tail, s.state, slice(None))
+                s.tail = []
+            made += carried(done)
+            for s in done:
+                s.state = None
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +515,8 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
         last: _Band | None = None
         for batch in _lots(batches):
             lot: list[_Band] = [last] if last else []
-            for row in batch.to_pylist():
+            for values in zip(*(R.plain(column) for column in batch.columns), strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
                 if not lot or (row["video"], row["band"]) != lot[-1].key:
                     lot.append(_Band((row["video"], row["band"])))
                 if row["n"] == FIRST:
@@ -408,13 +530,11 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
                 if s.size is not None:
                     sizes.setdefault((*s.size, s.wild is not None), []).append(s)
             for (*size, _), series in sizes.items():
-                made += group(series, *size)
+                made += group(series, lot[-1], *size)
             last = lot[-1]
-            for s in lot[:-1]:
-                made += carried(s)
             if made:
                 yield batch_of(made)
-        if last and (made := carried(last)):
+        if last and (made := carried([last])):
             yield batch_of(made)
 
     names = [x.split()[0] for x in schema.split(", ")]
@@ -438,9 +558,9 @@ class _Windows(_State):
             r.base, r.far = np.zeros(n, np.float32), np.zeros(n, np.float32)
         self.pairs = [R.Pairs(n, cfg.k_fail) for _ in self.swings]
 
-    def settle(self, t: float) -> None:
+    def settle(self, t: float, part: slice) -> None:
         for r in self.runs:
-            r.settle(t)
+            r.settle(t, part)
 
     def feed(self, means: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
         """Which windows flash often enough, in the order of COUNTS."""
@@ -469,11 +589,11 @@ def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
     parts = R.spread(parts, "video").sortWithinPartitions("video", "n", "band")
     names = [x.split()[0] for x in STATS.split(", ")]
 
-    def held(rows: list[tuple], state: _Windows | None) -> list[tuple]:
+    def held(rows: list[tuple], state: _Windows | None, part: slice) -> list[tuple]:
         made = []
         for (video, n, t, tc, held, anomaly, mean, w, h), _ in rows:
             if state is not None:
-                state.settle(tc)
+                state.settle(tc, part)
             made.append((video, n, t, tc, held, anomaly, mean, 0, 0, None, tc, tc, 0, 0, 0, 0, w, h))
         return made
 
@@ -481,10 +601,9 @@ def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
         geo = _geometry(cfg, w, h)
         lanes = len(geo.xs) * len(geo.ys)
         made: list[tuple] = []
-        for turns, some, joint, begin in _in_step(series, lanes, lambda n: _Windows(n, cfg)):
-            parts = [slice(i * lanes, (i + 1) * lanes) for i in range(len(some))]
+        for turns, some, joint, begin, parts in _in_step(series, lanes, lambda n: _Windows(n, cfg)):
             for (_, before), part, first in zip(turns, parts, begin, strict=True):
-                made += held(before, joint.take(part) if before and not first else None)
+                made += held(before, None if first else joint, part)
             pictures = [picture for picture, _ in turns]
             total = np.stack([x for _, x in pictures], axis=1)  # (plane, picture, window)
             t = np.repeat([tags[3] for tags, _ in pictures], lanes)
@@ -509,7 +628,7 @@ def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
             rows = zip(pictures, best("fail", total[8]), best("fail_red", total[9]), *(most(x) for x in ("ext", "ext_red", "warn", "warn_red")), strict=True)
             made += [(*tags[:7], a, b, cell, onset, onset_red, *rest, w, h) for (tags, _), (a, cell, onset), (b, _, onset_red), *rest in rows]
         for s in series:
-            made += held(s.tail, s.state)
+            made += held(s.tail, s.state, slice(None))
             s.tail = []
         return made
 
@@ -533,7 +652,7 @@ def _frames_of_parts(parts: DataFrame, cfg: Config) -> DataFrame:
 
         for batch in _lots(batches):
             lot = [last] if last else []
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for row in zip(*(R.plain(column) for column in batch.columns), strict=True):
                 part = None if row[-1] is None else np.frombuffer(row[-1], np.float64).reshape(4 + len(COUNTS), -1)
                 if tags is not None and row[:2] == tags[:2]:
                     total = np.vstack([total[:-2] + part[:-2], np.maximum(total[-2:], part[-2:])])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from glintframe.config import Config
 from glintframe.operators.clock import LOOK_BACK, monotonic_clock
+from glintframe.operators.flashes import spread
 from glintframe.operators.intervals import asof
 from glintframe.plans import detector
 from glintframe.tables import stored
@@ -38,14 +39,16 @@ def spans(times: DataFrame, cfg: Config, segment: Column | None = None, run_up:
     ``segment``: a number that doesn't fall along a video, from n, t and the clock tc; by default every ``SECONDS`` a new one.
     The run-up is measured by the clock, so jumps of the source's time don't shorten it.
     """
-    clock = monotonic_clock(times.select("video", "n", "t"), ["video"], "n", "t", cfg.max_gap)
+    clock = monotonic_clock(spread(times.select("video", "n", "t"), "video"), ["video"], "n", "t", cfg.max_gap)
     number = F.floor(F.col("tc") / SECONDS) if segment is None else segment
-    starts = clock.withColumn("segment", number.cast("long")).groupBy("video", "segment").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"), F.min("tc").alias("from_tc"))
-    early = F.col("from_tc") - (cfg.context_seconds if run_up is None else run_up)
     by = Window.partitionBy("video").orderBy("n")
     step = F.col("t") - F.lag("t").over(by)
     good = (step > 0) & (step <= cfg.max_gap)
-    clock = clock.withColumn("step", F.when(good, step)).withColumn("good", F.count("step").over(by))
+    clock = clock.withColumn("step", F.when(good, step)).withColumn("good", F.count("step").over(by)).withColumn("segment", number.cast("long"))
+    # the windows above are dear, and what follows reads them three times
+    clock = stored(clock.select("video", "n", "tc", "step", "good", "segment"), "segment-clock")
+    starts = clock.groupBy("video", "segment").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"), F.min("tc").alias("from_tc"))
+    early = F.col("from_tc") - (cfg.context_seconds if run_up is None else run_up)
     rows = stored(asof(starts, early, clock, "tc", F.struct("n", "tc", "good"), ["video"], "run", after=True), "segment-starts")
     looked = rows.where("run.good > 0").select("video", "segment", F.explode(F.sequence(F.greatest(F.lit(1), F.col("run.good") - (LOOK_BACK - 1)), F.col("run.good"))).alias("good"))
     steps = looked.join(clock.where("step is not null").select("video", "good", "step"), ["video", "good"]).groupBy("video", "segment")
@@ -101,8 +104,7 @@ def ways(carries: DataFrame) -> DataFrame:
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                # (start or end, tracker or runs, one way or the other, lane)
-                codes = np.frombuffer(row["carry"], np.int32).reshape(2, 4, 2, -1)
+                codes = detector.pixels_of(row["carry"])
                 one, other = codes[0, :3, 0], codes[0, :3, 1]
                 (runs, first_run), now = codes[0, 3], codes[1, 3, 0]
                 if (row["video"], row["band"]) != key:

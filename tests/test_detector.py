@@ -91,3 +91,53 @@ def test_series_are_worked_on_side_by_side():
             s.add(n, False)
     steps = list(detector._in_step(series, 8, lambda n: detector._Windows(n, CONFIG)))
     assert [len(turns) for turns, *_ in steps] == [5, 5, 5]
+
+
+def test_pixels_alike_are_followed_once(monkeypatch):
+    """Pixels that are alike in all pictures are one lane; those that part later are two from then on."""
+    import numpy as np
+
+    from glintframe.plans import detector
+
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(0, 1 << 24, (9, 3), dtype=np.uint32)
+    codes = kinds[:, rng.integers(0, 3, 96)]
+    pick, which = detector._alike(codes)
+    assert len(pick) == 3 and (codes[:, pick][:, which] == codes).all()
+    later, again = detector._alike(codes[:, :1] + np.zeros((1, 96), np.uint32), which)
+    assert len(later) == 3 and (which[later][again] == which).all()
+    assert len(detector._alike(rng.integers(0, 1 << 24, (9, 96), dtype=np.uint32))[0]) == 96
+    # a sum that mixes up pixels is found out
+    monkeypatch.setattr(detector, "FACTORS", np.zeros(256, np.uint64))
+    assert len(detector._alike(codes)[0]) == 96
+
+
+def test_lanes_part_within_a_series():
+    """A band whose pixels part after many lots gives what one lot gives, with as few lanes as there are kinds of pixels."""
+    import numpy as np
+
+    from glintframe.plans import detector
+    from glintframe.queries_detector import CONFIG
+
+    geo, rng = CONFIG.geometry(16, 16), np.random.default_rng(3)
+    left = np.repeat(np.arange(16) < 8, 16).reshape(16, 16).T.ravel()
+    grey = rng.integers(0, 256, 40)
+    pictures = [np.repeat(np.where(left | (k < 20), g, 255 - g).astype(np.uint8)[:, None], 3, axis=1) for k, g in enumerate(grey)]
+    rows = [{"codes": p.tobytes()} for p in pictures]
+
+    def lanes(lots: list[list[dict]]) -> list[int]:
+        band, found = detector._Band(("v", 0)), []
+        for lot in lots:
+            for row in lot:
+                band.add(row, False)
+            band.split(geo, 0)
+            for (row, codes), _ in band.turns:
+                assert codes[band.which].tobytes() == row["codes"]
+            assert band.share.sum() == 256 and band.share.shape == (len(geo.xs) * len(geo.ys), band.lanes)
+            band.state, band.turns = detector._Tile(band.lanes, CONFIG), []
+            found.append(band.lanes)
+        return found
+
+    assert lanes([rows]) == [2]
+    assert lanes([rows[:10], rows[10:20], rows[20:30], rows[30:]]) == [1, 1, 2, 2]
+    assert lanes([rows[30:], rows[:10]]) == [2, 2]
