@@ -145,7 +145,11 @@ def _steps(series: list[_Series], lanes: int | None, blank) -> Iterator[tuple]:
         x.turns = []
 
 
-def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
+def _pictures(frames: DataFrame, cfg: Config, alike: bool = True) -> DataFrame:
+    """Bands of new pictures, as their codes; with ``alike`` codes of one pixel of each class, where many pixels are alike in a chunk of pictures.
+
+    The chunk's first new picture says then in ``alike`` which class each of the band's pixels is in.
+    """
     given = {"tc0": F.lit(0.0), "from_n": F.lit(FIRST), "recent": F.lit(None).cast("array<double>")}
     given = [c if c in frames.columns else default.alias(c) for c, default in given.items()]
     ready = frames.select("video", "n", "t", "w", "h", "rgb", *given)
@@ -159,7 +163,10 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
             yield from (same[at : at + step] for at in range(0, len(same), step))
 
     def lights(some: list[tuple], before: list[bytes]):
-        """(codes, mean luminances, how many pixels moved between two pictures); ``before`` is number -1.  Pixels alike are worked out once."""
+        """(bands as (classes, codes of each picture), mean luminances, how many pixels moved between two pictures); ``before`` is number -1.
+
+        Pixels alike are worked out once.
+        """
         h, w = some[0][4], some[0][3]
         rgb = np.frombuffer(b"".join([*before, *(row[5] for row in some)]), np.uint8).reshape(-1, h * w, 3)
         pick, which = _alike(_packed(rgb))
@@ -171,7 +178,13 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
             far = (np.abs(light[i + off] - light[k + off]) > np.float32(0.5 * cfg.swing)) | (np.abs(red[i + off] - red[k + off]) > np.float32(0.5 * colour.LEAST_RED_SWING))
             return (far * share).sum(axis=-1)
 
-        return rgb[off:].reshape(-1, h, w, 3), ((light[off:].astype(np.float64) * share).sum(axis=1) / (h * w)).tolist(), moved
+        bands = []
+        for y in range(0, h, BAND):
+            part = slice(y * w, min(h, y + BAND) * w)
+            own, local = np.unique(which[part], return_inverse=True)
+            few = alike and 2 * len(own) <= len(local)
+            bands.append((local.astype(np.int32).tobytes(), rgb[off:, pick[own]]) if few else (None, rgb[off:, part]))
+        return bands, ((light[off:].astype(np.float64) * share).sum(axis=1) / (h * w)).tolist(), moved
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, None
@@ -182,7 +195,7 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                 if rows[0][0] != video:
                     video, state = rows[0][0], {"tc": rows[0][6], "t": rows[0][2], "steps": rows[0][8] or [], "last": None}
                 before = [state["last"]] if state["last"] is not None and len(state["last"]) == 3 * w * h else []
-                rgb, means, moved = lights(rows, before)
+                bands, means, moved = lights(rows, before)
                 each = np.arange(1, len(rows))
                 near, new = [None, *moved(each, each - 1).tolist()], -1
                 least = max(1.0, 0.1 * _geometry(cfg, w, h).area)
@@ -198,17 +211,18 @@ def _pictures(frames: DataFrame, cfg: Config) -> DataFrame:
                     held = False
                     if new >= 0 or before:
                         held = (near[i] if new == i - 1 >= 0 else int(moved(i, new))) < least
+                    first = new < 0
                     if not held:
                         state["last"], new = codes, i
-                    for band, y in enumerate(range(0, h, BAND)):
-                        part = None if held else codes if h <= BAND else rgb[i, y : y + BAND].tobytes()
-                        made.append((video, band, n, t, state["tc"], held, anomaly, means[i], w, h, from_n, part))
-            columns = list(zip(*made, strict=True)) or [[]] * 12
+                    for band, (classes, parts) in enumerate(bands):
+                        part = (None, None) if held else (parts[i].tobytes(), classes if first else None)
+                        made.append((video, band, n, t, state["tc"], held, anomaly, means[i], w, h, from_n, *part))
+            columns = list(zip(*made, strict=True)) or [[]] * 13
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "video string, band int, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, from_n long, codes binary"
+    schema = "video string, band int, n long, t double, tc double, held boolean, anomaly boolean, mean double, w int, h int, from_n long, codes binary, alike binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return ready.mapInArrow(run, schema)
 
 
@@ -368,18 +382,27 @@ class _Band(_Series):
 
     def __init__(self, key):
         super().__init__(key)
-        self.wild = self.before = self.still = self.began = self.which = self.share = None
-        self.seen, self.last, self.settled = b"", 0.0, math.inf
+        self.wild = self.before = self.still = self.began = self.which = self.share = self.classes = self.seen = None
+        self.last, self.settled = 0.0, math.inf
 
     def split(self, geo: Geometry, y0: int) -> None:
         """Lanes whose pixels are no longer alike in this lot's pictures become several, and pictures the codes of lanes."""
         if not self.turns:
             return
-        codes = np.frombuffer(b"".join(row["codes"] for (row, _) in self.turns), np.uint8).reshape(len(self.turns), -1, 3)
         known = self.which
         if self.wild is not None:
             known = (0 if known is None else known * 8) + self.wild.T @ np.array([1, 2, 4])
-        pick, which = _alike(_packed(codes), known)
+        runs = []
+        for _, some in itertools.groupby((row for row, _ in self.turns), lambda row: id(row["alike"])):
+            some = list(some)
+            codes, classes = np.frombuffer(b"".join(row["codes"] for row in some), np.uint8).reshape(len(some), -1, 3), some[0]["alike"]
+            if classes is None:
+                pick, known = _alike(_packed(codes), known)
+            else:
+                both = classes if known is None else known.astype(np.int64) * codes.shape[1] + classes
+                _, pick, known = np.unique(both, return_index=True, return_inverse=True)
+            runs.append((codes, classes))
+        which = known
         if self.state is not None:
             old = self.which[pick]
             self.state = self.state.take(old).own()
@@ -390,7 +413,14 @@ class _Band(_Series):
             ones = (which == np.arange(len(pick))[:, None]).reshape(1, len(pick), -1, geo.width)
             self.share = _window_sums(_sums(ones), geo, y0)[0].T
         self.pick, self.which, self.lanes = pick, which, len(pick)
-        self.turns = [((row, own), before) for (row, before), own in zip(self.turns, codes[:, pick], strict=True)]
+        own = itertools.chain.from_iterable(codes[:, pick if classes is None else classes[pick]] for codes, classes in runs)
+        self.turns = [((row, own), before) for (row, before), own in zip(self.turns, own, strict=True)]
+
+
+def _seen(row: dict) -> int:
+    """A number for all of a picture's codes."""
+    codes = row["codes"]
+    return zlib.crc32(codes if row["alike"] is None else np.frombuffer(codes, np.uint8).reshape(-1, 3)[row["alike"]].tobytes())
 
 
 def lanes_of(which: np.ndarray, codes: np.ndarray) -> bytes:
@@ -421,7 +451,7 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
         for some in side_by_side([s for s in done if carry and s.state is not None], lambda s: s.lanes):
             sizes = [s.lanes for s in some]
             joint = some[0].state.joined([s.state for s in some])
-            now, still, ends = joint.states(np.repeat([s.last for s in some], sizes), np.repeat([zlib.crc32(s.seen) for s in some], sizes)), joint.still(), np.cumsum(sizes)[:-1]
+            now, still, ends = joint.states(np.repeat([s.last for s in some], sizes), np.repeat([_seen(s.seen) for s in some], sizes)), joint.still(), np.cumsum(sizes)[:-1]
             for s, now, still in zip(some, np.split(now, ends, axis=-1), np.split(still, ends, axis=-1), strict=True):
                 codes = np.stack([now if s.before is None else s.before, now])
                 if not s.began:  # without a run-up nothing is known
@@ -440,7 +470,7 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
             s.settled = math.inf
         if carry and does and s.before is None and state is not None:
             now = state.take(part)
-            s.before, s.still = now.states(s.last, zlib.crc32(s.seen)), now.still()
+            s.before, s.still = now.states(s.last, _seen(s.seen)), now.still()
         s.last = float(round(row["tc"] * 1e6))
         return does
 
@@ -471,7 +501,7 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
                     state = None if first else joint
                     made += held(s, before, state, part)
                     wanted.append(counts(s, row, state, part))
-                    s.seen = row["codes"]
+                    s.seen = row
                 t = np.repeat([s.last for s in some], [s.lanes for s in some])
                 light, red, packed = colour.planes(np.concatenate([codes for (_, codes), _ in turns]), cfg.red_saturation, cfg.red_flare)
                 for part, first in zip(parts, begin, strict=True):
@@ -522,7 +552,11 @@ def _window_parts(bands: DataFrame, cfg: Config, carry: bool = False) -> DataFra
                 if row["n"] == FIRST:
                     lot[-1].wild = np.frombuffer(row["codes"], bool).reshape(3, -1)
                 else:
-                    lot[-1].size = (row["w"], row["h"], row["band"])
+                    w, h, band = lot[-1].size = (row["w"], row["h"], row["band"])
+                    if row["alike"] is not None:
+                        lot[-1].classes = np.frombuffer(row["alike"], np.int32)
+                    whole = row["held"] or len(row["codes"]) == 3 * w * min(BAND, h - band * BAND)
+                    row["alike"] = None if whole else lot[-1].classes
                     lot[-1].add(row, row["held"])
             made: list[tuple] = []
             sizes: dict[tuple, list[_Band]] = {}

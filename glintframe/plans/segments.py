@@ -127,12 +127,12 @@ def _whole(marks: DataFrame, videos: DataFrame) -> DataFrame:
     return whole.select("video", F.lit(-1).cast("long").alias("segment"), "run_n", F.lit(0.0).alias("tc0"), F.lit(None).cast("array<double>").alias("recent"), "from_n", "to_n")
 
 
-def _bands(frames: DataFrame, marks: DataFrame, cfg: Config) -> DataFrame:
+def _bands(frames: DataFrame, marks: DataFrame, cfg: Config, alike: bool = True) -> DataFrame:
     """The detector's first pass over segments, each a video of its own named segment:video."""
     mark = marks.withColumnRenamed("video", "__video")
     own = frames.join(mark, (F.col("video") == F.col("__video")) & F.col("n").between(F.col("run_n"), F.col("to_n")))
     own = own.withColumn("video", F.concat_ws(":", F.col("segment").cast("string"), "video")).withColumn("recent", F.when(F.col("n") == F.col("run_n"), F.col("recent")))
-    return detector._pictures(own.select("video", "n", "t", "w", "h", "rgb", "tc0", "from_n", "recent"), cfg)
+    return detector._pictures(own.select("video", "n", "t", "w", "h", "rgb", "tc0", "from_n", "recent"), cfg, alike)
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -146,13 +146,13 @@ def pictures(frames: DataFrame, cfg: Config, segment: Column | None = None, run_
     The last new picture before a segment must be the one that the segment before ends with; if not, the video is taken as a whole.
     """
     marks = stored(spans(frames, cfg, segment, run_up), "segments")
-    rows = _named(_bands(frames, marks, cfg)).withColumn("code", F.xxhash64("codes")).drop("codes")
+    rows = _named(_bands(frames, marks, cfg, alike=False)).withColumn("code", F.xxhash64("codes")).drop("codes", "alike")
     rows = stored(rows, "segment-pictures")
     new = rows.where("NOT held").groupBy("video", "band", "segment")
     ends = new.agg(F.max_by("code", F.when(F.col("n") < F.col("from_n"), F.col("n"))).alias("start"), F.max_by("code", "n").alias("end"))
     before = F.lag("end").over(Window.partitionBy("video", "band").orderBy("segment"))
     other = stored(ends.withColumn("before", before).where("before IS NOT NULL AND NOT before <=> start").select("video").distinct(), "segment-videos")
-    again = _named(_bands(frames, _whole(marks, other), cfg))
+    again = _named(_bands(frames, _whole(marks, other), cfg, alike=False))
     first = rows.join(other, "video", "left_anti")
     rows = first.unionByName(again, allowMissingColumns=True).where("band = 0 AND n >= from_n")
     return rows.select("video", "n", "t", "tc", "held", "anomaly", F.col("mean").alias("lum"))

@@ -123,7 +123,7 @@ def test_lanes_part_within_a_series():
     left = np.repeat(np.arange(16) < 8, 16).reshape(16, 16).T.ravel()
     grey = rng.integers(0, 256, 40)
     pictures = [np.repeat(np.where(left | (k < 20), g, 255 - g).astype(np.uint8)[:, None], 3, axis=1) for k, g in enumerate(grey)]
-    rows = [{"codes": p.tobytes()} for p in pictures]
+    rows = [{"codes": p.tobytes(), "alike": None} for p in pictures]
 
     def lanes(lots: list[list[dict]]) -> list[int]:
         band, found = detector._Band(("v", 0)), []
@@ -141,3 +141,23 @@ def test_lanes_part_within_a_series():
     assert lanes([rows]) == [2]
     assert lanes([rows[:10], rows[10:20], rows[20:30], rows[30:]]) == [1, 1, 2, 2]
     assert lanes([rows[30:], rows[:10]]) == [2, 2]
+
+
+def test_classes_of_pixels_are_handed_on(spark):
+    """Bands handed on as a pixel of each class are small, and give what all codes give; a band without pixels alike is handed on whole."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows = np.random.default_rng(11), []
+    block = np.kron(np.arange(4).reshape(2, 2), np.ones((16, 8), np.int64))
+    for n in range(150):
+        top = rng.integers(0, 256, (4, 3))[block]
+        low = np.repeat((np.arange(128).reshape(8, 16) + 97 * n)[..., None] % 256, 3, axis=2)
+        rows.append(("v", n, n / 30, 16, 40, bytearray(np.concatenate([top, low]).astype(np.uint8).tobytes())))
+    frames = spark.createDataFrame(rows, "video string, n long, t double, w int, h int, rgb binary")
+    config = PROFILES["wcag"]
+    bands = [detector._pictures(frames, config, alike).cache() for alike in (True, False)]
+    sizes = [df.where("NOT held").groupBy("band").agg(F.max(F.length("codes")).alias("most")).orderBy("band").collect() for df in bands]
+    assert [[r.most for r in x] for x in sizes] == [[12, 384], [1536, 384]]
+    one, two = (detector._frames_of_parts(detector._window_parts(df, config), config).orderBy("n").collect() for df in bands)
+    assert one == two and any(r.hazard for r in one)
